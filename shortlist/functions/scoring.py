@@ -247,9 +247,16 @@ def adjustment_multiplier() -> Column:
     return blended_budget_multiplier() * market_multiplier() * carbon_race_multiplier()
 
 
+def fmt_fixed(x: Column, decimals: int) -> Column:
+    """Python's ``f"{x:.Nf}"``: DecimalFormat rounds half-even on the exact
+    binary value, as Python does (``format_string`` rounds the shortest
+    decimal half-up instead)."""
+    pattern = "0." + "0" * decimals if decimals else "0"
+    return F.call_function("format_number", x, F.lit(pattern))
+
+
 def _fmt2(x: Column) -> Column:
-    """``{x:.2f}`` with half-even rounding (Python's rule)."""
-    return F.format_string("%.2f", F.bround(x, 2))
+    return fmt_fixed(x, 2)
 
 
 def adjustment_tags() -> Column:                                          # C13

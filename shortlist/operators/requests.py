@@ -25,13 +25,15 @@ def with_defaults(requests: DataFrame) -> DataFrame:
     return requests.select(
         "request_id",
         c("brand_preferences"),
-        F.struct(_flag(iu["easy_runs"]).alias("easy_runs"),
-                 _flag(iu["tempo_runs"]).alias("tempo_runs"),
-                 _flag(iu["long_runs"]).alias("long_runs"),
-                 F.coalesce(iu["races"], F.array().cast("array<string>")).alias("races"),
-                 _flag(iu["trail"]).alias("trail")).alias("intended_use"),
-        F.struct(F.coalesce(c("cost_limiter.enabled"), F.lit(True)).alias("enabled"),
-                 c("cost_limiter.max_usd").alias("max_usd")).alias("cost_limiter"),
+        F.when(iu.isNotNull(), F.struct(
+            _flag(iu["easy_runs"]).alias("easy_runs"),
+            _flag(iu["tempo_runs"]).alias("tempo_runs"),
+            _flag(iu["long_runs"]).alias("long_runs"),
+            F.coalesce(iu["races"], F.array().cast("array<string>")).alias("races"),
+            _flag(iu["trail"]).alias("trail"))).alias("intended_use"),
+        F.when(c("cost_limiter").isNotNull(), F.struct(
+            F.coalesce(c("cost_limiter.enabled"), F.lit(True)).alias("enabled"),
+            c("cost_limiter.max_usd").alias("max_usd"))).alias("cost_limiter"),
         F.coalesce(c("num_recommendations"), F.lit(5)).alias("num_recommendations"),
         F.coalesce(c("allow_carbon"), F.lit(True)).alias("allow_carbon"),
         F.when(w.isNotNull(), F.struct(*[F.coalesce(w[n], F.lit(1.0)).alias(n)

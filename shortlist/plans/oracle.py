@@ -49,7 +49,7 @@ requests AS (
       WHEN seg = 'MACHINERY' THEN ['marathon'] ELSE []::VARCHAR[] END AS r_races,
     k % 11 = 10 AS r_trail,
     k % 5 <> 4 AS r_limiter,
-    60.0 + abs(c_acctbal) / 40.0 AS r_max_usd,
+    60.0 + CAST(floor(abs(c_acctbal) / 40.0) AS DOUBLE) AS r_max_usd,
     CAST(1 + (k * 7) % 20 AS INTEGER) AS r_n,
     k % 4 <> 3 AS r_allow_carbon,
     CASE WHEN k % 6 <> 5 THEN CAST(0.5 * (k % 4 + 1) AS DOUBLE) ELSE 1.0::DOUBLE END AS w_brand,
@@ -225,3 +225,231 @@ SELECT request_id, CAST(rank AS INTEGER) AS rank, catalog_pos, brand, model,
   round(adjustment_multiplier, 6) AS adjustment_multiplier,
   array_to_string({TAGS}, '|') AS score_adjustments
 FROM ranked"""
+
+
+def _nonnull_join(parts: list[str], sep: str) -> str:
+    return f"array_to_string(list_filter(list_value({', '.join(parts)}), lambda x: x IS NOT NULL), '{sep}')"
+
+
+def _or_default(expr: str, default: str) -> str:
+    return f"coalesce(nullif({expr}, ''), '{default}')"
+
+
+REASONS_BASIC = _or_default(_nonnull_join([
+    f"CASE WHEN {has('race')} AND r_has_races THEN 'Race-focused design' "
+    f"WHEN {has('tempo')} AND r_tempo THEN 'Tempo run optimized' "
+    f"WHEN ({has('daily')} OR {has('easy')}) AND r_easy THEN 'Daily training suitable' END",
+    "CASE WHEN plate = 'carbon' AND r_has_races THEN 'Carbon plate for speed' "
+    "WHEN plate = 'nylon' AND r_tempo THEN 'Nylon plate for tempo' END",
+    "CASE WHEN r_limiter AND price_usd > r_max_usd THEN 'Above budget but high-performance' END",
+], "; "), "Matches your criteria")
+
+REASONS_ENHANCED = _or_default(_nonnull_join([
+    f"CASE WHEN {has('race')} AND r_has_races THEN 'Optimized for racing performance' "
+    f"WHEN {has('tempo')} AND r_tempo THEN 'Designed for tempo and threshold training' "
+    f"WHEN ({has('daily')} OR {has('easy')}) AND r_easy THEN 'Perfect for daily training and easy runs' END",
+    "CASE WHEN coalesce(plate, 'none') = 'carbon' AND r_has_races THEN 'Carbon plate provides racing efficiency' "
+    "WHEN coalesce(plate, 'none') = 'nylon' AND r_tempo THEN 'Nylon plate adds responsiveness for speed work' END",
+    "CASE WHEN weight_g IS NOT NULL AND weight_g <> 0 AND r_has_races AND weight_g < 220 "
+    "THEN 'Lightweight design (' || CAST(weight_g AS VARCHAR) || 'g) for racing speed' "
+    "WHEN weight_g IS NOT NULL AND weight_g <> 0 AND r_easy AND weight_g >= 250 AND weight_g <= 320 "
+    "THEN 'Balanced weight (' || CAST(weight_g AS VARCHAR) || 'g) for comfortable training' END",
+    f"CASE WHEN r_limiter AND {RATIO} <= 0.8 THEN 'Excellent value within budget' "
+    f"WHEN r_limiter AND {RATIO} > 1.0 THEN 'Premium option with advanced features' END",
+    "CASE WHEN mk_review_count > 50 THEN 'Popular choice with ' || CAST(mk_review_count AS VARCHAR) || ' reviews' END",
+    "CASE WHEN mk_rating >= 4.5 THEN 'Highly rated (' || CAST(mk_rating AS VARCHAR) || '/5.0)' END",
+], "; "), "Well-suited for your running needs")
+
+ENHANCED_BASE = [CATALOG, REQUESTS, MARKET, PRODUCTS, ENHANCED_SCORED]
+
+
+def rule_reasons_enhanced() -> str:
+    return with_ctes(*ENHANCED_BASE) + f"""
+SELECT request_id, CAST(rank AS INTEGER) AS rank, catalog_pos, {REASONS_ENHANCED} AS why_rules
+FROM ranked"""
+
+
+def score_components() -> str:
+    return with_ctes(*ENHANCED_BASE) + f"""
+SELECT request_id, CAST(rank AS INTEGER) AS rank, catalog_pos,
+  round(({USE_TERM}), 6) AS use_case_term, round(({PLATE_TERM}), 6) AS plate_term,
+  round(({WEIGHT_TERM}), 6) AS weight_term, round(({DROP_TERM}), 6) AS drop_term,
+  round(({BUDGET_TERM}), 6) AS budget_term, round(({BRAND_TERM}), 6) AS brand_term,
+  round({BASE}, 6) AS base_compatibility, round({TECH}, 6) AS technical_advantage,
+  round(CASE WHEN {MARKET_FLAG} THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END, 6) AS market_positioning,
+  round({SPECIALTY}, 6) AS specialty_bonus, round({JITTER}, 6) AS diversity_jitter
+FROM ranked"""
+
+
+def score_audit() -> str:
+    return with_ctes(*ENHANCED_BASE) + f"""
+SELECT request_id, CAST(rank AS INTEGER) AS rank, catalog_pos,
+  round(CASE WHEN r_limiter THEN {RATIO} END, 6) AS budget_ratio,
+  round(({BLENDED}), 6) AS budget_multiplier, round(({MARKET_MULT}), 6) AS market_multiplier,
+  round(({CARBON_MULT}), 6) AS carbon_multiplier,
+  round(adjustment_multiplier, 6) AS adjustment_multiplier, round(adjusted_score, 6) AS adjusted_score,
+  array_to_string({TAGS}, '|') AS score_adjustments
+FROM ranked"""
+
+
+BASIC_RANKED = f"""
+bpairs AS (
+  SELECT r.*, p.* FROM preq r JOIN catalog p ON {BASIC_OK}
+),
+bquota AS (
+  SELECT * FROM bpairs WHERE NOT coalesce(r_limiter AND price_usd > r_max_usd, false)
+  UNION ALL
+  SELECT * EXCLUDE (q) FROM (
+    SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY catalog_pos) AS q
+    FROM bpairs WHERE coalesce(r_limiter AND price_usd > r_max_usd, false)) WHERE q <= 2
+),
+bscored AS (
+  SELECT *, greatest(0.0, least(1.0, 0.5::DOUBLE
+    + (CASE WHEN r_has_races AND {has('race')} THEN 0.3 ELSE 0.0 END)::DOUBLE
+    + (CASE WHEN r_has_races AND NOT (plate IS NOT DISTINCT FROM 'none') THEN 0.2 ELSE 0.0 END)::DOUBLE
+    + (CASE WHEN r_limiter AND {RATIO} > 1.0 THEN -(0.3 * ({RATIO} - 1.0)) ELSE 0.0::DOUBLE END)
+    + (CASE WHEN r_has_races AND weight_g IS NOT NULL AND weight_g <> 0 AND weight_g < 200 THEN 0.1
+            WHEN r_has_races AND weight_g IS NOT NULL AND weight_g <> 0 AND weight_g < 220 THEN 0.05
+            ELSE 0.0 END)::DOUBLE)) AS score
+  FROM bquota
+),
+branked AS (
+  SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, catalog_pos) AS rank
+  FROM bscored QUALIFY rank <= r_n
+)"""
+
+
+def shortlist_basic() -> str:
+    return with_ctes(CATALOG, REQUESTS, BASIC_RANKED) + f"""
+SELECT request_id, CAST(rank AS INTEGER) AS rank, catalog_pos, brand, model, price_usd,
+  round(score, 6) AS score, {REASONS_BASIC} AS why_rules
+FROM branked"""
+
+
+NOTES = f"""
+summary AS (
+  SELECT request_id, count(*) AS n_items, count_if(price_usd > r_max_usd) AS n_over_budget
+  FROM ranked GROUP BY request_id
+),
+notes AS (
+  SELECT r.request_id, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+    CAST(coalesce(n_over_budget, 0) AS BIGINT) AS n_over_budget
+  FROM preq r LEFT JOIN summary s ON r.request_id = s.request_id
+)"""
+
+NOTES_TEXT = ("CASE WHEN n_items = 0 THEN 'No shoes match your criteria. Try relaxing brand preferences or "
+              "budget constraints.' ELSE " + _nonnull_join([
+                  "CASE WHEN n_over_budget > 0 THEN 'Note: ' || CAST(n_over_budget AS VARCHAR) || "
+                  "' recommendation(s) exceed your budget but offer premium performance features.' END",
+                  "CASE WHEN n_items < 3 THEN 'Fewer recommendations than usual - consider relaxing some "
+                  "constraints for more options.' END",
+                  "'Rankings use advanced AI analysis with dynamic scoring based on technical specs, market "
+                  "data, and use-case optimization.'"], " || ") + " END")
+
+
+def response_notes() -> str:
+    return with_ctes(*ENHANCED_BASE, NOTES) + f"""
+SELECT request_id, n_items, n_over_budget, {NOTES_TEXT} AS notes FROM notes"""
+
+
+def response_nested() -> str:
+    return with_ctes(*ENHANCED_BASE, NOTES) + f"""
+, items AS (
+  SELECT request_id, string_agg(brand || ' ' || model, ';' ORDER BY rank) AS items,
+    max(rank) AS last_rank
+  FROM ranked GROUP BY request_id
+)
+SELECT n.request_id, CAST(n.n_items AS INTEGER) AS n_items, coalesce(i.items, '') AS items,
+  r.r_n AS echo_num_recommendations, {NOTES_TEXT} AS notes
+FROM notes n JOIN preq r ON n.request_id = r.request_id
+LEFT JOIN items i ON n.request_id = i.request_id"""
+
+
+def response_display() -> str:
+    return with_ctes(*ENHANCED_BASE) + """
+SELECT request_id, CAST(rank AS INTEGER) AS rank,
+  printf('%.1f', greatest(0.0, least(1.0, adjusted_score)) * 100.0) AS score_pct,
+  r_limiter AND price_usd > r_max_usd AS over_budget_flag,
+  upper(substr(coalesce(plate, 'none'), 1, 1)) || lower(substr(coalesce(plate, 'none'), 2)) AS plate_label
+FROM ranked"""
+
+
+RAW_REQUESTS = f"""
+raw AS (SELECT c_custkey AS k, c_acctbal FROM customer),
+raw_req AS (
+  SELECT CAST(k AS BIGINT) AS request_id,
+    CASE WHEN k % 4 = 0 THEN list_value({BRAND_LIST}[k % 13 + 1]) WHEN k % 4 = 1 THEN []::VARCHAR[] END
+      AS brand_preferences,
+    k % 29 <> 0 AS has_use,
+    CASE WHEN k % 2 = 0 THEN TRUE END AS easy_runs,
+    CASE WHEN k % 3 = 0 THEN TRUE WHEN k % 3 = 1 THEN FALSE END AS tempo_runs,
+    CASE WHEN k % 5 = 0 THEN TRUE END AS long_runs,
+    CASE WHEN k % 7 = 0 THEN ['5k'] END AS races,
+    CASE WHEN k % 11 = 0 THEN TRUE END AS trail,
+    k % 31 <> 0 AS has_limiter,
+    CASE WHEN k % 6 = 0 THEN FALSE WHEN k % 6 = 1 THEN TRUE END AS enabled,
+    c_acctbal / 20.0 AS max_usd,
+    CASE WHEN k % 9 <> 0 THEN CAST(k % 23 AS INTEGER) END AS num_recommendations,
+    CASE WHEN k % 8 <> 0 THEN k % 2 = 1 END AS allow_carbon,
+    k % 6 <> 5 AS has_weights,
+    CASE WHEN k % 5 <> 0 THEN CAST(0.5 * (k % 4) AS DOUBLE) END AS w_brand,
+    CASE WHEN k % 2 = 0 THEN 0.0::DOUBLE END AS w_tempo
+  FROM raw
+)"""
+
+
+def request_defaults() -> str:
+    return with_ctes(RAW_REQUESTS) + """
+SELECT request_id,
+  CASE WHEN brand_preferences IS NULL THEN NULL ELSE array_to_string(brand_preferences, ',') END AS brand_preferences,
+  CASE WHEN has_use THEN coalesce(easy_runs, false) END AS easy_runs,
+  CASE WHEN has_use THEN coalesce(tempo_runs, false) END AS tempo_runs,
+  CASE WHEN has_use THEN coalesce(long_runs, false) END AS long_runs,
+  CASE WHEN has_use THEN array_to_string(coalesce(races, []::VARCHAR[]), ',') END AS races,
+  CASE WHEN has_use THEN coalesce(trail, false) END AS trail,
+  CASE WHEN has_limiter THEN coalesce(enabled, true) END AS enabled,
+  CASE WHEN has_limiter THEN round(max_usd, 6) END AS max_usd,
+  coalesce(num_recommendations, 5) AS num_recommendations,
+  coalesce(allow_carbon, true) AS allow_carbon,
+  CASE WHEN has_weights THEN coalesce(w_brand, 1.0::DOUBLE) END AS w_brand,
+  CASE WHEN has_weights THEN 1.0::DOUBLE END AS w_budget,
+  CASE WHEN has_weights THEN 2.0::DOUBLE END AS w_easy_runs,
+  CASE WHEN has_weights THEN coalesce(w_tempo, 1.0::DOUBLE) END AS w_tempo_runs,
+  CASE WHEN has_weights THEN 1.0::DOUBLE END AS w_long_runs,
+  CASE WHEN has_weights THEN 1.5::DOUBLE END AS w_races
+FROM raw_req"""
+
+
+def request_validation() -> str:
+    return with_ctes(RAW_REQUESTS) + """
+SELECT request_id, len(errs) = 0 AS valid, array_to_string(errs, '; ') AS errors FROM (
+  SELECT request_id, list_filter(list_value(
+    CASE WHEN NOT has_use THEN 'intended_use: field required' END,
+    CASE WHEN NOT has_limiter OR max_usd IS NULL THEN 'cost_limiter: field required' END,
+    CASE WHEN has_limiter AND max_usd <= 0 THEN 'cost_limiter.max_usd: must be greater than 0' END,
+    CASE WHEN num_recommendations IS NOT NULL AND (num_recommendations < 1 OR num_recommendations > 20)
+      THEN 'num_recommendations: must be between 1 and 20' END), lambda x: x IS NOT NULL) AS errs
+  FROM raw_req)"""
+
+
+def form_coercion() -> str:
+    def w(name: str, shift: int) -> str:
+        m = f"((k + {shift}) % 4)"
+        return f"CASE WHEN {m} = 2 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS w_{name}"
+    return f"""
+WITH raw AS (SELECT c_custkey AS k, c_mktsegment AS seg, c_acctbal FROM customer)
+SELECT CAST(k AS BIGINT) AS request_id,
+  CASE WHEN k % 4 = 0 THEN NULL WHEN k % 4 = 1 THEN {BRAND_LIST}[k % 13 + 1] ELSE '' END AS brand_preferences,
+  seg IN ('BUILDING', 'HOUSEHOLD') AS easy_runs,
+  seg IN ('FURNITURE', 'HOUSEHOLD') AS tempo_runs,
+  seg IN ('FURNITURE', 'MACHINERY') AS long_runs,
+  CASE WHEN k % 5 = 0 THEN '5k,marathon' WHEN k % 5 = 1 THEN '10k' ELSE '' END AS races,
+  k % 11 = 10 AS trail,
+  k % 3 <> 0 AS enabled,
+  CASE WHEN k % 10 = 0 THEN NULL WHEN k % 10 = 1 THEN 200.0::DOUBLE
+    ELSE CAST(floor(abs(c_acctbal) / 30.0 + 40.0) AS DOUBLE) END AS max_usd,
+  CASE WHEN k % 7 = 0 THEN 5 ELSE CAST(k % 25 AS INTEGER) END AS num_recommendations,
+  k % 2 = 0 AS allow_carbon,
+  {w('brand', 0)}, {w('budget', 1)}, {w('easy_runs', 2)}, {w('tempo_runs', 3)},
+  {w('long_runs', 0)}, {w('races', 1)}
+FROM raw"""

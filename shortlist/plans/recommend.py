@@ -44,8 +44,12 @@ def scored_candidates(requests: DataFrame, catalog: DataFrame, market: DataFrame
     return sc.score_pairs(pairs, market_flag(market))
 
 
+REQUEST_FLAGS = ["r_limiter", "r_max_usd", "r_has_races", "r_tempo", "r_easy", "w_budget"]
+
+
 def shortlist(requests: DataFrame, catalog: DataFrame, market: DataFrame | None = None,
-              strategy: str | None = None, with_tags: bool = True) -> DataFrame:
+              strategy: str | None = None, with_tags: bool = True,
+              extra_cols: list[str] | None = None) -> DataFrame:
     """The enhanced shortlist: one row per (request, rank), rank <= n.
 
     Only ids, scores and three narrow request fields pass through the ranking
@@ -53,7 +57,7 @@ def shortlist(requests: DataFrame, catalog: DataFrame, market: DataFrame | None
     to the survivors."""
     scored = scored_candidates(requests, catalog, market, strategy)
     keep = ["request_id", "catalog_pos", "r_n", "original_score", "adjustment_multiplier",
-            "adjusted_score", "r_limiter", "r_max_usd", "r_has_races"]
+            "adjusted_score"] + REQUEST_FLAGS + list(extra_cols or [])
     ranked = top_n_per_request(scored.select(*keep), enhanced_order(), c("r_n")).drop("r_n")
     products = with_market(catalog.select("catalog_pos", "brand", "model", "category", "price_usd",
                                           "plate", "drop_mm", "weight_g"), market)
@@ -62,8 +66,7 @@ def shortlist(requests: DataFrame, catalog: DataFrame, market: DataFrame | None
         out = (out.withColumn("ratio", sc.budget_ratio())
                .withColumn("score_adjustments", sc.adjustment_tags()).drop("ratio"))
     # Q4: rank on the raw adjusted score, publish it clamped to [0, 1].
-    return (out.drop("r_limiter", "r_max_usd", "r_has_races")
-            .withColumn("score", sc.clamp(c("adjusted_score"), 0.0, 1.0)))
+    return out.withColumn("score", sc.clamp(c("adjusted_score"), 0.0, 1.0))
 
 
 def shortlist_basic(requests: DataFrame, catalog: DataFrame, strategy: str | None = None) -> DataFrame:
@@ -72,7 +75,8 @@ def shortlist_basic(requests: DataFrame, catalog: DataFrame, strategy: str | Non
     products = sc.product_features(catalog.select(*SCORING_COLS))
     pairs = candidate_pairs(reqs, products, enhanced=False, strategy=strategy)
     pairs = over_budget_quota(pairs).withColumn("ratio", sc.budget_ratio())
-    scored = pairs.select("request_id", "catalog_pos", "r_n", sc.basic_score().alias("score"))
+    scored = pairs.select("request_id", "catalog_pos", "r_n", sc.basic_score().alias("score"),
+                          *REQUEST_FLAGS)
     ranked = top_n_per_request(scored, basic_order(), c("r_n")).drop("r_n")
     return _attach(ranked, catalog, ["brand", "model", "category", "price_usd", "plate",
                                      "drop_mm", "weight_g"])

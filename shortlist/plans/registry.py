@@ -12,10 +12,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shortlist.functions import scoring as sc
+from shortlist.functions import text as T
+from shortlist.operators import response as resp
+from shortlist.operators.requests import coerce_form, split_valid, validation_errors, with_defaults
 from shortlist.plans import oracle as O
 from shortlist.plans.recommend import shortlist, shortlist_basic
 from shortlist.sources.tables import read_table
-from shortlist.sources.views import catalog_view, market_view, requests_view
+from shortlist.sources.views import (catalog_view, market_view, raw_forms_view, raw_requests_view,
+                                     requests_view)
 
 c = F.col
 
@@ -53,6 +58,135 @@ def q_shortlist_enhanced(spark: SparkSession, sf_dir: str) -> DataFrame:
         r6("adjustment_multiplier"), F.array_join("score_adjustments", "|").alias("score_adjustments"))
 
 
+def _enhanced(spark, sf_dir, **kw):
+    t = Tables(spark, sf_dir)
+    return t, shortlist(t.requests(), t.catalog(), t.market(), **kw)
+
+
+def q_shortlist_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    out = shortlist_basic(t.requests(), t.catalog())
+    return out.select("request_id", c("rank").cast("int").alias("rank"), "catalog_pos", "brand", "model",
+                      "price_usd", r6("score"), T.rule_reasons_basic().alias("why_rules"))
+
+
+def q_rule_reasons_enhanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, out = _enhanced(spark, sf_dir, with_tags=False)
+    return out.select("request_id", c("rank").cast("int").alias("rank"), "catalog_pos",
+                      T.rule_reasons_enhanced().alias("why_rules"))
+
+
+COMPONENTS = {"use_case_term": sc.use_case_term, "plate_term": sc.plate_term,
+              "weight_term": sc.weight_term, "drop_term": sc.drop_term, "budget_term": sc.budget_term,
+              "brand_term": sc.brand_term, "base_compatibility": sc.base_compatibility,
+              "technical_advantage": sc.technical_advantage, "specialty_bonus": sc.specialty_bonus}
+
+
+def q_score_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C2a-C2f, C3, C4, C5, C6 of every shortlisted pair (computed on the
+    pairs, carried through the ranking)."""
+    from shortlist.operators.candidates import market_flag
+    from shortlist.plans import recommend as R
+    t = Tables(spark, sf_dir)
+    market = t.market()
+    orig = R.scored_candidates
+
+    def with_components(*a, **k):
+        scored = orig(*a, **k)
+        return scored.select("*", *[f().alias(n) for n, f in COMPONENTS.items()],
+                             sc.market_positioning(market_flag(market)).alias("market_positioning"),
+                             c("p_jitter").alias("diversity_jitter"))
+    R.scored_candidates = with_components
+    try:
+        extra = list(COMPONENTS) + ["market_positioning", "diversity_jitter"]
+        out = shortlist(t.requests(), t.catalog(), market, with_tags=False, extra_cols=extra)
+    finally:
+        R.scored_candidates = orig
+    return out.select("request_id", c("rank").cast("int").alias("rank"), "catalog_pos",
+                      *[r6(n) for n in extra])
+
+
+def q_score_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, out = _enhanced(spark, sf_dir)
+    out = out.withColumn("ratio", sc.budget_ratio())
+    return out.select(
+        "request_id", c("rank").cast("int").alias("rank"), "catalog_pos",
+        F.round(F.when(c("r_limiter"), c("ratio")), 6).alias("budget_ratio"),
+        F.round(sc.blended_budget_multiplier(), 6).alias("budget_multiplier"),
+        F.round(sc.market_multiplier(), 6).alias("market_multiplier"),
+        F.round(F.when(c("r_has_races") & (c("plate") == "carbon"), F.lit(1.05)).otherwise(F.lit(1.0)), 6)
+        .alias("carbon_multiplier"),
+        r6("adjustment_multiplier"), r6("adjusted_score"),
+        F.array_join("score_adjustments", "|").alias("score_adjustments"))
+
+
+def q_response_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, out = _enhanced(spark, sf_dir, with_tags=False)
+    notes = resp.response_notes(t.requests(), out)
+    return notes.select("request_id", "n_items", "n_over_budget",
+                        F.array_join("notes", " || ").alias("notes"))
+
+
+def q_response_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, out = _enhanced(spark, sf_dir, with_tags=False)
+    nested = resp.nested_response(t.requests(), out)
+    return nested.select(
+        "request_id", F.size("shortlist").alias("n_items"),
+        F.array_join(F.transform("shortlist", lambda x: F.concat(x["brand"], F.lit(" "), x["model"])), ";")
+        .alias("items"),
+        c("inputs_echo.num_recommendations").alias("echo_num_recommendations"),
+        F.array_join("notes", " || ").alias("notes"))
+
+
+def q_response_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, out = _enhanced(spark, sf_dir, with_tags=False)
+    return resp.display_columns(out).select("request_id", c("rank").cast("int").alias("rank"),
+                                            "score_pct", "over_budget_flag", "plate_label")
+
+
+def q_request_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = with_defaults(raw_requests_view(Tables(spark, sf_dir).raw("customer")))
+    iu, cl, w = c("intended_use"), c("cost_limiter"), c("weights")
+    return d.select(
+        "request_id", F.array_join("brand_preferences", ",").alias("brand_preferences"),
+        iu["easy_runs"].alias("easy_runs"), iu["tempo_runs"].alias("tempo_runs"),
+        iu["long_runs"].alias("long_runs"), F.array_join(iu["races"], ",").alias("races"),
+        iu["trail"].alias("trail"), cl["enabled"].alias("enabled"),
+        F.round(cl["max_usd"], 6).alias("max_usd"), "num_recommendations", "allow_carbon",
+        *[w[n].alias(f"w_{n}") for n in ["brand", "budget", "easy_runs", "tempo_runs", "long_runs",
+                                          "races"]])
+
+
+def q_request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = raw_requests_view(Tables(spark, sf_dir).raw("customer"))
+    errs = validation_errors(raw)
+    return raw.select("request_id", (F.size(errs) == 0).alias("valid"),
+                      F.array_join(errs, "; ").alias("errors"))
+
+
+def q_form_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    req = coerce_form(raw_forms_view(Tables(spark, sf_dir).raw("customer")))
+    iu, cl, w = c("intended_use"), c("cost_limiter"), c("weights")
+    return req.select(
+        "request_id", F.array_join("brand_preferences", ",").alias("brand_preferences"),
+        iu["easy_runs"].alias("easy_runs"), iu["tempo_runs"].alias("tempo_runs"),
+        iu["long_runs"].alias("long_runs"), F.array_join(iu["races"], ",").alias("races"),
+        iu["trail"].alias("trail"), cl["enabled"].alias("enabled"), cl["max_usd"].alias("max_usd"),
+        "num_recommendations", "allow_carbon",
+        *[w[n].alias(f"w_{n}") for n in ["brand", "budget", "easy_runs", "tempo_runs", "long_runs",
+                                          "races"]])
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "shortlist_enhanced": (q_shortlist_enhanced, O.shortlist_enhanced()),
+    "shortlist_basic": (q_shortlist_basic, O.shortlist_basic()),
+    "rule_reasons_enhanced": (q_rule_reasons_enhanced, O.rule_reasons_enhanced()),
+    "score_components": (q_score_components, O.score_components()),
+    "score_audit": (q_score_audit, O.score_audit()),
+    "response_notes": (q_response_notes, O.response_notes()),
+    "response_nested": (q_response_nested, O.response_nested()),
+    "response_display": (q_response_display, O.response_display()),
+    "request_defaults": (q_request_defaults, O.request_defaults()),
+    "request_validation": (q_request_validation, O.request_validation()),
+    "form_coercion": (q_form_coercion, O.form_coercion()),
 }

@@ -94,7 +94,7 @@ def requests_view(customer: DataFrame) -> DataFrame:
             (k % 11 == 10).alias("trail"),
         ).alias("intended_use"),
         F.struct((k % 5 != 4).alias("enabled"),
-                 (F.lit(60.0) + F.abs(F.col("c_acctbal")) / 40.0).alias("max_usd")).alias("cost_limiter"),
+                 (F.lit(60.0) + F.floor(F.abs(F.col("c_acctbal")) / 40.0).cast("double")).alias("max_usd")).alias("cost_limiter"),
         (F.lit(1) + (k * 7) % 20).cast("int").alias("num_recommendations"),
         (k % 4 != 3).alias("allow_carbon"),
         weights.alias("weights"),
@@ -119,3 +119,67 @@ def market_view(lineitem: DataFrame, catalog: DataFrame) -> DataFrame:
                  rating.alias("rating")))
     m = m.withColumn("popularity_score", popularity_score(F.col("review_count"), F.col("rating")))
     return first_per_key(m, ["brand", "model"], [F.col("catalog_pos").desc()]).drop("catalog_pos")
+
+
+def raw_requests_view(customer: DataFrame) -> DataFrame:
+    """Request bodies as they arrive: optional fields missing and some
+    values out of range, for the default and validation jobs (R1-R3)."""
+    k = F.col("c_custkey")
+    brands = F.array(*[F.lit(b) for b in BRANDS])
+    return customer.select(
+        k.cast("bigint").alias("request_id"),
+        F.when(k % 4 == 0, F.array(F.element_at(brands, (k % 13 + 1).cast("int"))))
+        .when(k % 4 == 1, F.array().cast("array<string>")).alias("brand_preferences"),
+        F.when(k % 29 != 0, F.struct(
+            F.when(k % 2 == 0, F.lit(True)).alias("easy_runs"),
+            F.when(k % 3 == 0, F.lit(True)).when(k % 3 == 1, F.lit(False)).alias("tempo_runs"),
+            F.when(k % 5 == 0, F.lit(True)).alias("long_runs"),
+            F.when(k % 7 == 0, _arr("5k")).alias("races"),
+            F.when(k % 11 == 0, F.lit(True)).alias("trail"))).alias("intended_use"),
+        F.when(k % 31 != 0, F.struct(
+            F.when(k % 6 == 0, F.lit(False)).when(k % 6 == 1, F.lit(True)).alias("enabled"),
+            (F.col("c_acctbal") / 20.0).alias("max_usd"))).alias("cost_limiter"),
+        F.when(k % 9 != 0, (k % 23).cast("int")).alias("num_recommendations"),
+        F.when(k % 8 != 0, k % 2 == 1).alias("allow_carbon"),
+        F.when(k % 6 != 5, F.struct(
+            F.when(k % 5 != 0, F.lit(0.5) * (k % 4)).alias("brand"),
+            F.lit(None).cast("double").alias("budget"),
+            F.lit(2.0).alias("easy_runs"),
+            F.when(k % 2 == 0, F.lit(0.0)).alias("tempo_runs"),
+            F.lit(None).cast("double").alias("long_runs"),
+            F.lit(1.5).alias("races"))).alias("weights"),
+    )
+
+
+def raw_forms_view(customer: DataFrame) -> DataFrame:
+    """Submitted web forms (all values are strings; unchecked boxes are
+    absent), for the form coercion job (R4)."""
+    k = F.col("c_custkey")
+    seg = F.col("c_mktsegment")
+    brands = F.array(*[F.lit(b) for b in BRANDS])
+    one = F.element_at(brands, (k % 13 + 1).cast("int"))
+    checked = F.array_compact(F.array(
+        F.when(seg.isin("BUILDING", "HOUSEHOLD"), F.lit("easy_runs")),
+        F.when(seg.isin("FURNITURE", "HOUSEHOLD"), F.lit("tempo_runs")),
+        F.when(seg.isin("FURNITURE", "MACHINERY"), F.lit("long_runs")),
+        F.when(k % 11 == 10, F.lit("trail"))))
+    def wtxt(shift: int) -> Column:
+        m = (k + shift) % 4
+        return (F.when(m == 0, F.lit("")).when(m == 1, F.lit("x1")).when(m == 2, F.lit("1.5"))
+                .otherwise(F.lit(None).cast("string")))
+    return customer.select(
+        k.cast("bigint").alias("request_id"),
+        F.when(k % 4 == 0, F.array(F.lit("Any"), one)).when(k % 4 == 1, F.array(one))
+        .otherwise(F.array().cast("array<string>")).alias("brand_preferences"),
+        checked.alias("checked"),
+        F.when(k % 5 == 0, _arr("5k", "marathon")).when(k % 5 == 1, _arr("10k"))
+        .otherwise(F.array().cast("array<string>")).alias("races"),
+        F.when(k % 3 != 0, F.lit("on")).alias("budget_enabled"),
+        F.when(k % 10 == 0, F.lit("abc")).when(k % 10 == 1, F.lit(None).cast("string"))
+        .otherwise(F.floor(F.abs(F.col("c_acctbal")) / 30.0 + 40.0).cast("string")).alias("max_budget"),
+        F.when(k % 7 != 0, (k % 25).cast("string")).alias("num_recommendations"),
+        F.when(k % 2 == 0, F.lit("on")).alias("allow_carbon"),
+        wtxt(0).alias("weight_brand"), wtxt(1).alias("weight_budget"), wtxt(2).alias("weight_easy_runs"),
+        wtxt(3).alias("weight_tempo_runs"), wtxt(0).alias("weight_long_runs"),
+        wtxt(1).alias("weight_races"),
+    )
