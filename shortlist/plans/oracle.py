@@ -453,3 +453,301 @@ SELECT CAST(k AS BIGINT) AS request_id,
   {w('brand', 0)}, {w('budget', 1)}, {w('easy_runs', 2)}, {w('tempo_runs', 3)},
   {w('long_runs', 0)}, {w('races', 1)}
 FROM raw"""
+
+
+# --- extraction, dedup and statistics ---------------------------------------------------
+
+def strip(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def collapse(x: str) -> str:
+    return strip(f"regexp_replace({x}, '\\s+', ' ', 'g')")
+
+
+def title_case(x: str) -> str:
+    return (f"array_to_string(list_transform(regexp_extract_all({x}, '[A-Za-z]+|[^A-Za-z]+'), "
+            f"lambda r: upper(r[1]) || lower(r[2:])), '')")
+
+
+def _any_contains(t: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({t}, '{w}')" for w in words) + ")"
+
+
+BRAND_TEXT = (f"CASE WHEN p_partkey % 2 = 0 THEN upper(CASE WHEN bno % 14 = 13 THEN 'Acme' "
+              f"ELSE {BRAND_LIST}[bno % 14 + 1] END) ELSE CASE WHEN bno % 14 = 13 THEN 'Acme' "
+              f"ELSE {BRAND_LIST}[bno % 14 + 1] END END")
+SLUG = "'/product/' || replace(lower(p_name), ' ', '-') || '-' || CAST(p_partkey AS VARCHAR)"
+
+ANCHORS = f"""
+part_b AS (SELECT *, CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INTEGER) AS bno FROM part),
+anchor_base AS (
+  SELECT CAST(p_partkey // 40 AS BIGINT) AS page_no, p_partkey % 40 AS slot, p_partkey AS k,
+    {SLUG} AS path, ({BRAND_TEXT}) || ' ' || p_name AS title, p_partkey % 5 AS m
+  FROM part_b
+),
+anchors AS (
+  SELECT page_no, CAST(slot * 2 + copy AS INTEGER) AS anchor_idx,
+    path || CASE WHEN copy = 1 THEN '?view=image' WHEN k % 4 = 1 THEN '?color=' || CAST(k % 3 AS VARCHAR)
+                 WHEN k % 4 = 2 THEN '#reviews' ELSE '' END AS href,
+    CASE WHEN m = 0 THEN 'Men''s ' || title WHEN m = 1 THEN 'Shoe' END AS aria_label,
+    CASE WHEN m <= 2 THEN title WHEN m = 3 THEN '' ELSE 'New' END AS text,
+    CASE WHEN m = 3 THEN 'Women''s ' || title || ' 2' WHEN m = 4 THEN 'Hoka' END AS sibling_text
+  FROM anchor_base, unnest(CASE WHEN k % 3 = 0 THEN [0, 1] ELSE [0] END) AS u(copy)
+)"""
+
+
+def _brand_case(t: str, what: str) -> str:
+    from shortlist.schemas import BRAND_PATTERNS
+    arms = []
+    for brand, pat in BRAND_PATTERNS:
+        rx = "(?i)" + pat
+        val = f"'{brand}'" if what == "brand" else collapse(f"regexp_extract({t}, '{rx}', 1)")
+        arms.append(f"WHEN regexp_matches({t}, '{rx}') THEN {val}")
+    return "CASE " + " ".join(arms) + " END"
+
+
+CARDS = f"""
+prod_anchors AS (
+  SELECT *, regexp_replace(href, '[?#].*$', '') AS canonical FROM anchors
+  WHERE contains(href, '/product/')
+  QUALIFY row_number() OVER (PARTITION BY page_no, canonical ORDER BY anchor_idx) = 1
+),
+t1 AS (
+  SELECT *, CASE WHEN length(coalesce(aria_label, '')) > 10 THEN {strip('aria_label')} END AS t1,
+    {strip('sibling_text')} AS sib,
+    string_split(regexp_extract(href, '^[^?#]*', 0), '/')[-1] AS slug
+  FROM prod_anchors
+),
+t2 AS (SELECT *, CASE WHEN t1 IS NOT NULL AND t1 <> '' THEN t1 ELSE {strip('text')} END AS t2 FROM t1),
+t3 AS (SELECT *, CASE WHEN (t2 IS NULL OR length(t2) < 5) AND length(coalesce(sib, '')) > 5 THEN sib
+                      ELSE t2 END AS t3 FROM t2),
+t4 AS (SELECT *, CASE WHEN (t3 IS NULL OR length(t3) < 5) AND length(slug) > 5
+                      THEN {title_case("replace(slug, '-', ' ')")} ELSE t3 END AS t4 FROM t3),
+titled AS (
+  SELECT page_no, anchor_idx, canonical, href,
+    CASE WHEN t4 IS NOT NULL AND length(t4) >= 5 THEN {collapse('t4')} END AS title FROM t4
+),
+degendered AS (
+  SELECT *, regexp_replace(title, '(?i)^(Men''s|Men|Women''s|Women|Unisex)\\s+', '') AS tt FROM titled
+),
+cards_all AS (
+  SELECT page_no, anchor_idx, canonical, title, {_brand_case('tt', 'brand')} AS brand,
+    {_brand_case('tt', 'model')} AS model, href AS product_url
+  FROM degendered
+),
+cards AS (
+  SELECT * FROM cards_all WHERE brand IS NOT NULL AND model <> ''
+  QUALIFY row_number() OVER (PARTITION BY page_no, product_url ORDER BY anchor_idx) = 1
+)"""
+
+_n = "CAST({} AS VARCHAR)"
+PAGES = f"""
+pages_src AS (
+  SELECT *, CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INTEGER) AS bno,
+    round((p_retailprice - 900.0) * 2.5 + 50.0, 2) AS pr FROM part
+),
+product_pages AS (
+  SELECT 'https://shop.example.com' || {SLUG} AS url,
+    concat_ws(' ',
+      'Men''s ' || ({BRAND_TEXT}) || ' ' || p_name,
+      CASE p_type WHEN 'ECONOMY' THEN 'A daily trainer for everyday miles'
+        WHEN 'LARGE' THEN 'Built for long runs and marathon training' WHEN 'MEDIUM' THEN 'A tempo shoe with speed'
+        WHEN 'PROMO' THEN 'Racing flat for race day competition' WHEN 'SMALL' THEN 'Fast 5k racer'
+        ELSE 'Trail shoe for off-road recovery runs' END,
+      CASE p_partkey % 8 WHEN 0 THEN 'carbon plate' WHEN 1 THEN 'carbon fiber plate for propulsion'
+        WHEN 2 THEN 'nylon plate' WHEN 3 THEN 'composite plate' WHEN 4 THEN 'pebax plate' WHEN 5 THEN 'no plate'
+        WHEN 6 THEN 'plate technology inside' END,
+      CASE p_partkey % 4 WHEN 0 THEN CAST(p_size % 13 AS VARCHAR) || ' mm drop'
+        WHEN 1 THEN 'drop: ' || CAST(p_size % 13 AS VARCHAR) || ' mm'
+        WHEN 2 THEN CAST(p_size % 13 AS VARCHAR) || 'mm offset' END,
+      CASE p_partkey % 3 WHEN 0 THEN CAST(p_size % 5 + 7 AS VARCHAR) || '.' || CAST(p_size % 10 AS VARCHAR) || ' ounces'
+        WHEN 1 THEN CAST(p_size % 3 + 8 AS VARCHAR) || ' oz' END,
+      CASE p_partkey % 6 WHEN 0 THEN 'max cushioning' WHEN 1 THEN 'balanced ride' WHEN 2 THEN 'snappy feel'
+        WHEN 3 THEN 'super soft foam' WHEN 4 THEN 'responsive ride' END,
+      CASE p_partkey % 5 WHEN 0 THEN 'stability shoe' WHEN 1 THEN 'neutral' WHEN 2 THEN 'guide rails'
+        WHEN 4 THEN 'neutral support shoe' END,
+      CASE p_partkey % 4 WHEN 0 THEN 'heel stack: ' || CAST(p_size % 10 + 30 AS VARCHAR) || 'mm / '
+          || CAST(p_size % 9 + 20 AS VARCHAR) || 'mm forefoot'
+        WHEN 1 THEN CAST(p_size % 10 + 30 AS VARCHAR) || 'mm/' || CAST(p_size % 7 + 22 AS VARCHAR) || 'mm' END,
+      CASE p_partkey % 5 WHEN 0 THEN '5k' WHEN 1 THEN '10k and half marathon' WHEN 2 THEN 'marathon'
+        WHEN 3 THEN 'half-marathon' END,
+      CASE WHEN p_partkey % 8 = 0 THEN 'Available in wide 2E' END) AS body_text,
+    CASE p_partkey % 4 WHEN 0 THEN ['$' || printf('%.2f', pr)]
+      WHEN 1 THEN ['$' || printf('%.2f', pr), '$' || printf('%.2f', pr - 15.0)]
+      WHEN 2 THEN ['Was ' || printf('%.2f', pr) || ' now ' || printf('%.2f', pr - 15.0)]
+      ELSE ['$19.99 gift card', '$' || printf('%.2f', pr), ''] END AS price_texts,
+    [{{'text': '9', 'class': 'btn', 'aria_disabled': NULL::VARCHAR, 'parent_class': 'sizes'}},
+     {{'text': '10', 'class': CASE WHEN p_partkey % 3 = 0 THEN 'btn disabled' ELSE 'btn' END,
+       'aria_disabled': CASE WHEN p_partkey % 5 = 0 THEN 'true' END,
+       'parent_class': CASE WHEN p_partkey % 7 = 0 THEN 'sizes unavailable' ELSE 'sizes' END}},
+     {{'text': CASE WHEN p_partkey % 11 = 0 THEN ' 10 ' ELSE '10.5' END, 'class': 'btn',
+       'aria_disabled': NULL::VARCHAR, 'parent_class': 'sizes'}}] AS size_options,
+    [CASE WHEN p_partkey % 3 = 0 THEN '  The ' || p_name || ' is a versatile shoe.  ' END,
+     CASE WHEN p_partkey % 3 <> 2 THEN 'Product details' END] AS description_texts,
+    [NULL, CASE WHEN p_partkey % 4 <> 3 THEN 'Reviews' END,
+     CASE WHEN p_partkey % 4 <> 3 THEN '(' || CAST(p_size * 7 % 400 AS VARCHAR) || ' reviews)' END]
+      AS review_count_texts,
+    [CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size % 5 AS VARCHAR) || '.' || CAST(p_partkey % 10 AS VARCHAR)
+       || ' out of 5' END, CAST(p_size % 6 AS VARCHAR) || '/5'] AS rating_texts,
+    CASE WHEN p_partkey % 5 <> 4 THEN [[]::VARCHAR[], ['  ', ' Breathable mesh ', 'Foam midsole',
+      'Rubber outsole', 'Reflective details', 'Padded collar', 'Extra item'], ['Other list']]
+      ELSE [[]::VARCHAR[]] END AS feature_lists
+  FROM pages_src
+)"""
+
+PRICE_LIST = ("list_distinct(list_filter(flatten(list_transform(list_filter(coalesce(price_texts, []::VARCHAR[]), "
+              f"lambda t: {strip('t')} <> ''), lambda t: list_transform(CASE WHEN "
+              "len(regexp_extract_all(t, '\\$(\\d+\\.\\d{2})', 1)) > 0 THEN regexp_extract_all(t, "
+              "'\\$(\\d+\\.\\d{2})', 1) ELSE regexp_extract_all(t, '(\\d+\\.\\d{2})', 1) END, "
+              "lambda x: CAST(x AS DOUBLE)))), lambda p: p >= 50.0 AND p <= 300.0))")
+
+
+def spec_cols(t: str) -> str:
+    from shortlist.schemas import (CATEGORY_WORDS, CUSHION_WORDS, DROP_PATTERN, PLATE_PATTERNS,
+                                   STABILITY_WORDS, STACK_PATTERN, WEIGHT_PATTERN, WIDE_WORDS)
+    cats = "list_filter(list_value(" + ", ".join(
+        f"CASE WHEN {_any_contains(t, ws)} THEN '{tag}' END" for tag, ws in CATEGORY_WORDS) + \
+        "), lambda x: x IS NOT NULL)"
+    plate = "CASE " + " ".join(f"WHEN regexp_matches({t}, '{p}') THEN '{cls}'" for p, cls in PLATE_PATTERNS) + \
+        " ELSE 'none' END"
+    drop = "CAST(coalesce(" + ", ".join(f"nullif(regexp_extract({t}, '{DROP_PATTERN}', {i}), '')"
+                                       for i in range(1, 5)) + ") AS DOUBLE)"
+    oz = "CAST(coalesce(" + ", ".join(f"nullif(regexp_extract({t}, '{WEIGHT_PATTERN}', {i}), '')"
+                                     for i in range(1, 3)) + ") AS DOUBLE)"
+    cush = "CASE " + " ".join(f"WHEN {_any_contains(t, ws)} THEN '{lv}'" for lv, ws in CUSHION_WORDS) + " END"
+    sup = f"CASE WHEN {_any_contains(t, STABILITY_WORDS)} THEN 'stability' WHEN contains({t}, 'neutral') THEN 'neutral' END"
+    dists = (f"list_filter(list_value(CASE WHEN regexp_matches({t}, '\\b5k\\b') THEN '5k' END, "
+             f"CASE WHEN regexp_matches({t}, '\\b10k\\b') THEN '10k' END, "
+             f"CASE WHEN contains({t}, 'half marathon') OR contains({t}, 'half-marathon') THEN 'half_marathon' END, "
+             f"CASE WHEN contains({t}, 'marathon') THEN 'marathon' END), lambda x: x IS NOT NULL)")
+    return f"""CASE WHEN len({cats}) > 0 THEN {cats} END AS s_category, {plate} AS s_plate, {drop} AS s_drop_mm,
+      CAST(round_even({oz} * 28.35, 0) AS INTEGER) AS s_weight_g, {cush} AS s_cushioning_level, {sup} AS s_support_type,
+      CAST(nullif(regexp_extract({t}, '{STACK_PATTERN}', 3), '') AS DOUBLE) AS s_heel_stack_mm,
+      CAST(nullif(regexp_extract({t}, '{STACK_PATTERN}', 5), '') AS DOUBLE) AS s_forefoot_stack_mm,
+      CASE WHEN len({dists}) > 0 THEN list_sort(list_distinct({dists})) END AS s_best_for_distances,
+      CASE WHEN {_any_contains(t, WIDE_WORDS)} THEN TRUE END AS s_has_wide_options"""
+
+
+SPECS = f"""
+page_specs AS (
+  SELECT url, {PRICE_LIST} AS ps, {spec_cols('lower(body_text)')}, size_options FROM product_pages
+)"""
+
+ROWS = f"""
+crawl_rows AS (
+  SELECT c.page_no, c.anchor_idx, c.brand, c.model, c.product_url,
+    coalesce(s.s_category, ['daily']) AS category,
+    coalesce(list_max(s.ps), 0.0) AS price_usd,
+    coalesce(s.s_plate, 'none') AS plate, s.s_drop_mm AS drop_mm, s.s_weight_g AS weight_g
+  FROM cards c LEFT JOIN page_specs s ON 'https://shop.example.com' || c.canonical = s.url
+),
+built AS (
+  SELECT *, page_no * 1000000 + anchor_idx AS catalog_pos FROM crawl_rows
+  QUALIFY row_number() OVER (PARTITION BY brand, model ORDER BY page_no, anchor_idx) = 1
+)"""
+
+
+def page_text() -> str:
+    v = ("lower(" + collapse("regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace("
+         "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', ' ', 'g'), "
+         "'(?is)<style\\b.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), "
+         "'&lt;', '<', 'g'), '&gt;', '>', 'g'), '&quot;', '\"', 'g'), '&amp;', '&', 'g')") + ")")
+    return f"""
+SELECT page_id, CAST(length(v) AS INTEGER) AS text_chars, md5(v) AS text_md5
+FROM (SELECT page_id, {v} AS v FROM pages)"""
+
+
+def page_links() -> str:
+    return """
+WITH l AS (
+  SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host,
+    regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS origin,
+    regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1) AS hrefs FROM pages
+),
+r AS (
+  SELECT page_id, list_concat([url], list_filter(
+    list_transform(hrefs, lambda h: CASE WHEN starts_with(h, '/') THEN origin || h ELSE h END),
+    lambda h: contains(h, host) AND contains(h, 'page='))) AS all_links FROM l
+),
+d AS (
+  SELECT page_id, list_filter(all_links, lambda x, i: list_position(all_links, x) = i) AS links FROM r
+)
+SELECT page_id, CAST(len(links) AS INTEGER) AS n_links, array_to_string(links, ' ') AS links FROM d"""
+
+
+def canonical_urls() -> str:
+    return with_ctes(ANCHORS, CARDS) + """
+SELECT page_no, anchor_idx, canonical FROM prod_anchors"""
+
+
+def title_brand_model() -> str:
+    return with_ctes(ANCHORS, CARDS) + """
+SELECT page_no, anchor_idx, title, brand, model, product_url FROM cards"""
+
+
+def price_pairs() -> str:
+    return with_ctes(PAGES, SPECS) + """
+SELECT url, list_max(ps) AS price,
+  CASE WHEN len(ps) >= 2 AND list_max(ps) - list_min(ps) >= 10.0 THEN list_min(ps) END AS sale_price
+FROM page_specs"""
+
+
+def spec_extraction() -> str:
+    return with_ctes(PAGES, SPECS) + """
+SELECT url, array_to_string(coalesce(s_category, ['daily']), ',') AS category, coalesce(s_plate, 'none') AS plate,
+  s_drop_mm AS drop_mm, s_weight_g AS weight_g, s_cushioning_level AS cushioning_level,
+  s_support_type AS support_type, s_heel_stack_mm AS heel_stack_mm, s_forefoot_stack_mm AS forefoot_stack_mm,
+  array_to_string(s_best_for_distances, ',') AS best_for_distances, s_has_wide_options AS has_wide_options
+FROM page_specs"""
+
+
+def size_availability() -> str:
+    return with_ctes(PAGES) + f"""
+SELECT url, coalesce(len(list_filter(size_options, lambda o: {strip('o.text')} = '10'
+  AND NOT (contains(lower(coalesce(o.class, '')), 'disabled') OR lower(coalesce(o.aria_disabled, '')) IN ('true', 'aria-disabled'))
+  AND NOT (contains(lower(coalesce(o.parent_class, '')), 'disabled') OR contains(lower(coalesce(o.parent_class, '')), 'unavailable')))) > 0, false)
+  AS available_for_size
+FROM product_pages"""
+
+
+BUILD = [ANCHORS, CARDS, PAGES, SPECS, ROWS]
+
+
+def catalog_dedup() -> str:
+    return with_ctes(*BUILD) + """
+SELECT catalog_pos, brand, model, page_no, anchor_idx, array_to_string(category, ',') AS category,
+  price_usd, plate, drop_mm, weight_g FROM built"""
+
+
+SPEC_FOUND = "(plate <> 'none' OR (drop_mm IS NOT NULL AND drop_mm <> 0) OR (weight_g IS NOT NULL AND weight_g <> 0))"
+
+
+def extraction_stats() -> str:
+    return with_ctes(*BUILD) + f"""
+SELECT (SELECT count(DISTINCT page_no) FROM crawl_rows) AS pages, (SELECT count(*) FROM crawl_rows) AS products,
+  count(*) AS unique_products, count_if(price_usd > 0) AS price_ok, count_if({SPEC_FOUND}) AS specs_ok,
+  round(CASE WHEN count(*) > 0 THEN count_if(price_usd > 0) * 100.0 / count(*) END, 6) AS price_rate,
+  round(CASE WHEN count(*) > 0 THEN count_if({SPEC_FOUND}) * 100.0 / count(*) END, 6) AS specs_rate
+FROM built"""
+
+
+def plate_breakdown() -> str:
+    return with_ctes(*BUILD) + """
+SELECT plate, count(*) AS count, round(count(*) * 100.0 / (SELECT count(*) FROM built), 6) AS pct
+FROM built GROUP BY plate"""
+
+
+def brand_distribution() -> str:
+    return with_ctes(*BUILD) + """
+SELECT brand, count, round(count * 100.0 / (SELECT count(*) FROM built), 6) AS pct,
+  row_number() OVER (ORDER BY count DESC, first_pos) AS position
+FROM (SELECT brand, count(*) AS count, min(catalog_pos) AS first_pos FROM built GROUP BY brand)"""
+
+
+def facets() -> str:
+    return with_ctes(*BUILD) + """
+SELECT array_to_string(list_append(list_sort(list_distinct(list(brand))), 'Any'), ',') AS brands,
+  CAST(trunc(max(CASE WHEN price_usd <> 0 THEN price_usd END) + 50) AS INTEGER) AS max_price,
+  CAST(count(DISTINCT brand) AS INTEGER) AS n_brands
+FROM built"""

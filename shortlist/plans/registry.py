@@ -19,8 +19,10 @@ from shortlist.operators.requests import coerce_form, split_valid, validation_er
 from shortlist.plans import oracle as O
 from shortlist.plans.recommend import shortlist, shortlist_basic
 from shortlist.sources.tables import read_table
-from shortlist.sources.views import (catalog_view, market_view, raw_forms_view, raw_requests_view,
-                                     requests_view)
+from shortlist.functions import extract as X
+from shortlist.operators import catalog as cat
+from shortlist.sources.views import (catalog_view, listing_anchors_view, market_view, product_pages_view,
+                                     raw_forms_view, raw_requests_view, requests_view)
 
 c = F.col
 
@@ -177,6 +179,87 @@ def q_form_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
                                           "races"]])
 
 
+def q_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = X.visible_text(c("html"))
+    return Tables(spark, sf_dir).raw("pages").select(
+        "page_id", F.length(v).alias("text_chars"), F.md5(v).alias("text_md5"))
+
+
+def q_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
+    links = X.pagination_links(c("url"), c("html"), host)
+    return Tables(spark, sf_dir).raw("pages").select(
+        "page_id", F.size(links).alias("n_links"), F.array_join(links, " ").alias("links"))
+
+
+def _anchors(spark, sf_dir):
+    return listing_anchors_view(Tables(spark, sf_dir).raw("part"))
+
+
+def _pages(spark, sf_dir):
+    return product_pages_view(Tables(spark, sf_dir).raw("part"))
+
+
+def q_canonical_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cat.product_anchors(_anchors(spark, sf_dir)).select("page_no", "anchor_idx", "canonical")
+
+
+def q_title_brand_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cat.product_cards(_anchors(spark, sf_dir)).select(
+        "page_no", "anchor_idx", "title", "brand", "model", "product_url")
+
+
+def q_price_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pp = X.price_pair(c("price_texts"))
+    return _pages(spark, sf_dir).select("url", pp["price"].alias("price"), pp["sale_price"].alias("sale_price"))
+
+
+def q_spec_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = X.specs(c("body_text"))
+    return _pages(spark, sf_dir).select(
+        "url", F.array_join(F.coalesce(s["category"], F.array(F.lit("daily"))), ",").alias("category"),
+        F.coalesce(s["plate"], F.lit("none")).alias("plate"),
+        *[s[n].alias(n) for n in ["drop_mm", "weight_g", "cushioning_level", "support_type",
+                                  "heel_stack_mm", "forefoot_stack_mm"]],
+        F.array_join(s["best_for_distances"], ",").alias("best_for_distances"),
+        s["has_wide_options"].alias("has_wide_options"))
+
+
+def q_size_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select(
+        "url", X.size_available(c("size_options"), F.lit("10")).alias("available_for_size"))
+
+
+def _built(spark, sf_dir):
+    return cat.build_catalog(_anchors(spark, sf_dir), _pages(spark, sf_dir))
+
+
+def q_catalog_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _built(spark, sf_dir).select(
+        "catalog_pos", "brand", "model", "page_no", "anchor_idx",
+        F.array_join("category", ",").alias("category"), "price_usd", "plate", "drop_mm", "weight_g")
+
+
+def q_extraction_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cat.assemble_rows(cat.product_cards(_anchors(spark, sf_dir)), _pages(spark, sf_dir))
+    st = cat.extraction_stats(rows, _built(spark, sf_dir))
+    return st.select("pages", "products", "unique_products", "price_ok", "specs_ok", r6("price_rate"),
+                     r6("specs_rate"))
+
+
+def q_plate_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cat.plate_breakdown(_built(spark, sf_dir)).select("plate", "count", r6("pct"))
+
+
+def q_brand_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cat.brand_distribution(_built(spark, sf_dir)).select("brand", "count", r6("pct"), "position")
+
+
+def q_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cat.facets(_built(spark, sf_dir)).select(F.array_join("brands", ",").alias("brands"),
+                                                    "max_price", "n_brands")
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "shortlist_enhanced": (q_shortlist_enhanced, O.shortlist_enhanced()),
     "shortlist_basic": (q_shortlist_basic, O.shortlist_basic()),
@@ -189,4 +272,16 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "request_defaults": (q_request_defaults, O.request_defaults()),
     "request_validation": (q_request_validation, O.request_validation()),
     "form_coercion": (q_form_coercion, O.form_coercion()),
+    "page_text": (q_page_text, O.page_text()),
+    "page_links": (q_page_links, O.page_links()),
+    "canonical_urls": (q_canonical_urls, O.canonical_urls()),
+    "title_brand_model": (q_title_brand_model, O.title_brand_model()),
+    "price_pairs": (q_price_pairs, O.price_pairs()),
+    "spec_extraction": (q_spec_extraction, O.spec_extraction()),
+    "size_availability": (q_size_availability, O.size_availability()),
+    "catalog_dedup": (q_catalog_dedup, O.catalog_dedup()),
+    "extraction_stats": (q_extraction_stats, O.extraction_stats()),
+    "plate_breakdown": (q_plate_breakdown, O.plate_breakdown()),
+    "brand_distribution": (q_brand_distribution, O.brand_distribution()),
+    "facets": (q_facets, O.facets()),
 }

@@ -183,3 +183,117 @@ def raw_forms_view(customer: DataFrame) -> DataFrame:
         wtxt(3).alias("weight_tempo_runs"), wtxt(0).alias("weight_long_runs"),
         wtxt(1).alias("weight_races"),
     )
+
+
+# --- landed listing and product pages (derived from ``part``) -------------------------
+
+def _brand_text(k: Column, bno: Column) -> Column:
+    """Brand as printed on a listing: one of the known brands (sometimes
+    upper-cased) or an unknown maker, whose cards are then dropped."""
+    brands = F.array(*[F.lit(b) for b in BRANDS])
+    known = F.element_at(brands, (bno % 14 + 1).cast("int"))
+    name = F.when(bno % 14 == 13, F.lit("Acme")).otherwise(known)
+    return F.when(k % 2 == 0, F.upper(name)).otherwise(name)
+
+
+def _slug(k: Column) -> Column:
+    return F.concat(F.lit("/product/"), F.regexp_replace(F.lower(F.col("p_name")), " ", "-"), F.lit("-"),
+                    k.cast("string"))
+
+
+def listing_anchors_view(part: DataFrame) -> DataFrame:
+    """Product anchors of listing pages: 40 products per page; every third
+    product has a second (image) anchor to the same product with another
+    query string; titles come from aria-label, link text, sibling text or
+    the slug."""
+    k = F.col("p_partkey")
+    bno = F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int")
+    title = F.concat(_brand_text(k, bno), F.lit(" "), F.col("p_name"))
+    m = k % 5
+    base = part.select(
+        (k / 40).cast("bigint").alias("page_no"), (k % 40).cast("int").alias("slot"), k.alias("k"),
+        _slug(k).alias("path"), title.alias("title"), m.alias("m"))
+    dup = F.when(F.col("k") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    a = base.select("*", F.explode(dup).alias("copy"))
+    suffix = (F.when(F.col("copy") == 1, F.lit("?view=image"))
+              .when(F.col("k") % 4 == 1, F.concat(F.lit("?color="), (F.col("k") % 3).cast("string")))
+              .when(F.col("k") % 4 == 2, F.lit("#reviews")).otherwise(F.lit("")))
+    mm = F.col("m")
+    return a.select(
+        "page_no", (F.col("slot") * 2 + F.col("copy")).cast("int").alias("anchor_idx"),
+        F.concat("path", suffix).alias("href"),
+        F.when(mm == 0, F.concat(F.lit("Men's "), F.col("title"))).when(mm == 1, F.lit("Shoe"))
+        .alias("aria_label"),
+        F.when(mm <= 2, F.col("title")).when(mm == 3, F.lit("")).otherwise(F.lit("New")).alias("text"),
+        F.when(mm == 3, F.concat(F.lit("Women's "), F.col("title"), F.lit(" 2")))
+        .when(mm == 4, F.lit("Hoka")).alias("sibling_text"),
+    )
+
+
+def _price_text(x: Column) -> Column:
+    return F.call_function("format_number", x, F.lit("0.00"))
+
+
+def product_pages_view(part: DataFrame) -> DataFrame:
+    """Product pages keyed by their canonical URL: body text with spec
+    phrases, price text nodes, size options, and the review/description/
+    feature text nodes in selector order."""
+    k, s, t = F.col("p_partkey"), F.col("p_size"), F.col("p_type")
+    bno = F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int")
+    n = lambda x: x.cast("string")
+    cat = (F.when(t == "ECONOMY", "A daily trainer for everyday miles")
+           .when(t == "LARGE", "Built for long runs and marathon training")
+           .when(t == "MEDIUM", "A tempo shoe with speed")
+           .when(t == "PROMO", "Racing flat for race day competition")
+           .when(t == "SMALL", "Fast 5k racer").otherwise("Trail shoe for off-road recovery runs"))
+    plate = (F.when(k % 8 == 0, "carbon plate").when(k % 8 == 1, "carbon fiber plate for propulsion")
+             .when(k % 8 == 2, "nylon plate").when(k % 8 == 3, "composite plate")
+             .when(k % 8 == 4, "pebax plate").when(k % 8 == 5, "no plate")
+             .when(k % 8 == 6, "plate technology inside"))
+    d = n(s % 13)
+    drop = (F.when(k % 4 == 0, F.concat(d, F.lit(" mm drop"))).when(k % 4 == 1, F.concat(F.lit("drop: "), d, F.lit(" mm")))
+            .when(k % 4 == 2, F.concat(d, F.lit("mm offset"))))
+    weight = (F.when(k % 3 == 0, F.concat(n(s % 5 + 7), F.lit("."), n(s % 10), F.lit(" ounces")))
+              .when(k % 3 == 1, F.concat(n(s % 3 + 8), F.lit(" oz"))))
+    cushion = (F.when(k % 6 == 0, "max cushioning").when(k % 6 == 1, "balanced ride")
+               .when(k % 6 == 2, "snappy feel").when(k % 6 == 3, "super soft foam")
+               .when(k % 6 == 4, "responsive ride"))
+    support = (F.when(k % 5 == 0, "stability shoe").when(k % 5 == 1, "neutral").when(k % 5 == 2, "guide rails")
+               .when(k % 5 == 4, "neutral support shoe"))
+    stack = (F.when(k % 4 == 0, F.concat(F.lit("heel stack: "), n(s % 10 + 30), F.lit("mm / "), n(s % 9 + 20),
+                                         F.lit("mm forefoot")))
+             .when(k % 4 == 1, F.concat(n(s % 10 + 30), F.lit("mm/"), n(s % 7 + 22), F.lit("mm"))))
+    dist = (F.when(k % 5 == 0, "5k").when(k % 5 == 1, "10k and half marathon").when(k % 5 == 2, "marathon")
+            .when(k % 5 == 3, "half-marathon"))
+    wide = F.when(k % 8 == 0, "Available in wide 2E")
+    title = F.concat(F.lit("Men's "), _brand_text(k, bno), F.lit(" "), F.col("p_name"))
+    body = F.concat_ws(" ", title, cat, plate, drop, weight, cushion, support, stack, dist, wide)
+    price = F.round((F.col("p_retailprice") - 900.0) * 2.5 + 50.0, 2)
+    p, sale = _price_text(price), _price_text(price - 15.0)
+    price_texts = (F.when(k % 4 == 0, F.array(F.concat(F.lit("$"), p)))
+                   .when(k % 4 == 1, F.array(F.concat(F.lit("$"), p), F.concat(F.lit("$"), sale)))
+                   .when(k % 4 == 2, F.array(F.concat(F.lit("Was "), p, F.lit(" now "), sale)))
+                   .otherwise(F.array(F.lit("$19.99 gift card"), F.concat(F.lit("$"), p), F.lit(""))))
+    opt = lambda txt, cls, aria, parent: F.struct(
+        txt.alias("text"), cls.alias("class"), aria.alias("aria_disabled"), parent.alias("parent_class"))
+    none = F.lit(None).cast("string")
+    sizes = F.array(
+        opt(F.lit("9"), F.lit("btn"), none, F.lit("sizes")),
+        opt(F.lit("10"), F.when(k % 3 == 0, F.lit("btn disabled")).otherwise(F.lit("btn")),
+            F.when(k % 5 == 0, F.lit("true")), F.when(k % 7 == 0, F.lit("sizes unavailable")).otherwise(F.lit("sizes"))),
+        opt(F.when(k % 11 == 0, F.lit(" 10 ")).otherwise(F.lit("10.5")), F.lit("btn"), none, F.lit("sizes")))
+    desc = F.array(F.when(k % 3 == 0, F.concat(F.lit("  The "), F.col("p_name"), F.lit(" is a versatile shoe.  "))),
+                   F.when(k % 3 != 2, F.lit("Product details")))
+    reviews = F.array(none, F.when(k % 4 != 3, F.lit("Reviews")),
+                      F.when(k % 4 != 3, F.concat(F.lit("("), n(s * 7 % 400), F.lit(" reviews)"))))
+    ratings = F.array(F.when(k % 2 == 0, F.concat(n(s % 5), F.lit("."), n(k % 10), F.lit(" out of 5"))),
+                      F.concat(n(s % 6), F.lit("/5")))
+    feats = F.array(F.array().cast("array<string>"),
+                    F.array(F.lit("  "), F.lit(" Breathable mesh "), F.lit("Foam midsole"), F.lit("Rubber outsole"),
+                            F.lit("Reflective details"), F.lit("Padded collar"), F.lit("Extra item")),
+                    F.array(F.lit("Other list")))
+    return part.select(
+        F.concat(F.lit("https://shop.example.com"), _slug(k)).alias("url"),
+        body.alias("body_text"), price_texts.alias("price_texts"), sizes.alias("size_options"),
+        desc.alias("description_texts"), reviews.alias("review_count_texts"), ratings.alias("rating_texts"),
+        F.when(k % 5 != 4, feats).otherwise(F.array(F.array().cast("array<string>"))).alias("feature_lists"))
