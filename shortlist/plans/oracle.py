@@ -751,3 +751,81 @@ SELECT array_to_string(list_append(list_sort(list_distinct(list(brand))), 'Any')
   CAST(trunc(max(CASE WHEN price_usd <> 0 THEN price_usd END) + 50) AS INTEGER) AS max_price,
   CAST(count(DISTINCT brand) AS INTEGER) AS n_brands
 FROM built"""
+
+
+# --- market and enrichment ------------------------------------------------------------------
+
+def market_context() -> str:
+    return with_ctes(CATALOG, MARKET) + """
+SELECT brand, model, review_count, round(rating, 6) AS rating, round(popularity_score, 6) AS popularity_score
+FROM market"""
+
+
+def market_flag() -> str:
+    return with_ctes(CATALOG, MARKET) + """
+SELECT count(*) > 0 AS has_market, count(*) AS n_market FROM market"""
+
+
+SEARCH = f"""
+search_src AS (
+  SELECT p_partkey AS k, p_name, {BRAND_LIST}[CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INTEGER) % 13 + 1] AS brand,
+    'https://shop.example.com' || {SLUG} AS url FROM part
+),
+search AS (
+  SELECT CAST(k AS BIGINT) AS query_pos, 1 AS pos, 'https://shop.example.com/sale' AS href, 'Sale items' AS link_text
+  FROM search_src
+  UNION ALL
+  SELECT k, 2, url, CASE WHEN k % 3 <> 0 THEN lower(brand) || ' ' || split_part(p_name, ' ', 1)
+    ELSE 'Gift cards' END FROM search_src
+  UNION ALL
+  SELECT k, 3, url || '?ref=search', brand || ' ' || p_name FROM search_src
+),
+matched AS (
+  SELECT c.catalog_pos, s.pos, s.href FROM catalog c JOIN search s ON s.query_pos = c.catalog_pos
+    AND contains(lower(s.link_text), lower(c.brand))
+    AND len(list_filter(string_split_regex(lower(c.model), '\\s+'),
+                        lambda w: w <> '' AND contains(lower(s.link_text), w))) > 0
+  QUALIFY row_number() OVER (PARTITION BY c.catalog_pos ORDER BY s.pos) = 1
+)"""
+
+ENHANCED = f"""
+enh AS (
+  SELECT url,
+    coalesce(list_transform(list_filter(review_count_texts, lambda t: t IS NOT NULL AND regexp_matches(t, '\\d')),
+      lambda t: CAST(regexp_extract(t, '(\\d+)', 1) AS INTEGER))[1], 0) AS review_count,
+    coalesce(list_transform(list_filter(rating_texts,
+        lambda t: t IS NOT NULL AND regexp_matches(t, '(\\d+\\.?\\d*)\\s*(?:out of|/)\\s*5')),
+      lambda t: CAST(regexp_extract(t, '(\\d+\\.?\\d*)\\s*(?:out of|/)\\s*5', 1) AS DOUBLE))[1], 0.0) AS average_rating,
+    coalesce({strip("list_filter(description_texts, lambda t: t IS NOT NULL)[1]")}, '') AS description,
+    coalesce(list_filter(list_transform(feature_lists, lambda lst: list_filter(list_transform(lst,
+      lambda x: {strip('x')}), lambda x: x <> '')), lambda lst: len(lst) > 0)[1][1:5], []::VARCHAR[]) AS features
+  FROM product_pages
+),
+enriched AS (
+  SELECT c.catalog_pos, c.brand, c.model, m.href AS web_source_url,
+    coalesce(e.review_count, 0) AS review_count, coalesce(e.average_rating, 0.0) AS average_rating,
+    coalesce(e.description, '') AS description, coalesce(e.features, []::VARCHAR[]) AS features,
+    CASE WHEN coalesce(e.review_count, 0) > 0 THEN
+      (least(log10(e.review_count + 1.0) / log10(1000.0), 1.0) * 0.6
+       + (CASE WHEN e.average_rating > 0 THEN e.average_rating / 5.0 ELSE 0.0 END) * 0.4) * 100.0
+      ELSE 0.0 END AS popularity_score
+  FROM catalog c LEFT JOIN matched m ON c.catalog_pos = m.catalog_pos
+  LEFT JOIN enh e ON regexp_replace(m.href, '[?#].*$', '') = e.url
+)"""
+
+
+def page_match() -> str:
+    return with_ctes(CATALOG, SEARCH) + """
+SELECT catalog_pos, pos, href FROM matched"""
+
+
+def enriched_catalog() -> str:
+    return with_ctes(CATALOG, SEARCH, PAGES, ENHANCED) + """
+SELECT catalog_pos, brand, model, web_source_url, review_count, round(average_rating, 6) AS average_rating,
+  description, array_to_string(features, '|') AS features, round(popularity_score, 6) AS popularity_score
+FROM enriched"""
+
+
+def enrichment_summary() -> str:
+    return with_ctes(CATALOG, SEARCH, PAGES, ENHANCED) + """
+SELECT count_if(coalesce(web_source_url, '') <> '') AS enriched, count(*) AS total FROM enriched"""

@@ -21,8 +21,10 @@ from shortlist.plans.recommend import shortlist, shortlist_basic
 from shortlist.sources.tables import read_table
 from shortlist.functions import extract as X
 from shortlist.operators import catalog as cat
-from shortlist.sources.views import (catalog_view, listing_anchors_view, market_view, product_pages_view,
-                                     raw_forms_view, raw_requests_view, requests_view)
+from shortlist.operators import enrich as en
+from shortlist.sources.views import (catalog_view, listing_anchors_view, llm_replies_view, market_view,
+                                     product_pages_view, raw_forms_view, raw_requests_view, requests_view,
+                                     search_results_view, tech_lookups_view, web_hits_view)
 
 c = F.col
 
@@ -260,6 +262,42 @@ def q_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                     "max_price", "n_brands")
 
 
+def q_market_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Tables(spark, sf_dir).market().select("brand", "model", "review_count", r6("rating"),
+                                                 r6("popularity_score"))
+
+
+def q_market_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Tables(spark, sf_dir).market().agg((F.count(F.lit(1)) > 0).alias("has_market"),
+                                              F.count(F.lit(1)).alias("n_market"))
+
+
+def _enriched(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    part = t.raw("part")
+    return en.enrich_catalog(t.catalog(), search_results_view(part), product_pages_view(part))
+
+
+def q_page_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    return en.page_match(t.catalog(), search_results_view(t.raw("part")))
+
+
+def q_enriched_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _enriched(spark, sf_dir)
+    d = c("enhanced_data")
+    return e.select("catalog_pos", "brand", "model", "web_source_url",
+                    d["reviews"]["count"].alias("review_count"),
+                    F.round(d["reviews"]["average_rating"], 6).alias("average_rating"),
+                    d["description"].alias("description"),
+                    F.array_join(d["features"], "|").alias("features"),
+                    F.round(d["popularity_score"], 6).alias("popularity_score"))
+
+
+def q_enrichment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return en.enrichment_summary(_enriched(spark, sf_dir))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "shortlist_enhanced": (q_shortlist_enhanced, O.shortlist_enhanced()),
     "shortlist_basic": (q_shortlist_basic, O.shortlist_basic()),
@@ -284,4 +322,9 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "plate_breakdown": (q_plate_breakdown, O.plate_breakdown()),
     "brand_distribution": (q_brand_distribution, O.brand_distribution()),
     "facets": (q_facets, O.facets()),
+    "market_context": (q_market_context, O.market_context()),
+    "market_flag": (q_market_flag, O.market_flag()),
+    "page_match": (q_page_match, O.page_match()),
+    "enriched_catalog": (q_enriched_catalog, O.enriched_catalog()),
+    "enrichment_summary": (q_enrichment_summary, O.enrichment_summary()),
 }

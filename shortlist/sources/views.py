@@ -297,3 +297,63 @@ def product_pages_view(part: DataFrame) -> DataFrame:
         body.alias("body_text"), price_texts.alias("price_texts"), sizes.alias("size_options"),
         desc.alias("description_texts"), reviews.alias("review_count_texts"), ratings.alias("rating_texts"),
         F.when(k % 5 != 4, feats).otherwise(F.array(F.array().cast("array<string>"))).alias("feature_lists"))
+
+
+def search_results_view(part: DataFrame) -> DataFrame:
+    """Site-search results of each catalog product (``query_pos``): a
+    non-product link first, then (for two of three products) a partial
+    title, then the full title; links point to the product page."""
+    k = F.col("p_partkey")
+    bno = F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int")
+    brand = _brand_of(bno)
+    url = F.concat(F.lit("https://shop.example.com"), _slug(k))
+    first_word = F.substring_index(F.col("p_name"), " ", 1)
+    rows = F.array(
+        F.struct(F.lit(1).alias("pos"), F.lit("https://shop.example.com/sale").alias("href"),
+                 F.lit("Sale items").alias("link_text")),
+        F.struct(F.lit(2).alias("pos"), url.alias("href"),
+                 F.when(k % 3 != 0, F.concat(F.lower(brand), F.lit(" "), first_word))
+                 .otherwise(F.lit("Gift cards")).alias("link_text")),
+        F.struct(F.lit(3).alias("pos"), F.concat(url, F.lit("?ref=search")).alias("href"),
+                 F.concat(brand, F.lit(" "), F.col("p_name")).alias("link_text")))
+    return part.select(k.cast("bigint").alias("query_pos"), F.explode(rows).alias("r")).select(
+        "query_pos", "r.pos", "r.href", "r.link_text")
+
+
+def web_hits_view(documents: DataFrame) -> DataFrame:
+    """Web search hits per product: two hits (positions 1, 2) for the
+    products ``doc_id // 2``; content is the document text."""
+    d = F.col("doc_id")
+    return documents.select(
+        (d / 2).cast("bigint").alias("catalog_pos"), (d % 2 + 1).cast("int").alias("pos"),
+        F.concat(F.lit("https://reviews.example.org/"), F.col("source"), F.lit("/"), d.cast("string")).alias("url"),
+        F.col("text").alias("content"))
+
+
+def llm_replies_view(conversations: DataFrame) -> DataFrame:
+    """Model replies keyed by request (``conv_id``): each assistant turn
+    wrapped by ``conv_id % 5`` as a plain JSON array, a fenced array, an
+    array inside prose, bare prose, or an array with a non-string."""
+    cv = F.col("conv_id")
+    lines = F.filter(F.split(F.col("text"), "\n"), lambda x: x != "")
+    js = F.to_json(lines)
+    first = F.regexp_replace(F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit("")), '["\\\\]', "")
+    reply = (F.when(cv % 5 == 0, js)
+             .when(cv % 5 == 1, F.concat(F.lit("```json\n"), js, F.lit("\n```")))
+             .when(cv % 5 == 2, F.concat(F.lit("Here you go: "), js, F.lit(" Thanks.")))
+             .when(cv % 5 == 3, F.col("text"))
+             .otherwise(F.concat(F.lit('["'), first, F.lit('", 1]'))))
+    return conversations.filter(F.col("role") == "assistant").select(
+        cv.cast("bigint").alias("request_id"), F.col("turn").cast("bigint").alias("turn"),
+        reply.alias("reply_text"))
+
+
+def tech_lookups_view(part: DataFrame) -> DataFrame:
+    """Technical-analysis lookups (brand, model); one in four asks for a
+    model that is not in the catalog."""
+    k = F.col("p_partkey")
+    bno = F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int")
+    return part.select(
+        k.cast("bigint").alias("lookup_id"), _brand_of(bno).alias("brand"),
+        F.when(k % 4 == 3, F.concat(F.col("p_name"), F.lit(" X"))).otherwise(F.col("p_name")).alias("model"),
+        F.when(k % 3 == 0, F.lit("durability")).otherwise(F.lit("performance")).alias("focus_area"))
