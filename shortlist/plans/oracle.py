@@ -829,3 +829,132 @@ FROM enriched"""
 def enrichment_summary() -> str:
     return with_ctes(CATALOG, SEARCH, PAGES, ENHANCED) + """
 SELECT count_if(coalesce(web_source_url, '') <> '') AS enriched, count(*) AS total FROM enriched"""
+
+
+# --- prompts ------------------------------------------------------------------------------------
+
+def sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+NL = "chr(10)"
+
+
+def _v(x: str) -> str:
+    return f"CAST({x} AS VARCHAR)"
+
+
+CANDIDATE_LINE = (f"concat_ws(' | ', '- ' || brand || ' ' || model, 'cat=' || array_to_string(coalesce(category, []::VARCHAR[]), ','), "
+                  f"'price=$' || coalesce({_v('price_usd')}, '?'), 'plate=' || coalesce(plate, 'none'), "
+                  f"'drop=' || coalesce({_v('drop_mm')}, '?') || 'mm', "
+                  f"CASE WHEN weight_g IS NOT NULL THEN 'weight=' || {_v('weight_g')} || 'g' END, "
+                  f"CASE WHEN coalesce(cushioning_level, '') <> '' THEN 'cushioning=' || cushioning_level END, "
+                  f"CASE WHEN coalesce(support_type, '') <> '' THEN 'support=' || support_type END, "
+                  f"CASE WHEN heel_stack_mm IS NOT NULL AND forefoot_stack_mm IS NOT NULL THEN 'stack=' || "
+                  f"{_v('heel_stack_mm')} || '/' || {_v('forefoot_stack_mm')} || 'mm' END)")
+
+USES = ("array_to_string(list_filter(list_value(CASE WHEN r_easy THEN 'Easy runs' END, CASE WHEN r_tempo THEN "
+        "'Tempo runs' END, CASE WHEN r_long THEN 'Long runs' END, CASE WHEN len(r_races) > 0 THEN 'Racing' END, "
+        "CASE WHEN r_trail THEN 'Trail running' END), lambda x: x IS NOT NULL), ', ')")
+REQUIREMENTS = (f"coalesce(nullif(array_to_string(list_filter(list_value("
+                f"CASE WHEN {USES} <> '' THEN 'Intended Use: ' || {USES} END, "
+                f"CASE WHEN coalesce(len(r_prefs) > 0, false) THEN 'Preferred Brands: ' || array_to_string(r_prefs, ', ') END, "
+                f"CASE WHEN r_limiter THEN 'Budget: Maximum $' || {_v('r_max_usd')} END), lambda x: x IS NOT NULL), {NL}), ''), "
+                f"'General running needs')")
+SHOE_DETAILS = (f"array_to_string(list_filter(list_value('Brand: ' || brand, 'Model: ' || model, "
+                f"'Price: $' || {_v('price_usd')}, 'Categories: ' || array_to_string(coalesce(category, []::VARCHAR[]), ', '), "
+                f"'Plate Technology: ' || coalesce(plate, 'none'), "
+                f"CASE WHEN drop_mm IS NOT NULL AND drop_mm <> 0 THEN 'Drop: ' || {_v('drop_mm')} || 'mm' END, "
+                f"CASE WHEN weight_g IS NOT NULL AND weight_g <> 0 THEN 'Weight: ' || {_v('weight_g')} || 'g' END), "
+                f"lambda x: x IS NOT NULL), {NL})")
+
+SHORT_FULL = """
+short_full AS (
+  SELECT r.*, c.cushioning_level, c.support_type, c.heel_stack_mm, c.forefoot_stack_mm
+  FROM ranked r JOIN catalog c ON r.catalog_pos = c.catalog_pos
+)"""
+
+
+def candidate_prompts() -> str:
+    return with_ctes(*ENHANCED_BASE, SHORT_FULL) + f"""
+SELECT request_id, count(*) AS n_candidates, string_agg({CANDIDATE_LINE}, {NL} ORDER BY rank) AS candidate_table
+FROM short_full GROUP BY request_id"""
+
+
+def comparison_prompts() -> str:
+    from shortlist.schemas import COMPARATIVE_TEMPLATE
+    line = (f"{_v('rank')} || '. ' || brand || ' ' || model || ' - $' || {_v('price_usd')} || ' - [' || "
+            f"array_to_string(list_transform(category, lambda x: '''' || x || ''''), ', ') || '] - ' || "
+            f"coalesce(plate, 'None') || ' plate'")
+    return with_ctes(*ENHANCED_BASE) + f"""
+, agg AS (
+  SELECT request_id, string_agg({line}, {NL} ORDER BY rank) AS shoes_list, count(*) AS n_shoes
+  FROM ranked WHERE rank <= 3 GROUP BY request_id
+)
+SELECT a.request_id, a.n_shoes, a.shoes_list, {REQUIREMENTS} AS user_requirements,
+  CASE WHEN a.n_shoes < 2 THEN 'Comparative analysis requires at least 2 shoes.' END AS gate_text,
+  md5(CASE WHEN a.n_shoes >= 2 THEN replace(replace({sql_str(COMPARATIVE_TEMPLATE)}, '{{shoes_list}}', a.shoes_list),
+    '{{user_requirements}}', {REQUIREMENTS}) END) AS prompt_md5
+FROM agg a JOIN preq p ON a.request_id = p.request_id"""
+
+
+WEB = f"""
+web_hits AS (
+  SELECT CAST(doc_id // 2 AS BIGINT) AS catalog_pos, CAST(doc_id % 2 + 1 AS INTEGER) AS pos,
+    'https://reviews.example.org/' || source || '/' || CAST(doc_id AS VARCHAR) AS url, text AS content FROM documents
+),
+hits AS (
+  SELECT *, substr(replace({strip('content')}, {NL}, ' '), 1, 600) AS snippet FROM web_hits
+  WHERE pos <= 1 AND coalesce({strip('content')}, '') <> ''
+),
+ctx AS (
+  SELECT r.request_id, r.rank, r.catalog_pos,
+    coalesce(list(h.snippet ORDER BY h.pos) FILTER (WHERE h.url IS NOT NULL), []::VARCHAR[]) AS summaries,
+    coalesce(list(h.url ORDER BY h.pos) FILTER (WHERE h.url IS NOT NULL), []::VARCHAR[]) AS sources
+  FROM ranked r LEFT JOIN hits h ON r.catalog_pos = h.catalog_pos WHERE r.rank <= 2
+  GROUP BY r.request_id, r.rank, r.catalog_pos
+)"""
+
+FINDINGS = (f"(CASE WHEN len(summaries) > 0 THEN {NL} || {NL} || 'Web Findings (summarized):' || {NL} || '- ' || "
+            f"array_to_string(summaries, {NL} || '- ') ELSE '' END || CASE WHEN len(sources) > 0 THEN {NL} || {NL} || "
+            f"'Sources: ' || array_to_string(sources, ', ') ELSE '' END)")
+
+
+def web_context() -> str:
+    return with_ctes(*ENHANCED_BASE, WEB) + f"""
+SELECT request_id, CAST(rank AS INTEGER) AS rank, catalog_pos, CAST(len(sources) AS INTEGER) AS n_sources,
+  array_to_string(sources, ' ') AS sources, md5({FINDINGS}) AS findings_md5
+FROM ctx"""
+
+
+def detail_prompts() -> str:
+    from shortlist.schemas import DETAILED_TEMPLATE
+    base = (f"replace(replace({sql_str(DETAILED_TEMPLATE)}, '{{shoe_details}}', {SHOE_DETAILS}), "
+            f"'{{user_requirements}}', {REQUIREMENTS})")
+    return with_ctes(*ENHANCED_BASE, WEB) + f"""
+, d AS (
+  SELECT r.*, coalesce(x.summaries, []::VARCHAR[]) AS summaries, coalesce(x.sources, []::VARCHAR[]) AS sources
+  FROM ranked r LEFT JOIN ctx x ON r.request_id = x.request_id AND r.rank = x.rank
+)
+SELECT request_id, CAST(rank AS INTEGER) AS rank, catalog_pos, md5({base} || {FINDINGS}) AS prompt_md5,
+  CAST(length({base} || {FINDINGS}) AS INTEGER) AS prompt_chars
+FROM d"""
+
+
+def tech_lookup() -> str:
+    from shortlist.schemas import TECHNICAL_TEMPLATE
+    text = (f"CASE WHEN catalog_pos IS NOT NULL THEN replace(replace({sql_str(TECHNICAL_TEMPLATE)}, '{{shoe_details}}', "
+            f"{SHOE_DETAILS}), '{{focus_area}}', focus_area) ELSE 'Shoe ' || l_brand || ' ' || l_model || "
+            f"' not found in catalog.' END")
+    return with_ctes(CATALOG) + f"""
+, lookups AS (
+  SELECT CAST(p_partkey AS BIGINT) AS lookup_id,
+    {BRAND_LIST}[CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INTEGER) % 13 + 1] AS l_brand,
+    CASE WHEN p_partkey % 4 = 3 THEN p_name || ' X' ELSE p_name END AS l_model,
+    CASE WHEN p_partkey % 3 = 0 THEN 'durability' ELSE 'performance' END AS focus_area FROM part
+),
+j AS (
+  SELECT * FROM lookups l LEFT JOIN catalog c ON l.l_brand = c.brand AND l.l_model = c.model
+  QUALIFY row_number() OVER (PARTITION BY lookup_id ORDER BY catalog_pos NULLS LAST) = 1
+)
+SELECT lookup_id, catalog_pos IS NOT NULL AS found, catalog_pos, md5({text}) AS text_md5 FROM j"""

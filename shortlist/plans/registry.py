@@ -22,6 +22,8 @@ from shortlist.sources.tables import read_table
 from shortlist.functions import extract as X
 from shortlist.operators import catalog as cat
 from shortlist.operators import enrich as en
+from shortlist.operators import prompts as pr
+from shortlist.operators.requests import prepare_requests
 from shortlist.sources.views import (catalog_view, listing_anchors_view, llm_replies_view, market_view,
                                      product_pages_view, raw_forms_view, raw_requests_view, requests_view,
                                      search_results_view, tech_lookups_view, web_hits_view)
@@ -298,6 +300,54 @@ def q_enrichment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return en.enrichment_summary(_enriched(spark, sf_dir))
 
 
+def _short_full(spark, sf_dir):
+    """Shortlist rows with every catalog attribute and the flat request."""
+    t, out = _enhanced(spark, sf_dir, with_tags=False)
+    extra = t.catalog().select("catalog_pos", "cushioning_level", "support_type", "heel_stack_mm",
+                               "forefoot_stack_mm")
+    return t, out.join(extra, "catalog_pos")
+
+
+def q_candidate_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, rows = _short_full(spark, sf_dir)
+    p = pr.candidate_prompts(rows, t.requests())
+    return p.select("request_id", "n_candidates", "candidate_table")
+
+
+def q_comparison_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, rows = _enhanced(spark, sf_dir, with_tags=False)
+    p = pr.comparison_prompts(rows, prepare_requests(t.requests()))
+    return p.select("request_id", "n_shoes", "shoes_list", "user_requirements", "gate_text",
+                    F.md5("prompt").alias("prompt_md5"))
+
+
+def _web(spark, sf_dir, rows):
+    return pr.web_context(rows, web_hits_view(Tables(spark, sf_dir).raw("documents")))
+
+
+def q_web_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, rows = _enhanced(spark, sf_dir, with_tags=False)
+    ctx = _web(spark, sf_dir, rows)
+    return ctx.select("request_id", c("rank").cast("int").alias("rank"), "catalog_pos",
+                      F.size("sources").alias("n_sources"), F.array_join("sources", " ").alias("sources"),
+                      F.md5(T.web_findings_text(c("summaries"), c("sources"))).alias("findings_md5"))
+
+
+def q_detail_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, rows = _enhanced(spark, sf_dir, with_tags=False)
+    reqs = prepare_requests(t.requests())
+    d = pr.detail_prompts(rows.drop(*[x for x in rows.columns if x.startswith("r_") or x.startswith("w_")]),
+                          reqs, _web(spark, sf_dir, rows))
+    return d.select("request_id", c("rank").cast("int").alias("rank"), "catalog_pos",
+                    F.md5("prompt").alias("prompt_md5"), F.length("prompt").alias("prompt_chars"))
+
+
+def q_tech_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    out = pr.technical_lookup(tech_lookups_view(t.raw("part")), t.catalog())
+    return out.select("lookup_id", "found", "catalog_pos", F.md5("text").alias("text_md5"))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "shortlist_enhanced": (q_shortlist_enhanced, O.shortlist_enhanced()),
     "shortlist_basic": (q_shortlist_basic, O.shortlist_basic()),
@@ -327,4 +377,9 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "page_match": (q_page_match, O.page_match()),
     "enriched_catalog": (q_enriched_catalog, O.enriched_catalog()),
     "enrichment_summary": (q_enrichment_summary, O.enrichment_summary()),
+    "candidate_prompts": (q_candidate_prompts, O.candidate_prompts()),
+    "comparison_prompts": (q_comparison_prompts, O.comparison_prompts()),
+    "web_context": (q_web_context, O.web_context()),
+    "detail_prompts": (q_detail_prompts, O.detail_prompts()),
+    "tech_lookup": (q_tech_lookup, O.tech_lookup()),
 }

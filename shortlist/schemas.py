@@ -231,3 +231,97 @@ LLM_REPLIES = StructType([
     StructField("request_id", LongType()),
     StructField("reply_text", StringType()),
 ])
+
+# ---------------------------------------------------------------------------
+# Fixed prompt texts (must stay equal to the source prompts).
+# ---------------------------------------------------------------------------
+
+SYSTEM_PROMPT = """You are an expert running shoe gear assistant.
+Constraints:
+- Write 2–3 clear sentences per shoe with specific details.
+- No medical or injury advice.
+- Do not mention internal scoring; use only the provided specs, budget, and intended use.
+- If a shoe exceeds budget, explicitly mark "above budget" and briefly justify why it could still be worth it.
+- Output must be safe to embed into JSON (avoid stray quotes/newlines that break JSON)."""
+
+USER_TEMPLATE = """User inputs:
+{{inputs_json}}
+
+Candidate shoes (from rules filter):
+{{candidate_table}}
+
+Task:
+For each candidate, write 2–3 sentences that:
+- Tie the shoe to the user's intended runs/races (e.g., daily, tempo, race distances if provided),
+- Reference at least two concrete specs (e.g., plate type, drop, weight, cushioning level, support/stability, heel/forefoot stack),
+- Include budget awareness (mark "above budget" if price > max and give a one-phrase justification).
+
+IMPORTANT: Return ONLY a JSON array of strings, one per candidate, in the exact format:
+["explanation for shoe 1", "explanation for shoe 2", "explanation for shoe 3"]
+
+Do not include any other text, code fences, or formatting. Just the JSON array.
+"""
+
+DETAILED_TEMPLATE = """Analyze this running shoe for the user's needs in 2-3 sentences:
+
+Shoe: {shoe_details}
+User needs: {user_requirements}
+
+Focus on: Why it's good for their use case, key technical advantages, and any limitations."""
+
+COMPARATIVE_TEMPLATE = """You are comparing running shoes to help a runner make the best choice. Compare these shoes across:
+
+1. PERFORMANCE COMPARISON
+   - Speed/efficiency differences
+   - Comfort and support variations
+   - Durability expectations
+
+2. USE CASE OPTIMIZATION
+   - Which shoe excels in which scenarios
+   - Training vs racing applications
+   - Distance-specific recommendations
+
+3. VALUE ANALYSIS
+   - Price-to-performance ratio
+   - Long-term cost considerations
+   - Feature justification
+
+4. RECOMMENDATION RANKING
+   - Primary recommendation with strong rationale
+   - Alternative options and why
+   - Situations where each shoe is optimal
+
+Shoes to Compare: {shoes_list}
+User Requirements: {user_requirements}
+
+Rank them 1-N with detailed justification for each ranking."""
+
+TECHNICAL_TEMPLATE = """You are a biomechanics and running technology expert. Analyze this shoe's technical specifications:
+
+1. BIOMECHANICAL ANALYSIS
+   - Drop impact on running form
+   - Weight effects on efficiency
+   - Plate technology performance implications
+
+2. MATERIAL SCIENCE
+   - Foam and cushioning technology assessment
+   - Upper construction benefits
+   - Outsole durability and traction
+
+3. PERFORMANCE ENGINEERING
+   - Energy return characteristics
+   - Stability and motion control features
+   - Breathability and comfort engineering
+
+4. SCIENTIFIC BACKING
+   - Research-supported benefits
+   - Measurable performance advantages
+   - Limitations and trade-offs
+
+Shoe: {shoe_details}
+Focus Area: {focus_area}
+
+Provide evidence-based technical analysis with specific examples."""
+
+ANALYSIS_SYSTEM = ("You are a running shoe expert. Provide a concise 2-3 sentence analysis. "
+                   "Vary your wording across items; avoid identical phrasing.")
