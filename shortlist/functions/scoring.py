@@ -297,7 +297,8 @@ def explanation_quality(text: Column) -> Column:
     for w in DETAIL_INDICATORS:
         one = F.when(low.contains(w), F.lit(1)).otherwise(F.lit(0))
         count = one if count is None else count + one
-    return (F.when(text.isNull() | (F.trim(text) == ""), F.lit(0.8))
+    blank = F.regexp_replace(text, r"^\s+|\s+$", "") == ""
+    return (F.when(text.isNull() | blank, F.lit(0.8))
             .when(generic, F.lit(0.9))
             .when(count >= 3, F.lit(1.2)).when(count >= 2, F.lit(1.1)).when(count >= 1, F.lit(1.0))
             .otherwise(F.lit(0.95)))

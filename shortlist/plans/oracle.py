@@ -6,6 +6,7 @@ DECIMAL)."""
 from __future__ import annotations
 
 from shortlist.schemas import BRANDS
+from shortlist.schemas import GENERIC_REPLY as GENERIC_REPLY_TEXT
 
 BRAND_LIST = "list_value(" + ", ".join(f"'{b}'" for b in BRANDS) + ")"
 
@@ -958,3 +959,117 @@ j AS (
   QUALIFY row_number() OVER (PARTITION BY lookup_id ORDER BY catalog_pos NULLS LAST) = 1
 )
 SELECT lookup_id, catalog_pos IS NOT NULL AS found, catalog_pos, md5({text}) AS text_md5 FROM j"""
+
+
+# --- replies, explanation quality and depth -------------------------------------------------
+
+REPLIES = f"""
+conv AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
+conv_lines AS (
+  SELECT *, list_filter(string_split(text, {NL}), lambda x: x <> '') AS ls FROM conv
+),
+replies AS (
+  SELECT CAST(conv_id AS BIGINT) AS request_id, CAST(turn AS BIGINT) AS turn,
+    CASE conv_id % 5 WHEN 0 THEN js WHEN 1 THEN '```json' || {NL} || js || {NL} || '```'
+      WHEN 2 THEN 'Here you go: ' || js || ' Thanks.' WHEN 3 THEN text
+      ELSE '["' || regexp_replace(coalesce(ls[1], ''), '["\\\\]', '', 'g') || '", 1]' END AS reply_text
+  FROM (SELECT *, CAST(to_json(ls) AS VARCHAR) AS js FROM conv_lines)
+)"""
+
+
+def string_list(t: str) -> str:
+    return (f"(CASE WHEN json_valid({t}) THEN (CASE WHEN json_type({t}) = 'ARRAY' THEN (CASE WHEN "
+            f"len(list_filter(json_type({t}, '$[*]'), lambda y: y <> 'VARCHAR')) = 0 THEN "
+            f"from_json({t}, '[\"VARCHAR\"]') END) END) END)")
+
+
+PARSED = f"""
+parsed0 AS (
+  SELECT request_id, turn, reply_text,
+    {string_list('reply_text')} AS whole,
+    CASE WHEN contains(reply_text, '```') THEN list_filter(list_transform(list_filter(list_transform(
+      string_split(reply_text, '```'), lambda p: {strip('p')}), lambda p: lower(p) <> 'json' AND p <> ''),
+      lambda q: {string_list('q')}), lambda a: a IS NOT NULL)[1] END AS fenced,
+    {string_list("regexp_extract(reply_text, '(?s)\\[.*?\\]', 0)")} AS bracket
+  FROM replies
+),
+parsed AS (
+  SELECT request_id, turn, coalesce(whole, fenced, bracket, [{sql_str(GENERIC_REPLY_TEXT)}]) AS items,
+    CASE WHEN whole IS NOT NULL THEN 'json' WHEN fenced IS NOT NULL THEN 'fence'
+      WHEN bracket IS NOT NULL THEN 'bracket' ELSE 'fallback' END AS method
+  FROM parsed0
+)"""
+
+
+def reply_parsing() -> str:
+    return with_ctes(REPLIES, PARSED) + """
+SELECT request_id, turn, method, CAST(len(items) AS INTEGER) AS n_items, md5(array_to_string(items, ' || ')) AS items_md5
+FROM parsed"""
+
+
+def final_explanations() -> str:
+    from shortlist.schemas import UNAVAILABLE_TEXT
+    suffix = (f"CASE WHEN rank = 1 THEN {NL} || {NL} || '**TOP RECOMMENDATION #' || CAST(rank AS VARCHAR) || "
+              f"'**: This shoe ranked highest due to optimal alignment with your requirements.' ELSE {NL} || {NL} || "
+              f"'**RECOMMENDATION #' || CAST(rank AS VARCHAR) || '**: Strong alternative option with specific advantages.' END")
+    body = (f"CASE WHEN reply IS NULL THEN {sql_str(UNAVAILABLE_TEXT)} WHEN trim(reply) = '' THEN "
+            f"'This shoe offers solid performance for your running needs with good technical specifications.' ELSE reply END")
+    return with_ctes(*ENHANCED_BASE, REPLIES, PARSED) + f"""
+, first_reply AS (
+  SELECT * FROM parsed QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY turn) = 1
+),
+aligned AS (
+  SELECT r.request_id, r.rank, r.catalog_pos,
+    CASE WHEN f.items IS NOT NULL THEN coalesce(f.items[r.rank], {sql_str(GENERIC_REPLY_TEXT)}) END AS reply
+  FROM ranked r LEFT JOIN first_reply f ON r.request_id = f.request_id
+)
+SELECT request_id, CAST(rank AS INTEGER) AS rank, catalog_pos, reply IS NOT NULL AS has_reply,
+  md5(({body}) || ({suffix})) AS why_llm_md5
+FROM aligned"""
+
+
+def explanation_quality() -> str:
+    from shortlist.schemas import DETAIL_INDICATORS, GENERIC_PHRASES
+    low = "lower(text)"
+    generic = " OR ".join(f"contains({low}, '{p}')" for p in GENERIC_PHRASES)
+    count = " + ".join(f"(CASE WHEN contains({low}, '{w}') THEN 1 ELSE 0 END)" for w in DETAIL_INDICATORS)
+    return f"""
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn,
+  CASE WHEN text IS NULL OR {strip('text')} = '' THEN 0.8 WHEN {generic} THEN 0.9
+    WHEN ({count}) >= 3 THEN 1.2 WHEN ({count}) >= 2 THEN 1.1 WHEN ({count}) >= 1 THEN 1.0 ELSE 0.95 END::DOUBLE
+    AS quality_multiplier
+FROM conversations WHERE role = 'assistant'"""
+
+
+def explanation_depth() -> str:
+    norm = collapse("coalesce(text, '')")
+    facts = (f"list_filter(list_value("
+             f"CASE WHEN coalesce(plate, '') NOT IN ('', 'none') THEN plate || ' plate' END, "
+             f"CASE WHEN drop_mm IS NOT NULL THEN {_v('drop_mm')} || 'mm drop' END, "
+             f"CASE WHEN weight_g IS NOT NULL THEN '~' || {_v('weight_g')} || 'g weight' END, "
+             f"CASE WHEN coalesce(cushioning_level, '') <> '' THEN cushioning_level || ' cushioning' END, "
+             f"CASE WHEN coalesce(support_type, '') <> '' THEN support_type || ' support' END, "
+             f"CASE WHEN heel_stack_mm IS NOT NULL AND forefoot_stack_mm IS NOT NULL THEN 'stack ' || "
+             f"{_v('heel_stack_mm')} || '/' || {_v('forefoot_stack_mm')} || 'mm' END, "
+             f"CASE WHEN coalesce(len(category), 0) > 0 THEN 'category: ' || array_to_string(category, ', ') END), "
+             f"lambda x: x IS NOT NULL)")
+    return with_ctes(CATALOG, REQUESTS) + f"""
+, d0 AS (
+  SELECT v.conv_id, v.turn, {norm} AS norm, c.*, r.r_limiter, r.r_max_usd
+  FROM conversations v JOIN catalog c ON c.catalog_pos = v.conv_id JOIN preq r ON r.request_id = v.conv_id
+  WHERE v.role = 'assistant'
+),
+d1 AS (
+  SELECT *, CASE WHEN norm = '' THEN 0 ELSE len(regexp_extract_all(norm, '[.!?]\\s+')) + 1 END AS n_sentences,
+    list_filter(list_value(
+      CASE WHEN len({facts}) > 0 THEN 'Specs: ' || array_to_string({facts}[1:3], ', ') || '.' END,
+      CASE WHEN r_limiter AND price_usd IS NOT NULL AND price_usd <> 0 AND price_usd > r_max_usd
+        THEN 'Priced above budget; consider for performance value.' END), lambda x: x IS NOT NULL) AS adds
+  FROM d0
+)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, CAST(n_sentences AS INTEGER) AS n_sentences,
+  md5(CASE WHEN n_sentences < 2 AND len(adds) > 0 THEN
+    (CASE WHEN norm <> '' THEN norm ELSE brand || ' ' || model || ' fits your ' ||
+       array_to_string(coalesce(category, []::VARCHAR[]), ', ') || ' needs.' END) || ' ' || array_to_string(adds, ' ')
+    ELSE norm END) AS text_md5
+FROM d1"""

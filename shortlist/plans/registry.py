@@ -23,6 +23,7 @@ from shortlist.functions import extract as X
 from shortlist.operators import catalog as cat
 from shortlist.operators import enrich as en
 from shortlist.operators import prompts as pr
+from shortlist.operators import replies as rp
 from shortlist.operators.requests import prepare_requests
 from shortlist.sources.views import (catalog_view, listing_anchors_view, llm_replies_view, market_view,
                                      product_pages_view, raw_forms_view, raw_requests_view, requests_view,
@@ -348,6 +349,41 @@ def q_tech_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("lookup_id", "found", "catalog_pos", F.md5("text").alias("text_md5"))
 
 
+def _replies(spark, sf_dir):
+    return llm_replies_view(Tables(spark, sf_dir).raw("conversations"))
+
+
+def q_reply_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = rp.parse_replies(_replies(spark, sf_dir))
+    return p.select("request_id", "turn", "method", F.size("items").alias("n_items"),
+                    F.md5(F.array_join("items", " || ")).alias("items_md5"))
+
+
+def q_final_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, rows = _enhanced(spark, sf_dir, with_tags=False)
+    out = rp.final_explanations(rows, _replies(spark, sf_dir))
+    return out.select("request_id", c("rank").cast("int").alias("rank"), "catalog_pos",
+                      c("reply").isNotNull().alias("has_reply"), F.md5("why_llm").alias("why_llm_md5"))
+
+
+def q_explanation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = Tables(spark, sf_dir).raw("conversations").filter(c("role") == "assistant")
+    return conv.select(c("conv_id").cast("bigint").alias("conv_id"), c("turn").cast("bigint").alias("turn"),
+                       sc.explanation_quality(c("text")).alias("quality_multiplier"))
+
+
+def q_explanation_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    conv = t.raw("conversations").filter(c("role") == "assistant").select("conv_id", "turn", "text")
+    reqs = prepare_requests(t.requests()).select("request_id", "r_limiter", "r_max_usd")
+    j = (conv.join(t.catalog(), c("catalog_pos") == c("conv_id"))
+         .join(reqs, c("request_id") == c("conv_id")))
+    norm = rp.collapse_spaces(F.coalesce(c("text"), F.lit("")))
+    return j.select(c("conv_id").cast("bigint").alias("conv_id"), c("turn").cast("bigint").alias("turn"),
+                    rp.sentence_count(norm).alias("n_sentences"),
+                    F.md5(rp.ensure_depth(c("text"))).alias("text_md5"))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "shortlist_enhanced": (q_shortlist_enhanced, O.shortlist_enhanced()),
     "shortlist_basic": (q_shortlist_basic, O.shortlist_basic()),
@@ -382,4 +418,8 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "web_context": (q_web_context, O.web_context()),
     "detail_prompts": (q_detail_prompts, O.detail_prompts()),
     "tech_lookup": (q_tech_lookup, O.tech_lookup()),
+    "reply_parsing": (q_reply_parsing, O.reply_parsing()),
+    "final_explanations": (q_final_explanations, O.final_explanations()),
+    "explanation_quality": (q_explanation_quality, O.explanation_quality()),
+    "explanation_depth": (q_explanation_depth, O.explanation_depth()),
 }
