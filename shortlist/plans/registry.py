@@ -384,6 +384,19 @@ def q_explanation_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.md5(rp.ensure_depth(c("text"))).alias("text_md5"))
 
 
+def q_shortlist_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST1: the requests streamed in micro-batches through the same plan;
+    the result must equal ``shortlist_enhanced``."""
+    from shortlist.streaming.requests_stream import run_to_completion
+    t = Tables(spark, sf_dir)
+    out = run_to_completion(spark, t.requests(), t.catalog(), t.market())
+    return out.select(
+        "request_id", c("rank").cast("int").alias("rank"), "catalog_pos", "brand", "model",
+        F.array_join("category", ",").alias("categories"), "price_usd", "plate", "drop_mm",
+        "weight_g", F.round("score", 6).alias("score"), r6("original_score"),
+        r6("adjustment_multiplier"), F.array_join("score_adjustments", "|").alias("score_adjustments"))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "shortlist_enhanced": (q_shortlist_enhanced, O.shortlist_enhanced()),
     "shortlist_basic": (q_shortlist_basic, O.shortlist_basic()),
@@ -422,4 +435,5 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "final_explanations": (q_final_explanations, O.final_explanations()),
     "explanation_quality": (q_explanation_quality, O.explanation_quality()),
     "explanation_depth": (q_explanation_depth, O.explanation_depth()),
+    "shortlist_stream": (q_shortlist_stream, O.shortlist_enhanced()),
 }
