@@ -82,7 +82,12 @@ def build_catalog(anchors: DataFrame, pages: DataFrame, size: str | None = None,
     """The whole crawl-to-catalog job: W8 (first N in crawl order) before
     W7 (first row per brand+model). ``catalog_pos`` is the crawl order."""
     rows = assemble_rows(product_cards(anchors), pages, site, size)
-    rows = first_n(rows, [c("page_no"), c("anchor_idx")], max_products)
+    return dedup_catalog(first_n(rows, [c("page_no"), c("anchor_idx")], max_products))
+
+
+def dedup_catalog(rows: DataFrame) -> DataFrame:
+    """First row per brand+model in crawl order; ``catalog_pos`` keeps
+    the crawl order."""
     uniq = first_per_key(rows, ["brand", "model"], [c("page_no"), c("anchor_idx")])
     return uniq.withColumn("catalog_pos", c("page_no") * 1_000_000 + c("anchor_idx"))
 

@@ -18,6 +18,7 @@ from shortlist.operators import response as resp
 from shortlist.operators.requests import coerce_form, split_valid, validation_errors, with_defaults
 from shortlist.plans import oracle as O
 from shortlist.plans.recommend import shortlist, shortlist_basic
+from shortlist.session import cut_lineage
 from shortlist.sources.tables import read_table
 from shortlist.functions import extract as X
 from shortlist.operators import catalog as cat
@@ -48,7 +49,12 @@ class Tables:
         return requests_view(self.raw("customer"))
 
     def market(self) -> DataFrame:
-        return market_view(self.raw("lineitem"), self.catalog())
+        """Materialized once (reliable checkpoint): it aggregates the
+        largest table, and size checks, the market flag and the plan all
+        read it."""
+        if not hasattr(self, "_market"):
+            self._market = cut_lineage(market_view(self.raw("lineitem"), self.catalog()))
+        return self._market
 
 
 def r6(col: str) -> F.Column:
@@ -239,6 +245,13 @@ def _built(spark, sf_dir):
     return cat.build_catalog(_anchors(spark, sf_dir), _pages(spark, sf_dir))
 
 
+def _crawl(spark, sf_dir):
+    """(all crawl rows, deduplicated catalog) with the crawl rows
+    materialized once, as the statistics read them several times."""
+    rows = cut_lineage(cat.assemble_rows(cat.product_cards(_anchors(spark, sf_dir)), _pages(spark, sf_dir)))
+    return rows, cat.dedup_catalog(rows)
+
+
 def q_catalog_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _built(spark, sf_dir).select(
         "catalog_pos", "brand", "model", "page_no", "anchor_idx",
@@ -246,22 +259,22 @@ def q_catalog_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_extraction_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cat.assemble_rows(cat.product_cards(_anchors(spark, sf_dir)), _pages(spark, sf_dir))
-    st = cat.extraction_stats(rows, _built(spark, sf_dir))
+    rows, built = _crawl(spark, sf_dir)
+    st = cat.extraction_stats(rows, built)
     return st.select("pages", "products", "unique_products", "price_ok", "specs_ok", r6("price_rate"),
                      r6("specs_rate"))
 
 
 def q_plate_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cat.plate_breakdown(_built(spark, sf_dir)).select("plate", "count", r6("pct"))
+    return cat.plate_breakdown(_crawl(spark, sf_dir)[1]).select("plate", "count", r6("pct"))
 
 
 def q_brand_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cat.brand_distribution(_built(spark, sf_dir)).select("brand", "count", r6("pct"), "position")
+    return cat.brand_distribution(_crawl(spark, sf_dir)[1]).select("brand", "count", r6("pct"), "position")
 
 
 def q_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cat.facets(_built(spark, sf_dir)).select(F.array_join("brands", ",").alias("brands"),
+    return cat.facets(_crawl(spark, sf_dir)[1]).select(F.array_join("brands", ",").alias("brands"),
                                                     "max_price", "n_brands")
 
 
