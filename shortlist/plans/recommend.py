@@ -35,10 +35,10 @@ def _attach(ranked: DataFrame, catalog: DataFrame, cols: list[str]) -> DataFrame
 
 
 def scored_candidates(requests: DataFrame, catalog: DataFrame, market: DataFrame | None = None,
-                      strategy: str | None = None) -> DataFrame:
+                      strategy: str | None = None, prepared: DataFrame | None = None) -> DataFrame:
     """Pairs passing F6 with C7/C8 score, C9-C12 multiplier and the
     adjusted score (C13). Keeps request and product columns."""
-    reqs = sc.request_gates(prepare_requests(requests))
+    reqs = sc.request_gates(prepared if prepared is not None else prepare_requests(requests))
     products = sc.product_features(with_market(catalog.select(*SCORING_COLS), market))
     pairs = candidate_pairs(reqs, products, enhanced=True, strategy=strategy)
     return sc.score_pairs(pairs, market_flag(market))
@@ -49,16 +49,23 @@ REQUEST_FLAGS = ["r_limiter", "r_max_usd", "r_has_races", "r_tempo", "r_easy", "
 
 def shortlist(requests: DataFrame, catalog: DataFrame, market: DataFrame | None = None,
               strategy: str | None = None, with_tags: bool = True,
-              extra_cols: list[str] | None = None) -> DataFrame:
+              extra_scores: dict | None = None) -> DataFrame:
     """The enhanced shortlist: one row per (request, rank), rank <= n.
 
-    Only ids, scores and three narrow request fields pass through the ranking
-    sort; product attributes, market columns and the audit tags are attached
-    to the survivors."""
-    scored = scored_candidates(requests, catalog, market, strategy)
+    Only ids and scores pass through the ranking sort (the only operator
+    that sees every candidate pair); request flags, product attributes,
+    market columns and the audit tags are joined to the <= 20 survivors.
+    ``extra_scores`` (name -> Column over the scored pairs) are carried
+    through the ranking, e.g. the score components."""
+    prepared = prepare_requests(requests)
+    scored = scored_candidates(requests, catalog, market, strategy, prepared=prepared)
+    extra = dict(extra_scores or {})
+    if extra:
+        scored = scored.select("*", *[col.alias(name) for name, col in extra.items()])
     keep = ["request_id", "catalog_pos", "r_n", "original_score", "adjustment_multiplier",
-            "adjusted_score"] + REQUEST_FLAGS + list(extra_cols or [])
+            "adjusted_score"] + list(extra)
     ranked = top_n_per_request(scored.select(*keep), enhanced_order(), c("r_n")).drop("r_n")
+    ranked = ranked.join(prepared.select("request_id", *REQUEST_FLAGS), "request_id")
     products = with_market(catalog.select("catalog_pos", "brand", "model", "category", "price_usd",
                                           "plate", "drop_mm", "weight_g"), market)
     out = _attach(ranked, products, products.columns)
@@ -75,8 +82,8 @@ def shortlist_basic(requests: DataFrame, catalog: DataFrame, strategy: str | Non
     products = sc.product_features(catalog.select(*SCORING_COLS))
     pairs = candidate_pairs(reqs, products, enhanced=False, strategy=strategy)
     pairs = over_budget_quota(pairs).withColumn("ratio", sc.budget_ratio())
-    scored = pairs.select("request_id", "catalog_pos", "r_n", sc.basic_score().alias("score"),
-                          *REQUEST_FLAGS)
+    scored = pairs.select("request_id", "catalog_pos", "r_n", sc.basic_score().alias("score"))
     ranked = top_n_per_request(scored, basic_order(), c("r_n")).drop("r_n")
+    ranked = ranked.join(reqs.select("request_id", *REQUEST_FLAGS), "request_id")
     return _attach(ranked, catalog, ["brand", "model", "category", "price_usd", "plate",
                                      "drop_mm", "weight_g"])

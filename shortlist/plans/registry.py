@@ -99,22 +99,12 @@ def q_score_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C2a-C2f, C3, C4, C5, C6 of every shortlisted pair (computed on the
     pairs, carried through the ranking)."""
     from shortlist.operators.candidates import market_flag
-    from shortlist.plans import recommend as R
     t = Tables(spark, sf_dir)
     market = t.market()
-    orig = R.scored_candidates
-
-    def with_components(*a, **k):
-        scored = orig(*a, **k)
-        return scored.select("*", *[f().alias(n) for n, f in COMPONENTS.items()],
-                             sc.market_positioning(market_flag(market)).alias("market_positioning"),
-                             c("p_jitter").alias("diversity_jitter"))
-    R.scored_candidates = with_components
-    try:
-        extra = list(COMPONENTS) + ["market_positioning", "diversity_jitter"]
-        out = shortlist(t.requests(), t.catalog(), market, with_tags=False, extra_cols=extra)
-    finally:
-        R.scored_candidates = orig
+    extra = {n: f() for n, f in COMPONENTS.items()}
+    extra["market_positioning"] = sc.market_positioning(market_flag(market))
+    extra["diversity_jitter"] = c("p_jitter")
+    out = shortlist(t.requests(), t.catalog(), market, with_tags=False, extra_scores=extra)
     return out.select("request_id", c("rank").cast("int").alias("rank"), "catalog_pos",
                       *[r6(n) for n in extra])
 
@@ -349,6 +339,7 @@ def q_web_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_detail_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, rows = _enhanced(spark, sf_dir, with_tags=False)
+    rows = cut_lineage(rows)  # read twice: prompts and web context
     reqs = prepare_requests(t.requests())
     d = pr.detail_prompts(rows.drop(*[x for x in rows.columns if x.startswith("r_") or x.startswith("w_")]),
                           reqs, _web(spark, sf_dir, rows))
