@@ -8,11 +8,15 @@ Two physical strategies give the same rows:
   checked to be at most ``max_broadcast_rows``; requests stay partitioned by
   ``request_id`` so the later top-N window needs no further shuffle.
 * **tag join**: when the product side is larger, the theta join becomes an
-  equi join on (category tag, salt). Each product row goes to one salt bucket
-  of each of its tags, each request is replicated to every salt bucket of
-  each tag it allows, and a pair is emitted once, on the smallest tag the two
-  share. A tag that holds a third of all products is spread over the salt
-  buckets; nothing is broadcast.
+  equi join on (category tag, request bucket, product bucket): a grid
+  (1-bucket-theta) partitioning. Requests hash into ``S_r`` buckets and are
+  replicated over the ``S_p`` product buckets of each tag they allow;
+  products hash into ``S_p`` buckets and are replicated over the ``S_r``
+  request buckets of each of their tags. Every (request, product, tag)
+  meets in exactly one cell; a pair is emitted once, on the smallest tag the
+  two share. ``S_r * S_p`` is sized from the pair volume, so even a tag that
+  holds a third of all products (and most requests) is split into cells of
+  about ``shortlist.pairsPerTask`` pairs each. Nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -27,7 +31,6 @@ from shortlist.functions.predicates import allowed_tags, basic_ok, brand_ok, car
 c = F.col
 
 DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
-DEFAULT_ROWS_PER_SALT = 50_000
 DEFAULT_PAIRS_PER_TASK = 4_000_000
 
 
@@ -95,14 +98,27 @@ def candidate_pairs(requests: DataFrame, products: DataFrame, enhanced: bool = T
         raise ValueError(f"unknown strategy {strategy}")
     if n_products is None:
         n_products = products.count()
-    per_salt = conf_int(requests, "shortlist.tagJoin.rowsPerSalt", DEFAULT_ROWS_PER_SALT)
-    salts = max(1, math.ceil(n_products / per_salt))
+    spark = requests.sparkSession
+    per_task = conf_int(requests, "shortlist.pairsPerTask", DEFAULT_PAIRS_PER_TASK)
+    n_requests = requests.count()
+    cells = max(1, math.ceil(n_requests * max(n_products, 1) / per_task))
+    side = max(1, math.ceil(math.sqrt(cells)))
+    parts = max(spark.sparkContext.defaultParallelism, min(100_000, cells))
+    grid = ["_tag", "_rb", "_pb"]
+
+    def buckets(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+
     prod = (products.withColumn("_tag", F.explode(F.array_distinct(c("category"))))
-            .withColumn("_salt", F.pmod(F.xxhash64("catalog_pos"), F.lit(salts))))
+            .withColumn("_pb", F.pmod(F.xxhash64("catalog_pos"), F.lit(side)))
+            .withColumn("_rb", buckets(side))
+            .repartition(parts, *grid))
     reqs = (requests.withColumn("_allowed", allowed_tags(enhanced))
             .withColumn("_tag", F.explode("_allowed"))
-            .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))))
+            .withColumn("_rb", F.pmod(F.xxhash64("request_id"), F.lit(side)))
+            .withColumn("_pb", buckets(side))
+            .repartition(parts, *grid))
     residual = brand_ok() & (carbon_ok() if enhanced else F.lit(True))
-    pairs = reqs.join(prod, ["_tag", "_salt"], "inner")
+    pairs = reqs.join(prod, grid, "inner")
     first_shared = F.array_min(F.array_intersect(c("category"), c("_allowed")))
-    return pairs.filter(residual & (c("_tag") == first_shared)).drop("_tag", "_salt", "_allowed")
+    return pairs.filter(residual & (c("_tag") == first_shared)).drop(*grid, "_allowed")
