@@ -27,9 +27,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_catalog(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Catalog scan. ``fmt='json'`` reads a JSON *array* file (multiLine)."""
+    """Catalog scan. ``fmt='json'`` reads JSON *array* files (one array
+    per file, as hand-made catalogs are), ``'jsonl'`` JSON lines."""
     if fmt == "json":
         return spark.read.schema(S.CATALOG).option("multiLine", True).json(path)
+    if fmt == "jsonl":
+        return spark.read.schema(S.CATALOG).json(path)
     return spark.read.schema(S.CATALOG).parquet(path)
 
 
@@ -51,10 +54,11 @@ def read_enhanced_catalog(spark: SparkSession, path: str, fmt: str = "parquet")
 
 
 def write_catalog(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Overwrite sink. The write is a job commit, so a failure leaves
-    the previous output instead of a partial file."""
+    """Overwrite sink (``fmt`` ``parquet`` or ``jsonl``). The write is
+    a job commit, so a failure leaves the previous output instead of a
+    partial file."""
     w = df.write.mode("overwrite")
-    if fmt == "json":
+    if fmt == "jsonl":
         w.json(path)
     else:
         w.parquet(path)
