@@ -109,15 +109,24 @@ def with_card_title(df: DataFrame, out: str = "title") -> DataFrame:
 def brand_model(title: Column) -> Column:
     """Strip a leading gender word; the first brand pattern (in
     priority order) that matches anywhere, case-insensitively, gives
-    (brand, model). Null when no brand matches or the model is empty."""
-    t = F.regexp_replace(title, GENDER_PREFIX, "")
-    hits = F.array(*[t.rlike("(?i)" + pat) for _, pat in BRAND_PATTERNS])
-    models = F.array(*[F.regexp_extract(t, "(?i)" + pat, 1) for _, pat in BRAND_PATTERNS])
+    (brand, model). Null when no brand matches or the model is empty.
+
+    The title is bound to a lambda variable (``transform`` over a
+    one-element array) so it is evaluated once per row even though all 26
+    pattern tests read it; otherwise Catalyst would inline the whole title
+    expression into every test."""
     brands = F.array(*[F.lit(b) for b, _ in BRAND_PATTERNS])
-    zipped = F.arrays_zip(hits.alias("hit"), brands.alias("brand"), models.alias("model"))
-    first = F.try_element_at(F.filter(zipped, lambda z: z["hit"]), F.lit(1))
-    res = F.struct(first["brand"].alias("brand"), collapse_spaces(first["model"]).alias("model"))
-    return F.when(F.length(res["model"]) > 0, res)
+
+    def match(t: Column) -> Column:
+        hits = F.array(*[t.rlike("(?i)" + pat) for _, pat in BRAND_PATTERNS])
+        models = F.array(*[F.regexp_extract(t, "(?i)" + pat, 1) for _, pat in BRAND_PATTERNS])
+        zipped = F.arrays_zip(hits.alias("hit"), brands.alias("brand"), models.alias("model"))
+        first = F.try_element_at(F.filter(zipped, lambda z: z["hit"]), F.lit(1))
+        res = F.struct(first["brand"].alias("brand"), collapse_spaces(first["model"]).alias("model"))
+        return F.when(F.length(res["model"]) > 0, res)
+
+    bound = F.transform(F.array(F.regexp_replace(title, GENDER_PREFIX, "")), match)
+    return F.try_element_at(bound, F.lit(1))
 
 
 def with_brand_model(df: DataFrame, title: str = "title") -> DataFrame:
@@ -220,14 +229,16 @@ def size_available(options: Column, size: Column) -> Column:           # X16
 
 
 def specs(body_text: Column) -> Column:
-    """X7-X15 from the page body as one struct (the text is lower-cased
-    once)."""
-    t = F.lower(body_text)
-    cats = categories(t)
-    st = stack_heights(t)
-    return F.struct(
-        F.when(F.size(cats) > 0, cats).alias("category"),
-        plate_class(t).alias("plate"), drop_mm(t).alias("drop_mm"), weight_g(t).alias("weight_g"),
-        cushioning(t).alias("cushioning_level"), support(t).alias("support_type"),
-        st["heel_stack_mm"].alias("heel_stack_mm"), st["forefoot_stack_mm"].alias("forefoot_stack_mm"),
-        race_distances(t).alias("best_for_distances"), wide_options(t).alias("has_wide_options"))
+    """X7-X15 from the page body as one struct. The lower-cased text is
+    bound to a lambda variable, so it is computed once per row although
+    about forty tests read it."""
+    def extract(t: Column) -> Column:
+        cats = categories(t)
+        st = stack_heights(t)
+        return F.struct(
+            F.when(F.size(cats) > 0, cats).alias("category"),
+            plate_class(t).alias("plate"), drop_mm(t).alias("drop_mm"), weight_g(t).alias("weight_g"),
+            cushioning(t).alias("cushioning_level"), support(t).alias("support_type"),
+            st["heel_stack_mm"].alias("heel_stack_mm"), st["forefoot_stack_mm"].alias("forefoot_stack_mm"),
+            race_distances(t).alias("best_for_distances"), wide_options(t).alias("has_wide_options"))
+    return F.try_element_at(F.transform(F.array(F.lower(body_text)), extract), F.lit(1))
