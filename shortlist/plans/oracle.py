@@ -354,14 +354,31 @@ SELECT request_id, n_items, n_over_budget, {NOTES_TEXT} AS notes FROM notes"""
 
 
 def response_nested() -> str:
-    return with_ctes(*ENHANCED_BASE, NOTES) + f"""
-, items AS (
+    from shortlist.schemas import UNAVAILABLE_TEXT
+    suffix = (f"CASE WHEN r.rank = 1 THEN {NL} || {NL} || '**TOP RECOMMENDATION #' || CAST(r.rank AS VARCHAR) || "
+              f"'**: This shoe ranked highest due to optimal alignment with your requirements.' ELSE {NL} || {NL} || "
+              f"'**RECOMMENDATION #' || CAST(r.rank AS VARCHAR) || '**: Strong alternative option with specific advantages.' END")
+    reply = f"CASE WHEN f.items IS NOT NULL THEN coalesce(f.items[r.rank], {sql_str(GENERIC_REPLY_TEXT)}) END"
+    body = (f"CASE WHEN ({reply}) IS NULL THEN {sql_str(UNAVAILABLE_TEXT)} WHEN trim({reply}) = '' THEN "
+            f"'This shoe offers solid performance for your running needs with good technical specifications.' "
+            f"ELSE {reply} END")
+    return with_ctes(*ENHANCED_BASE, NOTES, REPLIES, PARSED, WEB) + f"""
+, first_reply AS (
+  SELECT * FROM parsed QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY turn) = 1
+),
+full_items AS (
+  SELECT r.request_id, r.rank, r.brand, r.model, {REASONS_ENHANCED} AS why_rules, ({body}) || ({suffix}) AS why_llm,
+    coalesce(x.sources, []::VARCHAR[]) AS sources
+  FROM ranked r LEFT JOIN first_reply f ON r.request_id = f.request_id
+  LEFT JOIN ctx x ON r.request_id = x.request_id AND r.rank = x.rank
+),
+items AS (
   SELECT request_id, string_agg(brand || ' ' || model, ';' ORDER BY rank) AS items,
-    max(rank) AS last_rank
-  FROM ranked GROUP BY request_id
+    string_agg(why_rules || '#' || why_llm || '#' || array_to_string(sources, ','), {NL} ORDER BY rank) AS texts
+  FROM full_items GROUP BY request_id
 )
 SELECT n.request_id, CAST(n.n_items AS INTEGER) AS n_items, coalesce(i.items, '') AS items,
-  r.r_n AS echo_num_recommendations, {NOTES_TEXT} AS notes
+  r.r_n AS echo_num_recommendations, {NOTES_TEXT} AS notes, md5(coalesce(i.texts, '')) AS texts_md5
 FROM notes n JOIN preq r ON n.request_id = r.request_id
 LEFT JOIN items i ON n.request_id = i.request_id"""
 

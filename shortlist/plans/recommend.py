@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shortlist.functions import scoring as sc
+from shortlist.functions import text as _text
 from shortlist.operators.candidates import (DEFAULT_MAX_BROADCAST_ROWS, bounded_count,
                                             candidate_pairs, conf_int, market_flag, with_market)
 from shortlist.operators.ranking import (basic_order, enhanced_order, over_budget_quota,
@@ -87,3 +88,27 @@ def shortlist_basic(requests: DataFrame, catalog: DataFrame, strategy: str | Non
     ranked = ranked.join(reqs.select("request_id", *REQUEST_FLAGS), "request_id")
     return _attach(ranked, catalog, ["brand", "model", "category", "price_usd", "plate",
                                      "drop_mm", "weight_g"])
+
+
+def recommend(requests: DataFrame, catalog: DataFrame, market: DataFrame | None = None,
+              replies: DataFrame | None = None, web_hits: DataFrame | None = None,
+              strategy: str | None = None) -> DataFrame:
+    """The whole endpoint as one plan: one response row per request with
+    the echoed request, the ranked items (``why_rules`` from T2, ``why_llm``
+    from the replies table or the fallback text, ``sources`` from the web
+    context of ranks <= 2) and the notes (A10, T16, T18)."""
+    from shortlist.functions.text import rule_reasons_enhanced
+    from shortlist.operators import prompts as pr
+    from shortlist.operators import replies as rp
+    from shortlist.operators.response import nested_response
+    rows = shortlist(requests, catalog, market, strategy=strategy, with_tags=False)
+    rows = rows.withColumn("why_rules", rule_reasons_enhanced())
+    if replies is not None:
+        rows = rp.final_explanations(rows, replies).drop("reply")
+    else:
+        rows = rows.withColumn("why_llm", _text.explanation_with_fallback(F.lit(None).cast("string"), c("rank")))
+    if web_hits is not None:
+        ctx = pr.web_context(rows, web_hits).select("request_id", "rank", "sources")
+        rows = rows.join(ctx, ["request_id", "rank"], "left").withColumn(
+            "sources", F.coalesce(c("sources"), F.array().cast("array<string>")))
+    return nested_response(requests, rows)

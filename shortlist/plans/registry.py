@@ -131,14 +131,19 @@ def q_response_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_response_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, out = _enhanced(spark, sf_dir, with_tags=False)
-    nested = resp.nested_response(t.requests(), out)
+    """The endpoint end to end (``recommend``), flattened for comparison."""
+    from shortlist.plans.recommend import recommend
+    t = Tables(spark, sf_dir)
+    nested = recommend(t.requests(), t.catalog(), t.market(), replies=_replies(spark, sf_dir),
+                       web_hits=web_hits_view(t.raw("documents")))
     return nested.select(
         "request_id", F.size("shortlist").alias("n_items"),
         F.array_join(F.transform("shortlist", lambda x: F.concat(x["brand"], F.lit(" "), x["model"])), ";")
         .alias("items"),
         c("inputs_echo.num_recommendations").alias("echo_num_recommendations"),
-        F.array_join("notes", " || ").alias("notes"))
+        F.array_join("notes", " || ").alias("notes"),
+        F.md5(F.array_join(F.transform("shortlist", lambda x: F.concat_ws(
+            "#", x["why_rules"], x["why_llm"], F.array_join(x["sources"], ","))), "\n")).alias("texts_md5"))
 
 
 def q_response_display(spark: SparkSession, sf_dir: str) -> DataFrame:
