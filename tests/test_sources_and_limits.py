@@ -90,3 +90,11 @@ def test_nested_response(spark, tables):
         scores = [i["score"] for i in r["shortlist"]]
         assert all(0.0 <= s <= 1.0 for s in scores)
         assert r["notes"]
+
+
+def test_first_n_distributed_equals_take_ordered(spark):
+    from shortlist.operators.dedup import first_n
+    df = spark.range(0, 5000, numPartitions=7).select((F.col("id") * 7919 % 5000).alias("k"), "id")
+    small = sorted(r["k"] for r in first_n(df, [F.col("k")], 1234).collect())
+    big = sorted(r["k"] for r in first_n(df, [F.col("k")], 1234, take_ordered_max=10).collect())
+    assert small == big == list(range(1234))
