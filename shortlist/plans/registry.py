@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from shortlist.functions import scoring as sc
 from shortlist.functions import text as T
 from shortlist.operators import response as resp
-from shortlist.operators.requests import coerce_form, split_valid, validation_errors, with_defaults
+from shortlist.operators.requests import coerce_form, validation_errors, with_defaults
 from shortlist.plans import oracle as O
 from shortlist.plans.recommend import shortlist, shortlist_basic
 from shortlist.session import cut_lineage
