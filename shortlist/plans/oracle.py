@@ -1090,3 +1090,14 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, CAST(n_
        array_to_string(coalesce(category, []::VARCHAR[]), ', ') || ' needs.' END) || ' ' || array_to_string(adds, ' ')
     ELSE norm END) AS text_md5
 FROM d1"""
+
+
+def reply_alignment() -> str:
+    return with_ctes(*ENHANCED_BASE, REPLIES, PARSED) + f"""
+, first_reply AS (
+  SELECT * FROM parsed QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY turn) = 1
+)
+SELECT r.request_id, CAST(r.rank AS INTEGER) AS rank, f.method,
+  md5(CASE WHEN f.items IS NOT NULL THEN coalesce(f.items[r.rank], {sql_str(GENERIC_REPLY_TEXT)}) END) AS reply_md5,
+  f.items IS NOT NULL AND f.items[r.rank] IS NULL AS generic_fill
+FROM ranked r LEFT JOIN first_reply f ON r.request_id = f.request_id"""

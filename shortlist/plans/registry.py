@@ -16,6 +16,7 @@ from shortlist.functions import scoring as sc
 from shortlist.functions import text as T
 from shortlist.operators import response as resp
 from shortlist.operators.requests import coerce_form, validation_errors, with_defaults
+from shortlist import schemas as S
 from shortlist.plans import oracle as O
 from shortlist.plans.recommend import shortlist, shortlist_basic
 from shortlist.session import cut_lineage
@@ -368,6 +369,18 @@ def q_reply_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.md5(F.array_join("items", " || ")).alias("items_md5"))
 
 
+def q_reply_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reply for each candidate by rank; the generic line where the
+    list is shorter than the shortlist."""
+    _, rows = _enhanced(spark, sf_dir, with_tags=False)
+    parsed = rp.first_reply(_replies(spark, sf_dir))
+    a = rows.join(parsed.select("request_id", "items", "method"), "request_id", "left")
+    picked = F.try_element_at(c("items"), c("rank").cast("int"))
+    reply = F.when(c("items").isNotNull(), F.coalesce(picked, F.lit(S.GENERIC_REPLY)))
+    return a.select("request_id", c("rank").cast("int").alias("rank"), "method", F.md5(reply).alias("reply_md5"),
+                    (c("items").isNotNull() & picked.isNull()).alias("generic_fill"))
+
+
 def q_final_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, rows = _enhanced(spark, sf_dir, with_tags=False)
     out = rp.final_explanations(rows, _replies(spark, sf_dir))
@@ -441,6 +454,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "detail_prompts": (q_detail_prompts, O.detail_prompts()),
     "tech_lookup": (q_tech_lookup, O.tech_lookup()),
     "reply_parsing": (q_reply_parsing, O.reply_parsing()),
+    "reply_alignment": (q_reply_alignment, O.reply_alignment()),
     "final_explanations": (q_final_explanations, O.final_explanations()),
     "explanation_quality": (q_explanation_quality, O.explanation_quality()),
     "explanation_depth": (q_explanation_depth, O.explanation_depth()),

@@ -98,3 +98,19 @@ def test_first_n_distributed_equals_take_ordered(spark):
     small = sorted(r["k"] for r in first_n(df, [F.col("k")], 1234).collect())
     big = sorted(r["k"] for r in first_n(df, [F.col("k")], 1234, take_ordered_max=10).collect())
     assert small == big == list(range(1234))
+
+
+def test_market_from_enhanced_catalog(spark, tables):
+    part = tables.raw("part")
+    e = en.enrich_catalog(tables.catalog(), search_results_view(part), product_pages_view(part))
+    m = en.market_from_enhanced(e)
+    assert m.count() == tables.catalog().select("brand", "model").distinct().count()
+    assert spark.range(1).select(market_flag(m)).first()[0] is True
+    assert m.filter(F.col("review_count") > 0).count() > 0
+
+
+def test_domain_lists(spark):
+    from shortlist.operators.requests import domain_lists
+    rows = domain_lists(spark).collect()
+    assert [r["value"] for r in rows if r["list"] == "race_distance"] == S.RACE_DISTANCES
+    assert [r["value"] for r in rows if r["list"] == "use_category"] == S.USE_CATEGORIES
