@@ -31,7 +31,7 @@ from shortlist.functions.predicates import allowed_tags, basic_ok, brand_ok, car
 c = F.col
 
 DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
-DEFAULT_PAIRS_PER_TASK = 4_000_000
+DEFAULT_PAIRS_PER_TASK = 1_000_000
 
 
 def conf_int(df: DataFrame, key: str, default: int) -> int:
