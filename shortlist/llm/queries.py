@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shortlist.llm import exact_dedup, mixing, quality_rules, secret_scan, token_counts, toxicity
+from shortlist.llm import exact_dedup, minhash_dedup, mixing, quality_rules, secret_scan, token_counts, toxicity
 from shortlist.sources.tables import read_table
 
 
@@ -40,6 +40,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_groups(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op1_secret_scan": (op1_secret_scan, None),
     "op2_exact_dedup": (op2_exact_dedup, None),
     "op3_quality_rules": (op3_quality_rules, None),
+    "op4_minhash_dedup": (op4_minhash_dedup, None),
     "op5_toxicity": (op5_toxicity, None),
     "op7_token_counts": (op7_token_counts, None),
     "op8_mixing": (op8_mixing, None),

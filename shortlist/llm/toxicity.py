@@ -32,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +49,7 @@ L2 = 3e-4
 COUNTERFACTUAL = 1.0
 STEPS = 250
 KNOWN = 500_000
+ROWS = 10_000
 
 #: Identity terms by kind; a term is swapped for the next of its kind.
 IDENTITIES = (
@@ -108,20 +110,23 @@ def training_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str,
 
 def feature_counts(sample: DataFrame) -> DataFrame:
     """feature, n_toxic, n of the sample, pre-aggregated in each task."""
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         all_docs: Counter = Counter()
         toxic: Counter = Counter()
-        for frame in frames:
-            for t, y in zip(frame["text"], frame["y"]):
-                found = {f for w in counts_of(t or "") for f in features_of(w)}
+        for batch in batches:
+            for t, y in zip(batch.column(0), batch.column(1)):
+                found = {f for w in counts_of(t.as_py() or "") for f in features_of(w)}
                 all_docs.update(found)
-                if y:
+                if y.as_py():
                     toxic.update(found)
         names = list(all_docs)
-        yield pd.DataFrame({"feature": names, "n": [all_docs[f] for f in names],
-                            "n_toxic": [toxic[f] for f in names]})
+        table = pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.string()), pa.array([all_docs[f] for f in names], pa.int64()),
+             pa.array([toxic[f] for f in names], pa.int64())], ["feature", "n", "n_toxic"])
+        for at in range(0, len(names), ROWS):
+            yield table.slice(at, ROWS)
 
-    each = sample.mapInPandas(count, "feature string, n bigint, n_toxic bigint")
+    each = sample.mapInArrow(count, "feature string, n bigint, n_toxic bigint")
     return each.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
 
 
