@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shortlist.llm import exact_dedup, minhash_dedup, mixing, quality_rules, secret_scan, suffix_dedup, token_counts, toxicity
+from shortlist.llm import exact_dedup, minhash_dedup, mixing, packing, quality_rules, secret_scan, suffix_dedup, token_counts, toxicity
 from shortlist.sources.tables import read_table
 
 
@@ -61,6 +61,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.remove_repeats(documents(spark, sf_dir))
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["stop"] - s["start"])
@@ -76,5 +80,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op5_toxicity": (op5_toxicity, None),
     "op7_token_counts": (op7_token_counts, None),
     "op8_mixing": (op8_mixing, None),
+    "op9_packing": (op9_packing, None),
     "op10_suffix_dedup": (op10_suffix_dedup, None),
 }
