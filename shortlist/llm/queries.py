@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shortlist.llm import exact_dedup, minhash_dedup, mixing, packing, quality_rules, secret_scan, suffix_dedup, token_counts, toxicity
+from shortlist.llm import exact_dedup, minhash_dedup, mixing, packing, pii, quality_rules, secret_scan, suffix_dedup, token_counts, toxicity
 from shortlist.sources.tables import read_table
 
 
@@ -48,6 +48,17 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.pseudonymise(documents(spark, sf_dir))
+
+    def count(*kinds: str) -> Column:
+        return F.size(F.filter("__entities", lambda k: k.isin(*kinds))).cast("bigint")
+
+    return done.select(
+        "doc_id", "text", *[count(k).alias(f"n_{k}") for k in ("email", "phone", "card", "ip", "ssn", "iban")],
+        count("surname").alias("n_person"))
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
     return public_tokenizers.path(name)
@@ -78,6 +89,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op3_quality_rules": (op3_quality_rules, None),
     "op4_minhash_dedup": (op4_minhash_dedup, None),
     "op5_toxicity": (op5_toxicity, None),
+    "op6_pii": (op6_pii, None),
     "op7_token_counts": (op7_token_counts, None),
     "op8_mixing": (op8_mixing, None),
     "op9_packing": (op9_packing, None),
