@@ -9,7 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shortlist.llm import exact_dedup, minhash_dedup, mixing, packing, pii, quality_rules, secret_scan, suffix_dedup, token_counts, toxicity
+from shortlist.llm import (exact_dedup, minhash_dedup, mixing, packing, pii, quality_rules, secret_scan, sql,
+                           suffix_dedup, token_counts, toxicity)
 from shortlist.sources.tables import read_table
 
 
@@ -85,13 +86,13 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_secret_scan": (op1_secret_scan, None),
-    "op2_exact_dedup": (op2_exact_dedup, None),
-    "op3_quality_rules": (op3_quality_rules, None),
-    "op4_minhash_dedup": (op4_minhash_dedup, None),
+    "op2_exact_dedup": (op2_exact_dedup, sql.EXACT_DEDUP),
+    "op3_quality_rules": (op3_quality_rules, sql.QUALITY_RULES),
+    "op4_minhash_dedup": (op4_minhash_dedup, sql.MINHASH_DEDUP),
     "op5_toxicity": (op5_toxicity, None),
     "op6_pii": (op6_pii, None),
     "op7_token_counts": (op7_token_counts, None),
     "op8_mixing": (op8_mixing, None),
     "op9_packing": (op9_packing, None),
-    "op10_suffix_dedup": (op10_suffix_dedup, None),
+    "op10_suffix_dedup": (op10_suffix_dedup, sql.SUFFIX_DEDUP),
 }
