@@ -99,11 +99,9 @@ def apportion(units: DataFrame, keys: list[str], votes: str, seats: int) -> Data
     missing = seats - got[many]
     if missing <= 0:
         return base
-    more = base.select(*keys, v.alias("__v"), F.explode(F.sequence(F.col("quota"), rounded(few) - 1)).alias("__j")) \
-        if got[few] > got[many] else None
-    if more is None:
-        return base
-    more = more.filter(F.col("__j") >= 0).withColumn("__q", F.col("__v") / (2 * F.col("__j") + 1))
+    more = base.filter(rounded(few) > F.col("quota")).select(
+        *keys, v.alias("__v"), F.explode(F.sequence(F.col("quota"), rounded(few) - 1)).alias("__j"))
+    more = more.withColumn("__q", F.col("__v") / (2 * F.col("__j") + 1))
     won = more.orderBy(F.desc("__q"), *[F.col(k).asc_nulls_last() for k in keys], "__j").limit(int(missing))
     won = won.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.count(F.lit(1)).alias("__more"))
     on = F.lit(True)
