@@ -44,23 +44,32 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``. Only when it is unset (local tests) a private
-    folder is created; it is registered with the context once."""
+    ``spark.checkpoint.dir``. Only in local mode, where driver and tasks share
+    a disk, an unset folder is replaced by a private one, once a session."""
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
         d = tempfile.mkdtemp(prefix="shortlist-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", d)
-        except Exception:  # noqa: BLE001 - static in some deployments; the context setting suffices
-            pass
+        spark.conf.set("spark.checkpoint.dir", d)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives the
-    loss of executors, unlike a local checkpoint)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    loss of executors, unlike a local checkpoint). The shuffle files that only
+    its computation needed are deleted with its end."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # the setting holds for frames made from here on
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
