@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shortlist.schemas import (BRAND_PATTERNS, CATEGORY_WORDS, CUSHION_WORDS, DROP_PATTERN, GENDER_PREFIX,
+from shortlist.schemas import (BLOCK_TAGS, BRAND_PATTERNS, CATEGORY_WORDS, CUSHION_WORDS, DROP_PATTERN, ENTITIES,
+                               GENDER_PREFIX,
                                OUNCE_GRAMS, PLATE_PATTERNS, PRICE_MAX, PRICE_MIN, SALE_MIN_GAP,
                                STABILITY_WORDS, STACK_PATTERN, WEIGHT_PATTERN, WIDE_WORDS)
 
@@ -37,22 +38,36 @@ def _any_contains(text: Column, words: list[str]) -> Column:
 # --- X1 / X2 page level ------------------------------------------------------------
 
 def visible_text(html: Column) -> Column:
-    """Drop scripts, styles, comments and tags, unescape the common
-    entities, collapse whitespace, lower-case."""
-    t = F.regexp_replace(html, r"(?is)<script\b.*?</script>", " ")
-    t = F.regexp_replace(t, r"(?is)<style\b.*?</style>", " ")
-    t = F.regexp_replace(t, r"(?s)<!--.*?-->", " ")
+    """The text a browser shows, lower-cased: scripts, styles, comments and
+    tags go, block elements and ``<br>`` begin a new line, other white space is
+    one space, named entities are decoded."""
+    t = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</(script|style)>|(?s)<!--.*?-->", " ")
+    t = F.regexp_replace(t, r"\s+", " ")
+    t = F.regexp_replace(t, f"(?i)</?(?:{BLOCK_TAGS})(?:\\s[^>]*)?/?>", "\n")
     t = F.regexp_replace(t, r"<[^>]*>", " ")
-    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "&lt;", "<"), "&gt;", ">"), "&quot;", '"')
-    t = F.regexp_replace(t, "&amp;", "&")
-    return F.lower(collapse_spaces(t))
+    for name, char in ENTITIES:
+        t = F.replace(t, F.lit(f"&{name};"), F.lit(char))
+    t = F.regexp_replace(F.regexp_replace(t, " +", " "), " ?\n[ \n]*", "\n")
+    return F.lower(F.btrim(t, F.lit(" \n")))
 
 
 def absolute_hrefs(page_url: Column, html: Column) -> Column:
-    """All anchor hrefs of a page, resolved against the page's origin."""
+    """All anchor hrefs of a page (either kind of quotes, ``&amp;`` decoded),
+    resolved against the page's URL: absolute, ``//host``, ``/path``,
+    ``?query`` and relative ones."""
+    scheme = F.regexp_extract(page_url, r"^([a-z]+:)//", 1)
     origin = F.regexp_extract(page_url, r"^([a-z]+://[^/?#]+)", 1)
-    hrefs = F.regexp_extract_all(html, F.lit(r'<a\s[^>]*href="([^"]*)"'), F.lit(1))
-    return F.transform(hrefs, lambda h: F.when(h.startswith("/"), F.concat(origin, h)).otherwise(h))
+    page = F.regexp_extract(page_url, r"^[^?#]*", 0)
+    folder = F.when(page == origin, F.concat(origin, F.lit("/"))).otherwise(F.regexp_replace(page, r"[^/]*$", ""))
+    quoted = F.regexp_extract_all(html, F.lit(r"""(?i)<a\s[^>]*href\s*=\s*("[^"]*"|'[^']*')"""), F.lit(1))
+
+    def resolve(q: Column) -> Column:
+        h = F.replace(F.substring(q, F.lit(2), F.length(q) - 2), F.lit("&amp;"), F.lit("&"))
+        return (F.when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), h).when(h.startswith("//"), F.concat(scheme, h))
+                .when(h.startswith("/"), F.concat(origin, h)).when(h.startswith("?"), F.concat(page, h))
+                .when(h.startswith("#") | (h == ""), F.concat(page, h)).otherwise(F.concat(folder, h)))
+
+    return F.transform(quoted, resolve)
 
 
 def pagination_links(page_url: Column, html: Column, site_host: Column) -> Column:
@@ -79,7 +94,7 @@ def title_case(s: Column) -> Column:
     anything else is kept (so "3d" becomes "3D")."""
     runs = F.regexp_extract_all(s, F.lit(r"[A-Za-z]+|[^A-Za-z]+"), F.lit(0))
     return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)),
-                                                              F.lower(F.substring(r, 2, 1 << 20)))), "")
+                                                              F.lower(F.substring(r, F.lit(2), F.length(r))))), "")
 
 
 def card_title(aria: Column, text: Column, sibling: Column, href: Column) -> Column:
@@ -180,7 +195,7 @@ def weight_g(text: Column) -> Column:                                  # X10
     groups = [F.nullif(F.regexp_extract(text, WEIGHT_PATTERN, i), F.lit("")) for i in range(1, 3)]
     oz = F.coalesce(*groups).cast("double")
     # round() to the nearest int, half-even on the exact binary value
-    return F.call_function("format_number", oz * OUNCE_GRAMS, F.lit("0")).cast("int")
+    return F.call_function("format_number", oz * OUNCE_GRAMS, F.lit("0")).try_cast("int")
 
 
 def cushioning(text: Column) -> Column:                                # X11

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 c = F.col
 
+#: The use tags that filters look at, in the order of their mask bits.
+USE_TAGS = ("daily", "easy", "tempo", "race", "long")
+
 
 def brand_ok() -> Column:                                          # F1 / J8
     prefs = c("r_prefs")
@@ -48,7 +51,7 @@ def basic_ok() -> Column:                                          # F1 and F3 (
 def allowed_tags(enhanced: bool) -> Column:
     """Category tags that satisfy the request's intended use: a product
     passes F3/F4 exactly when its category overlaps this set. Used to turn
-    the theta join into an equi join on tag."""
+    the theta join into an equi join on the tag mask."""
     tags = F.array_distinct(F.array_compact(F.array(
         F.when(c("r_easy"), F.lit("daily")), F.when(c("r_easy"), F.lit("easy")),
         F.when(c("r_tempo"), F.lit("tempo")), F.when(c("r_tempo"), F.lit("race")),

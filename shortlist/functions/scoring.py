@@ -72,7 +72,7 @@ def request_gates(requests: DataFrame) -> DataFrame:
 
 
 def budget_ratio() -> Column:
-    return c("price_usd") / c("r_max_usd")
+    return F.try_divide(c("price_usd"), c("r_max_usd"))
 
 
 def brand_in_prefs() -> Column:

@@ -195,4 +195,4 @@ def score_percent(score: Column) -> Column:
 
 
 def title_word(x: Column) -> Column:
-    return F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 1 << 20)))
+    return F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, F.lit(2), F.length(x))))

@@ -2,21 +2,23 @@
 with the market context attached to products (J2) and the global market flag
 (J7).
 
+The brand and use filters (F1, F3/F4) become one equi join. A product has one
+set of use tags, kept as a five-bit mask; a request accepts the masks that
+overlap its own. A request with brand preferences is repeated for each of its
+brands, any other request stands for "any brand", and a product is offered
+under its brand and under "any". So a pair meets in exactly one key, and only
+pairs that pass meet at all; the carbon rule (F2) is left as a filter.
+
 Two physical strategies give the same rows:
 
 * **broadcast**: the product side is broadcast when its row count is
-  checked to be at most ``max_broadcast_rows``; requests stay partitioned by
-  ``request_id`` so the later top-N window needs no further shuffle.
-* **tag join**: when the product side is larger, the theta join becomes an
-  equi join on (category tag, request bucket, product bucket): a grid
-  (1-bucket-theta) partitioning. Requests hash into ``S_r`` buckets and are
-  replicated over the ``S_p`` product buckets of each tag they allow;
-  products hash into ``S_p`` buckets and are replicated over the ``S_r``
-  request buckets of each of their tags. Every (request, product, tag)
-  meets in exactly one cell; a pair is emitted once, on the smallest tag the
-  two share. ``S_r * S_p`` is sized from the pair volume, so even a tag that
-  holds a third of all products (and most requests) is split into cells of
-  about ``shortlist.pairsPerTask`` pairs each. Nothing is broadcast.
+  checked to be at most ``shortlist.broadcast.maxRows``; requests stay
+  partitioned by ``request_id`` so the later top-N window needs no further
+  shuffle.
+* **grid**: when the product side is larger, both sides are also dealt over a
+  grid of request and product buckets and joined on (key, row, column). A key
+  that holds a third of all products (and most requests) is split into cells
+  of about ``shortlist.pairsPerCell`` pairs each. Nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -26,12 +28,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shortlist.functions.predicates import allowed_tags, basic_ok, brand_ok, carbon_ok, enhanced_ok
+from shortlist.functions.predicates import USE_TAGS, allowed_tags, carbon_ok
 
 c = F.col
 
 DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
 DEFAULT_PAIRS_PER_TASK = 1_000_000
+DEFAULT_PAIRS_PER_CELL = 50_000_000
+KEY = ["_any", "_brand", "_mask"]
 
 
 def conf_int(df: DataFrame, key: str, default: int) -> int:
@@ -56,7 +60,7 @@ def pair_partitioned(requests: DataFrame, n_products: int) -> DataFrame:
     per_task = conf_int(requests, "shortlist.pairsPerTask", DEFAULT_PAIRS_PER_TASK)
     n_requests = requests.count()
     floor = spark.sparkContext.defaultParallelism
-    parts = max(floor, min(100_000, math.ceil(n_requests * max(n_products, 1) / per_task)))
+    parts = max(floor, math.ceil(n_requests * max(n_products, 1) / per_task))
     return requests.repartition(parts, "request_id")
 
 
@@ -79,46 +83,61 @@ def market_flag(market: DataFrame | None) -> Column:
     return market.select((F.count(F.lit(1)) > 0).alias("has_market")).scalar()
 
 
+def product_keys(products: DataFrame) -> DataFrame:
+    """Each product under its own brand and under "any brand", with the mask
+    of its use tags. Products without a use tag pass no request."""
+    tags = F.array(*[c(f"p_{t}") for t in USE_TAGS])
+    mask = sum((F.when(F.get(tags, F.lit(i)), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(len(USE_TAGS))),
+               F.lit(0))
+    offers = F.array(F.struct(F.lit(True).alias("any"), F.lit("").alias("brand")),
+                     F.struct(F.lit(False).alias("any"), c("brand").alias("brand")))
+    keyed = products.withColumn("_mask", mask).filter("_mask > 0").withColumn("_o", F.explode(offers))
+    return keyed.withColumns({"_any": c("_o.any"), "_brand": c("_o.brand")}).drop("_o")
+
+
+def request_keys(requests: DataFrame, enhanced: bool) -> DataFrame:
+    """Each request for every brand it prefers (or "any brand") and every mask
+    that overlaps its accepted tags."""
+    accepted = sum((F.when(F.array_contains(c("_tags"), t), F.lit(1 << i)).otherwise(F.lit(0))
+                    for i, t in enumerate(USE_TAGS)), F.lit(0))
+    masks = F.filter(F.sequence(F.lit(1), F.lit((1 << len(USE_TAGS)) - 1)),
+                     lambda m: m.bitwiseAND(c("_accepted")) != 0)
+    prefs = F.transform(F.array_distinct(c("r_prefs")),
+                        lambda b: F.struct(F.lit(False).alias("any"), b.alias("brand")))
+    wants = F.when(F.coalesce(F.size("r_prefs") > 0, F.lit(False)), prefs).otherwise(
+        F.array(F.struct(F.lit(True).alias("any"), F.lit("").alias("brand"))))
+    keyed = requests.withColumn("_tags", allowed_tags(enhanced)).withColumn("_accepted", accepted)
+    keyed = keyed.withColumn("_w", F.explode(wants)).withColumn("_mask", F.explode(masks))
+    return keyed.withColumns({"_any": c("_w.any"), "_brand": c("_w.brand")}).drop("_w", "_tags", "_accepted")
+
+
 def candidate_pairs(requests: DataFrame, products: DataFrame, enhanced: bool = True,
                     strategy: str | None = None) -> DataFrame:
     """All (request, product) pairs passing F6 (enhanced) or F1+F3
     (basic). ``requests`` are prepared (flat) requests, ``products`` a narrow
     product projection with ``catalog_pos`` and ``category``."""
-    cond = enhanced_ok() if enhanced else basic_ok()
     max_rows = conf_int(requests, "shortlist.broadcast.maxRows", DEFAULT_MAX_BROADCAST_ROWS)
     n_products = None
     if strategy is None:
         n_products = bounded_count(products, max_rows)
-        strategy = "broadcast" if n_products <= max_rows else "tag"
-    if strategy == "broadcast":
-        if n_products is None:
-            n_products = bounded_count(products, max_rows)
-        return pair_partitioned(requests, n_products).join(F.broadcast(products), cond, "inner")
-    if strategy != "tag":
+        strategy = "broadcast" if n_products <= max_rows else "grid"
+    if strategy not in ("broadcast", "grid"):
         raise ValueError(f"unknown strategy {strategy}")
     if n_products is None:
         n_products = products.count()
-    spark = requests.sparkSession
-    per_task = conf_int(requests, "shortlist.pairsPerTask", DEFAULT_PAIRS_PER_TASK)
-    n_requests = requests.count()
-    cells = max(1, math.ceil(n_requests * max(n_products, 1) / per_task))
-    side = max(1, math.ceil(math.sqrt(cells)))
-    parts = max(spark.sparkContext.defaultParallelism, min(100_000, cells))
-    grid = ["_tag", "_rb", "_pb"]
-
-    def buckets(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
-
-    prod = (products.withColumn("_tag", F.explode(F.array_distinct(c("category"))))
-            .withColumn("_pb", F.pmod(F.xxhash64("catalog_pos"), F.lit(side)))
-            .withColumn("_rb", buckets(side))
-            .repartition(parts, *grid))
-    reqs = (requests.withColumn("_allowed", allowed_tags(enhanced))
-            .withColumn("_tag", F.explode("_allowed"))
-            .withColumn("_rb", F.pmod(F.xxhash64("request_id"), F.lit(side)))
-            .withColumn("_pb", buckets(side))
-            .repartition(parts, *grid))
-    residual = brand_ok() & (carbon_ok() if enhanced else F.lit(True))
-    pairs = reqs.join(prod, grid, "inner")
-    first_shared = F.array_min(F.array_intersect(c("category"), c("_allowed")))
-    return pairs.filter(residual & (c("_tag") == first_shared)).drop(*grid, "_allowed")
+    if strategy == "broadcast":
+        reqs = request_keys(pair_partitioned(requests, n_products), enhanced)
+        pairs = reqs.join(F.broadcast(product_keys(products)), KEY)
+    else:
+        per_cell = conf_int(requests, "shortlist.pairsPerCell", DEFAULT_PAIRS_PER_CELL)
+        cells = max(1, math.ceil(requests.count() * max(n_products, 1) / per_cell))
+        side = math.ceil(math.sqrt(cells))
+        parts = max(requests.sparkSession.sparkContext.defaultParallelism, cells)
+        grid = [*KEY, "_rb", "_pb"]
+        every = F.explode(F.sequence(F.lit(0), F.lit(side - 1)).cast("array<bigint>"))
+        prod = (product_keys(products).withColumn("_pb", F.pmod(F.xxhash64("catalog_pos"), F.lit(side)))
+                .withColumn("_rb", every).repartition(parts, *grid))
+        reqs = (request_keys(requests, enhanced).withColumn("_rb", F.pmod(F.xxhash64("request_id"), F.lit(side)))
+                .withColumn("_pb", every).repartition(parts, *grid))
+        pairs = reqs.join(prod, grid).drop("_rb", "_pb")
+    return (pairs.filter(carbon_ok()) if enhanced else pairs).drop(*KEY)

@@ -43,11 +43,14 @@ def product_cards(anchors: DataFrame) -> DataFrame:
 def assemble_rows(cards: DataFrame, pages: DataFrame, site: str = DEFAULT_SITE,
                   size: str | None = None) -> DataFrame:
     """Join each card to its product page and build the catalog row
-    with defaults (category ['daily'], price 0.0, plate 'none'). With a
-    ``size``, the size check replaces the spec extraction (as the source
-    does), and size columns are added."""
-    joined = cards.join(pages.withColumnRenamed("url", "page_url"),
-                        F.concat(F.lit(site), c("canonical")) == c("page_url"), "left")
+    with defaults (category ['daily'], price 0.0, plate 'none'). Links that
+    are absolute already are taken as they are; of a page landed more than
+    once the first by its text counts. With a ``size``, the size check
+    replaces the spec extraction (as the source does), and size columns are
+    added."""
+    address = F.when(c("canonical").startswith("/"), F.concat(F.lit(site), c("canonical"))).otherwise(c("canonical"))
+    once = first_per_key(pages, ["url"], [c("body_text")]).withColumnRenamed("url", "page_url")
+    joined = cards.join(once, address == c("page_url"), "left")
     price = X.price_pair(F.coalesce(c("price_texts"), F.array().cast("array<string>")))
     rows = joined.withColumn("_price", price)
     if size is None:
@@ -87,9 +90,9 @@ def build_catalog(anchors: DataFrame, pages: DataFrame, size: str | None = None,
 
 def dedup_catalog(rows: DataFrame) -> DataFrame:
     """First row per brand+model in crawl order; ``catalog_pos`` keeps
-    the crawl order."""
+    the crawl order: the page number above 32 bits of the anchor's place."""
     uniq = first_per_key(rows, ["brand", "model"], [c("page_no"), c("anchor_idx")])
-    return uniq.withColumn("catalog_pos", c("page_no") * 1_000_000 + c("anchor_idx"))
+    return uniq.withColumn("catalog_pos", c("page_no") * F.lit(1 << 32) + c("anchor_idx"))
 
 
 # --- statistics (A1-A3) and facets (A9, A11) ---------------------------------------------
@@ -99,11 +102,12 @@ def spec_found() -> F.Column:
     return (c("plate") != "none") | (d.isNotNull() & (d != 0)) | (w.isNotNull() & (w != 0))
 
 
-def extraction_stats(cards_rows: DataFrame, catalog: DataFrame) -> DataFrame:
+def extraction_stats(cards_rows: DataFrame, catalog: DataFrame, anchors: DataFrame) -> DataFrame:
     """A1: one row. ``cards_rows`` are all assembled rows (before W7),
-    ``catalog`` the deduplicated result. Rates are null on an empty catalog
-    (the source divided by zero)."""
-    pages = cards_rows.select(F.countDistinct("page_no")).scalar()
+    ``catalog`` the deduplicated result, ``anchors`` the landed anchors, whose
+    pages count also without a card. Rates are null on an empty catalog (the
+    source divided by zero)."""
+    pages = anchors.select(F.countDistinct("page_no")).scalar()
     products = cards_rows.select(F.count(F.lit(1))).scalar()
     after = catalog.agg(F.count(F.lit(1)).alias("unique_products"),
                         F.count_if(c("price_usd") > 0).alias("price_ok"),
@@ -114,12 +118,11 @@ def extraction_stats(cards_rows: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def share_by(catalog: DataFrame, key: str) -> DataFrame:
-    """Count and percentage of the catalog per ``key`` (total by a window
-    over the grouped rows: one row per distinct key, not per product)."""
+    """Count and percentage of the catalog per ``key``; the total is a window
+    over the grouped rows (one row per distinct key, not per product)."""
     g = catalog.groupBy(key).agg(F.count(F.lit(1)).alias("count"),
                                  F.min("catalog_pos").alias("first_pos"))
-    total = catalog.select(F.count(F.lit(1))).scalar()
-    return g.withColumn("pct", c("count") * 100.0 / total)
+    return g.withColumn("pct", c("count") * 100.0 / F.sum("count").over(Window.partitionBy()))
 
 
 def plate_breakdown(catalog: DataFrame) -> DataFrame:                    # A2

@@ -36,18 +36,18 @@ def basic_order() -> list[Column]:
     return [c("score").desc(), c("catalog_pos").asc()]
 
 
-def over_budget_quota(pairs: DataFrame, quota: int = OVER_BUDGET_QUOTA) -> DataFrame:
+def over_budget_quota(scored: DataFrame, quota: int = OVER_BUDGET_QUOTA,
+                      bound: int = MAX_RECOMMENDATIONS) -> DataFrame:
     """with the limiter on, only the first ``quota`` over-budget pairs
-    of a request in catalog order survive; within-budget pairs all survive.
-    Only the over-budget subset is ranked (WindowGroupLimit keeps ``quota``
-    rows per request per task)."""
-    over = c("r_limiter") & (c("price_usd") > c("r_max_usd"))
-    flagged = pairs.withColumn("_over", F.coalesce(over, F.lit(False)))
-    keep = flagged.filter(~c("_over"))
-    w = Window.partitionBy("request_id").orderBy(c("catalog_pos"))
-    capped = (flagged.filter(c("_over")).withColumn("_q", F.row_number().over(w))
-              .filter(c("_q") <= quota).drop("_q"))
-    return keep.unionByName(capped).drop("_over")
+    of a request in catalog order survive. ``scored`` has request_id,
+    catalog_pos, score and ``_over``. One pass over the pairs: a window per
+    (request, over budget or not) keeps the first ``quota`` over-budget rows
+    in catalog order, and of the others the ``bound`` best, more than which
+    cannot be ranked (both below a literal, for a WindowGroupLimit)."""
+    w = Window.partitionBy("request_id", "_over").orderBy(
+        F.when(c("_over"), c("catalog_pos")), c("score").desc(), c("catalog_pos").asc())
+    return (scored.withColumn("_q", F.row_number().over(w))
+            .filter((c("_q") <= bound) & (~c("_over") | (c("_q") <= quota))).drop("_q", "_over"))
 
 
 def preview(ranked: DataFrame, k: int = 5, rank_col: str = "rank") -> DataFrame:

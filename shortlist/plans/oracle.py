@@ -450,6 +450,10 @@ SELECT request_id, len(errs) = 0 AS valid, array_to_string(errs, '; ') AS errors
   FROM raw_req)"""
 
 
+def rejected_requests() -> str:
+    return f"SELECT request_id, errors FROM ({request_validation()}) WHERE NOT valid"
+
+
 def form_coercion() -> str:
     def w(name: str, shift: int) -> str:
         m = f"((k + {shift}) % 4)"
@@ -506,7 +510,7 @@ anchor_base AS (
 ),
 anchors AS (
   SELECT page_no, CAST(slot * 2 + copy AS INTEGER) AS anchor_idx,
-    path || CASE WHEN copy = 1 THEN '?view=image' WHEN k % 4 = 1 THEN '?color=' || CAST(k % 3 AS VARCHAR)
+    CASE WHEN k % 7 = 6 THEN 'https://shop.example.com' ELSE '' END || path || CASE WHEN copy = 1 THEN '?view=image' WHEN k % 4 = 1 THEN '?color=' || CAST(k % 3 AS VARCHAR)
                  WHEN k % 4 = 2 THEN '#reviews' ELSE '' END AS href,
     CASE WHEN m = 0 THEN 'Men''s ' || title WHEN m = 1 THEN 'Shoe' END AS aria_label,
     CASE WHEN m <= 2 THEN title WHEN m = 3 THEN '' ELSE 'New' END AS text,
@@ -658,35 +662,60 @@ crawl_rows AS (
     coalesce(s.s_category, ['daily']) AS category,
     coalesce(list_max(s.ps), 0.0) AS price_usd,
     coalesce(s.s_plate, 'none') AS plate, s.s_drop_mm AS drop_mm, s.s_weight_g AS weight_g
-  FROM cards c LEFT JOIN page_specs s ON 'https://shop.example.com' || c.canonical = s.url
+  FROM cards c LEFT JOIN page_specs s ON CASE WHEN starts_with(c.canonical, '/')
+    THEN 'https://shop.example.com' || c.canonical ELSE c.canonical END = s.url
 ),
 built AS (
-  SELECT *, page_no * 1000000 + anchor_idx AS catalog_pos FROM crawl_rows
+  SELECT *, page_no * 4294967296 + anchor_idx AS catalog_pos FROM crawl_rows
   QUALIFY row_number() OVER (PARTITION BY brand, model ORDER BY page_no, anchor_idx) = 1
 )"""
 
 
 def page_text() -> str:
-    v = ("lower(" + collapse("regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace("
-         "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', ' ', 'g'), "
-         "'(?is)<style\\b.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), "
-         "'&lt;', '<', 'g'), '&gt;', '>', 'g'), '&quot;', '\"', 'g'), '&amp;', '&', 'g')") + ")")
+    t = ("regexp_replace(html, '(?is)<(script|style)\\b.*?</(script|style)>|(?s)<!--.*?-->', ' ', 'g')")
+    t = f"regexp_replace({t}, '\\s+', ' ', 'g')"
+    t = (f"regexp_replace({t}, '(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|"
+         "form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)"
+         "(?:\\s[^>]*)?/?>', chr(10), 'g')")
+    t = f"regexp_replace({t}, '<[^>]*>', ' ', 'g')"
+    for name, char in [("nbsp", " "), ("copy", "\u00a9"), ("reg", "\u00ae"), ("trade", "\u2122"),
+                       ("middot", "\u00b7"), ("bull", "\u2022"), ("ndash", "\u2013"), ("mdash", "\u2014"),
+                       ("hellip", "\u2026"), ("lsquo", "\u2018"), ("rsquo", "\u2019"), ("ldquo", "\u201c"),
+                       ("rdquo", "\u201d"), ("laquo", "\u00ab"), ("raquo", "\u00bb"), ("euro", "\u20ac"),
+                       ("pound", "\u00a3"), ("#39", "''"), ("apos", "''"), ("quot", '"'), ("lt", "<"), ("gt", ">"),
+                       ("amp", "&")]:
+        t = f"replace({t}, '&{name};', '{char}')"
+    t = f"regexp_replace(regexp_replace({t}, ' +', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g')"
     return f"""
 SELECT page_id, CAST(length(v) AS INTEGER) AS text_chars, md5(v) AS text_md5
-FROM (SELECT page_id, {v} AS v FROM pages)"""
+FROM (SELECT page_id, lower(trim({t}, ' ' || chr(10))) AS v FROM pages)"""
 
 
 def page_links() -> str:
     return """
-WITH l AS (
+WITH p AS (
+  SELECT page_id, url,
+    CASE WHEN page_id % 1 = 0 THEN '<a href="?page=2">2</a>' ELSE '' END ||
+    CASE WHEN page_id % 2 = 0 THEN '<a class=''next'' href=''list?page=3&amp;sort=new''>3</a>' ELSE '' END ||
+    CASE WHEN page_id % 3 = 0 THEN '<a href="/shoes?page=4">4</a>' ELSE '' END ||
+    CASE WHEN page_id % 4 = 0 THEN '<A HREF = ''//other.example.net/?page=5''>5</A>' ELSE '' END ||
+    CASE WHEN page_id % 5 = 0 THEN '<a rel="next" href="https://other.example.net/x?page=6">6</a>' ELSE '' END ||
+    CASE WHEN page_id % 6 = 0 THEN '<a href="#page=7">7</a>' ELSE '' END || coalesce(html, '') AS html FROM pages
+),
+l AS (
   SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host,
-    regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS origin,
-    regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1) AS hrefs FROM pages
+    regexp_extract(url, '^([a-z]+:)//', 1) AS scheme, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS origin,
+    regexp_extract(url, '^[^?#]*', 0) AS page,
+    list_transform(regexp_extract_all(html, '(?i)<a\\s[^>]*href\\s*=\\s*("[^"]*"|''[^'']*'')', 1),
+                   lambda q: replace(substr(q, 2, len(q) - 2), '&amp;', '&')) AS hrefs FROM p
 ),
+f AS (SELECT *, CASE WHEN page = origin THEN origin || '/' ELSE regexp_replace(page, '[^/]*$', '') END AS folder FROM l),
 r AS (
   SELECT page_id, list_concat([url], list_filter(
-    list_transform(hrefs, lambda h: CASE WHEN starts_with(h, '/') THEN origin || h ELSE h END),
-    lambda h: contains(h, host) AND contains(h, 'page='))) AS all_links FROM l
+    list_transform(hrefs, lambda h: CASE WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN h
+      WHEN starts_with(h, '//') THEN scheme || h WHEN starts_with(h, '/') THEN origin || h
+      WHEN starts_with(h, '?') OR starts_with(h, '#') OR h = '' THEN page || h ELSE folder || h END),
+    lambda h: contains(h, host) AND contains(h, 'page='))) AS all_links FROM f
 ),
 d AS (
   SELECT page_id, list_filter(all_links, lambda x, i: list_position(all_links, x) = i) AS links FROM r
@@ -743,7 +772,7 @@ SPEC_FOUND = "(plate <> 'none' OR (drop_mm IS NOT NULL AND drop_mm <> 0) OR (wei
 
 def extraction_stats() -> str:
     return with_ctes(*BUILD) + f"""
-SELECT (SELECT count(DISTINCT page_no) FROM crawl_rows) AS pages, (SELECT count(*) FROM crawl_rows) AS products,
+SELECT (SELECT count(DISTINCT page_no) FROM anchors) AS pages, (SELECT count(*) FROM crawl_rows) AS products,
   count(*) AS unique_products, count_if(price_usd > 0) AS price_ok, count_if({SPEC_FOUND}) AS specs_ok,
   round(CASE WHEN count(*) > 0 THEN count_if(price_usd > 0) * 100.0 / count(*) END, 6) AS price_rate,
   round(CASE WHEN count(*) > 0 THEN count_if({SPEC_FOUND}) * 100.0 / count(*) END, 6) AS specs_rate
@@ -790,7 +819,9 @@ search_src AS (
     'https://shop.example.com' || {SLUG} AS url FROM part
 ),
 search AS (
-  SELECT CAST(k AS BIGINT) AS query_pos, 1 AS pos, 'https://shop.example.com/sale' AS href, 'Sale items' AS link_text
+  SELECT CAST(k AS BIGINT) AS query_pos, 1 AS pos, CASE WHEN k % 4 = 0
+      THEN 'https://shop.example.com/blog/review' ELSE 'https://shop.example.com/sale' END AS href,
+    CASE WHEN k % 4 = 0 THEN brand || ' ' || p_name ELSE 'Sale items' END AS link_text
   FROM search_src
   UNION ALL
   SELECT k, 2, url, CASE WHEN k % 3 <> 0 THEN lower(brand) || ' ' || split_part(p_name, ' ', 1)
@@ -800,6 +831,7 @@ search AS (
 ),
 matched AS (
   SELECT c.catalog_pos, s.pos, s.href FROM catalog c JOIN search s ON s.query_pos = c.catalog_pos
+    AND contains(s.href, '/product/')
     AND contains(lower(s.link_text), lower(c.brand))
     AND len(list_filter(string_split_regex(lower(c.model), '\\s+'),
                         lambda w: w <> '' AND contains(lower(s.link_text), w))) > 0
@@ -923,7 +955,7 @@ web_hits AS (
 ),
 hits AS (
   SELECT *, substr(replace({strip('content')}, {NL}, ' '), 1, 600) AS snippet FROM web_hits
-  WHERE pos <= 1 AND coalesce({strip('content')}, '') <> ''
+  WHERE pos <= 2 AND coalesce({strip('content')}, '') <> ''
 ),
 ctx AS (
   SELECT r.request_id, r.rank, r.catalog_pos,

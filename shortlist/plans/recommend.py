@@ -17,7 +17,8 @@ from shortlist.operators.candidates import (DEFAULT_MAX_BROADCAST_ROWS, bounded_
                                             candidate_pairs, conf_int, market_flag, with_market)
 from shortlist.operators.ranking import (basic_order, enhanced_order, over_budget_quota,
                                          top_n_per_request)
-from shortlist.operators.requests import prepare_requests
+from shortlist.operators.requests import prepare_requests, split_valid
+from shortlist.session import cut_lineage
 
 c = F.col
 
@@ -57,8 +58,9 @@ def shortlist(requests: DataFrame, catalog: DataFrame, market: DataFrame | None
     that sees every candidate pair); request flags, product attributes,
     market columns and the audit tags are joined to the <= 20 survivors.
     ``extra_scores`` (name -> Column over the scored pairs) are carried
-    through the ranking, e.g. the score components."""
-    prepared = prepare_requests(requests)
+    through the ranking, e.g. the score components. Invalid requests (R3) get
+    no rows, see ``rejected_requests``."""
+    prepared = prepare_requests(split_valid(requests)[0])
     scored = scored_candidates(requests, catalog, market, strategy, prepared=prepared)
     extra = dict(extra_scores or {})
     if extra:
@@ -78,37 +80,48 @@ def shortlist(requests: DataFrame, catalog: DataFrame, market: DataFrame | None
 
 
 def shortlist_basic(requests: DataFrame, catalog: DataFrame, strategy: str | None = None) -> DataFrame:
-    """Basic engine: F1 + F3, over-budget quota F5, C1 score, W1 top-N."""
-    reqs = prepare_requests(requests)
+    """Basic engine: F1 + F3, over-budget quota F5, C1 score, W1 top-N.
+    Invalid requests (R3) get no rows, see ``rejected_requests``."""
+    reqs = prepare_requests(split_valid(requests)[0])
     products = sc.product_features(catalog.select(*SCORING_COLS))
     pairs = candidate_pairs(reqs, products, enhanced=False, strategy=strategy)
-    pairs = over_budget_quota(pairs).withColumn("ratio", sc.budget_ratio())
-    scored = pairs.select("request_id", "catalog_pos", "r_n", sc.basic_score().alias("score"))
-    ranked = top_n_per_request(scored, basic_order(), c("r_n")).drop("r_n")
+    pairs = pairs.withColumn("ratio", sc.budget_ratio())
+    over = F.coalesce(c("r_limiter") & (c("price_usd") > c("r_max_usd")), F.lit(False))
+    scored = pairs.select("request_id", "catalog_pos", "r_n", over.alias("_over"), sc.basic_score().alias("score"))
+    ranked = top_n_per_request(over_budget_quota(scored), basic_order(), c("r_n")).drop("r_n")
     ranked = ranked.join(reqs.select("request_id", *REQUEST_FLAGS), "request_id")
     return _attach(ranked, catalog, ["brand", "model", "category", "price_usd", "plate",
                                      "drop_mm", "weight_g"])
 
 
+def rejected_requests(requests: DataFrame) -> DataFrame:
+    """request_id and error codes of the requests that are not answered."""
+    return split_valid(requests)[1]
+
+
 def recommend(requests: DataFrame, catalog: DataFrame, market: DataFrame | None = None,
               replies: DataFrame | None = None, web_hits: DataFrame | None = None,
-              strategy: str | None = None) -> DataFrame:
+              strategy: str | None = None, web_limit: int = 1) -> DataFrame:
     """The whole endpoint as one plan: one response row per request with
     the echoed request, the ranked items (``why_rules`` from T2, ``why_llm``
     from the replies table or the fallback text, ``sources`` from the web
-    context of ranks <= 2) and the notes (A10, T16, T18)."""
+    context of ranks <= 2) and the notes (A10, T16, T18). Only valid requests
+    are answered; ``rejected_requests`` gives the others with their errors.
+    The shortlist (at most 20 narrow rows a request) is written once, as
+    items, notes and web context all read it."""
     from shortlist.functions.text import rule_reasons_enhanced
     from shortlist.operators import prompts as pr
     from shortlist.operators import replies as rp
     from shortlist.operators.response import nested_response
-    rows = shortlist(requests, catalog, market, strategy=strategy, with_tags=False)
+    requests = split_valid(requests)[0]
+    rows = cut_lineage(shortlist(requests, catalog, market, strategy=strategy, with_tags=False))
     rows = rows.withColumn("why_rules", rule_reasons_enhanced())
     if replies is not None:
         rows = rp.final_explanations(rows, replies).drop("reply")
     else:
         rows = rows.withColumn("why_llm", _text.explanation_with_fallback(F.lit(None).cast("string"), c("rank")))
     if web_hits is not None:
-        ctx = pr.web_context(rows, web_hits).select("request_id", "rank", "sources")
+        ctx = pr.web_context(rows, web_hits, limit=web_limit).select("request_id", "rank", "sources")
         rows = rows.join(ctx, ["request_id", "rank"], "left").withColumn(
             "sources", F.coalesce(c("sources"), F.array().cast("array<string>")))
     return nested_response(requests, rows)

@@ -27,7 +27,7 @@ from shortlist.operators import enrich as en
 from shortlist.operators import prompts as pr
 from shortlist.operators import replies as rp
 from shortlist.operators.requests import prepare_requests
-from shortlist.sources.views import (catalog_view, listing_anchors_view, llm_replies_view, market_view,
+from shortlist.sources.views import (catalog_view, listing_anchors_view, llm_replies_view, market_view, paginated_view,
                                      product_pages_view, raw_forms_view, raw_requests_view, requests_view,
                                      search_results_view, tech_lookups_view, web_hits_view)
 
@@ -136,7 +136,7 @@ def q_response_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shortlist.plans.recommend import recommend
     t = Tables(spark, sf_dir)
     nested = recommend(t.requests(), t.catalog(), t.market(), replies=_replies(spark, sf_dir),
-                       web_hits=web_hits_view(t.raw("documents")))
+                       web_hits=web_hits_view(t.raw("documents")), web_limit=2)
     return nested.select(
         "request_id", F.size("shortlist").alias("n_items"),
         F.array_join(F.transform("shortlist", lambda x: F.concat(x["brand"], F.lit(" "), x["model"])), ";")
@@ -173,6 +173,12 @@ def q_request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.array_join(errs, "; ").alias("errors"))
 
 
+def q_rejected_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shortlist.plans.recommend import rejected_requests
+    out = rejected_requests(raw_requests_view(Tables(spark, sf_dir).raw("customer")))
+    return out.select("request_id", F.array_join("errors", "; ").alias("errors"))
+
+
 def q_form_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
     req = coerce_form(raw_forms_view(Tables(spark, sf_dir).raw("customer")))
     iu, cl, w = c("intended_use"), c("cost_limiter"), c("weights")
@@ -195,7 +201,7 @@ def q_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     host = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
     links = X.pagination_links(c("url"), c("html"), host)
-    return Tables(spark, sf_dir).raw("pages").select(
+    return paginated_view(Tables(spark, sf_dir).raw("pages")).select(
         "page_id", F.size(links).alias("n_links"), F.array_join(links, " ").alias("links"))
 
 
@@ -256,7 +262,7 @@ def q_catalog_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_extraction_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, built = _crawl(spark, sf_dir)
-    st = cat.extraction_stats(rows, built)
+    st = cat.extraction_stats(rows, built, _anchors(spark, sf_dir))
     return st.select("pages", "products", "unique_products", "price_ok", "specs_ok", r6("price_rate"),
                      r6("specs_rate"))
 
@@ -332,7 +338,7 @@ def q_comparison_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _web(spark, sf_dir, rows):
-    return pr.web_context(rows, web_hits_view(Tables(spark, sf_dir).raw("documents")))
+    return pr.web_context(rows, web_hits_view(Tables(spark, sf_dir).raw("documents")), limit=2)
 
 
 def q_web_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -430,6 +436,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "response_display": (q_response_display, O.response_display()),
     "request_defaults": (q_request_defaults, O.request_defaults()),
     "request_validation": (q_request_validation, O.request_validation()),
+    "rejected_requests": (q_rejected_requests, O.rejected_requests()),
     "form_coercion": (q_form_coercion, O.form_coercion()),
     "page_text": (q_page_text, O.page_text()),
     "page_links": (q_page_links, O.page_links()),

@@ -127,7 +127,7 @@ CATALOG = StructType([
 
 ENHANCED_DATA = StructType([
     StructField("reviews", StructType([
-        StructField("count", IntegerType()),
+        StructField("count", LongType()),
         StructField("average_rating", DoubleType()),
         StructField("recent_reviews", ArrayType(StringType())),
     ])),
@@ -325,3 +325,14 @@ Provide evidence-based technical analysis with specific examples."""
 
 ANALYSIS_SYSTEM = ("You are a running shoe expert. Provide a concise 2-3 sentence analysis. "
                    "Vary your wording across items; avoid identical phrasing.")
+
+
+# Fixed values of HTML: elements that begin a new line, and named entities
+# (the ampersand last, so that nothing is decoded twice).
+BLOCK_TAGS = ("address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|"
+              "li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul")
+ENTITIES = [("nbsp", " "), ("copy", "\u00a9"), ("reg", "\u00ae"), ("trade", "\u2122"), ("middot", "\u00b7"),
+            ("bull", "\u2022"), ("ndash", "\u2013"), ("mdash", "\u2014"), ("hellip", "\u2026"),
+            ("lsquo", "\u2018"), ("rsquo", "\u2019"), ("ldquo", "\u201c"), ("rdquo", "\u201d"),
+            ("laquo", "\u00ab"), ("raquo", "\u00bb"), ("euro", "\u20ac"), ("pound", "\u00a3"),
+            ("#39", "'"), ("apos", "'"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")]

