@@ -59,7 +59,7 @@ def rule_reasons_enhanced() -> Column:
               .when(truthy & c("r_easy") & (w >= 250) & (w <= 320),
                     F.concat(F.lit("Balanced weight ("), num_text(w),
                              F.lit("g) for comfortable training"))))
-    ratio = c("price_usd") / c("r_max_usd")
+    ratio = F.try_divide(c("price_usd"), c("r_max_usd"))
     budget = (F.when(c("r_limiter") & (ratio <= 0.8), F.lit("Excellent value within budget"))
               .when(c("r_limiter") & (ratio > 1.0), F.lit("Premium option with advanced features")))
     n, r = c("mk_review_count"), c("mk_rating")

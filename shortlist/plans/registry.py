@@ -17,6 +17,7 @@ from shortlist.functions import text as T
 from shortlist.operators import response as resp
 from shortlist.operators.requests import coerce_form, validation_errors, with_defaults
 from shortlist import schemas as S
+from shortlist.plans import branches
 from shortlist.plans import oracle as O
 from shortlist.plans.recommend import shortlist, shortlist_basic
 from shortlist.session import cut_lineage
@@ -466,4 +467,5 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "explanation_quality": (q_explanation_quality, O.explanation_quality()),
     "explanation_depth": (q_explanation_depth, O.explanation_depth()),
     "shortlist_stream": (q_shortlist_stream, O.shortlist_enhanced()),
+    **branches.QUERIES,
 }
