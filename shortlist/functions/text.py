@@ -26,8 +26,12 @@ def _join(parts: list[Column], sep: str, default: str) -> Column:
 
 
 def num_text(x: Column) -> Column:
-    """Python ``str()`` of an int or float column (ints stay ints)."""
-    return x.cast("string")
+    """Python ``str()`` of an int or float column (ints stay ints). A large
+    double is not written with an exponent, as Spark's own cast would."""
+    text = x.cast("string")
+    plain = F.concat(x.cast("decimal(38,0)").cast("string"), F.lit(".0"))
+    whole = text.contains("E") & (F.abs(x) >= 1e7) & (F.abs(x) < 1e16)
+    return F.when(whole, plain).otherwise(text)
 
 
 # --- T1 / T2 rule reasons -----------------------------------------------------
@@ -166,6 +170,23 @@ def explanation_with_fallback(reply: Column, rank: Column) -> Column:     # T12
     return F.concat(body, rank_suffix(rank))
 
 
+def rule_explanation(rank: Column) -> Column:                            # T12
+    """The sentence for when the analysis of one shoe fails."""
+    kinds = F.concat(F.lit("['"), F.array_join(c("category"), "', '"), F.lit("']"))
+    kinds = F.when(c("category").isNull(), F.lit("None")).when(F.size("category") == 0, F.lit("[]")).otherwise(kinds)
+    return F.concat(
+        F.lit("This "), c("brand"), F.lit(" "), c("model"), F.lit(" is recommended for your use case based on its "),
+        F.coalesce(c("plate"), F.lit("None")), F.lit(" construction and "), kinds,
+        F.lit(" design. **RECOMMENDATION #"), rank.cast("string"), F.lit("**: "),
+        F.when(rank == 1, F.lit("Top choice")).otherwise(F.lit("Strong alternative option")),
+        F.lit(" with specific advantages."))
+
+
+def comparison_fallback(n_shoes: Column) -> Column:                      # T13
+    return F.concat(F.lit("Comparative analysis temporarily unavailable. All "), n_shoes.cast("string"),
+                    F.lit(" shoes meet your basic requirements with varying strengths in different areas."))
+
+
 def comparison_gate(n_shoes: Column) -> Column:                          # T13
     return F.when(n_shoes < 2, F.lit("Comparative analysis requires at least 2 shoes."))
 
@@ -194,5 +215,28 @@ def score_percent(score: Column) -> Column:
     return fmt_fixed(score * 100.0, 1)
 
 
+def title_words(x: Column) -> Column:
+    """Every word capitalised; words begin after white space, dashes and
+    opening brackets."""
+    runs = F.regexp_extract_all(x, F.lit(r"[-\s({\[<]+|[^-\s({\[<]+"), F.lit(0))
+    return F.array_join(F.transform(runs, title_word), "")
+
+
+def request_labels() -> dict[str, Column]:
+    """The request summary of the result page."""
+    races = F.coalesce(F.size("r_races") > 0, F.lit(False))
+    uses = F.array_join(F.array_compact(F.array(
+        F.when(c("r_easy"), F.lit("Easy Runs")), F.when(c("r_tempo"), F.lit("Tempo Runs")),
+        F.when(c("r_long"), F.lit("Long Runs")), F.when(races, F.lit("Races")),
+        F.when(c("r_trail"), F.lit("Trail")))), ", ")
+    return {
+        "brands_label": F.when(F.coalesce(F.size("r_prefs") > 0, F.lit(False)), F.array_join("r_prefs", ", "))
+        .otherwise(F.lit("Any brand")),
+        "carbon_label": F.when(c("r_allow_carbon"), F.lit("Included")).otherwise(F.lit("Excluded")),
+        "use_label": F.when(uses == "", F.lit("General running")).otherwise(uses),
+        "budget_label": F.when(c("r_limiter"), F.concat(F.lit("$"), num_text(c("r_max_usd"))))
+        .otherwise(F.lit("No limit"))}
+
+
 def title_word(x: Column) -> Column:
     return F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, F.lit(2), F.length(x))))

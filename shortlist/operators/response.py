@@ -65,9 +65,15 @@ def nested_response(requests: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def display_columns(rows: DataFrame) -> DataFrame:
-    """Score percentage, over-budget highlight, title-cased labels."""
+    """Score percentage, over-budget highlight, title-cased labels; drop
+    and weight only where they are not 0."""
+    drop, weight = c("drop_mm"), c("weight_g").cast("double")
     return rows.select(
         "request_id", "rank",
         T.score_percent(c("score")).alias("score_pct"),
         (c("r_limiter") & (c("price_usd") > c("r_max_usd"))).alias("over_budget_flag"),
-        T.title_word(F.coalesce(c("plate"), F.lit("none"))).alias("plate_label"))
+        T.title_words(F.coalesce(c("plate"), F.lit("none"))).alias("plate_label"),
+        T.title_words(F.array_join("category", ", ")).alias("category_label"),
+        F.concat(F.lit("$"), T.num_text(c("price_usd"))).alias("price_label"),
+        F.when(drop != 0, F.concat(T.num_text(drop), F.lit("mm"))).alias("drop_label"),
+        F.when(weight != 0, F.concat(T.num_text(weight), F.lit("g"))).alias("weight_label"))

@@ -263,6 +263,45 @@ spares AS (SELECT lookup_id, md5({spare}) AS fallback_md5 FROM lookups JOIN cata
 SELECT lookup_id, found, text_md5, fallback_md5 FROM texts JOIN spares USING (lookup_id)"""
 
 
+def request_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The request summary of the result page."""
+    reqs = prepare_requests(_requests(spark, sf_dir))
+    return reqs.select("request_id", *[x.alias(n) for n, x in T.request_labels().items()])
+
+
+def request_labels_sql() -> str:
+    return O.with_ctes(O.REQUESTS) + """
+SELECT request_id, CASE WHEN coalesce(len(r_prefs) > 0, false) THEN array_to_string(r_prefs, ', ')
+    ELSE 'Any brand' END AS brands_label,
+  CASE WHEN r_allow_carbon THEN 'Included' ELSE 'Excluded' END AS carbon_label,
+  coalesce(nullif(array_to_string(list_filter(list_value(CASE WHEN r_easy THEN 'Easy Runs' END,
+    CASE WHEN r_tempo THEN 'Tempo Runs' END, CASE WHEN r_long THEN 'Long Runs' END,
+    CASE WHEN len(r_races) > 0 THEN 'Races' END, CASE WHEN r_trail THEN 'Trail' END), lambda x: x IS NOT NULL), ', '),
+    ''), 'General running') AS use_label,
+  CASE WHEN r_limiter THEN '$' || CAST(r_max_usd AS VARCHAR) ELSE 'No limit' END AS budget_label FROM requests"""
+
+
+def fallback_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a shortlist says when no analysis answers."""
+    market = market_view(src.read_table(spark, sf_dir, "lineitem"), _catalog(spark, sf_dir))
+    rows = shortlist(_requests(spark, sf_dir), _catalog(spark, sf_dir), market, with_tags=False)
+    return rows.select("request_id", c("rank").cast("int").alias("rank"),
+                       T.rule_explanation(c("rank")).alias("explanation"),
+                       F.when(c("rank") >= 2, T.comparison_fallback(c("rank"))).alias("comparison"))
+
+
+def fallback_explanations_sql() -> str:
+    return O.with_ctes(*O.ENHANCED_BASE) + """
+SELECT request_id, CAST(rank AS INTEGER) AS rank,
+  'This ' || brand || ' ' || model || ' is recommended for your use case based on its ' || coalesce(plate, 'None') ||
+  ' construction and [' || array_to_string(list_transform(category, lambda x: chr(39) || x || chr(39)), ', ') ||
+  '] design. **RECOMMENDATION #' || CAST(rank AS VARCHAR) || '**: ' ||
+  CASE WHEN rank = 1 THEN 'Top choice' ELSE 'Strong alternative option' END || ' with specific advantages.' AS explanation,
+  CASE WHEN rank >= 2 THEN 'Comparative analysis temporarily unavailable. All ' || CAST(rank AS VARCHAR) ||
+    ' shoes meet your basic requirements with varying strengths in different areas.' END AS comparison
+FROM ranked"""
+
+
 QUERIES = {
     "catalog_roundtrip": (catalog_roundtrip, catalog_roundtrip_sql()),
     "enriched_roundtrip": (enriched_roundtrip, O.enriched_catalog()),
@@ -275,5 +314,7 @@ QUERIES = {
     "size_catalog": (size_catalog, size_catalog_sql()),
     "unpriced_scores": (unpriced_scores, unpriced_scores_sql()),
     "shortlist_enriched_market": (shortlist_enriched_market, shortlist_enriched_market_sql()),
+    "request_labels": (request_labels, request_labels_sql()),
+    "fallback_explanations": (fallback_explanations, fallback_explanations_sql()),
     "tech_lookup_enriched": (tech_lookup_enriched, tech_lookup_enriched_sql()),
 }

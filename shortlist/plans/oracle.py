@@ -367,18 +367,23 @@ def response_nested() -> str:
   SELECT * FROM parsed QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY turn) = 1
 ),
 full_items AS (
-  SELECT r.request_id, r.rank, r.brand, r.model, {REASONS_ENHANCED} AS why_rules, ({body}) || ({suffix}) AS why_llm,
+  SELECT r.request_id, r.rank, r.brand, r.model, concat_ws('/',
+      CAST(round(greatest(0.0, least(1.0, adjusted_score)), 4) AS VARCHAR), CAST(price_usd AS VARCHAR),
+      coalesce(plate, '-'), coalesce(CAST(drop_mm AS VARCHAR), '-'),
+      coalesce(CAST(CAST(weight_g AS DOUBLE) AS VARCHAR), '-'), array_to_string(category, '+')) AS fields,
+    {REASONS_ENHANCED} AS why_rules, ({body}) || ({suffix}) AS why_llm,
     coalesce(x.sources, []::VARCHAR[]) AS sources
   FROM ranked r LEFT JOIN first_reply f ON r.request_id = f.request_id
   LEFT JOIN ctx x ON r.request_id = x.request_id AND r.rank = x.rank
 ),
 items AS (
   SELECT request_id, string_agg(brand || ' ' || model, ';' ORDER BY rank) AS items,
+    string_agg(fields, ';' ORDER BY rank) AS item_fields,
     string_agg(why_rules || '#' || why_llm || '#' || array_to_string(sources, ','), {NL} ORDER BY rank) AS texts
   FROM full_items GROUP BY request_id
 )
 SELECT n.request_id, CAST(n.n_items AS INTEGER) AS n_items, coalesce(i.items, '') AS items,
-  r.r_n AS echo_num_recommendations, {NOTES_TEXT} AS notes, md5(coalesce(i.texts, '')) AS texts_md5
+  r.r_n AS echo_num_recommendations, {NOTES_TEXT} AS notes, coalesce(i.item_fields, '') AS item_fields, md5(coalesce(i.texts, '')) AS texts_md5
 FROM notes n JOIN preq r ON n.request_id = r.request_id
 LEFT JOIN items i ON n.request_id = i.request_id"""
 
@@ -388,7 +393,11 @@ def response_display() -> str:
 SELECT request_id, CAST(rank AS INTEGER) AS rank,
   printf('%.1f', greatest(0.0, least(1.0, adjusted_score)) * 100.0) AS score_pct,
   r_limiter AND price_usd > r_max_usd AS over_budget_flag,
-  upper(substr(coalesce(plate, 'none'), 1, 1)) || lower(substr(coalesce(plate, 'none'), 2)) AS plate_label
+  upper(substr(coalesce(plate, 'none'), 1, 1)) || lower(substr(coalesce(plate, 'none'), 2)) AS plate_label,
+  array_to_string(list_transform(category, lambda x: upper(substr(x, 1, 1)) || substr(x, 2)), ', ') AS category_label,
+  '$' || CAST(price_usd AS VARCHAR) AS price_label,
+  CASE WHEN drop_mm <> 0 THEN CAST(drop_mm AS VARCHAR) || 'mm' END AS drop_label,
+  CASE WHEN weight_g <> 0 THEN CAST(CAST(weight_g AS DOUBLE) AS VARCHAR) || 'g' END AS weight_label
 FROM ranked"""
 
 
@@ -925,10 +934,39 @@ short_full AS (
 )"""
 
 
+def _json_list(x: str) -> str:
+    return (f"coalesce('[' || array_to_string(list_transform({x}, lambda e: '\"' || e || '\"'), ', ') || ']', 'null')")
+
+
+INPUTS_JSON = ("""'{"brand_preferences": ' || """ + _json_list("r_prefs")
+               + """ || ', "intended_use": {"easy_runs": ' || CAST(r_easy AS VARCHAR) || ', "tempo_runs": ' ||
+  CAST(r_tempo AS VARCHAR) || ', "long_runs": ' || CAST(r_long AS VARCHAR) || ', "races": ' || """
+               + _json_list("r_races")
+               + """ || ', "trail": ' || CAST(r_trail AS VARCHAR) || '}, "cost_limiter": {"enabled": ' ||
+  CAST(r_limiter AS VARCHAR) || ', "max_usd": ' || CAST(r_max_usd AS VARCHAR) || '}, "num_recommendations": ' ||
+  CAST(r_n AS VARCHAR) || ', "allow_carbon": ' || CAST(r_allow_carbon AS VARCHAR) || ', "weights": ' ||
+  CASE WHEN request_id % 6 = 5 THEN 'null' ELSE '{"brand": ' || CAST(w_brand AS VARCHAR) || ', "budget": ' ||
+  CAST(w_budget AS VARCHAR) || ', "easy_runs": ' || CAST(w_easy AS VARCHAR) || ', "tempo_runs": ' ||
+  CAST(w_tempo AS VARCHAR) || ', "long_runs": ' || CAST(w_long AS VARCHAR) || ', "races": ' ||
+  CAST(w_races AS VARCHAR) || '}' END || '}'""")
+
+
 def candidate_prompts() -> str:
+    from shortlist.schemas import SYSTEM_PROMPT, USER_TEMPLATE
     return with_ctes(*ENHANCED_BASE, SHORT_FULL) + f"""
-SELECT request_id, count(*) AS n_candidates, string_agg({CANDIDATE_LINE}, {NL} ORDER BY rank) AS candidate_table
-FROM short_full GROUP BY request_id"""
+, tables AS (
+  SELECT request_id, count(*) AS n_candidates, string_agg({CANDIDATE_LINE}, {NL} ORDER BY rank) AS candidate_table
+  FROM short_full GROUP BY request_id
+),
+prompts AS (
+  SELECT t.*, {INPUTS_JSON} AS inputs_json FROM tables t JOIN requests USING (request_id)
+),
+filled AS (
+  SELECT *, replace(replace({sql_str(USER_TEMPLATE)}, '{{{{inputs_json}}}}', inputs_json), '{{{{candidate_table}}}}',
+    candidate_table) AS user_prompt FROM prompts
+)
+SELECT request_id, n_candidates, candidate_table, inputs_json, CAST(length(user_prompt) AS INTEGER) AS prompt_chars,
+  md5(user_prompt) AS user_prompt_md5, md5({sql_str(SYSTEM_PROMPT)}) AS system_prompt_md5 FROM filled"""
 
 
 def comparison_prompts() -> str:

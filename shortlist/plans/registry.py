@@ -144,6 +144,11 @@ def q_response_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("items"),
         c("inputs_echo.num_recommendations").alias("echo_num_recommendations"),
         F.array_join("notes", " || ").alias("notes"),
+        F.array_join(F.transform("shortlist", lambda x: F.concat_ws(
+            "/", F.round(x["score"], 4).cast("string"), x["price_usd"].cast("string"),
+            F.coalesce(x["plate"], F.lit("-")), F.coalesce(x["drop_mm"].cast("string"), F.lit("-")),
+            F.coalesce(x["weight_g"].cast("string"), F.lit("-")), F.array_join(x["category"], "+"))), ";")
+        .alias("item_fields"),
         F.md5(F.array_join(F.transform("shortlist", lambda x: F.concat_ws(
             "#", x["why_rules"], x["why_llm"], F.array_join(x["sources"], ","))), "\n")).alias("texts_md5"))
 
@@ -151,7 +156,8 @@ def q_response_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_response_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, out = _enhanced(spark, sf_dir, with_tags=False)
     return resp.display_columns(out).select("request_id", c("rank").cast("int").alias("rank"),
-                                            "score_pct", "over_budget_flag", "plate_label")
+                                            "score_pct", "over_budget_flag", "plate_label", "category_label",
+                                            "price_label", "drop_label", "weight_label")
 
 
 def q_request_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -328,7 +334,9 @@ def _short_full(spark, sf_dir):
 def q_candidate_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, rows = _short_full(spark, sf_dir)
     p = pr.candidate_prompts(rows, t.requests())
-    return p.select("request_id", "n_candidates", "candidate_table")
+    return p.select("request_id", "n_candidates", "candidate_table", "inputs_json",
+                    F.length("user_prompt").alias("prompt_chars"), F.md5("user_prompt").alias("user_prompt_md5"),
+                    F.md5("system_prompt").alias("system_prompt_md5"))
 
 
 def q_comparison_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
