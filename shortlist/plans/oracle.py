@@ -1057,9 +1057,12 @@ conv_lines AS (
 ),
 replies AS (
   SELECT CAST(conv_id AS BIGINT) AS request_id, CAST(turn AS BIGINT) AS turn,
-    CASE conv_id % 5 WHEN 0 THEN js WHEN 1 THEN '```json' || {NL} || js || {NL} || '```'
-      WHEN 2 THEN 'Here you go: ' || js || ' Thanks.' WHEN 3 THEN text
-      ELSE '["' || regexp_replace(coalesce(ls[1], ''), '["\\\\]', '', 'g') || '", 1]' END AS reply_text
+    CASE WHEN conv_id % 20 = 15 THEN '[]' WHEN conv_id % 5 = 0 THEN js
+      WHEN conv_id % 10 = 1 THEN '```json' || {NL} || js || {NL} || '```'
+      WHEN conv_id % 10 = 6 THEN '```' || {NL} || js || {NL} || '```'
+      WHEN conv_id % 5 = 2 THEN 'Here you go: ' || js || ' Thanks.' WHEN conv_id % 5 = 3 THEN text
+      ELSE '["' || array_to_string(list_transform(ls, lambda x: regexp_replace(x, '["\\\\]', '', 'g')), '", "')
+        || '", 1]' END AS reply_text
   FROM (SELECT *, CAST(to_json(ls) AS VARCHAR) AS js FROM conv_lines)
 )"""
 
@@ -1143,7 +1146,8 @@ def explanation_depth() -> str:
     return with_ctes(CATALOG, REQUESTS) + f"""
 , d0 AS (
   SELECT v.conv_id, v.turn, {norm} AS norm, c.*, r.r_limiter, r.r_max_usd
-  FROM conversations v JOIN catalog c ON c.catalog_pos = v.conv_id JOIN preq r ON r.request_id = v.conv_id
+  FROM conversations v LEFT JOIN catalog c ON c.catalog_pos = v.conv_id
+  LEFT JOIN preq r ON r.request_id = v.conv_id
   WHERE v.role = 'assistant'
 ),
 d1 AS (
@@ -1164,10 +1168,7 @@ FROM d1"""
 
 def reply_alignment() -> str:
     return with_ctes(*ENHANCED_BASE, REPLIES, PARSED) + f"""
-, first_reply AS (
-  SELECT * FROM parsed QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY turn) = 1
-)
-SELECT r.request_id, CAST(r.rank AS INTEGER) AS rank, f.method,
+SELECT r.request_id, CAST(r.rank AS INTEGER) AS rank, f.turn, f.method,
   md5(CASE WHEN f.items IS NOT NULL THEN coalesce(f.items[r.rank], {sql_str(GENERIC_REPLY_TEXT)}) END) AS reply_md5,
   f.items IS NOT NULL AND f.items[r.rank] IS NULL AS generic_fill
-FROM ranked r LEFT JOIN first_reply f ON r.request_id = f.request_id"""
+FROM ranked r LEFT JOIN parsed f ON r.request_id = f.request_id"""

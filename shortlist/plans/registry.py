@@ -385,14 +385,14 @@ def q_reply_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_reply_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The reply for each candidate by rank; the generic line where the
-    list is shorter than the shortlist."""
+    """Every reply (turn) of a request aligned to its candidates by rank;
+    the generic line where the list is shorter than the shortlist."""
     _, rows = _enhanced(spark, sf_dir, with_tags=False)
-    parsed = rp.first_reply(_replies(spark, sf_dir))
-    a = rows.join(parsed.select("request_id", "items", "method"), "request_id", "left")
+    parsed = rp.parse_replies(_replies(spark, sf_dir))
+    a = rows.join(parsed.select("request_id", "turn", "items", "method"), "request_id", "left")
     picked = F.try_element_at(c("items"), c("rank").cast("int"))
     reply = F.when(c("items").isNotNull(), F.coalesce(picked, F.lit(S.GENERIC_REPLY)))
-    return a.select("request_id", c("rank").cast("int").alias("rank"), "method", F.md5(reply).alias("reply_md5"),
+    return a.select("request_id", c("rank").cast("int").alias("rank"), "turn", "method", F.md5(reply).alias("reply_md5"),
                     (c("items").isNotNull() & picked.isNull()).alias("generic_fill"))
 
 
@@ -413,8 +413,8 @@ def q_explanation_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     conv = t.raw("conversations").filter(c("role") == "assistant").select("conv_id", "turn", "text")
     reqs = prepare_requests(t.requests()).select("request_id", "r_limiter", "r_max_usd")
-    j = (conv.join(t.catalog(), c("catalog_pos") == c("conv_id"))
-         .join(reqs, c("request_id") == c("conv_id")))
+    j = (conv.join(t.catalog(), c("catalog_pos") == c("conv_id"), "left")
+         .join(reqs, c("request_id") == c("conv_id"), "left"))
     norm = rp.collapse_spaces(F.coalesce(c("text"), F.lit("")))
     return j.select(c("conv_id").cast("bigint").alias("conv_id"), c("turn").cast("bigint").alias("turn"),
                     rp.sentence_count(norm).alias("n_sentences"),

@@ -351,18 +351,20 @@ def web_hits_view(documents: DataFrame) -> DataFrame:
 
 
 def llm_replies_view(conversations: DataFrame) -> DataFrame:
-    """Model replies keyed by request (``conv_id``): each assistant turn
-    wrapped by ``conv_id % 5`` as a plain JSON array, a fenced array, an
-    array inside prose, bare prose, or an array with a non-string."""
+    """Model replies keyed by request (``conv_id``) and turn: each assistant
+    turn wrapped by ``conv_id`` as a plain JSON array (sometimes an empty
+    one), an array fenced with or without a language tag, an array inside
+    prose, bare prose, or an array with a non-string."""
     cv = F.col("conv_id")
     lines = F.filter(F.split(F.col("text"), "\n"), lambda x: x != "")
     js = F.to_json(lines)
-    first = F.regexp_replace(F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit("")), '["\\\\]', "")
-    reply = (F.when(cv % 5 == 0, js)
-             .when(cv % 5 == 1, F.concat(F.lit("```json\n"), js, F.lit("\n```")))
+    plain = F.transform(lines, lambda x: F.regexp_replace(x, '["\\\\]', ""))
+    reply = (F.when(cv % 20 == 15, F.lit("[]")).when(cv % 5 == 0, js)
+             .when(cv % 10 == 1, F.concat(F.lit("```json\n"), js, F.lit("\n```")))
+             .when(cv % 10 == 6, F.concat(F.lit("```\n"), js, F.lit("\n```")))
              .when(cv % 5 == 2, F.concat(F.lit("Here you go: "), js, F.lit(" Thanks.")))
              .when(cv % 5 == 3, F.col("text"))
-             .otherwise(F.concat(F.lit('["'), first, F.lit('", 1]'))))
+             .otherwise(F.concat(F.lit('["'), F.array_join(plain, '", "'), F.lit('", 1]'))))
     return conversations.filter(F.col("role") == "assistant").select(
         cv.cast("bigint").alias("request_id"), F.col("turn").cast("bigint").alias("turn"),
         reply.alias("reply_text"))
