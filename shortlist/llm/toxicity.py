@@ -45,7 +45,7 @@ MAX_FEATURES = 3_000
 MIN_DOCUMENTS = 4
 PREFIXES = (3, 4, 5, 6, 7)
 THRESHOLD = 0.7
-L2 = 3e-4
+L2 = 3e-5
 COUNTERFACTUAL = 1.0
 STEPS = 250
 KNOWN = 500_000
