@@ -211,17 +211,17 @@ PRODUCT_PAGES = StructType([
     StructField("feature_lists", ArrayType(ArrayType(StringType()))),
 ])
 
+# Results and hits are keyed by the catalog row whose search gave them, replies
+# by request and turn.
 SEARCH_RESULTS = StructType([
-    StructField("brand", StringType()),
-    StructField("model", StringType()),
+    StructField("query_pos", LongType()),
     StructField("pos", IntegerType()),
     StructField("href", StringType()),
     StructField("link_text", StringType()),
 ])
 
 WEB_HITS = StructType([
-    StructField("brand", StringType()),
-    StructField("model", StringType()),
+    StructField("catalog_pos", LongType()),
     StructField("pos", IntegerType()),
     StructField("url", StringType()),
     StructField("content", StringType()),
@@ -229,6 +229,7 @@ WEB_HITS = StructType([
 
 LLM_REPLIES = StructType([
     StructField("request_id", LongType()),
+    StructField("turn", LongType()),
     StructField("reply_text", StringType()),
 ])
 

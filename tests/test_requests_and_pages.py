@@ -149,3 +149,23 @@ def test_unset_checkpoint_folder_on_a_cluster_is_an_error():
                            sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         checkpoint_dir(fake)
+
+
+def test_views_have_the_landing_schemas_and_operators_run_on_them(spark, tables):
+    from shortlist.operators.replies import first_reply
+    from shortlist.sources import views as V
+    names = lambda schema: [f.name for f in schema.fields]
+    part = tables.raw("part")
+    landed = [(V.listing_anchors_view(part), S.LISTING_ANCHORS), (V.product_pages_view(part), S.PRODUCT_PAGES),
+              (V.search_results_view(part), S.SEARCH_RESULTS), (V.web_hits_view(tables.raw("documents")), S.WEB_HITS),
+              (V.llm_replies_view(tables.raw("conversations")), S.LLM_REPLIES),
+              (V.raw_forms_view(tables.raw("customer")), S.RAW_FORM)]
+    for view, schema in landed:
+        assert set(names(schema)) <= set(view.columns), schema
+    empty = lambda schema: spark.createDataFrame([], schema)
+    catalog = empty(S.CATALOG)
+    assert en.enrich_catalog(catalog, empty(S.SEARCH_RESULTS), empty(S.PRODUCT_PAGES)).count() == 0
+    assert cat.build_catalog(empty(S.LISTING_ANCHORS), empty(S.PRODUCT_PAGES)).count() == 0
+    assert first_reply(empty(S.LLM_REPLIES)).count() == 0
+    rows = spark.createDataFrame([], "request_id bigint, rank int, catalog_pos bigint")
+    assert web_context(rows, empty(S.WEB_HITS)).count() == 0
