@@ -210,14 +210,6 @@ def score_pairs(pairs: DataFrame, has_market: Column) -> DataFrame:
             .withColumn("adjusted_score", c("original_score") * c("adjustment_multiplier")))
 
 
-def dynamic_score(has_market: Column) -> Column:
-    """0.4*C2 + 0.3*C3 + 0.2*C4 + 0.1*C5 clamped to [0,1]; an unknown price
-    (the reference's failure path) scores 0.5. Needs the ``ratio`` column."""
-    s = base_compatibility() * 0.4 + technical_advantage() * 0.3 + \
-        market_positioning(has_market) * 0.2 + specialty_bonus() * 0.1
-    return F.when(c("price_usd").isNull(), F.lit(0.5)).otherwise(clamp(s, 0.0, 1.0))
-
-
 # --- C9-C12 re-ranking multiplier ----------------------------------------------------
 
 def budget_multiplier() -> Column:                                       # C9

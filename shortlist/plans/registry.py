@@ -404,9 +404,16 @@ def q_final_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_explanation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C15 on assistant texts; by conv_id one in six is blank, and others end
+    with a generic sentence or with one to three technical words."""
     conv = Tables(spark, sf_dir).raw("conversations").filter(c("role") == "assistant")
+    kind = c("conv_id") % 6
+    text = (F.when(kind == 0, F.lit("  ")).when(kind == 1, F.concat("text", F.lit(" Carbon.")))
+            .when(kind == 2, F.concat("text", F.lit(" Carbon, low drop.")))
+            .when(kind == 3, F.concat("text", F.lit(" Carbon, low drop, light weight.")))
+            .when(kind == 4, F.concat("text", F.lit(" " + S.GENERIC_REPLY))).otherwise(c("text")))
     return conv.select(c("conv_id").cast("bigint").alias("conv_id"), c("turn").cast("bigint").alias("turn"),
-                       sc.explanation_quality(c("text")).alias("quality_multiplier"))
+                       sc.explanation_quality(text).alias("quality_multiplier"))
 
 
 def q_explanation_depth(spark: SparkSession, sf_dir: str) -> DataFrame:

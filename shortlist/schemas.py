@@ -324,9 +324,6 @@ Focus Area: {focus_area}
 
 Provide evidence-based technical analysis with specific examples."""
 
-ANALYSIS_SYSTEM = ("You are a running shoe expert. Provide a concise 2-3 sentence analysis. "
-                   "Vary your wording across items; avoid identical phrasing.")
-
 
 # Fixed values of HTML: elements that begin a new line, and named entities
 # (the ampersand last, so that nothing is decoded twice).
