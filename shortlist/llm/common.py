@@ -35,3 +35,20 @@ def text_or_empty(name: str = "text") -> Column:
 def word_count(text: Column) -> Column:
     """Number of words, bigint."""
     return F.regexp_count(text, F.lit(WORD)).cast("bigint")
+
+
+#: A group with more than this share of all rows is hot; there are at most
+#: 1 / HOT_SHARE such groups.
+HOT_SHARE = 1 / 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """rows joined to the one row that ``groups`` has for their ``key`` (not
+    null, and with its number of rows in ``size``). Hot groups, a thousand at
+    most, are broadcast, so that their rows stay where they are; all others
+    meet by a shuffle of bounded groups."""
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = F.broadcast(groups.filter(F.col(size) > total * HOT_SHARE))
+    cold = groups.filter(F.col(size) <= total * HOT_SHARE)
+    rest = rows.join(hot.select(key), key, "left_anti").join(cold, key)
+    return rows.join(hot, key).unionByName(rest)

@@ -5,16 +5,18 @@ starts in a document with a smaller id. Positions are ranked by longer and
 longer prefixes, and leave as soon as their rank is that of one document only.
 A rank here is a 64-bit hash of the prefix: equal ranks mean equal strings,
 which is all that a threshold needs; Spark sorts the ranks and compares
-neighbours. Hashes double: 1, 2, 4, 8, 16 bytes give the first rank; 32 and
-50 (pairs of ranks at offsets 16, 32 and 48) the last.
+neighbours. Hashes double: 1, 2, 4, 8, 16, 20 bytes give the first rank; 32,
+48 and 50 (pairs of ranks at offsets 16, 32 and 48) the last.
 
 Sorting all positions would shuffle some 20 times the text. Instead positions
 that share their first-level rank travel as one row: position p is ranked by
-the smallest 16-byte rank among the 35 that lie within its 50 bytes, which is
+the smallest 20-byte rank among the 31 that lie within its 50 bytes, which is
 equal wherever the 50 bytes stand. Neighbouring positions mostly share it, so
-there is a run of about 18 positions a row.
+there is a run of about 16 positions a row.
 
-1. ``first_ranks``: Spark sorts the 16-byte ranks; those of one document only
+0. ``whole_copies``: a text that is all of a smaller document's text goes as
+   a whole, by its hash, and takes no part in the rest.
+1. ``first_ranks``: Spark sorts the 20-byte ranks; those of one document only
    leave. Inside a batch a rank is sent once, however many documents have it.
 2. ``open_runs``: documents meet their surviving ranks. Inside a part of the
    batch equal 50-byte strings are resolved on the spot: all but those of the
@@ -42,18 +44,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shortlist.llm.common import col
+from shortlist.llm.common import col, join_groups
 from shortlist.llm.vectors import BASE, BYTE_VALUE, U64, chunks, raw_texts
 from shortlist.session import cut_lineage
 
 LENGTH = 50
-SHORT = 16
+SHORT = 20
 WIDTH = LENGTH - SHORT + 1
 PIECE = 1 << 18
 #: Bytes of text whose strings are resolved together in a task.
 PART = 4 << 20
 #: Ranges (16 bytes each) up to which they are broadcast to the texts.
-BROADCAST_RANGES = 2_000_000
+BROADCAST_RANGES = 200_000
+#: Ids of whole copies (8 bytes each) up to which they are broadcast.
+BROADCAST_IDS = 2_000_000
 ROWS = 20_000
 SPREAD = U64(0xD6E8FEB86659FD93)
 LAST_ID = (1 << 63) - 1
@@ -79,7 +83,7 @@ def prefix_ranks(raw: np.ndarray, full: bool) -> tuple[np.ndarray, np.ndarray |
     h4 = _doubled(h2, 2, h2, 2)
     h8 = _doubled(h4, 4, h4, 4)
     h16 = _doubled(h8, 8, h8, 8)
-    low = h16 * SPREAD
+    low = _doubled(h16, 16, h4, 4) * SPREAD
     n = 1
     while n * 2 <= WIDTH:
         low = np.minimum(low[:-n], low[n:])
@@ -127,6 +131,10 @@ def groups(sorted_keys: np.ndarray) -> np.ndarray:
         np.zeros(0, np.int64)
 
 
+def upper_half(low: np.ndarray) -> np.ndarray:
+    return (low >> U64(32)).astype(np.uint32).view(np.int32)
+
+
 def ranges(pos: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first, last) indexes of stretches of neighbouring positions."""
     new = pos[1:] != pos[:-1] + 1
@@ -137,8 +145,9 @@ def ranges(pos: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def first_ranks(docs: DataFrame) -> DataFrame:
-    """docs (id, ord, text) -> (id, lows: first ranks it shares with another
-    document)."""
+    """docs (id, ord, text) -> (id, lows: upper halves of the first ranks it
+    shares with another document). Half a rank is enough to find it again
+    among a document's own; a chance hit only sends a run in vain."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = raw_texts(batch.column(2))
@@ -157,7 +166,7 @@ def first_ranks(docs: DataFrame) -> DataFrame:
             several = doc[first] != doc[ends] if len(first) else np.zeros(0, bool)
             table = pa.RecordBatch.from_arrays(
                 [pa.array(low[first].view(np.int64)), pa.array(ids[doc[first]]),
-                 pa.nulls(len(first), pa.list_(pa.int64()))], ["low", "id", "lows"])
+                 pa.nulls(len(first), pa.list_(pa.int32()))], ["low", "id", "lows"])
             for at in range(0, len(first), ROWS):
                 yield table.slice(at, ROWS)
             # Ranks that several documents of the batch have are settled for
@@ -167,15 +176,15 @@ def first_ranks(docs: DataFrame) -> DataFrame:
             order = np.lexsort((low, doc))
             doc, low = doc[order], low[order]
             at = groups(doc)
-            lists = [np.unique(low[a:b]).view(np.int64) for a, b in zip(at, np.r_[at[1:], len(doc)])]
+            lists = [np.unique(upper_half(low[a:b])) for a, b in zip(at, np.r_[at[1:], len(doc)])]
             own = ids[doc[at]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(own), pa.array(own), pa.array(lists, pa.list_(pa.int64()))], ["low", "id", "lows"])
+                [pa.array(own), pa.array(own), pa.array(lists, pa.list_(pa.int32()))], ["low", "id", "lows"])
 
-    ranked = docs.mapInArrow(find, "low bigint, id bigint, lows array<bigint>")
+    ranked = docs.mapInArrow(find, "low bigint, id bigint, lows array<int>")
     counted = ranked.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("low")))
     shared = counted.filter("n > 1 or lows is not null").select(
-        "id", F.coalesce("lows", F.array("low")).alias("lows"))
+        "id", F.coalesce("lows", F.array(F.shiftright("low", 32).cast("int"))).alias("lows"))
     return shared.groupBy("id").agg(F.flatten(F.collect_list("lows")).alias("lows"))
 
 
@@ -207,7 +216,7 @@ def open_runs(docs: DataFrame) -> DataFrame:
             shared = np.zeros(len(at), bool)
             run_doc = doc[at]
             for a, b in zip(g := groups(run_doc), np.r_[g[1:], len(run_doc)]):
-                shared[a:b] = np.isin(low[at[a:b]].view(np.int64), lows[run_doc[a]])
+                shared[a:b] = np.isin(upper_half(low[at[a:b]]), lows[run_doc[a]])
             stay = np.repeat(shared, np.diff(np.r_[at, len(doc)]))
             kept.append((doc[stay], pos[stay], low[stay], h[stay]))
         if not kept:
@@ -314,15 +323,31 @@ def _numbered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                                    col(doc_id).alias("doc_id")))
 
 
+def whole_copies(numbered: DataFrame) -> DataFrame:
+    """(id, n_bytes) of the documents whose whole text is that of a smaller
+    id. All their bytes go, and as that smaller document has every string of
+    theirs, nobody else's result needs them."""
+    texts = numbered.select("id", "ord", F.sha2("text", 256).alias("hash"), F.octet_length("text").alias("n_bytes"))
+    texts = cut_lineage(texts.filter(F.col("n_bytes") >= LENGTH))
+    first = texts.groupBy("hash").agg(F.min("ord").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return join_groups(texts, cut_lineage(first), "hash", "n").filter("ord > least").select(
+        "id", F.col("n_bytes").cast("bigint").alias("n_bytes"))
+
+
 def repeated_ranges(numbered: DataFrame) -> DataFrame:
     """(id, ranges: array of (start, stop) byte ranges to remove, unordered
     and overlapping) of a frame (id, ord, text)."""
-    texts = numbered.select("id", "ord", "text")
-    shared = first_ranks(texts)
+    copies = cut_lineage(whole_copies(numbered))
+    few = copies.count() <= BROADCAST_IDS
+    texts = numbered.select("id", "ord", "text").join(
+        F.broadcast(copies.select("id")) if few else copies.select("id"), "id", "left_anti")
+    shared = cut_lineage(first_ranks(texts))
     met = texts.join(shared, "id").select("id", "ord", "text", "lows")
     found = resolve(open_runs(met))
     covered = F.struct("start", (F.col("stop") + (LENGTH - 1)).alias("stop"))
-    return found.groupBy("id").agg(F.collect_list(covered).alias("ranges"))
+    whole = F.struct(F.lit(0).cast("bigint").alias("start"), F.col("n_bytes").alias("stop"))
+    return found.groupBy("id").agg(F.collect_list(covered).alias("ranges")).unionByName(
+        copies.select("id", F.array(whole).alias("ranges")))
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
