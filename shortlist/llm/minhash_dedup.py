@@ -16,10 +16,12 @@ A bucket's members are never paired all with all. In a round each bucket that
 still holds several components picks a centre and pairs the others with it;
 confirmed links merge components. Members that are already connected need no
 comparison, so a large group of near copies costs a few comparisons each.
-After ``STAR_ROUNDS`` rounds all remaining pairs of members in different
-components are compared: those outside a bucket's largest component with all
-members of other components. So every candidate pair has been confirmed,
-refused or found connected in the end.
+After ``STAR_ROUNDS`` rounds, members that share too few shingles with all
+other components together to be linked with any are put aside: by the counts
+alone they have no link left. The remaining pairs of members in different
+components are all compared, those outside a bucket's largest component with
+the others. So every candidate pair has been confirmed, refused, ruled out by
+exact counts or found connected in the end.
 
 Defined results: a null text, or one without words, has no shingles and is
 linked with nothing, and its component is its own; a null doc_id comes last
@@ -47,7 +49,7 @@ PERCENT = 75
 BANDS, ROWS = 32, 4
 BITS = 2
 SIGMAS = 6
-STAR_ROUNDS = 3
+STAR_ROUNDS = 1
 #: Up to so many classes (about 100 MB of ids) the list of documents whose
 #: text is needed is broadcast to the scan; beyond, the scan is joined by id.
 BROADCAST_IDS = 4_000_000
@@ -151,34 +153,113 @@ def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(fits & near).select("a", "b")
 
 
-def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, text: str, percent: int,
-            n_nodes: int, repeated: bool) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough. Each pair
-    brings the two texts of its classes' first documents together."""
-    used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    used = cut_lineage(nodes.join(used, "node").select("node", F.col("first_id").alias("__id"), "h1", "h2"))
-    used = F.broadcast(used) if n_nodes <= BROADCAST_IDS else used
-    found = docs.select(col(doc_id).alias("__doc"), col(text).alias("text")).join(
-        used, F.col("__doc").eqNullSafe(F.col("__id"))).select("node", "h1", "h2", "text")
-    # Where several rows may carry the class's first doc_id, the set hash tells which.
-    texts = found.mapInArrow(_matching, "node bigint, text string").dropDuplicates(["node"]) \
-        if repeated else found.select("node", "text")
-    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(
-        texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (batch.column(i).to_numpy() for i in (0, 1))
-            keep = np.zeros(len(a), bool)
-            for lo in range(0, len(a), 64):
-                part = batch.slice(lo, 64)
-                one, two = (shingle_sets(*raw_texts(part.column(i))) for i in (2, 3))
-                for i, (s, t) in enumerate(zip(one, two)):
-                    same = len(s) + len(t) - len(np.union1d(s, t))
-                    keep[lo + i] = 100 * same >= percent * (len(s) + len(t) - same)
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
-
-    return both.mapInArrow(check, "a bigint, b bigint")
+class Found:
+    """The links confirmed so far and the components they make. ``labels``
+    (node, label) holds the nodes that are not the smallest of theirs."""
+
+    def __init__(self, docs: DataFrame, doc_id: str, text: str, percent: int, nodes: DataFrame, n_nodes: int,
+                 repeated: bool):
+        self.docs = docs.select(col(doc_id).alias("__doc"), col(text).alias("text"))
+        self.percent, self.nodes, self.n_nodes, self.repeated = percent, nodes, n_nodes, repeated
+        self.tested = self.labels = None
+
+    def labelled(self, members: DataFrame) -> DataFrame:
+        """members (key, node) with the label of each node's component."""
+        if self.labels is None:
+            return members.select("key", "node", F.col("node").alias("label"))
+        return members.join(self.labels, "node", "left").select(
+            "key", "node", F.coalesce("label", "node").alias("label"))
+
+    def still_open(self, members: DataFrame) -> DataFrame:
+        """The members of buckets that hold several components."""
+        several = self.labelled(members).groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"))
+        return cut_lineage(members.join(several.filter("x < y").select("key"), "key"))
+
+    def texts(self, used: DataFrame) -> DataFrame:
+        """(node, text) of the nodes ``used``: the text of each class's first
+        document. Where several rows may carry its doc_id, the set hash tells
+        which."""
+        used = cut_lineage(self.nodes.join(used, "node").select("node", F.col("first_id").alias("__id"), "h1", "h2"))
+        used = F.broadcast(used) if self.n_nodes <= BROADCAST_IDS else used
+        rows = self.docs.join(used, F.col("__doc").eqNullSafe(F.col("__id"))).select("node", "h1", "h2", "text")
+        if self.repeated:
+            return rows.mapInArrow(_matching, "node bigint, text string").dropDuplicates(["node"])
+        return rows.select("node", "text")
+
+    def add(self, pairs: DataFrame) -> None:
+        """Compares candidate pairs (a < b) that have not been compared."""
+        if self.tested is not None:
+            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
+        pairs = cut_lineage(likely(pairs, self.nodes, self.percent))
+        if pairs.isEmpty():
+            return
+        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
+        links = cut_lineage(self.confirm(pairs))
+        if links.isEmpty():
+            return
+        if self.labels is not None:  # the components so far, as links to their smallest node
+            links = links.unionByName(self.labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+        self.labels = connected_components(links)
+
+    def confirm(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose full shingle sets are similar enough. Each pair
+        brings the two texts together."""
+        percent = self.percent
+        texts = self.texts(pairs.select(F.col("a").alias("node")).unionByName(
+            pairs.select(F.col("b").alias("node"))).distinct())
+        both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(
+            texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
+
+        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                a, b = (batch.column(i).to_numpy() for i in (0, 1))
+                keep = np.zeros(len(a), bool)
+                for lo in range(0, len(a), 64):
+                    part = batch.slice(lo, 64)
+                    one, two = (shingle_sets(*raw_texts(part.column(i))) for i in (2, 3))
+                    for i, (s, t) in enumerate(zip(one, two)):
+                        same = len(s) + len(t) - len(np.union1d(s, t))
+                        keep[lo + i] = 100 * same >= percent * (len(s) + len(t) - same)
+                yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+
+        return both.mapInArrow(check, "a bigint, b bigint")
+
+    def sets(self, used: DataFrame) -> DataFrame:
+        """(node, shingles) of the nodes ``used``."""
+        def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                raw, offsets = raw_texts(batch.column(1))
+                for a, b in chunks(offsets):
+                    got = shingle_sets(raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(a, b - a), pa.array([g.view(np.int64) for g in got],
+                                                                   pa.list_(pa.int64()))], ["node", "shingles"])
+
+        return self.texts(used).mapInArrow(make, "node bigint, shingles array<bigint>")
+
+
+def _able_to_link(found: Found, members: DataFrame) -> DataFrame:
+    """(key, node, label, n, size) of the members that may still be linked with
+    another component: n of their shingles occur in another one.
+
+    A node linked with another component shares at least ``percent`` % of its
+    own shingles with it. Shingles that no open node of another component has
+    cannot be shared, so a node with too many of them has no link left to find
+    and goes, with all its pairs uncompared. Repeated until no node goes: what
+    was shared only with nodes that went counts no more."""
+    sets = cut_lineage(found.sets(members.select("node").distinct()))
+    while True:
+        labels = found.labelled(members).select("node", "label").distinct()
+        each = sets.join(labels, "node").select("node", "label", F.explode("shingles").alias("s"))
+        foreign = each.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y")
+        shared = each.join(foreign.select("s"), "s", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+        able = cut_lineage(shared.join(sets.select("node", F.size("shingles").alias("size")), "node").filter(
+            100 * F.col("n") >= found.percent * F.col("size")).select("node", "n", "size"))
+        left = able.count()
+        gone = labels.count() - left
+        members = found.still_open(members.join(able.select("node"), "node"))
+        if not left or not gone:
+            return found.labelled(members).join(able, "node")
 
 
 def _matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,27 +289,13 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = cut_lineage(members.join(shared.select("key"), "key"))
 
-    links, tested, labels = None, None, None
-    for turn in range(STAR_ROUNDS + 1):
-        at = members if labels is None else members.join(labels, "node", "left")
-        label = F.col("node") if labels is None else F.coalesce("label", "node")
-        at = at.select("key", "node", label.alias("label"))
-        if labels is not None:  # buckets that still hold several components
-            open_keys = at.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y")
-            members = cut_lineage(members.join(open_keys.select("key"), "key"))
-            at = members.join(labels, "node", "left").select("key", "node", label.alias("label"))
-        pairs = _star(at, turn) if turn < STAR_ROUNDS else _across(at)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut_lineage(likely(pairs, nodes, percent))
-        if pairs.isEmpty():
-            if turn < STAR_ROUNDS:
-                continue
-            break
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = cut_lineage(confirm(pairs, nodes, docs, doc_id, text, percent, n_nodes, repeated))
-        links = found if links is None else links.unionByName(found)
-        labels = connected_components(links)
+    found = Found(docs, doc_id, text, percent, nodes, n_nodes, repeated)
+    for turn in range(STAR_ROUNDS):
+        found.add(_star(found.labelled(members), turn))
+        members = found.still_open(members)
+    if not members.isEmpty():
+        found.add(_across(_able_to_link(found, members), percent))
+    labels = found.labels
 
     label = F.col("node") if labels is None else F.coalesce("label", "node")
     named = nodes if labels is None else nodes.join(labels, "node", "left")
@@ -252,14 +319,20 @@ def _star(at: DataFrame, turn: int) -> DataFrame:
         F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
 
 
-def _across(at: DataFrame) -> DataFrame:
-    """All pairs of a bucket's members in different components; members of
-    its largest component are paired with the others only."""
-    sizes = at.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("big"))
+def _across(at: DataFrame, percent: int) -> DataFrame:
+    """The pairs of a bucket's members in different components whose sizes and
+    counts of shared shingles allow a link: two nodes have at most as many
+    shingles in common as the lesser n. Members of a bucket's largest component
+    are paired with the others only."""
+    sizes = at.groupBy("key", "label").agg(F.count(F.lit(1)).alias("members"))
+    largest = sizes.groupBy("key").agg(F.max_by("label", F.struct("members", "label")).alias("big"))
     minor = at.join(largest, "key").filter("label != big").select(
-        "key", F.col("node").alias("x"), F.col("label").alias("lx"))
-    return at.join(minor, "key").filter("label != lx").select(
+        "key", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("size").alias("sx"))
+    most = F.least("n", "nx")
+    right = minor.withColumnRenamed("key", "xkey")
+    met = (F.col("key") == F.col("xkey")) & (F.col("label") != F.col("lx")) & (
+        100 * most >= percent * (F.col("size") + F.col("sx") - most))
+    return at.join(right, met).select(
         F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
 
 
