@@ -9,7 +9,9 @@ documents is not judged on them alone. A host whose shrunk share exceeds
 
 All counts come from array functions on the row itself, so the texts are never
 shuffled; hosts are pre-aggregated in each task. The verdict table has a row
-per rejected host and is joined back by host.
+per rejected host and is joined back by host: broadcast while it is small, so
+that a host with a third of all documents stays spread over all tasks; beyond,
+by a shuffle whose skewed partitions Spark splits.
 
 Repeated three-word windows are found by sorting the window hashes of the
 text: up to ``PACKED_WORDS`` words a window is one bigint (upper bits of its
@@ -33,6 +35,8 @@ MAX_REPEAT_PERCENT = 50
 MAX_HOST_FAILURE = 0.5
 SYMBOLS = "#*$%&|<>"
 PACKED_WORDS = 1 << 15
+#: Rejected hosts (about 50 bytes each) up to which they are broadcast.
+BROADCAST_HOSTS = 500_000
 
 
 def _repeat_positions(keyed: Column, same, position) -> Column:
@@ -116,7 +120,8 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     """One row per document: its features, base_failed, host_rejected and
     kept (neither failed)."""
     features = cut_lineage(text_features(docs, doc_id, text, source))
-    bad = host_verdicts(features, max_failure).filter("host_rejected").select("source", "host_rejected")
+    bad = cut_lineage(host_verdicts(features, max_failure).filter("host_rejected").select("source", "host_rejected"))
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_HOSTS else bad
     judged = features.join(bad, "source", "left").withColumn(
         "host_rejected", F.coalesce("host_rejected", F.lit(False)))
     return judged.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected")).select(
