@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shortlist.llm.common import SPACES, col, text_or_empty, unpack, whole_row
+from shortlist.llm.common import SPACES, col, join_groups, text_or_empty, unpack, whole_row
 from shortlist.session import cut_lineage
 
 HASHES = 3
@@ -98,9 +98,9 @@ def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     best = shuffled.groupBy("text_sha256").agg(
         F.count(F.lit(1)).alias("group_size"),
         F.min(_order(F.col("doc_id"), F.col("n_chars"), F.col("row"))).alias("best"))
-    best = best.select("text_sha256", "group_size", F.col("best.doc_id").alias("keep_id"),
-                       F.col("best.row").alias("keep_row"))
-    rest = shuffled.join(best, "text_sha256").select(
+    best = cut_lineage(best.select("text_sha256", "group_size", F.col("best.doc_id").alias("keep_id"),
+                                   F.col("best.row").alias("keep_row")))
+    rest = join_groups(shuffled, best, "text_sha256", "group_size").select(
         "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
     return straight.unionByName(rest)
 
