@@ -45,7 +45,8 @@ MAX_FEATURES = 3_000
 MIN_DOCUMENTS = 4
 PREFIXES = (3, 4, 5, 6, 7)
 THRESHOLD = 0.7
-L2 = 3e-5
+#: Weight of the squared weights against the summed losses of all rows.
+L2 = 0.3
 COUNTERFACTUAL = 1.0
 STEPS = 250
 KNOWN = 500_000
@@ -181,6 +182,7 @@ def train(data: pd.DataFrame, n_features: int, counterfactual: float = COUNTERFA
           steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam on the whole bounded sample."""
     y = data["y"].to_numpy(float)
+    l2 = l2 / len(y)
     r, f, v = _flat(list(data["ids"]), list(data["vals"]))
     paired = np.flatnonzero(data["ids2"].notna().to_numpy())
     pr, pf, pv = _flat([data["ids2"][i] for i in paired], [data["vals2"][i] for i in paired])
