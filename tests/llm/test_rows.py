@@ -163,7 +163,7 @@ def test_toxicity_odd_inputs(spark):
 def test_train_gradient_direction():
     data = pd.DataFrame({"y": [1, 1, 0, 0], "ids": [[0], [0], [1], [1]], "vals": [[1.0]] * 4,
                          "ids2": [None] * 4, "vals2": [None] * 4})
-    w, b = toxicity.train(data, 2)
+    w, b = toxicity.train(data, 2, l2=0.01)
     assert w[0] + b > 2 and w[1] + b < -2 and math.isfinite(b)
 
 
