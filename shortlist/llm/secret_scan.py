@@ -9,6 +9,11 @@ quoted or dotted names; ``+`` between parts), carries constants from one name
 to the next in the order of the text, and scores every literal that reaches a
 name by how telling the name is and how random the literal looks. The span is
 that of the literal where it stands, also when only another name passes it on.
+An unquoted value on the line of its operator reaches to white space, a comma
+or the next ``;name=`` or ``&name=``, unless it is a call, an index or a sum of
+names known before. A name holds across a type annotation
+(``password: str = ...``, ``var password string = ...``) and across an index;
+a quoted index (``config["password"] = ...``) is a name too.
 
 Positions are code points, ends exclusive. Base patterns match left to right
 without overlap, each kind for itself; a match that is too short is dropped
@@ -44,13 +49,43 @@ KINDS = ("assign", "access", "hex", "literal")
 #: A token of source code or configuration: comment mark, string, name,
 #: operator, bare value; names may have dots and dashes inside.
 LEXEME = re.compile(
-    r"""(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)"""
+    r"""(?P<string>(?<![\w$])(?:[rRbBuUfF]{1,2}|[@$])?"""
+    r"""(?:\"{3}[^"].*?\"{3}|'{3}[^'].*?'{3}|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`))"""
     r"""|(?P<name>[A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*)*)"""
     r"""|(?P<number>\d[\w.]*)"""
-    r"""|(?P<op>:=|=>|->|==+|!=+|<=|>=|[=:+])"""
+    r"""|(?P<op>:=|=>|->|==+|!=+|<=|>=|[?!]:|\?=|[=:+])"""
     r"""|(?P<end>[;,\n}\])])"""
     r"""|(?P<other>\S)""", re.ASCII)
-ASSIGNMENTS = {"=", ":=", "=>", ":"}
+ASSIGNMENTS = {"=", ":=", "=>", ":", "?:", "!:", "?="}
+
+
+def nested(a: str, z: str, no: str = "") -> str:
+    """A pattern of brackets with up to three pairs inside each other on a line."""
+    free = rf"[^\n\{a}\{z}{no}]"
+    inner = rf"\{a}{free}*+\{z}"
+    for _ in range(2):
+        inner = rf"\{a}(?:{free}|{inner})*+\{z}"
+    return inner
+
+
+#: Where an unquoted value begins after its operator (a comment's mark after a
+#: space is none), and what ends it.
+BARE = re.compile(r"""[ \t]*+(?!(?<=[ \t])\#)(?=[^\s,\[({"'`])""")
+STOP = re.compile(r"[\s,]|[;&](?=[A-Za-z_][\w .-]*=)|\Z")
+#: Source code in its place: a call, an index or members.
+CODE = re.compile(
+    r"[A-Za-z_$][\w$]*(?:(?:\??\.|->|::)[A-Za-z_$][\w$]*)*"
+    rf"(?:(?:{nested('(', ')')}|{nested('[', ']')})(?=[\s;,.)\]}}\[(]|\Z)|\([ \t]*(?=\n|\Z)|(?=[;)}}]*(?:[\s,]|\Z)))",
+    re.ASCII)
+#: A type between ``:`` and ``=`` with a value on its line, and whether that is quoted.
+_TYPE = (r"(?:&(?:'\w+[ \t]+)?(?:mut[ \t]+)?)?(?=[A-Za-z_*?(\[])"
+         rf"(?:[\w.*?!]|::|{nested('[', ']')}|{nested('<', '>', '=;')}|{nested('(', ')')})++")
+TYPE = re.compile(rf"""[ \t]*{_TYPE}(?:[ \t]*[|&][ \t]*{_TYPE})*"""
+                  r"""(?:[ \t]*(?==[ \t]*(?:[rRbBuUfF]{1,2}|[@$])?(?P<quote>["'`]))|[ \t]+(?==[ \t]+\S))""", re.ASCII)
+DECLARATIONS = {"var", "const", "let", "val", "final"}
+QUOTE = re.compile("[\"'`]")
+WHITE = re.compile(r"\s")
+OPENERS = {")": "(", "]": "[", "}": "{", ">": "<"}
 
 #: How telling a part of a name is, 0 to 1.
 SENSITIVE = {
@@ -81,54 +116,168 @@ def literal_score(value: str) -> float:
     short ones and placeholders."""
     if len(value) < MIN_LITERAL or PLACEHOLDER.match(value):
         return 0.0
-    n = len(value)
-    bits = -sum(c * math.log2(c / n) for c in Counter(value).values())
+    # More characters never have fewer bits, so the first ones often do.
+    bits = 0.0
+    for part in (value[:256], value):
+        bits = max(bits, -sum(c * math.log2(c / len(part)) for c in Counter(part).values()))
+        if bits >= 32:
+            break
     spread = min(1.0, bits / 32)
     kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9 ]"))
     return spread * (0.55 + 0.15 * kinds) * (0.5 if re.search(r"\s", value) else 1.0)
 
 
+class Bare:
+    """Unquoted values of a text, asked for from left to right. What holds for
+    a run of characters is found once, so that all of them together take time
+    linear in the text."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.end = self.op = self.quote = self.counted = 0
+        self.open: Counter[str] = Counter()
+
+    def span(self, at: int, constants: dict) -> tuple[int, int, bool] | None:
+        """(start, end, whether an operator is in it) of the unquoted value
+        after ``at``, if there is one of more than a token and not code."""
+        text, found = self.text, BARE.match(self.text, at)
+        if not found or STOP.match(text, found.end()):
+            return None
+        a = found.end()
+        if a >= self.end:
+            self.end = STOP.search(text, a).start()
+            self.op = max(text.rfind("=", a, self.end), text.rfind(":", a, self.end))
+            self.quote = a - 1
+        if self.quote < a:
+            q = QUOTE.search(text, a, self.end)
+            self.quote = q.start() if q else self.end
+        token = LEXEME.match(text, a, self.end)
+        word = token.lastgroup in ("name", "number")
+        if (token.lastgroup == "string" or word and text[token.end():token.end() + 1] == "+" and token.group() in constants
+                or self.quote < self.end and text[self.quote - 1] in "([{+" or CODE.match(text, a)):
+            return None
+        b = self.trimmed(a, self.end)
+        return None if word and token.end() >= b else (a, b, self.op >= a)
+
+    def trimmed(self, a: int, b: int) -> int:
+        """The end without ``;`` and brackets that the line opened before."""
+        text = self.text
+        line = text.rfind("\n", self.counted, a) + 1
+        if line:
+            self.open.clear()
+            self.counted = line
+        for z, o in OPENERS.items():
+            self.open[o] += text.count(o, self.counted, a) - text.count(z, self.counted, a)
+        self.counted = a
+        before = dict(self.open)
+        while b > a and (text[b - 1] == ";" or before.get(OPENERS.get(text[b - 1]), 0) > 0):
+            o = OPENERS.get(text[b - 1])
+            if o:
+                if text.count(o, a, b) >= text.count(text[b - 1], a, b):
+                    break
+                before[o] -= 1
+            b -= 1
+        return b
+
+
 def literal_spans(text: str) -> list[tuple[int, int]]:
     """Spans of the literals that reach a telling name with enough score."""
     if "=" not in text and ":" not in text:
         return []
-    constants: dict[str, list[tuple[int, int, float]]] = {}
+    constants: dict[str, list[tuple[int, int]]] = {}
+    bare = Bare(text)
     spans: set[tuple[int, int]] = set()
-    name, value, pending, joined = "", [], "", True
+    # Names of one target, those that the next operator may assign to, and
+    # those before each open bracket.
+    name, value, pending, joined = (), [], (), True
+    outer: list[tuple[str, ...]] = []
+    last, declares, at, skip = None, False, 0, 0
+    missed = (0, 0, 0.0)
+
+    def literal(m: re.Match) -> tuple[int, int]:
+        a, b = m.span()
+        if m.lastgroup == "string":
+            a += len(m.group()) - len(m.group().lstrip("rRbBuUfF@$"))
+            quotes = 3 if text.startswith(('"' * 3, "'" * 3), a) and b - a > 6 else 1
+            a, b = a + quotes, b - quotes
+        return a, b
 
-    def literal(m: re.Match) -> tuple[int, int, float]:
-        quoted = m.lastgroup == "string"
-        a, b = (m.start() + 1, m.end() - 1) if quoted else m.span()
-        return a, b, literal_score(text[a:b])
+    def plain(m: re.Match) -> str:
+        a, b = literal(m)
+        return text[a:b]
+
+    def hits(score: float, a: int, b: int) -> bool:
+        """Whether a literal and its name score enough. No end of a literal
+        scores more than all of it, unless that is a placeholder."""
+        nonlocal missed
+        if not score or missed[0] <= a and b <= missed[1] and score <= missed[2]:
+            return False
+        found = score * literal_score(text[a:b])
+        if 0 < found < MIN_SCORE and not WHITE.search(text, a, b):
+            missed = (a, b, score)
+        return found >= MIN_SCORE
 
     def close() -> None:
         nonlocal name, value
         if name and value:
-            constants[name] = value
-            score = name_score(name)
-            spans.update((a, b) for a, b, s in value if score * s >= MIN_SCORE)
-        name, value = "", []
+            constants.update((n, value) for n in name)
+            score = max(map(name_score, name))
+            spans.update((a, b) for a, b in value if hits(score, a, b))
+        name, value = (), []
 
     for m in LEXEME.finditer(text):
+        if m.start() < skip:
+            continue
         kind, word = m.lastgroup, m.group()
+        before, last = last, m
         if kind == "op" and word in ASSIGNMENTS and pending:
+            typed = TYPE.match(text, m.end()) if word in (":", "?:", "!:") else None
+            if typed and typed.group("quote"):
+                skip = typed.end()
+                continue
             close()
             name, value, joined = pending, [], True
-            pending = ""
+            # The name before an unquoted value that may be a type stays.
+            at = typed.end() if typed else 0
+            pending = ()
+            span = bare.span(m.end(), constants)
+            if span:
+                a, b, has_op = span
+                value, joined = [(a, b)], False
+                if not has_op or hits(max(map(name_score, name)), a, b):
+                    skip = b
+        elif kind == "op" and word == "=" and at and m.start() == at and name:
+            pending, at = name, 0
+            close()
+            name, value, joined, pending = pending, [], True, ()
         elif kind in ("string", "name", "number") and name and joined:
             value = value + (constants.get(word, [literal(m)]) if kind == "name" else [literal(m)])
-            pending, joined = "", False
-            if kind == "name" or kind == "string":
-                pending = word.strip("\"'`")
+            pending, joined = (), False
+            if (kind == "name" or kind == "string") and not at:
+                pending = (plain(m),)
         elif kind == "op" and word == "+":
             joined = True
         elif kind in ("string", "name"):
+            if not at or m.start() > at:
+                close()
+            follows = declares and before.lastgroup == "name" and not text[before.end():m.start()].strip(" \t*")
+            declares = kind == "name" and (word in DECLARATIONS or bool(follows))
+            pending = (pending if follows and pending[0] not in DECLARATIONS else ()) + (plain(m),)
+        elif word == "[":
+            after = before is not None and before.end() == m.start() and (before.lastgroup == "name" or before.group() == "]")
+            outer.append(pending if after else ())
+            pending = ()
+        elif word == "]":
             close()
-            pending = word.strip("\"'`")
+            base = outer.pop() if outer else ()
+            pending = base + (pending if before is not None and before.lastgroup == "string" or before is not None
+                              and text[before.start() - 1] == ":" else ())
         else:
             if kind == "end" and not (word == "\n" and joined):
                 close()
-            pending = ""
+                if word == "\n":
+                    outer.clear()
+            pending = ()
     close()
     return sorted(spans)
 

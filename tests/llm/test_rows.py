@@ -56,6 +56,27 @@ def test_literals_reach_sensitive_names(text, literals):
     assert [text[a:b] for a, k, b in secret_scan.find_spans(text) if k == "literal"] == literals
 
 
+@pytest.mark.parametrize("text,literals", [
+    ("aws_secret_access_key = wJalrXUtnFEMI/K7MDENG/bPxRfiCYzq83\n", ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYzq83"]),
+    ("DB_PASSWORD=p@ssw0rd!2024x", ["p@ssw0rd!2024x"]),
+    ("token_key: 550e8400-e29b-41d4-a716-446655440000, n: 3", ["550e8400-e29b-41d4-a716-446655440000"]),
+    ("url: https://h/?token=abc-123_xyz~9&user=bob", ["abc-123_xyz~9"]), ("{password: p@ss!w0rd9}", ["p@ss!w0rd9"]),
+    ("x = wJal/K7+MDENG9q\npassword = x", ["wJal/K7+MDENG9q"]), ("password = foo(a, b)", []),
+    ("password: hunter2Hunter user = bob", ["hunter2Hunter"])])
+def test_unquoted_values_are_whole(text, literals):
+    assert [text[a:b] for a, k, b in secret_scan.find_spans(text) if k == "literal"] == literals
+
+
+@pytest.mark.parametrize("before", [
+    "password: str = ", "const apiKey: string = ", "password: Optional[str] = ", "password: str | None = ",
+    "let password: &'static str = ", "var password string = ", "char password[] = ", 'config["db_password"] = ',
+    "cfg['a']['password']: str = ", "settings[:db_password] = ",
+    "token: Map<String, List<Set<String>>> = ", 'config["db_password"]: bytes = b'])
+def test_names_hold_across_types_and_subscripts(before):
+    text = f'x = 1\n{before}"Zx81kQp0aLm2"\n'
+    assert [text[a:b] for a, k, b in secret_scan.find_spans(text) if k == "literal"] == ["Zx81kQp0aLm2"]
+
+
 def features(text):
     text = text or ""
     w = WORD.findall(text)
