@@ -13,7 +13,9 @@ a surname keeps its own with every given name before it.
 Distinctness: all distinct entities of the corpus are collected (one row each,
 pre-aggregated in each task). Where two get the same surrogate, or a surrogate
 is itself an entity of the corpus, the later ones draw again with the next
-number, until none is left. Only those exceptions (entity, number) are joined
+number, until none is left. From draw ``GROWS_AT`` on each draw makes names a
+syllable and addresses and numbers a character longer, so that the space grows
+and no corpus exhausts it; IPv4 addresses alone stay within 254^4 forms. Only those exceptions (entity, number) are joined
 back, and only to the texts that hold one; all other texts are rewritten in
 place, without a shuffle.
 
@@ -33,7 +35,8 @@ from shortlist.llm.common import col
 from shortlist.session import cut_lineage
 
 KEY = "surrogate-key-1"
-MAX_DRAWS = 40
+#: The draws that keep the length; each one from here on makes the surrogate longer.
+GROWS_AT = 8
 #: Exceptions up to which they are broadcast (about 100 bytes each).
 BROADCAST_EXCEPTIONS = 500_000
 
@@ -146,6 +149,18 @@ def _pick(letters: str, seed: Column, i: Column) -> Column:
     return F.substring(F.lit(letters), _number(seed, i, len(letters)) + 1, F.lit(1))
 
 
+def _longer(draw: Column) -> Column:
+    """By how many characters or syllables a draw's surrogate is longer."""
+    return F.greatest(draw - (GROWS_AT - 1), F.lit(0))
+
+
+def _more(letters: str, seed: Column, draw: Column) -> Column:
+    """The characters by which a draw's surrogate is longer."""
+    n = _longer(draw)
+    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: _pick(letters, seed, -i)), "")
+                  ).otherwise("")
+
+
 def _same_format(text: Column, seed: Column) -> Column:
     """Each digit and letter replaced by one of its kind, script and case."""
     def one(c: Column, i: Column) -> Column:
@@ -170,14 +185,17 @@ def _digits(text: Column, seed: Column, keep: Column) -> Column:
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
-def _name(text: Column, kind: Column, seed: Column) -> Column:
-    """A made-up name of three syllables and an ending, of the script, the
-    gender and the case of the name."""
+def _name(text: Column, kind: Column, seed: Column, draw: Column) -> Column:
+    """A made-up name of three or more syllables and an ending, of the script,
+    the gender and the case of the name."""
     script = script_of(text)
 
     def build(s: str) -> Column:
         syllables = F.array(*[F.lit(x) for x in SYLLABLES[s]])
         parts = [F.get(syllables, _number(seed, F.lit(i), len(SYLLABLES[s]))) for i in range(3)]
+        parts.append(F.when(_longer(draw) > 0, F.array_join(F.transform(
+            F.sequence(F.lit(1), _longer(draw)), lambda i: F.get(syllables, _number(seed, -i, len(SYLLABLES[s])))), "")
+                            ).otherwise(""))
         ends = reduce(lambda rest, g: F.when(kind == g[0], F.array(*[F.lit(x) for x in ENDINGS[s, g[1]]]))
                       .otherwise(rest), [("given-f", "f"), ("given-m", "m"), ("given-n", "n")],
                       F.array(*[F.lit(x) for x in ENDINGS[s, "s"]]))
@@ -193,16 +211,17 @@ def surrogate(text: Column, kind: Column, draw: Column, key: str) -> Column:
     seed = seed_of(kind, canonical(text, kind), draw, key)
     at = F.instr(text, "@")
     dot = F.length(text) - F.instr(F.reverse(text), ".") + 1
-    mail = F.concat(_same_format(F.substring(text, F.lit(1), at - 1), seed), F.lit("@"),
+    mail = F.concat(_same_format(F.substring(text, F.lit(1), at - 1), seed), _more(LATIN, seed, draw), F.lit("@"),
                     _same_format(F.substring(text, at + 1, dot - at - 1), F.sha2(seed, 256)),
                     F.substring(text, dot, F.length(text)))
     octets = F.array_join(F.transform(F.split(text, r"\."), lambda o, i: (_number(seed, i, 254) + 1).cast("string")), ".")
     country = F.length(F.regexp_extract(text, r"^\+(\d{1,3})[ .(-]", 1))
     return (F.when(kind == "title", text).when(kind == "email", mail).when(kind == "ip", octets)
-            .when(kind == "phone", _digits(text, seed, country)).when(kind.isin("card", "ssn"), _digits(
-                text, seed, F.lit(0)))
+            .when(kind == "phone", F.concat(_digits(text, seed, country), _more("0123456789", seed, draw)))
+            .when(kind.isin("card", "ssn"), F.concat(_digits(text, seed, F.lit(0)), _more("0123456789", seed, draw)))
             .when(kind == "iban", F.concat(F.substring(text, 1, 2), _same_format(F.substring(
-                text, F.lit(3), F.length(text)), seed))).otherwise(_name(text, kind, seed)))
+                text, F.lit(3), F.length(text)), seed), _more("0123456789", seed, draw)))
+            .otherwise(_name(text, kind, seed, draw)))
 
 
 def exceptions(entities: DataFrame, key: str) -> DataFrame:
@@ -212,7 +231,7 @@ def exceptions(entities: DataFrame, key: str) -> DataFrame:
     first = entities.select("kind", "text", canonical(F.col("text"), F.col("kind")).alias("canon"))
     real = first.select(F.col("kind").alias("k"), F.col("canon").alias("r"))
     state = first.withColumn("draw", F.lit(0))
-    for _ in range(MAX_DRAWS):
+    while True:
         drawn = state.withColumn("s", canonical(surrogate(F.col("text"), F.col("kind"), F.col("draw"), key),
                                                 F.col("kind")))
         owner = drawn.groupBy("kind", "s").agg(
@@ -226,7 +245,6 @@ def exceptions(entities: DataFrame, key: str) -> DataFrame:
         state = again.drop("redraw")
         if again.filter("redraw").isEmpty():
             return state.filter("draw > 0").select("kind", "canon", "draw")
-    raise ValueError(f"no distinct surrogates within {MAX_DRAWS} draws")
 
 
 def find_entities(text: Column) -> Column:

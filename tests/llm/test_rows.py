@@ -257,3 +257,18 @@ def test_surrogates_stay_distinct(spark):
     assert not {f"{n}@x.de" for n in names} & set(out)
     assert pii.pseudonymise(frame(spark, [])).count() == 0
     assert pii.pseudonymise(odd(spark)).count() == len(ODD)
+
+
+def test_surrogates_stay_distinct_in_a_full_space(spark):
+    """All 676 addresses of one format: no surrogate of that length is left."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mails = [f"{a}@{b}.de" for a in letters for b in letters]
+    df = frame(spark, [(0, " ".join(mails))], "doc_id bigint, text string")
+    out = pii.pseudonymise(df).first()["text"].split()
+    assert len(set(out)) == len(mails) and not set(mails) & set(out)
+    assert all(re.fullmatch(r"[a-z]+@[a-z]\.de", m) for m in out)
+    names = spark.createDataFrame([("surname", "x"), ("phone", "+15551234567")], "kind string, text string")
+    from pyspark.sql import functions as F
+    lengths = [r[0] for d in (0, 7, 8, 9) for r in names.select(
+        F.length(pii.surrogate(F.col("text"), F.col("kind"), F.lit(d), "k"))).collect()]
+    assert lengths[1::2] == [12, 12, 13, 14] and lengths[4] > 6
