@@ -26,6 +26,7 @@ repeated ids change nothing; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -93,6 +94,12 @@ ENDINGS = {
 }
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once; else each character's
+    expression would compute it anew."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def kind_of(e: Column) -> Column:
     """The type of an entity's text. Person names are split into their words
     before, see ``units``."""
@@ -129,15 +136,25 @@ def units(e: Column) -> Column:
         F.array(F.struct(e.alias("text"), kind.alias("kind"))))
 
 
+#: Country codes of one and two digits; all others have three.
+COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+
+
 def canonical(text: Column, kind: Column) -> Column:
-    """What identifies the entity: digits for numbers, else lower case."""
-    return F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(text, "[^0-9]", "")).when(
+    """What identifies the entity, itself a way of writing it: digits for
+    numbers, after a + if a country code is written (as +, 00 or the 1 before
+    ten digits), else lower case."""
+    digits = F.regexp_replace(text, "[^0-9]", "")
+    phone = (F.when(F.startswith(text, F.lit("+")), F.concat(F.lit("+"), digits))
+             .when(digits.rlike("^00[1-9]"), F.concat(F.lit("+"), F.substring(digits, F.lit(3), F.length(digits))))
+             .when(digits.rlike("^1[0-9]{10}$"), F.concat(F.lit("+"), digits)).otherwise(digits))
+    return F.when(kind == "phone", phone).when(kind.isin("card", "ssn"), digits).when(
         kind == "iban", F.regexp_replace(text, " ", "")).otherwise(F.lower(text))
 
 
 def seed_of(kind: Column, canon: Column, draw: Column, key: str) -> Column:
-    """The key stream's seed. Phone numbers with and without country code,
-    and all genders of a name, are told apart by their type."""
+    """The key stream's seed. Phone numbers with and without country code are
+    told apart by their canonical form, all genders of a name by their type."""
     return F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, draw.cast("string")), 256)
 
 
@@ -162,13 +179,16 @@ def _more(letters: str, seed: Column, draw: Column) -> Column:
 
 
 def _same_format(text: Column, seed: Column) -> Column:
-    """Each digit and letter replaced by one of its kind, script and case."""
+    """Each digit and letter replaced by one of its kind, script and case; spaces
+    do not count, so that every way of writing an IBAN gives the same ones."""
     def one(c: Column, i: Column) -> Column:
-        low = (F.when(c.rlike(r"\p{IsCyrillic}"), _pick(CYRILLIC, seed, i))
-               .when(c.rlike(r"\p{IsGreek}"), _pick(GREEK, seed, i)).otherwise(_pick(LATIN, seed, i)))
-        return (F.when(c.rlike("[0-9]"), _pick("0123456789", seed, i))
+        at = F.when(spaced, i - F.length(F.regexp_replace(F.substring(text, F.lit(1), i), "[^ ]", ""))).otherwise(i)
+        low = (F.when(c.rlike(r"\p{IsCyrillic}"), _pick(CYRILLIC, seed, at))
+               .when(c.rlike(r"\p{IsGreek}"), _pick(GREEK, seed, at)).otherwise(_pick(LATIN, seed, at)))
+        return (F.when(c.rlike("[0-9]"), _pick("0123456789", seed, at))
                 .when(c.rlike(r"\p{Lu}"), F.upper(low)).when(c.rlike(r"\p{L}"), low).otherwise(c))
 
+    spaced = F.instr(text, " ") > 0
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
@@ -208,31 +228,40 @@ def _name(text: Column, kind: Column, seed: Column, draw: Column) -> Column:
 
 def surrogate(text: Column, kind: Column, draw: Column, key: str) -> Column:
     """The replacement of one unit."""
-    seed = seed_of(kind, canonical(text, kind), draw, key)
+    return let(canonical(text, kind), lambda canon: let(
+        seed_of(kind, canon, draw, key), lambda seed: _surrogate(text, kind, canon, draw, seed)))
+
+
+def _surrogate(text: Column, kind: Column, canon: Column, draw: Column, seed: Column) -> Column:
     at = F.instr(text, "@")
     dot = F.length(text) - F.instr(F.reverse(text), ".") + 1
-    mail = F.concat(_same_format(F.substring(text, F.lit(1), at - 1), seed), _more(LATIN, seed, draw), F.lit("@"),
-                    _same_format(F.substring(text, at + 1, dot - at - 1), F.sha2(seed, 256)),
+    same = lambda part, s: let(part, lambda t: _same_format(t, s))
+    mail = F.concat(same(F.substring(text, F.lit(1), at - 1), seed), _more(LATIN, seed, draw), F.lit("@"),
+                    let(F.sha2(seed, 256), lambda s: same(F.substring(text, at + 1, dot - at - 1), s)),
                     F.substring(text, dot, F.length(text)))
     octets = F.array_join(F.transform(F.split(text, r"\."), lambda o, i: (_number(seed, i, 254) + 1).cast("string")), ".")
-    country = F.length(F.regexp_extract(text, r"^\+(\d{1,3})[ .(-]", 1))
+    # The country code stays, with the 00 of a writing that has one.
+    country = let(F.length(F.regexp_extract(canon, COUNTRY, 0)), lambda n: F.when(n == 0, n).otherwise(
+        F.length(F.regexp_replace(text, "[^0-9]", "")) - F.length(canon) + n))
+    more = _more("0123456789", seed, draw)
     return (F.when(kind == "title", text).when(kind == "email", mail).when(kind == "ip", octets)
-            .when(kind == "phone", F.concat(_digits(text, seed, country), _more("0123456789", seed, draw)))
-            .when(kind.isin("card", "ssn"), F.concat(_digits(text, seed, F.lit(0)), _more("0123456789", seed, draw)))
-            .when(kind == "iban", F.concat(F.substring(text, 1, 2), _same_format(F.substring(
-                text, F.lit(3), F.length(text)), seed), _more("0123456789", seed, draw)))
+            .when(kind == "phone", F.concat(let(country, lambda keep: _digits(text, seed, keep)), more))
+            .when(kind.isin("card", "ssn"), F.concat(_digits(text, seed, F.lit(0)), more))
+            .when(kind == "iban", F.concat(F.substring(text, 1, 2), same(
+                F.substring(text, F.lit(3), F.length(text)), seed), more))
             .otherwise(_name(text, kind, seed, draw)))
 
 
 def exceptions(entities: DataFrame, key: str) -> DataFrame:
-    """entities (kind, text: one way of writing each canonical form) -> (kind,
-    canon, draw) of those whose first surrogate is taken. Of entities with
-    the same surrogate the first in order of its hash keeps it."""
-    first = entities.select("kind", "text", canonical(F.col("text"), F.col("kind")).alias("canon"))
+    """entities (kind, canon) -> (kind, canon, draw) of those whose first
+    surrogate is taken. The canonical forms are compared, which all ways of
+    writing share. Of entities with the same surrogate the first in order of
+    its hash keeps it."""
+    first = entities.select("kind", "canon")
     real = first.select(F.col("kind").alias("k"), F.col("canon").alias("r"))
     state = first.withColumn("draw", F.lit(0))
     while True:
-        drawn = state.withColumn("s", canonical(surrogate(F.col("text"), F.col("kind"), F.col("draw"), key),
+        drawn = state.withColumn("s", canonical(surrogate(F.col("canon"), F.col("kind"), F.col("draw"), key),
                                                 F.col("kind")))
         owner = drawn.groupBy("kind", "s").agg(
             F.count(F.lit(1)).alias("n"), F.min(F.struct("draw", F.xxhash64("canon"), "canon"))["canon"].alias("owner"))
@@ -240,7 +269,7 @@ def exceptions(entities: DataFrame, key: str) -> DataFrame:
             "n > 1 or r is not null").select(F.col("kind").alias("k"), F.col("s").alias("t"), "owner", "r")
         again = drawn.join(taken, (F.col("kind") == F.col("k")) & (F.col("s") == F.col("t")), "left").withColumn(
             "redraw", F.col("t").isNotNull() & (F.col("r").isNotNull() | (F.col("canon") != F.col("owner"))))
-        again = cut_lineage(again.select("kind", "text", "canon", F.when(F.col("redraw"), F.col("draw") + 1)
+        again = cut_lineage(again.select("kind", "canon", F.when(F.col("redraw"), F.col("draw") + 1)
                                          .otherwise(F.col("draw")).alias("draw"), "redraw"))
         state = again.drop("redraw")
         if again.filter("redraw").isEmpty():
@@ -260,8 +289,7 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFra
     marked = docs.withColumn("__found", F.coalesce(find_entities(col(text)), F.array().cast("array<string>")))
     each = marked.select(F.explode(F.array_distinct("__found")).alias("e")).distinct()
     each = each.select(F.explode(units(F.col("e"))).alias("u")).select("u.kind", "u.text").filter("kind != 'title'")
-    entities = cut_lineage(each.groupBy("kind", canonical(F.col("text"), F.col("kind")).alias("canon")).agg(
-        F.min("text").alias("text")).select("kind", "text"))
+    entities = cut_lineage(each.select("kind", canonical(F.col("text"), F.col("kind")).alias("canon")).distinct())
     redrawn = cut_lineage(exceptions(entities, key))
     n = redrawn.count()
     plain = F.create_map().cast("map<string,int>")

@@ -272,3 +272,17 @@ def test_surrogates_stay_distinct_in_a_full_space(spark):
     lengths = [r[0] for d in (0, 7, 8, 9) for r in names.select(
         F.length(pii.surrogate(F.col("text"), F.col("kind"), F.lit(d), "k"))).collect()]
     assert lengths[1::2] == [12, 12, 13, 14] and lengths[4] > 6
+
+
+def test_all_writings_of_an_entity_share_one_surrogate(spark):
+    """Whatever the separators, the country code stays and the rest is equal."""
+    numbers = ["+1 (555) 123-4567", "+15551234567", "+1 555 123 4567", "+1-555-123-4567", "+1.5551.234567"]
+    german = ["+49 30 1234 5678", "+493012345678"]
+    ibans = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00"]
+    rows = list(enumerate(f"call {n} now" for n in numbers + german + ibans))
+    out = [r["text"][5:-4] for r in sorted(pii.pseudonymise(frame(spark, rows, "doc_id bigint, text string")).collect(),
+                                           key=lambda r: r["doc_id"])]
+    plain = [re.sub("[^0-9A-Z]", "", t) for t in out]
+    assert len(set(plain[:5])) == 1 and plain[0][0] == "1" and plain[0] != "15551234567"
+    assert len(set(plain[5:7])) == 1 and plain[5][:2] == "49" and len(set(plain[7:])) == 1
+    assert [re.sub("[0-9]", "0", t) for t in out] == [re.sub("[0-9]", "0", n) for n in numbers + german + ibans]
