@@ -56,7 +56,8 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("__entities", lambda k: k.isin(*kinds))).cast("bigint")
 
     return done.select(
-        "doc_id", "text", *[count(k).alias(f"n_{k}") for k in ("email", "phone", "card", "ip", "ssn", "iban")],
+        "doc_id", "text", *[count(*({"ip": ("ip", "ip6")}.get(k, (k,)))).alias(f"n_{k}")
+                            for k in ("email", "phone", "card", "ip", "ssn", "iban")],
         count("surname").alias("n_person"))
 
 

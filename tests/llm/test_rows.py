@@ -1,6 +1,7 @@
 """Operators that judge each text by itself, and the classifier."""
 
 import hashlib
+import ipaddress
 import math
 import random
 import re
@@ -286,3 +287,35 @@ def test_all_writings_of_an_entity_share_one_surrogate(spark):
     assert len(set(plain[:5])) == 1 and plain[0][0] == "1" and plain[0] != "15551234567"
     assert len(set(plain[5:7])) == 1 and plain[5][:2] == "49" and len(set(plain[7:])) == 1
     assert [re.sub("[0-9]", "0", t) for t in out] == [re.sub("[0-9]", "0", n) for n in numbers + german + ibans]
+
+
+def test_whole_names_and_later_mentions(spark):
+    """No part of a name stays, wherever the document has it again."""
+    texts = ["Mary Ann Smith left. Smith came; SMITH's dog, Ann too.", "John F. Kennedy spoke, and Kennedy's wife",
+             "Dr Olga Weber and Prof. Dr. Weber, Sir Weber", "Olivia Brown met Ludwig van Beethoven", "Mr Smith. smith, Smithson",
+             "Mr O'Brien's car; O'Brien", "Mary went home. Ann is here"]
+    out = [r["text"] for r in sorted(pii.pseudonymise(frame(spark, list(enumerate(texts)), "doc_id bigint, text string"))
+                                     .collect(), key=lambda r: r["doc_id"])]
+    for t, parts in zip(out, ("Mary Ann Smith SMITH", "John Kennedy", "Olga Weber", "Olivia Brown Ludwig Beethoven", "",
+                              "Brien", "")):
+        assert not any(re.search(rf"\b{p}\b", t) for p in parts.split()), t
+    mary, ann, smith, again, caps, ann2 = re.fullmatch(
+        r"(\w+) (\w+) (\w+) left. (\w+) came; (\w+)'s dog, (\w+) too.", out[0]).groups()
+    assert smith == again and smith.upper() == caps and ann == ann2 and len({mary, ann, smith}) == 3
+    assert re.fullmatch(r"\w+ [A-Z]\. (\w+) spoke, and \1's wife", out[1])
+    assert re.fullmatch(r"Dr \w+ (\w+) and Prof\. Dr\. \1, Sir \1", out[2]) and " van " in out[3]
+    assert out[4] == f"Mr {smith}. smith, Smithson" and re.fullmatch(r"Mr (\w+)'s car; \1", out[5]) and out[6] == texts[6]
+
+
+def test_phone_and_address_writings(spark):
+    writings = ["555 123 4567", "1-800-555-1234", "5551234567", "030 1234567", "06 12 34 56 78", "+44 20 7946 0958",
+                "0049 30 1234567", "1 (555) 123-4567", "2001:db8::8a2e:370:7334", "2001:0DB8:0:0:0:8A2E:370:7334", "fe80::1"]
+    stay = ["12:30:45", "a::b", "std::vector", "1700000000", "12 345 678", "05/12/2020", "::"]
+    rows = list(enumerate(f"x {w}, y" for w in writings + stay))
+    out = [r["text"][2:-3] for r in sorted(pii.pseudonymise(frame(spark, rows, "doc_id bigint, text string")).collect(),
+                                           key=lambda r: r["doc_id"])]
+    assert out[len(writings):] == stay
+    assert all(a != b and re.sub("[0-9]", "0", a) == re.sub("[0-9]", "0", b) for a, b in zip(out[:8], writings[:8]))
+    assert out[1][:2] == "1-" and out[5][:3] == "+44" and out[6][:4] == "0049"
+    short, full = (ipaddress.ip_address(t) for t in out[8:10])
+    assert short == full != ipaddress.ip_address(writings[8]) and ipaddress.ip_address(out[10]) and "::" in out[10]
