@@ -37,8 +37,8 @@ def _any_contains(text: Column, words: list[str]) -> Column:
 
 # --- X1 / X2 page level ------------------------------------------------------------
 
-def visible_text(html: Column) -> Column:
-    """The text a browser shows, lower-cased: scripts, styles, comments and
+def shown_text(html: Column) -> Column:
+    """The text a browser shows, in its case: scripts, styles, comments and
     tags go, block elements and ``<br>`` begin a new line, other white space is
     one space, named entities are decoded."""
     t = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</(script|style)>|(?s)<!--.*?-->", " ")
@@ -48,7 +48,51 @@ def visible_text(html: Column) -> Column:
     for name, char in ENTITIES:
         t = F.replace(t, F.lit(f"&{name};"), F.lit(char))
     t = F.regexp_replace(F.regexp_replace(t, " +", " "), " ?\n[ \n]*", "\n")
-    return F.lower(F.btrim(t, F.lit(" \n")))
+    return F.btrim(t, F.lit(" \n"))
+
+
+def visible_text(html: Column) -> Column:
+    """The text a browser shows, lower-cased."""
+    return F.lower(shown_text(html))
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The decoded value of a tag's attribute (quoted either way or not at
+    all), null if it has none."""
+    pattern = rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    value = F.regexp_replace(F.regexp_extract(tag, pattern, 1), "^[\"']|[\"']$", "")
+    for entity, char in ENTITIES:
+        value = F.replace(value, F.lit(f"&{entity};"), F.lit(char))
+    return F.when(tag.rlike(pattern), value)
+
+
+def anchors(html: Column) -> Column:
+    """Every anchor of a page in order: struct<href, aria_label, text,
+    sibling_text>. An anchor's text ends at its end tag or the next anchor; its
+    sibling is the element after it, up to that element's first end tag or an
+    anchor inside of it."""
+    body = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</(script|style)>|(?s)<!--.*?-->", " ")
+    pieces = F.split(F.regexp_replace(body, r"(?i)<a\s", "\x01<a "), "\x01")
+
+    def parts(piece: Column) -> Column:
+        tag = F.regexp_extract(piece, r"""^<a [^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*>""", 0)
+        rest = F.substring(piece, F.length(tag) + 1, F.length(piece))
+        inner = F.regexp_extract(rest, r"(?is)^(.*?)(?:</a\s*>|$)", 1)
+        after = F.regexp_extract(rest, r"(?is)</a\s*>(.*)$", 1)
+        name = F.lower(F.regexp_extract(after, "^[^<]*<([A-Za-z][A-Za-z0-9]*)", 1))
+        element = F.regexp_replace(after, "^[^<]*", "")
+        end = F.instr(F.lower(element), F.concat(F.lit("</"), name))
+        sibling = F.when(name.isin("", "img", "br", "hr", "input"), "").otherwise(
+            shown_text(F.when(end > 0, F.substring(element, F.lit(1), end - 1)).otherwise(element)))
+        return F.struct(attribute(tag, "href").alias("href"), attribute(tag, "aria-label").alias("aria_label"),
+                        shown_text(inner).alias("text"), sibling.alias("sibling"),
+                        (~F.contains(after, F.lit("<")) & rest.rlike(r"(?i)</a\s*>")).alias("next"))
+
+    each = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), parts)
+    return F.get(F.transform(F.array(each), lambda a: F.transform(a, lambda x, i: F.struct(
+        x["href"], x["aria_label"], x["text"],
+        F.when(x["next"], F.coalesce(F.get(a, i + 1)["text"], F.lit(""))).otherwise(x["sibling"]).alias("sibling_text")))),
+        F.lit(0))
 
 
 def absolute_hrefs(page_url: Column, html: Column) -> Column:

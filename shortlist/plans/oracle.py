@@ -5,7 +5,7 @@ DECIMAL)."""
 
 from __future__ import annotations
 
-from shortlist.schemas import BRANDS
+from shortlist.schemas import BRANDS, ENTITIES
 from shortlist.schemas import GENERIC_REPLY as GENERIC_REPLY_TEXT
 
 BRAND_LIST = "list_value(" + ", ".join(f"'{b}'" for b in BRANDS) + ")"
@@ -680,8 +680,8 @@ built AS (
 )"""
 
 
-def page_text() -> str:
-    t = ("regexp_replace(html, '(?is)<(script|style)\\b.*?</(script|style)>|(?s)<!--.*?-->', ' ', 'g')")
+def _shown(html: str) -> str:
+    t = (f"regexp_replace({html}, '(?is)<(script|style)\\b.*?</(script|style)>|(?s)<!--.*?-->', ' ', 'g')")
     t = f"regexp_replace({t}, '\\s+', ' ', 'g')"
     t = (f"regexp_replace({t}, '(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|"
          "form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)"
@@ -694,12 +694,65 @@ def page_text() -> str:
                        ("pound", "\u00a3"), ("#39", "''"), ("apos", "''"), ("quot", '"'), ("lt", "<"), ("gt", ">"),
                        ("amp", "&")]:
         t = f"replace({t}, '&{name};', '{char}')"
-    t = f"regexp_replace(regexp_replace({t}, ' +', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g')"
+    return f"regexp_replace(regexp_replace({t}, ' +', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g')"
+
+
+def page_text() -> str:
+    t = _shown("html")
     return f"""
 SELECT page_id, CAST(length(v) AS INTEGER) AS text_chars, md5(v) AS text_md5
 FROM (SELECT page_id, lower(trim({t}, ' ' || chr(10))) AS v FROM pages)"""
 
 
+def landed_pages() -> str:
+    return f"""
+SELECT regexp_extract(url, '^[^?#]*', 0) AS url, CAST(length(v) AS INTEGER) AS text_chars, md5(v) AS text_md5
+FROM (SELECT url, trim({_shown("html")}, ' ' || chr(10)) AS v FROM pages)"""
+
+
+def landed_anchors() -> str:
+    def attribute(name: str) -> str:
+        pattern = rf"""(?is)\s{name}\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)"""
+        value = f"""regexp_replace(regexp_extract(tag, '{pattern}', 1), '^["'']|["'']$', '', 'g')"""
+        for entity, char in ENTITIES:
+            value = f"replace({value}, '&{entity};', '{char.replace(chr(39), chr(39) * 2)}')"
+        return f"CASE WHEN regexp_matches(tag, '{pattern}') THEN {value} END"
+
+    shown = lambda x: f"trim({_shown(x)}, ' ' || chr(10))"
+    return rf"""
+WITH b AS (
+  SELECT page_id, string_split(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>|(?s)<!--.*?-->',
+    ' ', 'g'), '(?i)<a\s', chr(1) || '<a ', 'g'), chr(1)) AS pieces FROM pages
+),
+p AS (SELECT page_id, i - 2 AS anchor_idx, pieces[i] AS piece FROM (SELECT *, unnest(range(2, len(pieces) + 1)) AS i FROM b)),
+t AS (
+  SELECT page_id, anchor_idx, piece,
+    regexp_extract(piece, '^<a [^>"'']*(?:"[^"]*"[^>"'']*|''[^'']*''[^>"'']*)*>', 0) AS tag FROM p
+),
+r AS (SELECT *, substr(piece, length(tag) + 1) AS rest FROM t),
+s AS (
+  SELECT *, regexp_extract(rest, '(?is)^(.*?)(?:</a\s*>|$)', 1) AS inner_html,
+    regexp_extract(rest, '(?is)</a\s*>(.*)$', 1) AS after_html FROM r
+),
+e AS (
+  SELECT *, lower(regexp_extract(after_html, '^[^<]*<([A-Za-z][A-Za-z0-9]*)', 1)) AS el,
+    regexp_replace(after_html, '^[^<]*', '') AS element FROM s
+),
+x AS (
+  SELECT *, CASE WHEN instr(lower(element), '</' || el) > 0 THEN left(element, instr(lower(element), '</' || el) - 1)
+                 ELSE element END AS within FROM e
+),
+y AS (
+  SELECT page_id, anchor_idx, {attribute("href")} AS href, {attribute("aria-label")} AS aria_label, {shown("inner_html")} AS text,
+    CASE WHEN el IN ('', 'img', 'br', 'hr', 'input') THEN '' ELSE {shown("within")} END AS sibling,
+    NOT contains(after_html, '<') AND regexp_matches(rest, '(?i)</a\s*>') AS follows FROM x
+),
+z AS (SELECT *, lead(text) OVER (PARTITION BY page_id ORDER BY anchor_idx) AS next_text FROM y)
+SELECT page_id AS page_no, CAST(anchor_idx AS INTEGER) AS anchor_idx, href, aria_label, text,
+  CASE WHEN follows THEN coalesce(next_text, '') ELSE sibling END AS sibling_text
+FROM z WHERE href IS NOT NULL"""
+
+
 def page_links() -> str:
     return """
 WITH p AS (

@@ -21,7 +21,7 @@ from shortlist.plans import branches
 from shortlist.plans import oracle as O
 from shortlist.plans.recommend import shortlist, shortlist_basic
 from shortlist.session import cut_lineage
-from shortlist.sources.tables import read_table
+from shortlist.sources.tables import landed_product_pages, page_anchors, read_table
 from shortlist.functions import extract as X
 from shortlist.operators import catalog as cat
 from shortlist.operators import enrich as en
@@ -212,6 +212,15 @@ def q_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", F.size(links).alias("n_links"), F.array_join(links, " ").alias("links"))
 
 
+def q_landed_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_anchors(Tables(spark, sf_dir).raw("pages"))
+
+
+def q_landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return landed_product_pages(Tables(spark, sf_dir).raw("pages")).select(
+        "url", F.length("body_text").alias("text_chars"), F.md5("body_text").alias("text_md5"))
+
+
 def _anchors(spark, sf_dir):
     return listing_anchors_view(Tables(spark, sf_dir).raw("part"))
 
@@ -456,6 +465,8 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "form_coercion": (q_form_coercion, O.form_coercion()),
     "page_text": (q_page_text, O.page_text()),
     "page_links": (q_page_links, O.page_links()),
+    "landed_anchors": (q_landed_anchors, O.landed_anchors()),
+    "landed_pages": (q_landed_pages, O.landed_pages()),
     "canonical_urls": (q_canonical_urls, O.canonical_urls()),
     "title_brand_model": (q_title_brand_model, O.title_brand_model()),
     "price_pairs": (q_price_pairs, O.price_pairs()),

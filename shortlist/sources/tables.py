@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shortlist import schemas as S
+from shortlist.functions import extract as X
 
 log = logging.getLogger(__name__)
 
@@ -68,3 +69,18 @@ def read_requests_json(spark: SparkSession, path: str) -> DataFrame:
 def requests_from_json_column(df: DataFrame, col: str = "body") -> DataFrame:
     """S5 variant: parse a string column of JSON request bodies."""
     return df.select(F.from_json(F.col(col), S.REQUEST).alias("r")).select("r.*")
+
+
+def page_anchors(pages: DataFrame) -> DataFrame:
+    """The anchors of landed pages (page_id, url, html) as LISTING_ANCHORS,
+    a row for each that has an href."""
+    a = pages.select(F.col("page_id").alias("page_no"), F.posexplode(X.anchors(F.col("html"))).alias("anchor_idx", "a"))
+    return a.filter(F.col("a.href").isNotNull()).select("page_no", "anchor_idx", "a.*")
+
+
+def landed_product_pages(pages: DataFrame) -> DataFrame:
+    """Landed pages as PRODUCT_PAGES: their URL without query and fragment,
+    and their text. The lists (prices, sizes, descriptions, reviews, ratings,
+    features) stay null: they come from selectors, not from text."""
+    given = {"url": F.regexp_extract("url", "^[^?#]*", 0), "body_text": X.shown_text(F.col("html"))}
+    return pages.select(*[given.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in S.PRODUCT_PAGES])

@@ -169,3 +169,25 @@ def test_views_have_the_landing_schemas_and_operators_run_on_them(spark, tables)
     assert first_reply(empty(S.LLM_REPLIES)).count() == 0
     rows = spark.createDataFrame([], "request_id bigint, rank int, catalog_pos bigint")
     assert web_context(rows, empty(S.WEB_HITS)).count() == 0
+
+
+def test_landed_pages_give_anchors_and_a_catalog(spark):
+    """Anchors and text of real HTML, on to a catalog row."""
+    from shortlist.sources.tables import landed_product_pages, page_anchors
+    listing = ("<p>x</p><!-- <a href='/no'>no</a> --><A class=\"c\" HREF = '/product/brooks-ghost-17?c=1&amp;d=2' "
+               'aria-label="Men&#39;s a > b"><b>Brooks</b> Ghost 17</A> <span>Brooks <i>Ghost</i> 17</span>'
+               '<a name="top">none</a><a href=/product/x-1>One</a> <a href="/two">Two</a><img src="i"><a href="/open">Last')
+    product = "<h1>Brooks Ghost 17</h1><p>A daily trainer with 12 mm drop.</p><script>drop: 3 mm</script>"
+    pages = spark.createDataFrame([(7, "https://s.example/list?page=1", listing), (9, "https://s.example/none", None),
+                                   (8, "https://s.example/product/brooks-ghost-17?v=1", product)],
+                                  "page_id bigint, url string, html string")
+    anchors = page_anchors(pages)
+    assert [f.name for f in anchors.schema] == [f.name for f in S.LISTING_ANCHORS]
+    assert sorted(tuple(r) for r in anchors.collect()) == [
+        (7, 0, "/product/brooks-ghost-17?c=1&d=2", "Men's a > b", "Brooks Ghost 17", "Brooks Ghost 17"),
+        (7, 2, "/product/x-1", None, "One", "Two"), (7, 3, "/two", None, "Two", ""), (7, 4, "/open", None, "Last", "")]
+    landed = landed_product_pages(pages)
+    assert [(f.name, f.dataType) for f in landed.schema] == [(f.name, f.dataType) for f in S.PRODUCT_PAGES]
+    rows = cat.assemble_rows(cat.product_cards(anchors.withColumn("aria_label", F.lit(None).cast("string"))), landed,
+                             site="https://s.example").collect()
+    assert [(r["brand"], r["drop_mm"]) for r in rows] == [("Brooks", 12.0)]
