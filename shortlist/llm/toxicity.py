@@ -101,12 +101,14 @@ def swapped(words: Counter) -> Counter | None:
 def training_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str,
                     max_train: int) -> DataFrame:
     """(text, y) of at most ``max_train`` labelled documents that are not
-    held out. The sampled labels are bounded, so they are broadcast."""
+    held out. The sampled labels are bounded, so they are broadcast; of rows
+    with one id the one with the smallest text hash counts."""
     known = labels.select(col(doc_id).alias("__id"), col(label).cast("int").alias("__y")).filter(
         F.col("__id").isNotNull() & F.col("__y").isNotNull()).filter(~held_out("__id"))
     known = known.groupBy("__id").agg(F.max("__y").alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(max_train)
     return docs.select(col(doc_id).alias("__doc"), col(text).alias("text")).join(
-        F.broadcast(known), F.col("__doc") == F.col("__id")).select("text", F.col("__y").alias("y"))
+        F.broadcast(known), F.col("__doc") == F.col("__id")).groupBy("__id").agg(
+            F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"), F.first("__y").alias("y")).drop("__id")
 
 
 def feature_counts(sample: DataFrame) -> DataFrame:

@@ -182,6 +182,18 @@ def test_toxicity_odd_inputs(spark):
     assert kept.columns == odd(spark).columns and kept.count() == len(ODD)
 
 
+def test_toxicity_samples_one_row_per_id(spark):
+    docs, labels = labelled(90)
+    copies = [(0, f"copy {i % 3}", "en", "s", 0) for i in range(200)]
+    sample = toxicity.training_sample(frame(spark, docs + copies), frame(spark, labels, LABELS), "doc_id", "text",
+                                      "toxic", 40)
+    ids = [i for i, _, _ in labels if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert 0 in ids and sample.columns == ["text", "y"] and sample.count() == 40
+    every = toxicity.training_sample(frame(spark, docs + copies), frame(spark, labels, LABELS), "doc_id", "text",
+                                     "toxic", 1000)
+    assert every.count() == len(ids)
+
+
 def test_train_gradient_direction():
     data = pd.DataFrame({"y": [1, 1, 0, 0], "ids": [[0], [0], [1], [1]], "vals": [[1.0]] * 4,
                          "ids2": [None] * 4, "vals2": [None] * 4})
