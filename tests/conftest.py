@@ -7,8 +7,6 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -21,5 +19,6 @@ def spark():
 
 @pytest.fixture(scope="session")
 def tables(spark):
+    from oracle_harness import SMALL
     from shortlist.plans.registry import Tables
     return Tables(spark, SMALL)

@@ -4,8 +4,7 @@
 import pytest
 
 import __spark_entry__ as E
-from oracle_harness import compare
-from conftest import SMALL
+from oracle_harness import SMALL, compare
 from shortlist.plans.registry import QUERIES
 
 NAMES = sorted(QUERIES)
