@@ -5,14 +5,19 @@ parameters."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shortlist.llm import (exact_dedup, minhash_dedup, mixing, packing, pii, quality_rules, secret_scan, sql,
-                           suffix_dedup, token_counts, toxicity)
+                           suffix_dedup, token_counts, toxicity, warc)
+from shortlist.session import checkpoint_dir
 from shortlist.sources.tables import read_table
 
+#: Numbers the runs of a session, so that each has a folder of its own.
+_RUNS = count()
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
@@ -85,6 +90,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = f"{checkpoint_dir(spark).rstrip('/')}/warc-{spark.sparkContext.applicationId}-{next(_RUNS)}"
+    return warc.round_trip(read_table(spark, sf_dir, "pages"), out).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_secret_scan": (op1_secret_scan, None),
     "op2_exact_dedup": (op2_exact_dedup, sql.EXACT_DEDUP),
@@ -96,4 +107,5 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_mixing": (op8_mixing, None),
     "op9_packing": (op9_packing, None),
     "op10_suffix_dedup": (op10_suffix_dedup, sql.SUFFIX_DEDUP),
+    "op13_warc": (op13_warc, sql.WARC),
 }
