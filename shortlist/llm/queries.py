@@ -4,14 +4,16 @@ parameters."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from itertools import count
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shortlist.llm import (exact_dedup, minhash_dedup, mixing, packing, pii, quality_rules, secret_scan, sql,
-                           suffix_dedup, token_counts, toxicity, warc)
+from shortlist.llm import (exact_dedup, minhash_dedup, mixing, packing, periodic_runs, pii, quality_rules,
+                           secret_scan, sql, suffix_dedup, token_counts, toxicity, warc)
 from shortlist.session import checkpoint_dir
 from shortlist.sources.tables import read_table
 
@@ -90,6 +92,33 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def looped_tail(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The sequence in which a text's n words are read: in a tenth of the
+    documents, chosen by their id, the tail goes round in a loop. A null id
+    has none."""
+    h = zlib.crc32(str(doc_id).encode())
+    g = h // 10
+    if doc_id is None or h % 10 or not n:
+        return None
+    a, at = g % n, np.arange(n)
+    at[a:] = a + (at[a:] - a) % (1 + (n - a) // (3 + g % 8))
+    return at
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(documents(spark, sf_dir), order=looped_tail)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    start, period = -longest["start"], -longest["period"]
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(
+        F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), start.alias("start"),
+        longest["length"].alias("length"), period.alias("period"),
+        F.floor(F.lit(1000) * longest["length"] / period).cast("bigint").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = f"{checkpoint_dir(spark).rstrip('/')}/warc-{spark.sparkContext.applicationId}-{next(_RUNS)}"
     return warc.round_trip(read_table(spark, sf_dir, "pages"), out).select(
@@ -107,5 +136,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_mixing": (op8_mixing, None),
     "op9_packing": (op9_packing, None),
     "op10_suffix_dedup": (op10_suffix_dedup, sql.SUFFIX_DEDUP),
+    "op12_periodic_runs": (op12_periodic_runs, None),
     "op13_warc": (op13_warc, sql.WARC),
 }
