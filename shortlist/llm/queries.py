@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shortlist.llm import (exact_dedup, minhash_dedup, mixing, packing, periodic_runs, pii, quality_rules,
-                           secret_scan, sql, suffix_dedup, token_counts, toxicity, warc)
+                           secret_scan, sql, suffix_dedup, token_counts, toxicity, warc, whitening)
 from shortlist.session import checkpoint_dir
 from shortlist.sources.tables import read_table
 
@@ -92,6 +92,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+    each = white.select("vec_id", "n", F.col("deviation").try_cast("bigint").alias("deviation"), "explained",
+                        "identity_error", F.posexplode("whitened").alias("at", "whitened"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened",
+                       F.get("explained", F.col("at")).alias("explained"), "identity_error")
+
+
 def looped_tail(doc_id: int | None, n: int) -> np.ndarray | None:
     """The sequence in which a text's n words are read: in a tenth of the
     documents, chosen by their id, the tail goes round in a loop. A null id
@@ -136,6 +144,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_mixing": (op8_mixing, None),
     "op9_packing": (op9_packing, None),
     "op10_suffix_dedup": (op10_suffix_dedup, sql.SUFFIX_DEDUP),
+    "op11_whitening": (op11_whitening, None),
     "op12_periodic_runs": (op12_periodic_runs, None),
     "op13_warc": (op13_warc, sql.WARC),
 }
