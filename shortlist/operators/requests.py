@@ -67,8 +67,20 @@ def prepare_requests(requests: DataFrame) -> DataFrame:
     return d.select(*cols)
 
 
+#: What a body is told that is no JSON, or whose fields have other types.
+BODY_ERROR = "body: not a JSON object that fits the request"
+
+
 def validation_errors(requests: DataFrame) -> Column:
-    """Array of error codes (empty = valid)."""
+    """Array of error codes (empty = valid). A body that could not be
+    parsed (its text is in ``source``) has this error alone."""
+    errors = field_errors()
+    if "source" not in requests.columns:
+        return errors
+    return F.when(c("source.text").isNotNull(), F.array(F.lit(BODY_ERROR))).otherwise(errors)
+
+
+def field_errors() -> Column:
     n = c("num_recommendations")
     return F.array_compact(F.array(
         F.when(c("intended_use").isNull(), F.lit("intended_use: field required")),
@@ -82,10 +94,12 @@ def validation_errors(requests: DataFrame) -> Column:
 
 def split_valid(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, rejected-with-errors). Both sides come from one narrow
-    projection; nothing is dropped silently."""
+    projection; nothing is dropped silently. Rejected rows keep their
+    ``source`` (file, line, text of an unreadable body) where they have one."""
     checked = requests.withColumn("errors", validation_errors(requests))
-    return (checked.filter(F.size("errors") == 0).drop("errors"),
-            checked.filter(F.size("errors") > 0).select("request_id", "errors"))
+    source = [name for name in ("source",) if name in requests.columns]
+    return (checked.filter(F.size("errors") == 0).drop("errors", *source),
+            checked.filter(F.size("errors") > 0).select("request_id", "errors", *source))
 
 
 def _num_or(col: str, default: float) -> Column:

@@ -13,7 +13,7 @@ from shortlist.operators import catalog as cat
 from shortlist.operators import enrich as en
 from shortlist.operators import prompts as pr
 from shortlist.operators.ranking import preview
-from shortlist.operators.requests import domain_lists, prepare_requests, with_defaults
+from shortlist.operators.requests import domain_lists, prepare_requests, split_valid, with_defaults
 from shortlist.plans import oracle as O
 from shortlist.plans.recommend import shortlist
 from shortlist.session import checkpoint_dir
@@ -67,6 +67,79 @@ SELECT catalog_pos, brand, model, array_to_string(category, ',') AS category, pr
   cushioning_level, heel_stack_mm, has_wide_options FROM catalog"""
 
 
+ARRAY_ROWS = 500
+
+
+def catalog_array_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog as hand-made JSON array files (without positions, with
+    the size columns), scanned in file order."""
+    path = _scratch(spark, "arrays")
+    rows = _catalog(spark, sf_dir).select(
+        F.expr(f"catalog_pos div {ARRAY_ROWS}").alias("chunk"), "catalog_pos",
+        F.to_json(F.struct("brand", "model", "category", "price_usd", "plate", "drop_mm", "weight_g",
+                           F.lit("10").alias("size_checked"), (c("catalog_pos") % 3 == 0).alias("available_for_size"),
+                           F.round(c("price_usd") * 0.9, 2).alias("sale_price_usd"))).alias("item"))
+    items = F.transform(F.array_sort(F.collect_list(F.struct("catalog_pos", "item"))), lambda x: x["item"])
+    files = rows.groupBy("chunk").agg(F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")).alias("text"))
+    files.repartitionByRange("chunk").sortWithinPartitions("chunk").select("text").write.option(
+        "maxRecordsPerFile", 1).text(path)
+    return src.read_catalog(spark, path, fmt="json").select(
+        "catalog_pos", "brand", "model", F.array_join("category", ",").alias("category"), "price_usd", "plate",
+        "drop_mm", "weight_g", "size_checked", "available_for_size", "sale_price_usd")
+
+
+def catalog_array_scan_sql() -> str:
+    return O.with_ctes(O.CATALOG) + """
+SELECT row_number() OVER (ORDER BY catalog_pos) AS catalog_pos, brand, model,
+  array_to_string(category, ',') AS category, price_usd, plate, drop_mm, weight_g, '10' AS size_checked,
+  catalog_pos % 3 = 0 AS available_for_size, round(price_usd * 0.9, 2) AS sale_price_usd FROM catalog"""
+
+
+def catalog_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: a catalog that is stored, then replaced by a job that reads it:
+    prices fall by a tenth, every seventh product goes. Both versions are
+    read."""
+    path = _scratch(spark, "replaced")
+    src.write_catalog(_catalog(spark, sf_dir), path)
+    old = src.read_catalog(spark, path)
+    src.write_catalog(old.filter(c("catalog_pos") % 7 != 0).withColumn("price_usd", F.round(c("price_usd") * 0.9, 2)),
+                      path, fmt="jsonl")
+    before = src.read_catalog(spark, path, version=1).select("catalog_pos", c("price_usd").alias("old_price"))
+    return src.read_catalog(spark, path).join(before, "catalog_pos", "full").select(
+        "catalog_pos", "brand", "model", "price_usd", "old_price")
+
+
+def catalog_replace_sql() -> str:
+    return O.with_ctes(O.CATALOG) + """
+SELECT catalog_pos, CASE WHEN catalog_pos % 7 <> 0 THEN brand END AS brand,
+  CASE WHEN catalog_pos % 7 <> 0 THEN model END AS model,
+  CASE WHEN catalog_pos % 7 <> 0 THEN round(price_usd * 0.9, 2) END AS price_usd, price_usd AS old_price FROM catalog"""
+
+
+def unreadable_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies as they were landed, some cut off or no JSON at all;
+    all rejected ones with their errors, and the text of unreadable ones."""
+    path = _scratch(spark, "bodies")
+    raw = raw_requests_view(src.read_table(spark, sf_dir, "customer"))
+    key = c("request_id").cast("string")
+    body = (F.when(c("request_id") % 9 == 4, F.concat(F.lit('{"request_id": '), key))
+            .when(c("request_id") % 9 == 5, F.concat(F.lit("not json "), key))
+            .otherwise(F.to_json(F.struct(*raw.columns))))
+    raw.select(body).write.text(path)
+    rejected = split_valid(src.read_requests_json(spark, path))[1]
+    return rejected.select("request_id", F.array_join("errors", "; ").alias("errors"), c("source.text").alias("text"),
+                           (c("source.line") > 0).alias("has_line"))
+
+
+def unreadable_requests_sql() -> str:
+    return f"""
+SELECT CASE WHEN request_id % 9 NOT IN (4, 5) THEN request_id END AS request_id,
+  CASE WHEN request_id % 9 IN (4, 5) THEN 'body: not a JSON object that fits the request' ELSE errors END AS errors,
+  CASE request_id % 9 WHEN 4 THEN '{{"request_id": ' || request_id WHEN 5 THEN 'not json ' || request_id END AS text,
+  TRUE AS has_line
+FROM ({O.request_validation()}) WHERE NOT valid OR request_id % 9 IN (4, 5)"""
+
+
 def enriched_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S4 then S2: the enriched catalog written and scanned again."""
     path = _scratch(spark, "enriched")
@@ -304,6 +377,9 @@ FROM ranked"""
 
 QUERIES = {
     "catalog_roundtrip": (catalog_roundtrip, catalog_roundtrip_sql()),
+    "catalog_array_scan": (catalog_array_scan, catalog_array_scan_sql()),
+    "catalog_replace": (catalog_replace, catalog_replace_sql()),
+    "unreadable_requests": (unreadable_requests, unreadable_requests_sql()),
     "enriched_roundtrip": (enriched_roundtrip, O.enriched_catalog()),
     "request_roundtrip": (request_roundtrip, O.request_defaults()),
     "domain_options": (domain_options, domain_options_sql()),

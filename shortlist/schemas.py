@@ -123,6 +123,10 @@ CATALOG = StructType([
     StructField("forefoot_stack_mm", DoubleType(), True),
     StructField("best_for_distances", ArrayType(StringType()), True),
     StructField("has_wide_options", BooleanType(), True),
+    # only where a size was asked for
+    StructField("size_checked", StringType(), True),
+    StructField("available_for_size", BooleanType(), True),
+    StructField("sale_price_usd", DoubleType(), True),
 ])
 
 ENHANCED_DATA = StructType([
