@@ -18,15 +18,20 @@ confirmed links merge components. Members that are already connected need no
 comparison, so a large group of near copies costs a few comparisons each.
 After ``STAR_ROUNDS`` rounds, members that share too few shingles with all
 other components together to be linked with any are put aside: by the counts
-alone they have no link left. The remaining pairs of members in different
-components are all compared, those outside a bucket's largest component with
-the others. So every candidate pair has been confirmed, refused, ruled out by
-exact counts or found connected in the end.
+alone they have no link left. Of a bucket with few members left those in
+different components are compared, the ones outside its largest component with
+the others. A bucket with more than ``CROWD`` members goes by differences
+(``_crowds``): all of them are compared with the member that is most like the
+rest, and two others can only be linked if they depart from it in many of the
+same places, so they meet by an equi join on rare departures. So every
+candidate pair has been confirmed, refused, ruled out by exact counts or found
+connected in the end.
 
 Defined results: a null text, or one without words, has no shingles and is
 linked with nothing, and its component is its own; a null doc_id comes last
-(a component of nulls only has a null id); repeated rows share a class and
-one of them is kept; an empty table gives an empty result. Extra columns pass
+(a component of nulls only has a null id); repeated rows share a class, and
+all rows that carry their component's id are kept by ``near_groups``, one of
+them by ``near_dedup``; an empty table gives an empty result. Extra columns pass
 through ``near_dedup`` unchanged whatever their names.
 """
 
@@ -50,6 +55,10 @@ BANDS, ROWS = 32, 4
 BITS = 2
 SIGMAS = 6
 STAR_ROUNDS = 1
+#: Members of a bucket from which on they are not compared with each other.
+CROWD = 32
+#: Passes of the count filter, which may stop at any time.
+COUNT_ROUNDS = 4
 #: Up to so many classes (about 100 MB of ids) the list of documents whose
 #: text is needed is broadcast to the scan; beyond, the scan is joined by id.
 BROADCAST_IDS = 4_000_000
@@ -238,28 +247,31 @@ class Found:
         return self.texts(used).mapInArrow(make, "node bigint, shingles array<bigint>")
 
 
-def _able_to_link(found: Found, members: DataFrame) -> DataFrame:
-    """(key, node, label, n, size) of the members that may still be linked with
-    another component: n of their shingles occur in another one.
+def _able_to_link(found: Found, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members (key, node, label, n, size) that may still be linked with
+    another component, and (node, shared): those of a node's shingles, n in
+    number, that occur in another component's open nodes.
 
     A node linked with another component shares at least ``percent`` % of its
     own shingles with it. Shingles that no open node of another component has
     cannot be shared, so a node with too many of them has no link left to find
-    and goes, with all its pairs uncompared. Repeated until no node goes: what
-    was shared only with nodes that went counts no more."""
+    and goes, with all its pairs uncompared. Repeated while nodes go, a few
+    times: what was shared only with nodes that went counts no more."""
     sets = cut_lineage(found.sets(members.select("node").distinct()))
-    while True:
+    for turn in range(COUNT_ROUNDS):
         labels = found.labelled(members).select("node", "label").distinct()
         each = sets.join(labels, "node").select("node", "label", F.explode("shingles").alias("s"))
         foreign = each.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y")
-        shared = each.join(foreign.select("s"), "s", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+        shared = each.join(foreign.select("s"), "s", "left_semi").groupBy("node").agg(
+            F.count(F.lit(1)).alias("n"), F.collect_list("s").alias("shared"))
         able = cut_lineage(shared.join(sets.select("node", F.size("shingles").alias("size")), "node").filter(
-            100 * F.col("n") >= found.percent * F.col("size")).select("node", "n", "size"))
+            100 * F.col("n") >= found.percent * F.col("size")).select("node", "n", "size", "shared"))
         left = able.count()
         gone = labels.count() - left
         members = found.still_open(members.join(able.select("node"), "node"))
         if not left or not gone:
-            return found.labelled(members).join(able, "node")
+            break
+    return found.labelled(members).join(able.drop("shared"), "node"), able.select("node", "shared")
 
 
 def _matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +306,12 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         found.add(_star(found.labelled(members), turn))
         members = found.still_open(members)
     if not members.isEmpty():
-        found.add(_across(_able_to_link(found, members), percent))
+        at, shared = _able_to_link(found, members)
+        at = cut_lineage(at)
+        crowded = at.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > CROWD)
+        crowded = cut_lineage(crowded.select("key"))
+        _crowds(found, at.join(crowded, "key", "left_semi"), shared)
+        found.add(_across(at.join(crowded, "key", "left_anti"), percent))
     labels = found.labels
 
     label = F.col("node") if labels is None else F.coalesce("label", "node")
@@ -302,13 +319,11 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = named.select("h1", "h2", "first_id", "first_row", label.alias("label"))
     best = named.groupBy("label").agg(
         F.min(F.struct(F.col("first_id").isNull(), "first_id", "first_row")).alias("best"))
-    named = named.join(best, "label").select("h1", "h2", F.col("best.first_id").alias("component_id"),
-                                             F.col("best.first_row").alias("keep_row"))
+    named = named.join(best, "label").select("h1", "h2", F.col("best.first_id").alias("component_id"))
     joined = rows.drop("keys", "sig").join(named, ["h1", "h2"], "left")
-    return joined.select(
-        "doc_id", "n_shingles",
-        F.when(F.col("h1").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.coalesce(F.col("row") == F.col("keep_row"), F.lit(True)).alias("kept"), "h1", "h2", "row")
+    component = F.when(F.col("h1").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"),
+                         F.col("doc_id").eqNullSafe(component).alias("kept"), "h1", "h2", "row")
 
 
 def _star(at: DataFrame, turn: int) -> DataFrame:
@@ -336,6 +351,79 @@ def _across(at: DataFrame, percent: int) -> DataFrame:
         F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
 
 
+def _crowds(found: Found, at: DataFrame, shared: DataFrame) -> None:
+    """Adds the links between members (key, node, label, n, size) of crowded
+    buckets, whose ``shared`` shingles (n of them) hold all that a node can have
+    in common with another component.
+
+    With J = percent / 100, two nodes u and v are linked if and only if they
+    have J / (1 + J) * (size_u + size_v) shingles in common. Let each bucket's
+    centre c be the member with the least 2 J / (1 + J) * size - n, let D be the
+    places where a node's shared shingles differ from the centre's, and
+
+        a = |D| - n + 2 J / (1 + J) * size,
+
+    so that |D_u & D_v| >= (a_u + a_v) / 2 for linked nodes, as what they do
+    not have in common is where D_u and D_v differ. Once every node has been
+    compared with its centre, a node u outside the centre's component has
+    a_u > -a_c, or else it would have been linked with the centre; and no a is
+    below a_c. So of two nodes in different components one has a positive sum
+    with the other: they have at least one place of departure in common, and
+    mostly so many that no node's |D| can hold them. What is left meets by
+    prefixes: of |D| places in a fixed order, the rare ones first, the first
+    |D| - k + 1 hold one of any k common ones. Buckets with one centre are taken
+    together. Where most members depart from the centre more than they follow
+    it, the empty set takes its place: D is then all that a node shares."""
+    pc = 100 + found.percent  # everything times 100 + percent, to stay with whole numbers
+    slack = 2 * found.percent * F.col("size") - pc * F.col("n")
+    centre = at.groupBy("key").agg(F.min(F.struct(slack.alias("slack"), F.col("node").alias("c"))).alias("m"))
+    near = cut_lineage(at.join(centre, "key").select("m", "node", slack.alias("slack")).distinct())
+    # a centre that is a member elsewhere, beside a better one, hands its members on to that one
+    better = near.groupBy("node").agg(F.min("m").alias("to"))
+    near = near.join(better.withColumnRenamed("node", "c"), F.col("m.c") == F.col("c")).select(
+        "to.c", "node", "slack", F.col("to.slack").alias("least"))
+    itself = near.select("c", F.col("c").alias("node"), F.col("least").alias("slack"), "least")
+    near = cut_lineage(near.unionByName(itself).distinct())
+    found.add(near.filter("c != node").select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b")))
+
+    labels = found.labelled(near.select(F.col("c").alias("key"), "node"))
+    own = F.max(F.when(F.col("key") == F.col("node"), F.col("label")))
+    middle = labels.groupBy("key").agg(own.alias("inner"), F.max("label").alias("x"), F.min("label").alias("y"))
+    labels = labels.join(middle.filter("x != y"), "key").select(
+        F.col("key").alias("c"), "node", "label", (F.col("label") == F.col("inner")).alias("inside"))
+    of_c = shared.select(F.col("node").alias("c"), F.col("shared").alias("central"))
+    apart = F.concat(F.array_except("shared", "central"), F.array_except("central", "shared"))
+    group = near.join(labels, ["c", "node"]).join(shared, "node").join(of_c, "c").select(
+        "c", "node", "label", "inside", "least", "slack", apart.alias("d"), "shared")
+    group = cut_lineage(group)
+    loose = group.groupBy("c").agg((2 * F.avg(F.size("d")) > F.avg(F.size("shared"))).alias("loose"))
+    group = group.join(loose, "c").select(
+        "c", "node", "label", (F.col("inside") & ~F.col("loose")).alias("inside"), "least", "slack",
+        F.when(F.col("loose"), F.col("shared")).otherwise(F.col("d")).alias("d"))
+    group = cut_lineage(group.withColumn("a", pc * F.size("d") + F.col("slack")).drop("slack"))
+    outer = group.filter(~F.col("inside")).groupBy("c").agg(F.min("a").alias("outer"))
+    each = group.select("c", "node", F.explode("d").alias("place"))
+    rare = each.groupBy("c", "place").agg(F.count(F.lit(1)).alias("often"))
+    ranked = each.join(rare, ["c", "place"]).groupBy("c", "node").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("often", "place"))), lambda x: x["place"]).alias("d"))
+    group = cut_lineage(group.drop("d").join(ranked, ["c", "node"]).join(outer, "c"))
+
+    def places(rows: DataFrame, other: str) -> DataFrame:
+        """(c, place, node, label) of the first places: the nodes that it may
+        be linked with have an ``a`` of at least ``other``."""
+        common = F.ceil((F.col("a") + F.col(other)) / (2 * pc)).cast("int")
+        n = F.greatest(F.size("d") - F.greatest(common, F.lit(1)) + 1, F.lit(0))
+        return rows.select("c", "node", "label", F.explode(F.slice("d", F.lit(1), n)).alias("place"))
+
+    outside = group.filter(~F.col("inside"))
+    to_inside, among = places(outside, "least"), places(outside, "outer")
+    inside = places(group.filter("inside"), "outer")
+    right = among.select("c", "place", F.col("node").alias("v"), F.col("label").alias("lv"))
+    pairs = to_inside.join(inside.select("c", "place", F.col("node").alias("v")), ["c", "place"]).select("node", "v")
+    pairs = pairs.unionByName(among.join(right, ["c", "place"]).filter("node < v AND label != lv").select("node", "v"))
+    found.add(pairs.select(F.least("node", "v").alias("a"), F.greatest("node", "v").alias("b")).distinct())
+
+
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The documents that stay, one of each component, with all columns.
     ``docs`` is read several times, so it should be a table."""

@@ -77,6 +77,39 @@ def test_near_dedup_equals_brute_force(spark, monkeypatch, rounds):
     assert all(r["n_shingles"] == len(sets[i]) and r["kept"] == (want[i] == i) for i, r in out.items())
 
 
+def crowd(seed, n=110, words=70):
+    """Copies around the threshold: few other words, deletions, insertions and
+    a passage that unlike texts share."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(words)]
+    out = []
+    for k in range(n):
+        w = list(base)
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randrange(len(w))
+            w[at:at + rng.choice([0, 1, 1, 1, 2])] = [f"x{rng.randint(0, 5)}"] * rng.choice([0, 1, 1, 1, 2])
+        out.append(" ".join(w if k % 3 else [f"y{seed}{k}{i}" for i in range(rng.randint(5, 60))] + w[:rng.randint(20, 60)]))
+    return out
+
+
+@pytest.mark.parametrize("rounds,members", [(0, 1), (1, 1), (1, 10), (0, 10)])
+def test_crowded_buckets_equal_brute_force(spark, monkeypatch, rounds, members):
+    monkeypatch.setattr(minhash_dedup, "STAR_ROUNDS", rounds)
+    monkeypatch.setattr(minhash_dedup, "CROWD", members)
+    rows = [(i * 7 % 1000, t, "en", "s", 0) for i, t in enumerate(t for s in range(3) for t in crowd(s + 10 * rounds))]
+    want, _ = components([(r[0], r[1]) for r in rows])
+    assert 20 < len(set(want.values())) < len(rows) - 20
+    out = minhash_dedup.near_groups(frame(spark, rows).repartition(4)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == want
+
+
+def test_all_rows_of_the_first_id_are_kept(spark):
+    rows = [(6, "a b c d e f", "en", "s", 0), (6, "a b c d e f", "en", "s", 0), (7, "a b c d e f", "en", "s", 0)]
+    out = minhash_dedup.near_groups(frame(spark, rows)).select("doc_id", "component_id", "kept").collect()
+    assert sorted(map(tuple, out)) == [(6, 6, True), (6, 6, True), (7, 6, False)]
+    assert minhash_dedup.near_dedup(frame(spark, rows)).count() == 1
+
+
 def test_near_dedup_query_equals_brute_force(spark):
     docs = texts_of(small_docs(spark))
     want, sets = components(docs)
