@@ -5,9 +5,11 @@ value of 12 or more characters), ``access`` (access key ids) and ``hex`` (runs
 of hexadecimal digits). The method adds spans of kind ``literal``: it lexes the
 text as source code or configuration into names, assignment operators and
 literals, reads ``name = expression`` pairs (``=``, ``:=``, ``=>``, ``:``;
-quoted or dotted names; ``+`` between parts), carries constants from one name
-to the next in the order of the text, and scores every literal that reaches a
-name by how telling the name is and how random the literal looks. The span is
+quoted or dotted names; ``+`` between parts, strings side by side, arguments
+of a call), carries constants from one name to the next in the order of the
+text, and scores every literal that reaches a name by how telling the name is
+and how random the literal looks. A bare name is no literal, unless it is a
+constant's or only a value can stand where it stands. The span is
 that of the literal where it stands, also when only another name passes it on.
 An unquoted value on the line of its operator reaches to white space, a comma
 or the next ``;name=`` or ``&name=``, unless it is a call, an index or a sum of
@@ -17,8 +19,9 @@ a quoted index (``config["password"] = ...``) is a name too.
 
 Positions are code points, ends exclusive. Base patterns match left to right
 without overlap, each kind for itself; a match that is too short is dropped
-after it has used up its characters. Whole texts are scanned; the work is
-linear in the text.
+after it has used up its characters. Whole texts are scanned. Values share the
+constants in them, and a literal is scored at most once for each score that a
+name can have, so the work is linear in the text.
 
 Defined results: a null text counts as empty and has no spans; a null or
 repeated doc_id and repeated rows give a row each; an empty table gives an
@@ -50,7 +53,7 @@ KINDS = ("assign", "access", "hex", "literal")
 #: operator, bare value; names may have dots and dashes inside.
 LEXEME = re.compile(
     r"""(?P<string>(?<![\w$])(?:[rRbBuUfF]{1,2}|[@$])?"""
-    r"""(?:\"{3}[^"].*?\"{3}|'{3}[^'].*?'{3}|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`))"""
+    r"""(?:\"{3}[^"][\s\S]*?\"{3}|'{3}[^'][\s\S]*?'{3}|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`))"""
     r"""|(?P<name>[A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*)*)"""
     r"""|(?P<number>\d[\w.]*)"""
     r"""|(?P<op>:=|=>|->|==+|!=+|<=|>=|[?!]:|\?=|[=:+])"""
@@ -180,16 +183,59 @@ class Bare:
         return b
 
 
+class Value:
+    """The literals of an expression: its own spans and the values of the
+    constants in it, which are shared, not copied. ``best`` is the highest
+    score of a name that it has reached."""
+
+    __slots__ = ("spans", "parts", "best")
+
+    def __init__(self):
+        self.spans: list[tuple[int, int]] = []
+        self.parts: list[Value] = []
+        self.best = 0.0
+
+    def __bool__(self) -> bool:
+        return bool(self.spans or self.parts)
+
+    def reached(self, score: float) -> Iterator[tuple[int, int]]:
+        """The spans that have not yet reached a name of this score: each is
+        given at most once for each score that a name can have."""
+        left = [self]
+        while left:
+            one = left.pop()
+            if one.best < score:
+                one.best = score
+                yield from one.spans
+                left += one.parts
+
+
+#: A name that may be a value: with a digit, before the end of its line or list,
+#: or another word.
+NAMED_VALUE = re.compile(r"(?=[A-Za-z_$.-]*\d)[\w$.-]+(?:[ \t]*(?:[,;}\n#]|\Z)|[ \t]+(?=[A-Za-z_]))")
+#: A line of an environment or properties file up to its value.
+SETTING = re.compile(r"(?:export[ \t]+)?[A-Za-z_][\w.-]*=")
+
+
+def setting(text: str, a: int, b: int) -> bool:
+    """Whether text[a:b] is all that follows ``name=`` on its line, with no
+    white space around the operator."""
+    line = text.rfind("\n", max(0, a - 200), a) + 1
+    m = SETTING.match(text, line, a)
+    return bool(m) and m.end() == a and text[b:b + 1] in ("", "\n", "\r")
+
+
 def literal_spans(text: str) -> list[tuple[int, int]]:
     """Spans of the literals that reach a telling name with enough score."""
     if "=" not in text and ":" not in text:
         return []
-    constants: dict[str, list[tuple[int, int]]] = {}
+    constants: dict[str, Value] = {}
     bare = Bare(text)
     spans: set[tuple[int, int]] = set()
     # Names of one target, those that the next operator may assign to, and
     # those before each open bracket.
-    name, value, pending, joined = (), [], (), True
+    name, value, pending, joined = (), Value(), (), True
+    calls = 0
     outer: list[tuple[str, ...]] = []
     last, declares, at, skip = None, False, 0, 0
     missed = (0, 0, 0.0)
@@ -218,12 +264,22 @@ def literal_spans(text: str) -> list[tuple[int, int]]:
         return found >= MIN_SCORE
 
     def close() -> None:
-        nonlocal name, value
+        nonlocal name, value, calls
         if name and value:
             constants.update((n, value) for n in name)
             score = max(map(name_score, name))
-            spans.update((a, b) for a, b in value if hits(score, a, b))
-        name, value = (), []
+            spans.update((a, b) for a, b in value.reached(score) if hits(score, a, b))
+        name, value, calls = (), Value(), 0
+
+    def add(m: re.Match) -> None:
+        """A literal or a name as a part of the value: a name stands for its
+        constant, or for itself where only a value can stand."""
+        if m.lastgroup != "name":
+            value.spans.append(literal(m))
+        elif m.group() in constants:
+            value.parts.append(constants[m.group()])
+        elif NAMED_VALUE.match(text, m.start()) or setting(text, *m.span()):
+            value.spans.append(m.span())
 
     for m in LEXEME.finditer(text):
         if m.start() < skip:
@@ -236,27 +292,37 @@ def literal_spans(text: str) -> list[tuple[int, int]]:
                 skip = typed.end()
                 continue
             close()
-            name, value, joined = pending, [], True
+            name, joined = pending, True
             # The name before an unquoted value that may be a type stays.
             at = typed.end() if typed else 0
             pending = ()
             span = bare.span(m.end(), constants)
             if span:
                 a, b, has_op = span
-                value, joined = [(a, b)], False
+                value.spans.append((a, b))
+                joined = False
                 if not has_op or hits(max(map(name_score, name)), a, b):
                     skip = b
         elif kind == "op" and word == "=" and at and m.start() == at and name:
             pending, at = name, 0
             close()
-            name, value, joined, pending = pending, [], True, ()
-        elif kind in ("string", "name", "number") and name and joined:
-            value = value + (constants.get(word, [literal(m)]) if kind == "name" else [literal(m)])
+            name, joined, pending = pending, True, ()
+        elif kind in ("string", "name", "number") and name and (joined or kind == "string" and before.lastgroup == "string"):
+            add(m)
             pending, joined = (), False
             if (kind == "name" or kind == "string") and not at:
                 pending = (plain(m),)
         elif kind == "op" and word == "+":
             joined = True
+        elif word == "(" and name and not at and (
+                before.lastgroup == "op" or before.lastgroup == "name" and before.end() == m.start()):
+            calls, joined, pending = calls + 1, True, ()  # what a call is given may be its result
+        elif word == "," and calls:
+            joined, pending = True, ()
+        elif word == ")" and calls:
+            calls, joined, pending = calls - 1, False, ()
+        elif word == "\n" and calls:
+            last = before
         elif kind in ("string", "name"):
             if not at or m.start() > at:
                 close()

@@ -5,6 +5,7 @@ import ipaddress
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -68,6 +69,34 @@ def test_unquoted_values_are_whole(text, literals):
     assert [text[a:b] for a, k, b in secret_scan.find_spans(text) if k == "literal"] == literals
 
 
+@pytest.mark.parametrize("text", [
+    "self.password = user_password_field", "token = request.headers", "password = get_value_from_user",
+    "secret = key1 + other", "password = vault.read2()", "token: str\n"])
+def test_names_and_calls_are_no_literals(text):
+    assert [s for s in secret_scan.find_spans(text) if s[1] == "literal"] == []
+
+
+@pytest.mark.parametrize("text,literals", [
+    ('password = os.getenv("PW", "Zx81kQp0aLm2")', ["Zx81kQp0aLm2"]),
+    ('secret = """Zx81kQp0\naLm2Zx81kQp0aLm2"""', ["Zx81kQp0\naLm2Zx81kQp0aLm2"]),
+    ('password = ("Zx81kQp0aLm2"\n  "qWe45rTy67")', ["Zx81kQp0aLm2", "qWe45rTy67"]),
+    ("export PASSWORD=correcthorsebattery\n", ["correcthorsebattery"]),
+    ('password = decrypt(\n  "Zx81kQp0aLm2",\n  key)\nother = "Zx81kQp0aLmQQ2"', ["Zx81kQp0aLm2"]),
+    ('c = connect(user="bob", password="Zx81kQp0aLm2")', ["Zx81kQp0aLm2"])])
+def test_literals_in_calls_and_over_lines(text, literals):
+    assert [text[a:b] for a, k, b in secret_scan.find_spans(text) if k == "literal"] == literals
+
+
+@pytest.mark.parametrize("text,found", [
+    ('a = "Zx81kQp0aLm2"\n' + "a = a + a\n" * 60 + "password = a\n", 1), ("a = b + " * 30_000, 0),
+    ('password = "a" + ' * 20_000, 0), ('password = "Zx81kQp0aLm2"' + ' + "Zx81kQp0aLm2"' * 20_000, 20_001),
+    ('"""x ' * 50_000, 0), ("password = f( " * 20_000, 0), ("a = [" * 30_000 + "]" * 30_000, 0)])
+def test_work_is_linear_in_the_text(text, found):
+    begin = time.process_time()
+    literals = [s for s in secret_scan.find_spans(text) if s[1] == "literal"]
+    assert len(literals) == found and time.process_time() - begin < 5
+
+
 @pytest.mark.parametrize("before", [
     "password: str = ", "const apiKey: string = ", "password: Optional[str] = ", "password: str | None = ",
     "let password: &'static str = ", "var password string = ", "char password[] = ", 'config["db_password"] = ',
