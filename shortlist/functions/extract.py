@@ -95,31 +95,20 @@ def anchors(html: Column) -> Column:
         F.lit(0))
 
 
-def absolute_hrefs(page_url: Column, html: Column) -> Column:
-    """All anchor hrefs of a page (either kind of quotes, ``&amp;`` decoded),
-    resolved against the page's URL: absolute, ``//host``, ``/path``,
-    ``?query`` and relative ones."""
+def absolute(page_url: Column, hrefs: Column) -> Column:
+    """Link targets resolved against the page's URL: absolute, ``//host``,
+    ``/path``, ``?query``, ``#fragment`` and relative ones."""
     scheme = F.regexp_extract(page_url, r"^([a-z]+:)//", 1)
     origin = F.regexp_extract(page_url, r"^([a-z]+://[^/?#]+)", 1)
     page = F.regexp_extract(page_url, r"^[^?#]*", 0)
     folder = F.when(page == origin, F.concat(origin, F.lit("/"))).otherwise(F.regexp_replace(page, r"[^/]*$", ""))
-    quoted = F.regexp_extract_all(html, F.lit(r"""(?i)<a\s[^>]*href\s*=\s*("[^"]*"|'[^']*')"""), F.lit(1))
 
-    def resolve(q: Column) -> Column:
-        h = F.replace(F.substring(q, F.lit(2), F.length(q) - 2), F.lit("&amp;"), F.lit("&"))
+    def resolve(h: Column) -> Column:
         return (F.when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), h).when(h.startswith("//"), F.concat(scheme, h))
                 .when(h.startswith("/"), F.concat(origin, h)).when(h.startswith("?"), F.concat(page, h))
                 .when(h.startswith("#") | (h == ""), F.concat(page, h)).otherwise(F.concat(folder, h)))
 
-    return F.transform(quoted, resolve)
-
-
-def pagination_links(page_url: Column, html: Column, site_host: Column) -> Column:
-    """The page itself, then every link on the same site with ``page=``,
-    first occurrence kept, in page order."""
-    links = F.filter(absolute_hrefs(page_url, html),
-                     lambda h: h.contains(site_host) & h.contains("page="))
-    return F.array_distinct(F.concat(F.array(page_url), links))
+    return F.transform(hrefs, resolve)
 
 
 # --- X3-X5 listing cards ---------------------------------------------------------------
@@ -130,9 +119,16 @@ def canonical_url(href: Column) -> Column:
 
 
 def is_product_link(href: Column, marker: str = "/product/") -> Column:
+    """Search results: the marker anywhere in the link."""
     return F.coalesce(href.contains(marker), F.lit(False))
 
 
+def is_product_path(href: Column, marker: str = "/product/") -> Column:
+    """Listing links whose ``href``, as it is written, begins with the
+    marker."""
+    return F.coalesce(href.startswith(marker), F.lit(False))
+
+
 def title_case(s: Column) -> Column:
     """Python ``str.title()`` for ASCII text: a letter run is capitalised,
     anything else is kept (so "3d" becomes "3D")."""

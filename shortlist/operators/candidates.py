@@ -11,8 +11,9 @@ pairs that pass meet at all; the carbon rule (F2) is left as a filter.
 
 Two physical strategies give the same rows:
 
-* **broadcast**: the product side is broadcast when its row count is
-  checked to be at most ``shortlist.broadcast.maxRows``; requests stay
+* **broadcast**: the product side is broadcast when its rows and bytes are
+  checked to be at most ``shortlist.broadcast.maxRows`` and ``maxBytes``;
+  requests stay
   partitioned by ``request_id`` so the later top-N window needs no further
   shuffle.
 * **grid**: when the product side is larger, both sides are also dealt over a
@@ -33,6 +34,7 @@ from shortlist.functions.predicates import USE_TAGS, allowed_tags, carbon_ok
 c = F.col
 
 DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
+DEFAULT_MAX_BROADCAST_BYTES = 256 << 20
 DEFAULT_PAIRS_PER_TASK = 1_000_000
 DEFAULT_PAIRS_PER_CELL = 50_000_000
 KEY = ["_any", "_brand", "_mask"]
@@ -43,10 +45,23 @@ def conf_int(df: DataFrame, key: str, default: int) -> int:
     return int(v) if v else default
 
 
-def bounded_count(df: DataFrame, bound: int) -> int:
-    """Row count, but never scans more than ``bound + 1`` rows' worth of
-    result: an exact size check for a broadcast decision."""
-    return df.limit(bound + 1).count()
+def broadcastable(df: DataFrame) -> tuple[bool, int]:
+    """Whether a side may be broadcast, and its rows (one more than the bound
+    if there are more). Rows are counted and their bytes added up, both of at
+    most ``shortlist.broadcast.maxRows`` + 1 rows."""
+    def width(field) -> Column:
+        x, kind = c(field.name), field.dataType.typeName()
+        if kind in ("string", "binary"):
+            return F.coalesce(F.octet_length(x), F.lit(0)) + 16
+        if kind == "array":
+            return F.coalesce(F.octet_length(F.to_json(x)), F.lit(0)) + 32
+        return F.lit(8)
+
+    max_rows = conf_int(df, "shortlist.broadcast.maxRows", DEFAULT_MAX_BROADCAST_ROWS)
+    max_bytes = conf_int(df, "shortlist.broadcast.maxBytes", DEFAULT_MAX_BROADCAST_BYTES)
+    total = sum((width(f) for f in df.schema), F.lit(16))
+    rows, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(total)).first()
+    return rows <= max_rows and (size or 0) <= max_bytes, rows
 
 
 def pair_partitioned(requests: DataFrame, n_products: int) -> DataFrame:
@@ -116,11 +131,10 @@ def candidate_pairs(requests: DataFrame, products: DataFrame, enhanced: bool = T
     """All (request, product) pairs passing F6 (enhanced) or F1+F3
     (basic). ``requests`` are prepared (flat) requests, ``products`` a narrow
     product projection with ``catalog_pos`` and ``category``."""
-    max_rows = conf_int(requests, "shortlist.broadcast.maxRows", DEFAULT_MAX_BROADCAST_ROWS)
     n_products = None
     if strategy is None:
-        n_products = bounded_count(products, max_rows)
-        strategy = "broadcast" if n_products <= max_rows else "grid"
+        fits, rows = broadcastable(product_keys(products))  # two rows a product
+        strategy, n_products = ("broadcast", rows // 2) if fits else ("grid", None)
     if strategy not in ("broadcast", "grid"):
         raise ValueError(f"unknown strategy {strategy}")
     if n_products is None:

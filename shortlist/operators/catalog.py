@@ -24,9 +24,9 @@ DEFAULT_SITE = "https://shop.example.com"
 
 
 def product_anchors(anchors: DataFrame) -> DataFrame:
-    """X3 + W5: product links only, one per canonical URL within a page
-    (first in page order wins, even if its title is unusable later)."""
-    prod = anchors.filter(X.is_product_link(c("href"))).withColumn("canonical", X.canonical_url(c("href")))
+    """X3 + W5: links that begin with the product path only, one per canonical
+    URL within a page (first in page order wins, even if its title is unusable later)."""
+    prod = anchors.filter(X.is_product_path(c("href"))).withColumn("canonical", X.canonical_url(c("href")))
     return first_per_key(prod, ["page_no", "canonical"], [c("anchor_idx")])
 
 
@@ -43,7 +43,7 @@ def product_cards(anchors: DataFrame) -> DataFrame:
 def assemble_rows(cards: DataFrame, pages: DataFrame, site: str = DEFAULT_SITE,
                   size: str | None = None) -> DataFrame:
     """Join each card to its product page and build the catalog row
-    with defaults (category ['daily'], price 0.0, plate 'none'). Links that
+    with defaults (category ['daily'], price 0.0, plate 'none'). Addresses that
     are absolute already are taken as they are; of a page landed more than
     once the first by its text counts. With a ``size``, the size check
     replaces the spec extraction (as the source does), and size columns are
@@ -83,9 +83,11 @@ X_SPEC_TYPE = ("struct<category:array<string>,plate:string,drop_mm:double,weight
 def build_catalog(anchors: DataFrame, pages: DataFrame, size: str | None = None,
                   max_products: int | None = None, site: str = DEFAULT_SITE) -> DataFrame:
     """The whole crawl-to-catalog job: W8 (first N in crawl order) before
-    W7 (first row per brand+model). ``catalog_pos`` is the crawl order."""
-    rows = assemble_rows(product_cards(anchors), pages, site, size)
-    return dedup_catalog(first_n(rows, [c("page_no"), c("anchor_idx")], max_products))
+    W7 (first row per brand+model). ``catalog_pos`` is the crawl order. Each
+    card makes one row, so the first N cards are taken before their pages are
+    joined and read."""
+    cards = first_n(product_cards(anchors), [c("page_no"), c("anchor_idx")], max_products)
+    return dedup_catalog(assemble_rows(cards, pages, site, size))
 
 
 def dedup_catalog(rows: DataFrame) -> DataFrame:
@@ -102,50 +104,81 @@ def spec_found() -> F.Column:
     return (c("plate") != "none") | (d.isNotNull() & (d != 0)) | (w.isNotNull() & (w != 0))
 
 
-def extraction_stats(cards_rows: DataFrame, catalog: DataFrame, anchors: DataFrame) -> DataFrame:
-    """A1: one row. ``cards_rows`` are all assembled rows (before W7),
-    ``catalog`` the deduplicated result, ``anchors`` the landed anchors, whose
-    pages count also without a card. Rates are null on an empty catalog (the
-    source divided by zero)."""
-    pages = anchors.select(F.countDistinct("page_no")).scalar()
-    products = cards_rows.select(F.count(F.lit(1))).scalar()
-    after = catalog.agg(F.count(F.lit(1)).alias("unique_products"),
-                        F.count_if(c("price_usd") > 0).alias("price_ok"),
-                        F.count_if(spec_found()).alias("specs_ok"))
-    return after.select(pages.alias("pages"), products.alias("products"), "*",
-                       F.try_divide(c("price_ok") * 100.0, c("unique_products")).alias("price_rate"),
-                       F.try_divide(c("specs_ok") * 100.0, c("unique_products")).alias("specs_rate"))
+STATISTICS_COLS = ["page_no", "anchor_idx", "brand", "model", "price_usd", "plate", "drop_mm", "weight_g"]
+
+
+def first_rows(rows: DataFrame) -> DataFrame:
+    """W7 for statistics: each brand and model once, with the narrow columns
+    of its first row, ``catalog_pos`` and the number of its rows. An
+    aggregation, so a task sends one row for each product it has seen."""
+    first = F.struct("page_no", "anchor_idx", "price_usd", "plate", "drop_mm", "weight_g")
+    best = F.min_by(first, F.struct("page_no", "anchor_idx"))
+    return rows.groupBy("brand", "model").agg(best.alias("r"), F.count(F.lit(1)).alias("rows")).select(
+        "brand", "model", "r.*", (c("r.page_no") * F.lit(1 << 32) + c("r.anchor_idx")).alias("catalog_pos"), "rows")
+
+
+def summary(catalog: DataFrame) -> DataFrame:
+    """All that the statistics need, from one read of a catalog: one row for
+    the whole, one a plate and one a brand (``part`` says which). ``rows`` counts
+    the crawl rows where the catalog has them."""
+    rows = c("rows") if "rows" in catalog.columns else F.lit(1)
+    priced = F.when(F.coalesce(c("price_usd"), F.lit(0.0)) != 0, c("price_usd"))
+    return catalog.groupingSets([[c("plate")], [c("brand")], []], "plate", "brand").agg(
+        F.grouping_id().alias("_g"), F.count(F.lit(1)).alias("count"), F.min("catalog_pos").alias("first_pos"),
+        F.sum(rows).alias("products"), F.count_if(c("price_usd") > 0).alias("price_ok"),
+        F.count_if(spec_found()).alias("specs_ok"), F.max(priced).alias("max_price")).select(
+        F.when(c("_g") == 1, "plate").when(c("_g") == 2, "brand").otherwise("all").alias("part"), "*").drop("_g")
 
 
-def share_by(catalog: DataFrame, key: str) -> DataFrame:
-    """Count and percentage of the catalog per ``key``; the total is a window
-    over the grouped rows (one row per distinct key, not per product)."""
-    g = catalog.groupBy(key).agg(F.count(F.lit(1)).alias("count"),
-                                 F.min("catalog_pos").alias("first_pos"))
-    return g.withColumn("pct", c("count") * 100.0 / F.sum("count").over(Window.partitionBy()))
+def _part(s: DataFrame, key: str) -> DataFrame:
+    total = F.max(F.when(c("part") == "all", c("count"))).over(Window.partitionBy())  # a row per plate and brand
+    return s.withColumn("pct", c("count") * 100.0 / total).filter(c("part") == key).select(
+        key, "count", "first_pos", "pct")
 
 
-def plate_breakdown(catalog: DataFrame) -> DataFrame:                    # A2
-    return share_by(catalog, "plate").drop("first_pos")
+def extraction_stats(s: DataFrame, anchors: DataFrame) -> DataFrame:
+    """A1: one row from a ``summary`` and the landed anchors, whose pages count
+    also without a card. Rates are null on an empty catalog (the source divided
+    by zero)."""
+    pages = anchors.select(F.countDistinct("page_no")).scalar()
+    names = {"products": "products", "unique_products": "count", "price_ok": "price_ok", "specs_ok": "specs_ok"}
+    whole = s.agg(*[F.coalesce(F.max(F.when(c("part") == "all", c(x))), F.lit(0)).alias(n) for n, x in names.items()])
+    return whole.select(pages.alias("pages"), *names,
+                        F.try_divide(c("price_ok") * 100.0, c("unique_products")).alias("price_rate"),
+                        F.try_divide(c("specs_ok") * 100.0, c("unique_products")).alias("specs_rate"))
+
+
+def plate_breakdown(s: DataFrame) -> DataFrame:                          # A2
+    """Count and percentage per plate, from a ``summary``."""
+    return _part(s, "plate").drop("first_pos")
 
 
-def brand_distribution(catalog: DataFrame) -> DataFrame:                 # A3
-    """Ordered by count desc; ties keep first-seen order. The position
-    window runs over the grouped rows (one per brand), not over products."""
-    s = share_by(catalog, "brand")
-    return s.withColumn("position", F.row_number().over(
+def brand_distribution(s: DataFrame) -> DataFrame:                       # A3
+    """Ordered by count desc; ties keep first-seen order. The position window
+    runs over the brands, not over products."""
+    return _part(s, "brand").withColumn("position", F.row_number().over(
         Window.orderBy(c("count").desc(), c("first_pos").asc()))).drop("first_pos")
 
 
-def facets(catalog: DataFrame) -> DataFrame:                             # A9 / A11
+def facets(s: DataFrame) -> DataFrame:                                   # A9 / A11
     """Sorted distinct brands plus "Any", and int(max price + 50); the
     fixed defaults when the catalog has no priced row."""
-    agg = catalog.agg(F.sort_array(F.collect_set(F.when(F.coalesce(c("brand"), F.lit("")) != "",
-                                                        c("brand")))).alias("_brands"),
-                      F.max(F.when(F.coalesce(c("price_usd"), F.lit(0.0)) != 0, c("price_usd"))).alias("_max"))
+    named = F.when((c("part") == "brand") & (F.coalesce(c("brand"), F.lit("")) != ""), c("brand"))
+    agg = s.agg(F.sort_array(F.collect_set(named)).alias("_brands"),
+                F.max(F.when(c("part") == "all", c("max_price"))).alias("_max"))
     ok = c("_max").isNotNull()
     return agg.select(
         F.when(ok, F.array_append(c("_brands"), F.lit("Any")))
         .otherwise(F.array(*[F.lit(b) for b in FACET_FALLBACK_BRANDS])).alias("brands"),
         F.when(ok, (c("_max") + 50).cast("int")).otherwise(F.lit(FACET_FALLBACK_MAX_PRICE)).alias("max_price"),
         F.when(ok, F.size("_brands")).otherwise(F.lit(len(FACET_FALLBACK_BRANDS) - 1)).alias("n_brands"))
+
+
+def statistics(anchors: DataFrame, pages: DataFrame) -> dict[str, DataFrame]:
+    """A1, A2, A3, A9 and A11 of a crawl from one read of it: the summary (a
+    row per plate and brand) is written once and the five results read that."""
+    from shortlist.session import cut_lineage
+    rows = assemble_rows(product_cards(anchors), pages).select(*STATISTICS_COLS)
+    s = cut_lineage(summary(first_rows(rows)))
+    return {"extraction_stats": extraction_stats(s, anchors), "plate_breakdown": plate_breakdown(s),
+            "brand_distribution": brand_distribution(s), "facets": facets(s)}

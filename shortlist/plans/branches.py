@@ -18,8 +18,9 @@ from shortlist.plans import oracle as O
 from shortlist.plans.recommend import shortlist
 from shortlist.session import checkpoint_dir
 from shortlist.sources import tables as src
-from shortlist.sources.views import (catalog_view, listing_anchors_view, market_view, product_pages_view,
+from shortlist.sources.views import (catalog_view, listing_anchors_view, llm_replies_view, market_view, product_pages_view,
                                      raw_requests_view, requests_view, search_results_view, tech_lookups_view)
+from shortlist.streaming.explanations_stream import explain_to_completion
 
 c = F.col
 
@@ -354,6 +355,34 @@ SELECT request_id, CASE WHEN coalesce(len(r_prefs) > 0, false) THEN array_to_str
   CASE WHEN r_limiter THEN '$' || CAST(r_max_usd AS VARCHAR) ELSE 'No limit' END AS budget_label FROM requests"""
 
 
+def _late(request_id, turn):
+    """Seconds from a request to a reply: some replies are late."""
+    return (request_id * 7 + turn) % 6 * 4
+
+
+def streamed_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T12 and T15 as replies arrive: each request asked at its own second,
+    each reply some seconds later, beyond the limit or never."""
+    begin = F.lit("2026-01-01 00:00:00").cast("timestamp")
+
+    def after(seconds):
+        return F.timestamp_seconds(F.unix_timestamp(begin) + seconds)
+
+    asked = _requests(spark, sf_dir).select("request_id", after(c("request_id")).alias("asked_at"),
+                                            c("num_recommendations").alias("n_items"))
+    replies = llm_replies_view(src.read_table(spark, sf_dir, "conversations"))
+    replies = replies.withColumn("replied_at", after(c("request_id") + _late(c("request_id"), c("turn"))))
+    return explain_to_completion(spark, asked, replies).select(
+        "request_id", "rank", "has_reply", F.md5("why_llm").alias("why_llm_md5"))
+
+
+def streamed_explanations_sql() -> str:
+    return O.final_explanations_of(
+        O.with_ctes(O.REQUESTS, O.REPLIES, O.PARSED) + """
+, ranked AS (SELECT request_id, CAST(unnest(range(1, r_n + 1)) AS INTEGER) AS rank FROM requests)""",
+        "(SELECT * FROM parsed WHERE (request_id * 7 + turn) % 6 * 4 <= 12)", "")
+
+
 def fallback_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a shortlist says when no analysis answers."""
     market = market_view(src.read_table(spark, sf_dir, "lineitem"), _catalog(spark, sf_dir))
@@ -391,6 +420,7 @@ QUERIES = {
     "unpriced_scores": (unpriced_scores, unpriced_scores_sql()),
     "shortlist_enriched_market": (shortlist_enriched_market, shortlist_enriched_market_sql()),
     "request_labels": (request_labels, request_labels_sql()),
+    "streamed_explanations": (streamed_explanations, streamed_explanations_sql()),
     "fallback_explanations": (fallback_explanations, fallback_explanations_sql()),
     "tech_lookup_enriched": (tech_lookup_enriched, tech_lookup_enriched_sql()),
 }

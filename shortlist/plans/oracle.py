@@ -204,7 +204,7 @@ pairs AS (
 scored AS (
   SELECT *, {DYNAMIC} AS original_score, {MULT} AS adjustment_multiplier FROM pairs
 ),
-ranked AS (
+ranked AS MATERIALIZED (
   SELECT *, original_score * adjustment_multiplier AS adjusted_score,
     row_number() OVER (PARTITION BY request_id ORDER BY original_score * adjustment_multiplier DESC,
                        original_score DESC, catalog_pos) AS rank
@@ -541,7 +541,7 @@ def _brand_case(t: str, what: str) -> str:
 CARDS = f"""
 prod_anchors AS (
   SELECT *, regexp_replace(href, '[?#].*$', '') AS canonical FROM anchors
-  WHERE contains(href, '/product/')
+  WHERE starts_with(href, '/product/')
   QUALIFY row_number() OVER (PARTITION BY page_no, canonical ORDER BY anchor_idx) = 1
 ),
 t1 AS (
@@ -710,6 +710,19 @@ SELECT regexp_extract(url, '^[^?#]*', 0) AS url, CAST(length(v) AS INTEGER) AS t
 FROM (SELECT url, trim({_shown("html")}, ' ' || chr(10)) AS v FROM pages)"""
 
 
+def landed_product_lists() -> str:
+    return """
+SELECT regexp_extract(url, '^[^?#]*', 0) AS url,
+  '$' || (page_id % 90 + 100) || '.95|Now ' || (page_id % 40 + 60) || '.50|Now ' || (page_id % 40 + 60) || '.50'
+    AS price_texts,
+  '10/size/true/unavailable|9.5/-/-/-' AS size_options,
+  CASE WHEN page_id % 4 <> 0 THEN 'About & shoe ' || page_id || ' the end|' ELSE '' END ||
+    '$' || (page_id % 90 + 100) || '.95 Now ' || (page_id % 40 + 60) || '.50' AS description_texts,
+  CASE WHEN page_id % 3 <> 0 THEN '(' || page_id || ' reviews)' ELSE '' END AS review_count_texts,
+  '4.' || (page_id % 10) || ' out of 5' AS rating_texts,
+  'F' || page_id || ',light' || CASE WHEN page_id % 2 = 0 THEN '|B1' ELSE '' END AS feature_lists FROM pages"""
+
+
 def landed_anchors() -> str:
     def attribute(name: str) -> str:
         pattern = rf"""(?is)\s{name}\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)"""
@@ -762,14 +775,16 @@ WITH p AS (
     CASE WHEN page_id % 3 = 0 THEN '<a href="/shoes?page=4">4</a>' ELSE '' END ||
     CASE WHEN page_id % 4 = 0 THEN '<A HREF = ''//other.example.net/?page=5''>5</A>' ELSE '' END ||
     CASE WHEN page_id % 5 = 0 THEN '<a rel="next" href="https://other.example.net/x?page=6">6</a>' ELSE '' END ||
-    CASE WHEN page_id % 6 = 0 THEN '<a href="#page=7">7</a>' ELSE '' END || coalesce(html, '') AS html FROM pages
+    CASE WHEN page_id % 6 = 0 THEN '<a href="#page=7">7</a>' ELSE '' END || coalesce(html, '') AS html,
+    list_concat(CASE WHEN page_id % 2 = 1 THEN ['?page=8', '?page=2'] ELSE []::VARCHAR[] END,
+                CASE WHEN page_id % 3 = 1 THEN ['?page=9'] ELSE []::VARCHAR[] END) AS blocks FROM pages
 ),
 l AS (
   SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host,
     regexp_extract(url, '^([a-z]+:)//', 1) AS scheme, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS origin,
     regexp_extract(url, '^[^?#]*', 0) AS page,
-    list_transform(regexp_extract_all(html, '(?i)<a\\s[^>]*href\\s*=\\s*("[^"]*"|''[^'']*'')', 1),
-                   lambda q: replace(substr(q, 2, len(q) - 2), '&amp;', '&')) AS hrefs FROM p
+    list_concat(blocks, list_transform(regexp_extract_all(html, '(?i)<a\\s[^>]*href\\s*=\\s*("[^"]*"|''[^'']*'')', 1),
+                                       lambda q: replace(substr(q, 2, len(q) - 2), '&amp;', '&'))) AS hrefs FROM p
 ),
 f AS (SELECT *, CASE WHEN page = origin THEN origin || '/' ELSE regexp_replace(page, '[^/]*$', '') END AS folder FROM l),
 r AS (
@@ -1044,8 +1059,8 @@ web_hits AS (
   SELECT CAST(doc_id // 2 AS BIGINT) AS catalog_pos, CAST(doc_id % 2 + 1 AS INTEGER) AS pos,
     'https://reviews.example.org/' || source || '/' || CAST(doc_id AS VARCHAR) AS url, text AS content FROM documents
 ),
-hits AS (
-  SELECT *, substr(replace({strip('content')}, {NL}, ' '), 1, 600) AS snippet FROM web_hits
+hits AS MATERIALIZED (
+  SELECT * EXCLUDE (content), substr(replace({strip('content')}, {NL}, ' '), 1, 600) AS snippet FROM web_hits
   WHERE pos <= 2 AND coalesce({strip('content')}, '') <> ''
 ),
 ctx AS (
@@ -1077,9 +1092,9 @@ def detail_prompts() -> str:
   SELECT r.*, coalesce(x.summaries, []::VARCHAR[]) AS summaries, coalesce(x.sources, []::VARCHAR[]) AS sources
   FROM ranked r LEFT JOIN ctx x ON r.request_id = x.request_id AND r.rank = x.rank
 )
-SELECT request_id, CAST(rank AS INTEGER) AS rank, catalog_pos, md5({base} || {FINDINGS}) AS prompt_md5,
-  CAST(length({base} || {FINDINGS}) AS INTEGER) AS prompt_chars
-FROM d"""
+, prompts AS MATERIALIZED (SELECT request_id, rank, catalog_pos, {base} || {FINDINGS} AS prompt FROM d)
+SELECT request_id, CAST(rank AS INTEGER) AS rank, catalog_pos, md5(prompt) AS prompt_md5,
+  CAST(length(prompt) AS INTEGER) AS prompt_chars FROM prompts"""
 
 
 def tech_lookup() -> str:
@@ -1151,22 +1166,28 @@ FROM parsed"""
 
 
 def final_explanations() -> str:
+    return final_explanations_of(with_ctes(*ENHANCED_BASE, REPLIES, PARSED), "parsed", "catalog_pos, ")
+
+
+def final_explanations_of(ctes: str, replies: str, columns: str) -> str:
+    """Explanations of ``ranked`` rows from parsed ``replies``; ``columns`` of
+    the ranked rows are kept."""
     from shortlist.schemas import UNAVAILABLE_TEXT
     suffix = (f"CASE WHEN rank = 1 THEN {NL} || {NL} || '**TOP RECOMMENDATION #' || CAST(rank AS VARCHAR) || "
               f"'**: This shoe ranked highest due to optimal alignment with your requirements.' ELSE {NL} || {NL} || "
               f"'**RECOMMENDATION #' || CAST(rank AS VARCHAR) || '**: Strong alternative option with specific advantages.' END")
     body = (f"CASE WHEN reply IS NULL THEN {sql_str(UNAVAILABLE_TEXT)} WHEN trim(reply) = '' THEN "
             f"'This shoe offers solid performance for your running needs with good technical specifications.' ELSE reply END")
-    return with_ctes(*ENHANCED_BASE, REPLIES, PARSED) + f"""
+    return ctes + f"""
 , first_reply AS (
-  SELECT * FROM parsed QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY turn) = 1
+  SELECT * FROM {replies} QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY turn) = 1
 ),
 aligned AS (
-  SELECT r.request_id, r.rank, r.catalog_pos,
+  SELECT r.*,
     CASE WHEN f.items IS NOT NULL THEN coalesce(f.items[r.rank], {sql_str(GENERIC_REPLY_TEXT)}) END AS reply
   FROM ranked r LEFT JOIN first_reply f ON r.request_id = f.request_id
 )
-SELECT request_id, CAST(rank AS INTEGER) AS rank, catalog_pos, reply IS NOT NULL AS has_reply,
+SELECT request_id, CAST(rank AS INTEGER) AS rank, {columns}reply IS NOT NULL AS has_reply,
   md5(({body}) || ({suffix})) AS why_llm_md5
 FROM aligned"""
 

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from shortlist.functions import scoring as sc
 from shortlist.functions import text as _text
-from shortlist.operators.candidates import (DEFAULT_MAX_BROADCAST_ROWS, bounded_count,
-                                            candidate_pairs, conf_int, market_flag, with_market)
+from shortlist.operators.bounds import likely_pairs
+from shortlist.operators.candidates import broadcastable, candidate_pairs, market_flag, with_market
 from shortlist.operators.ranking import (basic_order, enhanced_order, over_budget_quota,
                                          top_n_per_request)
 from shortlist.operators.requests import prepare_requests, split_valid
@@ -30,8 +30,7 @@ def _attach(ranked: DataFrame, catalog: DataFrame, cols: list[str]) -> DataFrame
     """Join product attributes back to ranked rows by catalog_pos; broadcast
     only when the catalog's size is checked to be bounded."""
     right = catalog.select("catalog_pos", *[x for x in cols if x != "catalog_pos"])
-    max_rows = conf_int(ranked, "shortlist.broadcast.maxRows", DEFAULT_MAX_BROADCAST_ROWS)
-    if bounded_count(right, max_rows) <= max_rows:
+    if broadcastable(right)[0]:
         right = F.broadcast(right)
     return ranked.join(right, "catalog_pos")
 
@@ -39,11 +38,16 @@ def _attach(ranked: DataFrame, catalog: DataFrame, cols: list[str]) -> DataFrame
 def scored_candidates(requests: DataFrame, catalog: DataFrame, market: DataFrame | None = None,
                       strategy: str | None = None, prepared: DataFrame | None = None) -> DataFrame:
     """Pairs passing F6 with C7/C8 score, C9-C12 multiplier and the
-    adjusted score (C13). Keeps request and product columns."""
+    adjusted score (C13). Keeps request and product columns. The strategy
+    ``blocks`` leaves out pairs that cannot be among a request's first ones; it
+    is taken by default where the products make blocks for that."""
     reqs = sc.request_gates(prepared if prepared is not None else prepare_requests(requests))
     products = sc.product_features(with_market(catalog.select(*SCORING_COLS), market))
-    pairs = candidate_pairs(reqs, products, enhanced=True, strategy=strategy)
-    return sc.score_pairs(pairs, market_flag(market))
+    flag = market_flag(market)
+    pairs = likely_pairs(reqs, products, flag, always=strategy == "blocks") if strategy in (None, "blocks") else None
+    if pairs is None:
+        pairs = candidate_pairs(reqs, products, enhanced=True, strategy=strategy)
+    return sc.score_pairs(pairs, flag)
 
 
 REQUEST_FLAGS = ["r_limiter", "r_max_usd", "r_has_races", "r_tempo", "r_easy", "w_budget"]

@@ -21,14 +21,15 @@ from shortlist.plans import branches
 from shortlist.plans import oracle as O
 from shortlist.plans.recommend import shortlist, shortlist_basic
 from shortlist.session import cut_lineage
-from shortlist.sources.tables import landed_product_pages, page_anchors, read_table
+from shortlist.sources.tables import landed_product_pages, page_anchors, page_links, read_table
 from shortlist.functions import extract as X
 from shortlist.operators import catalog as cat
 from shortlist.operators import enrich as en
 from shortlist.operators import prompts as pr
 from shortlist.operators import replies as rp
 from shortlist.operators.requests import prepare_requests
-from shortlist.sources.views import (catalog_view, listing_anchors_view, llm_replies_view, market_view, paginated_view,
+from shortlist.sources.views import (catalog_view, listing_anchors_view, llm_replies_view, market_view,
+                                     marked_pages_view, paginated_view,
                                      product_pages_view, raw_forms_view, raw_requests_view, requests_view,
                                      search_results_view, tech_lookups_view, web_hits_view)
 
@@ -207,9 +208,21 @@ def q_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     host = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
-    links = X.pagination_links(c("url"), c("html"), host)
-    return paginated_view(Tables(spark, sf_dir).raw("pages")).select(
-        "page_id", F.size(links).alias("n_links"), F.array_join(links, " ").alias("links"))
+    found = page_links(paginated_view(Tables(spark, sf_dir).raw("pages")), host)
+    return found.select("page_id", F.size("links").alias("n_links"), F.array_join("links", " ").alias("links"))
+
+
+def q_landed_product_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lists of element texts of product pages."""
+    out = landed_product_pages(marked_pages_view(Tables(spark, sf_dir).raw("pages")))
+    sizes = F.transform("size_options", lambda x: F.concat_ws(
+        "/", x["text"], *[F.coalesce(x[n], F.lit("-")) for n in ("class", "aria_disabled", "parent_class")]))
+    return out.select(
+        "url", F.array_join("price_texts", "|").alias("price_texts"), F.array_join(sizes, "|").alias("size_options"),
+        F.array_join("description_texts", "|").alias("description_texts"),
+        F.array_join("review_count_texts", "|").alias("review_count_texts"),
+        F.array_join("rating_texts", "|").alias("rating_texts"),
+        F.array_join(F.transform("feature_lists", lambda x: F.array_join(x, ",")), "|").alias("feature_lists"))
 
 
 def q_landed_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,11 +276,9 @@ def _built(spark, sf_dir):
     return cat.build_catalog(_anchors(spark, sf_dir), _pages(spark, sf_dir))
 
 
-def _crawl(spark, sf_dir):
-    """(all crawl rows, deduplicated catalog) with the crawl rows
-    materialized once, as the statistics read them several times."""
-    rows = cut_lineage(cat.assemble_rows(cat.product_cards(_anchors(spark, sf_dir)), _pages(spark, sf_dir)))
-    return rows, cat.dedup_catalog(rows)
+def _summary(spark, sf_dir):
+    rows = cat.assemble_rows(cat.product_cards(_anchors(spark, sf_dir)), _pages(spark, sf_dir))
+    return cat.summary(cat.first_rows(rows.select(*cat.STATISTICS_COLS)))
 
 
 def q_catalog_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,22 +288,21 @@ def q_catalog_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_extraction_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, built = _crawl(spark, sf_dir)
-    st = cat.extraction_stats(rows, built, _anchors(spark, sf_dir))
+    st = cat.extraction_stats(_summary(spark, sf_dir), _anchors(spark, sf_dir))
     return st.select("pages", "products", "unique_products", "price_ok", "specs_ok", r6("price_rate"),
                      r6("specs_rate"))
 
 
 def q_plate_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cat.plate_breakdown(_crawl(spark, sf_dir)[1]).select("plate", "count", r6("pct"))
+    return cat.plate_breakdown(_summary(spark, sf_dir)).select("plate", "count", r6("pct"))
 
 
 def q_brand_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cat.brand_distribution(_crawl(spark, sf_dir)[1]).select("brand", "count", r6("pct"), "position")
+    return cat.brand_distribution(_summary(spark, sf_dir)).select("brand", "count", r6("pct"), "position")
 
 
 def q_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cat.facets(_crawl(spark, sf_dir)[1]).select(F.array_join("brands", ",").alias("brands"),
+    return cat.facets(_summary(spark, sf_dir)).select(F.array_join("brands", ",").alias("brands"),
                                                     "max_price", "n_brands")
 
 
@@ -467,6 +477,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "page_links": (q_page_links, O.page_links()),
     "landed_anchors": (q_landed_anchors, O.landed_anchors()),
     "landed_pages": (q_landed_pages, O.landed_pages()),
+    "landed_product_lists": (q_landed_product_lists, O.landed_product_lists()),
     "canonical_urls": (q_canonical_urls, O.canonical_urls()),
     "title_brand_model": (q_title_brand_model, O.title_brand_model()),
     "price_pairs": (q_price_pairs, O.price_pairs()),

@@ -93,6 +93,24 @@ MAX_RECOMMENDATIONS = 20          # schema maximum of num_recommendations
 OVER_BUDGET_QUOTA = 2             # basic engine: over-budget rows kept
 WEB_ENRICH_TOP_K = 2              # web context only for ranks <= K
 SNIPPET_CHARS = 600
+REPLY_LIMIT_SECONDS = 12          # a model reply that takes longer gives way to the fallback
+
+# Elements of a product page and of a listing page that hold its facts, in the
+# order in which they are tried: ("testid" | "class" | "part" of the class, name,
+# tag of the elements within it or None for itself); for links the block around
+# them.
+SELECTORS = {
+    "price": [("testid", "price", None), ("class", "product-price", None), ("class", "price-current", None),
+              ("class", "price-regular", None), ("class", "price-sale", None), ("part", "price", None)],
+    "description": [("testid", "product-description", None), ("class", "product-description", None),
+                    ("class", "description", None), ("class", "product-details", None), ("class", "product-info", None)],
+    "review_count": [("testid", "review-count", None), ("class", "review-count", None), ("class", "reviews-count", None)],
+    "rating": [("testid", "rating", None), ("class", "rating", None), ("class", "stars", None),
+               ("class", "star-rating", None)],
+    "features": [("class", "product-features", "li"), ("class", "features", "li"), ("class", "bullet-points", "li"),
+                 ("class", "key-features", "li")],
+    "pagination": [("nav", "Pagination"), ("class", "pagination"), ("testid", "pagination")],
+}
 
 # Fixed texts.
 NO_MATCH_NOTE = "No shoes match your criteria. Try relaxing brand preferences or budget constraints."

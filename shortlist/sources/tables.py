@@ -9,14 +9,17 @@ from __future__ import annotations
 
 import logging
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StringType, StructField, StructType
 
 from shortlist import schemas as S
 from shortlist.functions import extract as X
+from shortlist.functions.elements import arrow_hrefs, arrow_lists
 from shortlist.session import cut_lineage
 from shortlist.sources.snapshots import Snapshot, replace, snapshot
 
@@ -154,7 +157,20 @@ def page_anchors(pages: DataFrame) -> DataFrame:
 
 def landed_product_pages(pages: DataFrame) -> DataFrame:
     """Landed pages as PRODUCT_PAGES: their URL without query and fragment,
-    and their text. The lists (prices, sizes, descriptions, reviews, ratings,
-    features) stay null: they come from selectors, not from text."""
-    given = {"url": F.regexp_extract("url", "^[^?#]*", 0), "body_text": X.shown_text(F.col("html"))}
-    return pages.select(*[given.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in S.PRODUCT_PAGES])
+    their text, and the lists of element texts (prices, sizes, descriptions,
+    reviews, ratings, features) that the fixed selectors find."""
+    lists = [f for f in S.PRODUCT_PAGES if f.name not in ("url", "body_text")]
+    kinds = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in lists])
+    given = pages.select(F.regexp_extract("url", "^[^?#]*", 0).alias("url"),
+                         X.shown_text(F.col("html")).alias("body_text"), "html")
+    return given.mapInArrow(arrow_lists(kinds), S.PRODUCT_PAGES)
+
+
+def page_links(pages: DataFrame, site_host: Column) -> DataFrame:
+    """page_id and the links to visit: the page itself, then the links with
+    ``page=`` on the same site, those of pagination blocks first, each once."""
+    found = pages.select("page_id", "url", site_host.alias("host"), "html").mapInArrow(
+        arrow_hrefs, "page_id bigint, url string, host string, hrefs array<string>")
+    links = F.filter(X.absolute(F.col("url"), F.col("hrefs")),
+                     lambda h: h.contains(F.col("host")) & h.contains("page="))
+    return found.select("page_id", F.array_distinct(F.concat(F.array("url"), links)).alias("links"))

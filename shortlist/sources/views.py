@@ -307,14 +307,39 @@ PAGINATION = [
     '<a rel="next" href="https://other.example.net/x?page=6">6</a>', '<a href="#page=7">7</a>']
 
 
+#: Blocks around links, and a link that is none: (divisor, remainder, markup).
+BLOCKS = [(2, 1, '<nav aria-label="Pagination"><ul><li><a href="?page=8">8</a><li><a href="?page=2">2</a></ul></nav>'),
+          (3, 1, '<div class="list pagination"><span><a href=?page=9>9</a></span></div>'),
+          (5, 1, '<!-- <a href="?page=99">no</a> -->')]
+
+
 def paginated_view(pages: DataFrame) -> DataFrame:
-    """The landed pages, each with some of the pagination links (by page_id)
-    before its own HTML."""
+    """The landed pages, each with some stray links with a page number and some
+    pagination blocks (by page_id) before its own HTML."""
     p = F.col("page_id")
     links = [F.when(p % n == 0, F.lit(x)).otherwise(F.lit("")) for n, x in enumerate(PAGINATION, 1)]
+    links += [F.when(p % n == k, F.lit(x)).otherwise(F.lit("")) for n, k, x in BLOCKS]
     return pages.select("page_id", "url", F.concat(*links, F.coalesce("html", F.lit(""))).alias("html"))
 
 
+def marked_pages_view(pages: DataFrame) -> DataFrame:
+    """The landed pages, each with the elements of a product page (by page_id)
+    before its own HTML; some tags are left open, as on real pages."""
+    p, n = F.col("page_id"), F.col("page_id").cast("string")
+    parts = [
+        '<div class="product-info main"><span data-testid="price">$', (p % 90 + 100).cast("string"),
+        '.95</span><p class="price-sale">Now ', (p % 40 + 60).cast("string"), ".50</div>",
+        F.when(p % 4 != 0, F.concat(F.lit('<div class="x description">About &amp; <b>sh</b>oe '), n,
+                                    F.lit("<br>the end<script>no()</script></div>"))).otherwise(F.lit("")),
+        '<ul class="features"><li>F', n, "<li> light <li></ul>",
+        F.when(p % 2 == 0, F.lit('<ul class="bullet-points"><li>B1</li></ul>')).otherwise(F.lit("")),
+        F.when(p % 3 != 0, F.concat(F.lit('<span class="review-count">('), n, F.lit(" reviews)</span>"))).otherwise(F.lit("")),
+        '<i class="stars">4.', (p % 10).cast("string"), " out of 5</i>",
+        '<div class="unavailable"><button class="size" aria-disabled="true">10</button></div><button>9.5</button>']
+    parts = [F.lit(x) if isinstance(x, str) else x for x in parts]
+    return pages.select("page_id", "url", F.concat(*parts, F.coalesce("html", F.lit(""))).alias("html"))
+
+
 def search_results_view(part: DataFrame) -> DataFrame:
     """Site-search results of each catalog product (``query_pos``): a
     non-product link first (for every fourth product with the full title as

@@ -1,12 +1,19 @@
 """The reference's engine checks, re-expressed on request tables, plus
 plan properties (strategy equivalence, partitioning invariance)."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from shortlist import schemas as S
+from shortlist.functions import scoring as sc
 from shortlist.functions import text as T
 from shortlist.operators import response as resp
-from shortlist.plans.recommend import shortlist, shortlist_basic
+from shortlist.operators.bounds import BLOCK, block_rows, likely_pairs, price_edges, upper_bound, with_blocks
+from shortlist.operators.candidates import candidate_pairs, market_flag, with_market
+from shortlist.operators.requests import prepare_requests
+from shortlist.plans.recommend import SCORING_COLS, shortlist, shortlist_basic
 
 
 def requests(spark, rows):
@@ -93,3 +100,44 @@ def test_over_budget_quota_first_two_in_catalog_order(spark):
                                    "request_id long, catalog_pos long, score double, _over boolean")
     kept = sorted(r["catalog_pos"] for r in over_budget_quota(scored).collect())
     assert kept == [2, 3, 9]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_blocks_give_the_same_rows_as_all_pairs(spark, seed):
+    """Random products and requests, with nulls, ties, odd weights."""
+    rng = random.Random(seed)
+    maybe = lambda x: None if rng.random() < 0.1 else x
+    tags = ["daily", "easy", "tempo", "race", "long", "trail"]
+    products = [(i, rng.choice(["Nike", "HOKA", "Brooks", "Acme"]), f"M{i // 2}", maybe(rng.sample(tags, rng.randint(0, 3))),
+                 maybe(round(rng.uniform(40, 300), rng.choice([0, 2]))), maybe(rng.choice(["carbon", "nylon", "none", "pebax"])),
+                 maybe(float(rng.randint(0, 13))), maybe(rng.randint(180, 380))) for i in range(400)]
+    catalog = spark.createDataFrame(products, "catalog_pos bigint, brand string, model string, category array<string>, "
+                                    "price_usd double, plate string, drop_mm double, weight_g int")
+    weight = lambda: rng.choice([0.0, 0.5, 1.0, 2.5, 4.0, -1.0])
+    asked = [(i, rng.choice([None, [], ["Nike"], ["HOKA", "Acme"]]),
+              (rng.random() < .5, rng.random() < .5, rng.random() < .5, rng.choice([[], ["5k"]]), rng.random() < .05),
+              (rng.random() < .7, rng.choice([60.0, 100.0, 150.5, 220.0])), rng.choice([None, 1, 3, 20]), maybe(rng.random() < .5),
+              maybe(tuple(weight() for _ in range(6)))) for i in range(60)]
+    requests = spark.createDataFrame(asked, S.REQUEST)
+    rated = [(b, m, rng.choice([10, 60, 200]), rng.choice([3.9, 4.2, 4.9]), 1.0)
+             for b, m in {(p[1], p[2]) for p in products} if rng.random() < .6]
+    market = spark.createDataFrame(rated, "brand string, model string, review_count bigint, rating double, popularity_score double")
+    cols = ["request_id", "rank", "catalog_pos", "adjusted_score", "original_score", "adjustment_multiplier"]
+    for context in (market, None):
+        every, some = (sorted(map(tuple, shortlist(requests, catalog, context, strategy=s, with_tags=False).select(*cols)
+                                  .collect())) for s in ("broadcast", "blocks"))
+        assert every == some and len(every) > 100
+
+
+def test_blocks_score_few_pairs(spark, tables):
+    products = sc.product_features(with_market(tables.catalog().select(*SCORING_COLS), tables.market()))
+    requests = sc.request_gates(prepare_requests(tables.requests()))
+    flag = market_flag(tables.market())
+    some = likely_pairs(requests, products, flag, always=True).select("request_id", "catalog_pos")
+    every = candidate_pairs(requests, products).select("request_id", "catalog_pos")
+    assert some.count() == some.distinct().count() < every.count()
+    assert some.subtract(every).isEmpty()
+    bound = upper_bound(candidate_pairs(requests, block_rows(with_blocks(products, price_edges(products)))), flag)
+    pairs = sc.score_pairs(candidate_pairs(requests, with_blocks(products, price_edges(products))), flag)
+    over = pairs.join(bound.select("request_id", *BLOCK, "bound"), ["request_id", *BLOCK]).filter("adjusted_score > bound")
+    assert over.isEmpty()

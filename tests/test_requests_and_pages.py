@@ -12,6 +12,8 @@ from shortlist.operators import enrich as en
 from shortlist.operators.prompts import technical_lookup, web_context
 from shortlist.plans.recommend import recommend, rejected_requests, shortlist, shortlist_basic
 from shortlist.session import checkpoint_dir
+from shortlist.sources import tables as src
+from shortlist.sources.views import listing_anchors_view, product_pages_view
 
 
 def request(rid, max_usd=150.0, n=3, limiter=True, use=True):
@@ -105,17 +107,38 @@ def test_catalog_pos_is_unique_on_a_page_of_millions_of_anchors(spark):
 
 def test_extraction_stats_count_every_page(spark):
     anchors = spark.createDataFrame([(0, 1), (1, 1)], "page_no bigint, anchor_idx int")
-    rows = spark.createDataFrame([(0, 10.0, "none", None, None)], "page_no bigint, price_usd double, plate string, drop_mm double, weight_g int")
-    out = cat.extraction_stats(rows, rows, anchors).first()
-    assert (out["pages"], out["products"], out["price_ok"], out["specs_ok"]) == (2, 1, 1, 0)
+    shape = "page_no bigint, anchor_idx int, brand string, model string, price_usd double, plate string, drop_mm double, weight_g int"
+    rows = spark.createDataFrame([(0, 1, "A", "m", 10.0, "none", None, None), (1, 1, "A", "m", 0.0, "carbon", None, None)], shape)
+    out = cat.extraction_stats(cat.summary(cat.first_rows(rows)), anchors).first()
+    assert tuple(out) == (2, 2, 1, 1, 0, 100.0, 0.0)
+    none = cat.summary(cat.first_rows(rows.limit(0)))
+    assert tuple(cat.extraction_stats(none, anchors).first()) == (2, 0, 0, 0, 0, None, None)
+    assert cat.facets(none).first()["n_brands"] == len(S.FACET_FALLBACK_BRANDS) - 1
+    assert cat.plate_breakdown(none).count() == cat.brand_distribution(none).count() == 0
+
+
+def test_statistics_come_from_one_read(spark, tables):
+    part = tables.raw("part")
+    anchors, pages = listing_anchors_view(part), product_pages_view(part)
+    found = cat.statistics(anchors, pages)
+    built = cat.build_catalog(anchors, pages)
+    assert found["extraction_stats"].first()["unique_products"] == built.count()
+    assert {r["plate"]: r["count"] for r in found["plate_breakdown"].collect()} == {
+        r["plate"]: r["count"] for r in built.groupBy("plate").count().collect()}
+    own = cat.summary(built)  # a catalog without its crawl
+    assert sorted(map(tuple, cat.brand_distribution(own).collect())) == sorted(
+        map(tuple, found["brand_distribution"].collect()))
+    assert cat.facets(own).first() == found["facets"].first()
+    plan = found["plate_breakdown"]._jdf.queryExecution().toString()
+    assert "RDD" in plan and "body_text" not in plan
 
 
 def test_pagination_links_of_every_form(spark):
     html = ("<a href=\"?page=2\">2</a><a class='n' href='list?page=3&amp;s=1'>3</a><a href=\"/q?page=4\">4</a>"
             "<A HREF = '//shop.example.com/?page=5'>5</A><a href=\"https://other.example.net/?page=6\">6</a>"
             "<a href=\"?page=2\">again</a><a href=\"/about\">x</a>")
-    df = spark.createDataFrame([("https://shop.example.com/men/shoes?sort=1", html)], "url string, html string")
-    links = df.select(X.pagination_links(F.col("url"), F.col("html"), F.lit("shop.example.com"))).first()[0]
+    df = spark.createDataFrame([(1, "https://shop.example.com/men/shoes?sort=1", html)], "page_id bigint, url string, html string")
+    links = src.page_links(df, F.lit("shop.example.com")).first()["links"]
     assert links == ["https://shop.example.com/men/shoes?sort=1", "https://shop.example.com/men/shoes?page=2",
                      "https://shop.example.com/men/list?page=3&s=1", "https://shop.example.com/q?page=4",
                      "https://shop.example.com/?page=5"]
@@ -191,3 +214,79 @@ def test_landed_pages_give_anchors_and_a_catalog(spark):
     rows = cat.assemble_rows(cat.product_cards(anchors.withColumn("aria_label", F.lit(None).cast("string"))), landed,
                              site="https://s.example").collect()
     assert [(r["brand"], r["drop_mm"]) for r in rows] == [("Brooks", 12.0)]
+
+
+def test_links_of_pagination_blocks_come_first(spark):
+    html = ("<p><a href='?page=1'>stray</a><!-- <a href='?page=9'>no</a> --><div class='x pagination'><ul><li><a href=?page=4>4</a>"
+            "<li><a href='?page=1'>1</a></ul></div><nav aria-label=\"Pagination\"><b><a href=\"?page=2\">2</a></b></nav>"
+            "<span data-testid='pagination'><a href='?page=6'>6</span><a href='?page=5'>5</a>")
+    df = spark.createDataFrame([(1, "https://a.example/s", html), (2, "https://a.example/s", None)],
+                               "page_id bigint, url string, html string")
+    links = {r["page_id"]: r["links"] for r in src.page_links(df, F.lit("a.example")).collect()}
+    # the link of the last block is never closed, and the next one starts within
+    assert [x[-1] for x in links[1]] == ["s", "2", "4", "1", "6", "5"]
+    assert links[2] == ["https://a.example/s"]
+
+
+def test_landed_pages_fill_every_list(spark, tables):
+    html = ("<title>price</title><div class='product-info'><h1>Shoe</h1><b class='price-sale'>$89.95</b>"
+            "<b class='was-price'>$120.00</b></div><div class=description>Fast &amp; <i>light</i></div>"
+            "<div data-testid='review-count'>145 reviews</div><div class='stars'>4.5 out of 5</div>"
+            "<ul class='key-features'><li>A<li> </li><li>B<script>x</script></ul><select><option class='sold disabled'>10"
+            "<option>10.5</select>")
+    df = spark.createDataFrame([(1, "https://shop.example.com/product/x?c=1", html), (2, None, None)],
+                               "page_id bigint, url string, html string")
+    row, none = sorted(src.landed_product_pages(df).collect(), key=lambda r: r["url"] is None)
+    assert row["price_texts"] == ["$89.95", "$89.95", "$120.00"]
+    assert row["description_texts"] == ["Fast & light", "Shoe $89.95$120.00"]
+    assert (row["review_count_texts"], row["rating_texts"]) == (["145 reviews"], ["4.5 out of 5"])
+    assert row["feature_lists"] == [["A", "B"]]
+    assert [(x["text"], x["class"]) for x in row["size_options"]] == [("10", "sold disabled"), ("10.5", None)]
+    assert none["price_texts"] == [] and none["feature_lists"] == []
+    pages = src.landed_product_pages(df)
+    price = pages.select(X.price_pair(F.col("price_texts")).alias("p")).filter("p.price is not null").first()["p"]
+    assert (price["price"], price["sale_price"]) == (120.0, 89.95)
+    sized = pages.select(X.size_available(F.col("size_options"), F.lit("10.5")), X.size_available(F.col("size_options"), F.lit("10")))
+    assert (True, False) in [tuple(r) for r in sized.collect()]
+    data = en.enhanced_data(pages).filter("url is not null").first()["enhanced_data"]
+    assert (data["reviews"]["count"], data["reviews"]["average_rating"]) == (145, 4.5)
+
+
+def test_limits_are_taken_before_pages_are_read(spark, tables):
+    part = tables.raw("part")
+    limited = cat.build_catalog(listing_anchors_view(part), product_pages_view(part), max_products=5)
+    plan = limited._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("GlobalLimit")
+
+
+def test_web_hits_are_reduced_to_the_wanted_products_before_they_are_ranked(spark):
+    rows = spark.createDataFrame([(1, 1, 7), (1, 3, 8)], "request_id bigint, rank int, catalog_pos bigint")
+    hits = spark.createDataFrame([(7, 1, "u", "text"), (8, 1, "v", "other"), (9, 1, "w", "more")],
+                                 "catalog_pos bigint, pos int, url string, content string")
+    out = web_context(rows, hits)
+    assert [tuple(r) for r in out.collect()] == [(1, 1, 7, ["text"], ["u"])]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("LeftSemi")
+
+
+def test_listing_links_begin_with_the_product_path(spark):
+    hrefs = ["/product/a", "https://other.example/blog/product/x", "/shop/product/b", "/product/c?d#e"]
+    df = spark.createDataFrame([(0, i, h, "Nike Pegasus 41", "t", None) for i, h in enumerate(hrefs)], S.LISTING_ANCHORS)
+    assert sorted(r["canonical"] for r in cat.product_anchors(df).collect()) == ["/product/a", "/product/c"]
+
+
+def test_a_side_is_broadcast_by_its_bytes(spark):
+    from shortlist.operators.candidates import broadcastable
+    df = spark.range(100).select("id", F.repeat(F.lit("x"), 1000).alias("s"))
+    assert broadcastable(df) == (True, 100)
+    spark.conf.set("shortlist.broadcast.maxBytes", "50000")
+    try:
+        assert broadcastable(df)[0] is False
+        assert broadcastable(df.select("id"))[0] is True
+    finally:
+        spark.conf.unset("shortlist.broadcast.maxBytes")
+    spark.conf.set("shortlist.broadcast.maxRows", "99")
+    try:
+        assert broadcastable(df.select("id")) == (False, 100)
+    finally:
+        spark.conf.unset("shortlist.broadcast.maxRows")
