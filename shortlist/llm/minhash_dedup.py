@@ -249,8 +249,8 @@ class Found:
 
 def _able_to_link(found: Found, members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The members (key, node, label, n, size) that may still be linked with
-    another component, and (node, shared): those of a node's shingles, n in
-    number, that occur in another component's open nodes.
+    another component, n of their shingles being in another one, and the
+    shingles (node, shingles) of all members.
 
     A node linked with another component shares at least ``percent`` % of its
     own shingles with it. Shingles that no open node of another component has
@@ -260,18 +260,23 @@ def _able_to_link(found: Found, members: DataFrame) -> tuple[DataFrame, DataFram
     sets = cut_lineage(found.sets(members.select("node").distinct()))
     for turn in range(COUNT_ROUNDS):
         labels = found.labelled(members).select("node", "label").distinct()
-        each = sets.join(labels, "node").select("node", "label", F.explode("shingles").alias("s"))
-        foreign = each.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y")
-        shared = each.join(foreign.select("s"), "s", "left_semi").groupBy("node").agg(
-            F.count(F.lit(1)).alias("n"), F.collect_list("s").alias("shared"))
+        shared = _foreign(sets, labels).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
         able = cut_lineage(shared.join(sets.select("node", F.size("shingles").alias("size")), "node").filter(
-            100 * F.col("n") >= found.percent * F.col("size")).select("node", "n", "size", "shared"))
+            100 * F.col("n") >= found.percent * F.col("size")).select("node", "n", "size"))
         left = able.count()
         gone = labels.count() - left
         members = found.still_open(members.join(able.select("node"), "node"))
         if not left or not gone:
             break
-    return found.labelled(members).join(able.drop("shared"), "node"), able.select("node", "shared")
+    return found.labelled(members).join(able, "node"), sets
+
+
+def _foreign(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, s): the shingles of the nodes in ``labels`` (node, label) that
+    another label's nodes there have too."""
+    each = sets.join(labels, "node").select("node", "label", F.explode("shingles").alias("s"))
+    foreign = each.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y")
+    return each.join(foreign.select("s"), "s", "left_semi").select("node", "s")
 
 
 def _matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,10 +311,11 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         found.add(_star(found.labelled(members), turn))
         members = found.still_open(members)
     if not members.isEmpty():
-        at, shared = _able_to_link(found, members)
+        at, sets = _able_to_link(found, members)
         at = cut_lineage(at)
         crowded = at.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > CROWD)
         crowded = cut_lineage(crowded.select("key"))
+        shared = _foreign(sets, at.select("node", "label").distinct())
         _crowds(found, at.join(crowded, "key", "left_semi"), shared)
         found.add(_across(at.join(crowded, "key", "left_anti"), percent))
     labels = found.labels
@@ -352,9 +358,9 @@ def _across(at: DataFrame, percent: int) -> DataFrame:
 
 
 def _crowds(found: Found, at: DataFrame, shared: DataFrame) -> None:
-    """Adds the links between members (key, node, label, n, size) of crowded
-    buckets, whose ``shared`` shingles (n of them) hold all that a node can have
-    in common with another component.
+    """Adds the links between members (key, node, label, size) of crowded
+    buckets; ``shared`` (node, s) holds all shingles, n of a node, that it can
+    have in common with another component.
 
     With J = percent / 100, two nodes u and v are linked if and only if they
     have J / (1 + J) * (size_u + size_v) shingles in common. Let each bucket's
@@ -375,6 +381,9 @@ def _crowds(found: Found, at: DataFrame, shared: DataFrame) -> None:
     together. Where most members depart from the centre more than they follow
     it, the empty set takes its place: D is then all that a node shares."""
     pc = 100 + found.percent  # everything times 100 + percent, to stay with whole numbers
+    shared = cut_lineage(shared.join(at.select("node").distinct(), "node", "left_semi").groupBy("node").agg(
+        F.collect_list("s").alias("shared")))
+    at = at.drop("n").join(shared.select("node", F.size("shared").alias("n")), "node")
     slack = 2 * found.percent * F.col("size") - pc * F.col("n")
     centre = at.groupBy("key").agg(F.min(F.struct(slack.alias("slack"), F.col("node").alias("c"))).alias("m"))
     near = cut_lineage(at.join(centre, "key").select("m", "node", slack.alias("slack")).distinct())
@@ -395,12 +404,11 @@ def _crowds(found: Found, at: DataFrame, shared: DataFrame) -> None:
     apart = F.concat(F.array_except("shared", "central"), F.array_except("central", "shared"))
     group = near.join(labels, ["c", "node"]).join(shared, "node").join(of_c, "c").select(
         "c", "node", "label", "inside", "least", "slack", apart.alias("d"), "shared")
-    group = cut_lineage(group)
     loose = group.groupBy("c").agg((2 * F.avg(F.size("d")) > F.avg(F.size("shared"))).alias("loose"))
     group = group.join(loose, "c").select(
         "c", "node", "label", (F.col("inside") & ~F.col("loose")).alias("inside"), "least", "slack",
         F.when(F.col("loose"), F.col("shared")).otherwise(F.col("d")).alias("d"))
-    group = cut_lineage(group.withColumn("a", pc * F.size("d") + F.col("slack")).drop("slack"))
+    group = group.withColumn("a", pc * F.size("d") + F.col("slack")).drop("slack")
     outer = group.filter(~F.col("inside")).groupBy("c").agg(F.min("a").alias("outer"))
     each = group.select("c", "node", F.explode("d").alias("place"))
     rare = each.groupBy("c", "place").agg(F.count(F.lit(1)).alias("often"))
