@@ -1,10 +1,10 @@
 """Top-N without scoring every pair (J1 + W2): score bounds for blocks of
 products.
 
-A block holds the products with one brand, mask of use tags, kind of plate,
-market class and band of prices. Everything in a score that depends on those is
-exact for a block; of the rest (weight, drop, price within the band, jitter) the
-block keeps the best and the worst coefficient, and of prices both ends, as the
+A block holds the products with one brand, mask of use tags, kind of plate and
+band of prices. Everything in a score that depends on those is
+exact for a block; of the rest (weight, drop, price within the band, market class,
+jitter) the block keeps the best and the worst coefficient, and of prices both ends, as the
 price terms rise or fall with the price. The sum of the best terms, in the
 order of the score's own additions, is no less than any product's score, to the
 last bit, since every step is monotone in floating point, too.
@@ -35,10 +35,8 @@ from shortlist.session import cut_lineage
 
 c = F.col
 
-PRICE_BANDS = 8
-#: Blocks pay if they hold so many products on average.
-LEAST_PER_BLOCK = 4
-BLOCK = ["b_brand", "b_mask", "b_plate", "b_market", "b_band"]
+PRICE_BANDS = 4
+BLOCK = ["b_brand", "b_mask", "b_plate", "b_band"]
 
 
 def _zero() -> Column:
@@ -69,7 +67,7 @@ def with_blocks(products: DataFrame, edges: list[float]) -> DataFrame:
     return products.withColumns({
         "b_brand": F.coalesce(F.concat(F.lit("="), c("brand")), F.lit("")), "b_mask": mask,
         "b_plate": F.when(c("p_carbon"), "carbon").when(c("p_nylon"), "nylon").otherwise("other"),
-        "b_market": sc.market_multiplier(), "b_band": F.when(price.isNull(), F.lit(-1)).otherwise(band)})
+        "b_band": F.when(price.isNull(), F.lit(-1)).otherwise(band)})
 
 
 def price_edges(products: DataFrame) -> list[float]:
@@ -87,7 +85,7 @@ def block_rows(products: DataFrame) -> DataFrame:
     exact = ["brand", *[f"p_{t}" for t in USE_TAGS], "p_carbon", "p_nylon", "p_tier_races", "p_tier_long", "p_tier_easy"]
     return products.filter("b_mask > 0").groupBy(*BLOCK).agg(
         F.count(F.lit(1)).alias("n_products"), F.min("price_usd").alias("lo_price"), F.max("price_usd").alias("hi_price"),
-        F.max("p_jitter").alias("p_jitter"), F.max("p_price_term").alias("p_price_term"),
+        F.max(sc.market_multiplier()).alias("b_market"), F.max("p_jitter").alias("p_jitter"), F.max("p_price_term").alias("p_price_term"),
         *[F.first(x).alias(x) for x in exact], *ends).withColumn("plate", c("b_plate"))
 
 
@@ -120,16 +118,11 @@ def upper_bound(pairs: DataFrame, has_market: Column) -> DataFrame:
     return pairs.withColumn("bound", original * multiplier)
 
 
-def likely_pairs(requests: DataFrame, products: DataFrame, has_market: Column,
-                 always: bool = False) -> DataFrame | None:
+def likely_pairs(requests: DataFrame, products: DataFrame, has_market: Column) -> DataFrame:
     """The pairs of prepared requests (with ``request_gates``) and products
-    (with ``product_features``) that may be among a request's first r_n; None
-    if the products make too small blocks for that to pay (unless ``always``)."""
+    (with ``product_features``) that may be among a request's first r_n."""
     products = cut_lineage(with_blocks(products, price_edges(products)))
     blocks = cut_lineage(block_rows(products))
-    n_blocks, n_products = blocks.agg(F.count(F.lit(1)), F.sum("n_products")).first()
-    if not always and (not n_blocks or n_products < LEAST_PER_BLOCK * n_blocks):
-        return None
     small = F.broadcast(products) if broadcastable(products)[0] else products
 
     def bounded(reqs: DataFrame) -> DataFrame:

@@ -39,13 +39,13 @@ def scored_candidates(requests: DataFrame, catalog: DataFrame, market: DataFrame
                       strategy: str | None = None, prepared: DataFrame | None = None) -> DataFrame:
     """Pairs passing F6 with C7/C8 score, C9-C12 multiplier and the
     adjusted score (C13). Keeps request and product columns. The strategy
-    ``blocks`` leaves out pairs that cannot be among a request's first ones; it
-    is taken by default where the products make blocks for that."""
+    ``blocks`` leaves out pairs that cannot be among a request's first ones."""
     reqs = sc.request_gates(prepared if prepared is not None else prepare_requests(requests))
     products = sc.product_features(with_market(catalog.select(*SCORING_COLS), market))
     flag = market_flag(market)
-    pairs = likely_pairs(reqs, products, flag, always=strategy == "blocks") if strategy in (None, "blocks") else None
-    if pairs is None:
+    if strategy == "blocks":
+        pairs = likely_pairs(reqs, products, flag)
+    else:
         pairs = candidate_pairs(reqs, products, enhanced=True, strategy=strategy)
     return sc.score_pairs(pairs, flag)
 

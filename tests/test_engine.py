@@ -133,7 +133,7 @@ def test_blocks_score_few_pairs(spark, tables):
     products = sc.product_features(with_market(tables.catalog().select(*SCORING_COLS), tables.market()))
     requests = sc.request_gates(prepare_requests(tables.requests()))
     flag = market_flag(tables.market())
-    some = likely_pairs(requests, products, flag, always=True).select("request_id", "catalog_pos")
+    some = likely_pairs(requests, products, flag).select("request_id", "catalog_pos")
     every = candidate_pairs(requests, products).select("request_id", "catalog_pos")
     assert some.count() == some.distinct().count() < every.count()
     assert some.subtract(every).isEmpty()
