@@ -225,15 +225,15 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 def scored(df: DataFrame, text: str, model: Model) -> DataFrame:
     """df with the column ``__score``. Works on batches of whole rows; only
-    the text is read."""
+    the text is read, and of a batch one text at a time is a Python string."""
     weights, bias, features = model.weights.tolist(), model.bias, model.features
 
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str, list[int]] = {}
         for batch in texts:
             out = []
             for t in batch:
-                words, got = counts_of(t or ""), Counter()
+                words, got = counts_of(t.as_py() or ""), Counter()
                 for w, n in words.items():
                     ids = known.get(w)
                     if ids is None:
@@ -244,9 +244,9 @@ def scored(df: DataFrame, text: str, model: Model) -> DataFrame:
                         got[i] += n
                 z = bias + sum(weights[i] * math.log1p(n) for i, n in sorted(got.items()))
                 out.append(1 / (1 + math.exp(-min(max(z, -40.0), 40.0))))
-            yield pd.Series(out, dtype=float)
+            yield pa.array(out, pa.float64())
 
-    return df.withColumn("__score", F.pandas_udf(score, "double")(col(text)))
+    return df.withColumn("__score", F.arrow_udf(score, "double")(col(text)))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",

@@ -92,7 +92,7 @@ def crowd(seed, n=110, words=70):
     return out
 
 
-@pytest.mark.parametrize("rounds,members", [(0, 1), (1, 1), (1, 10), (0, 10)])
+@pytest.mark.parametrize("rounds,members", [(0, 1), (1, 10)])
 def test_crowded_buckets_equal_brute_force(spark, monkeypatch, rounds, members):
     monkeypatch.setattr(minhash_dedup, "STAR_ROUNDS", rounds)
     monkeypatch.setattr(minhash_dedup, "CROWD", members)
