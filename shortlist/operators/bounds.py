@@ -16,7 +16,7 @@ last bit, since every step is monotone in floating point, too.
 3. The products of all blocks whose bound reaches the floor are scored. No other
    product can be among the first N, ties included.
 
-The floors (a row a request) are written once. Blocks are far fewer than
+Floors and the chosen (request, block) rows are written once. Blocks are far fewer than
 products and are broadcast like them behind a size check; products too many to
 be broadcast are joined on the block by a shuffle.
 """
@@ -128,15 +128,17 @@ def likely_pairs(requests: DataFrame, products: DataFrame, has_market: Column) -
     def bounded(reqs: DataFrame) -> DataFrame:
         return upper_bound(candidate_pairs(reqs, blocks, enhanced=True), has_market)
 
-    narrow = bounded(requests).select("request_id", *BLOCK, "n_products", "bound")
+    # Blocks are chosen and products scored in jobs of their own, so that the
+    # generated methods of either stay small enough to be compiled.
+    narrow = bounded(requests).select("request_id", "r_n", *BLOCK, "n_products", "bound")
     order = Window.partitionBy("request_id").orderBy(c("bound").desc(), *BLOCK)
     seeds = narrow.withColumn("_k", F.row_number().over(order)).filter(c("_k") <= MAX_RECOMMENDATIONS)
     before = F.coalesce(F.sum("n_products").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    seeds = seeds.withColumn("_before", before).join(requests, "request_id").filter(c("_before") < c("r_n"))
-    first = seeds.drop("_k", "_before", "n_products", "bound").join(small, BLOCK)
-    scored = sc.score_pairs(first, has_market).select("request_id", "catalog_pos", "r_n", "adjusted_score", "original_score")
+    seeds = cut_lineage(seeds.withColumn("_before", before).filter(c("_before") < c("r_n")).select("request_id", *BLOCK))
+    scored = sc.score_pairs(seeds.join(requests, "request_id").join(small, BLOCK), has_market).select(
+        "request_id", "catalog_pos", "r_n", "adjusted_score", "original_score")
     ranked = top_n_per_request(scored, enhanced_order(), c("r_n"))
     floors = cut_lineage(ranked.filter(c("rank") == c("r_n")).select("request_id", c("adjusted_score").alias("_floor")))
     again = bounded(requests.join(floors, "request_id", "left"))
-    keep = again.filter(c("_floor").isNull() | (c("bound") >= c("_floor")))
-    return keep.select(*requests.columns, *BLOCK).join(small, BLOCK)
+    keep = cut_lineage(again.filter(c("_floor").isNull() | (c("bound") >= c("_floor"))).select("request_id", *BLOCK))
+    return keep.join(requests, "request_id").join(small, BLOCK)
