@@ -24,7 +24,7 @@ DEFAULT_SITE = "https://shop.example.com"
 
 
 def product_anchors(anchors: DataFrame) -> DataFrame:
-    """X3 + W5: links that begin with the product path only, one per canonical
+    """X3 + W5: links to the product path only (as a path or as a whole address), one per canonical
     URL within a page (first in page order wins, even if its title is unusable later)."""
     prod = anchors.filter(X.is_product_path(c("href"))).withColumn("canonical", X.canonical_url(c("href")))
     return first_per_key(prod, ["page_no", "canonical"], [c("anchor_idx")])

@@ -275,6 +275,18 @@ def test_listing_links_begin_with_the_product_path(spark):
     assert sorted(r["canonical"] for r in cat.product_anchors(df).collect()) == ["/product/a", "/product/c"]
 
 
+def test_listing_links_written_as_whole_addresses_make_products(spark):
+    hrefs = ["https://shop.example.com/product/a?v=1", "/product/b", "https://shop.example.com/blog/product/x",
+             "https://shop.example.com?to=/product/y", None]
+    df = spark.createDataFrame([(0, i, h, f"Nike Pegasus {i}", "t", None) for i, h in enumerate(hrefs)], S.LISTING_ANCHORS)
+    assert sorted(r["canonical"] for r in cat.product_anchors(df).collect()) == \
+        ["/product/b", "https://shop.example.com/product/a"]
+    pages = spark.createDataFrame([("https://shop.example.com/product/a", "Weight 200 g", ["$100.00"], [], [], [], [], [])],
+                                  S.PRODUCT_PAGES)
+    rows = {r["model"]: r["price_usd"] for r in cat.build_catalog(df, pages).collect()}
+    assert rows == {"Pegasus 0": 100.0, "Pegasus 1": 0.0}
+
+
 def test_a_side_is_broadcast_by_its_bytes(spark):
     from shortlist.operators.candidates import broadcastable
     df = spark.range(100).select("id", F.repeat(F.lit("x"), 1000).alias("s"))
