@@ -13,7 +13,7 @@ from shortlist.operators.prompts import technical_lookup, web_context
 from shortlist.plans.recommend import recommend, rejected_requests, shortlist, shortlist_basic
 from shortlist.session import checkpoint_dir
 from shortlist.sources import tables as src
-from shortlist.sources.views import listing_anchors_view, product_pages_view
+from shortlist.sources.views import listing_anchors_view, product_pages_view, search_results_view, tech_lookups_view
 
 
 def request(rid, max_usd=150.0, n=3, limiter=True, use=True):
@@ -287,6 +287,20 @@ def test_listing_links_written_as_whole_addresses_make_products(spark):
     assert rows == {"Pegasus 0": 100.0, "Pegasus 1": 0.0}
 
 
+def test_enrichment_broadcasts_nothing_through_the_driver(spark, tables):
+    """Not even where Spark takes the sides for small."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        part = tables.raw("part")
+        rich = en.enrich_catalog(tables.catalog(), search_results_view(part), product_pages_view(part))
+        for df in (en.enrichment_summary(rich), technical_lookup(tech_lookups_view(part), tables.catalog())):
+            df.collect()
+            assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_a_side_is_broadcast_by_its_bytes(spark):
     from shortlist.operators.candidates import broadcastable
     df = spark.range(100).select("id", F.repeat(F.lit("x"), 1000).alias("s"))
