@@ -141,3 +141,25 @@ def test_blocks_score_few_pairs(spark, tables):
     pairs = sc.score_pairs(candidate_pairs(requests, with_blocks(products, price_edges(products))), flag)
     over = pairs.join(bound.select("request_id", *BLOCK, "bound"), ["request_id", *BLOCK]).filter("adjusted_score > bound")
     assert over.isEmpty()
+
+
+def test_blocks_with_repeated_rows(spark, tables):
+    """Requests and products that come twice."""
+    reqs = tables.requests().filter("request_id < 40")
+    twice = reqs.unionByName(reqs.filter("request_id % 3 = 0"))
+    catalog = tables.catalog().unionByName(tables.catalog().filter("catalog_pos % 5 = 0"))
+    cols = ["request_id", "rank", "catalog_pos", "adjusted_score", "original_score"]
+    every, some = (sorted(map(tuple, shortlist(twice, catalog, tables.market(), strategy=s, with_tags=False).select(*cols)
+                              .collect())) for s in ("broadcast", "blocks"))
+    assert every == some and len(every) > 100
+
+
+def test_large_inputs_go_by_blocks(spark, tables):
+    reqs = tables.requests().filter("request_id < 10")
+    spark.conf.set("shortlist.blocks.minPairs", "1")
+    try:
+        some = shortlist(reqs, tables.catalog(), tables.market(), with_tags=False)
+    finally:
+        spark.conf.unset("shortlist.blocks.minPairs")
+    assert "_score" in some._jdf.queryExecution().analyzed().toString()
+    assert _rows(some) == _rows(shortlist(reqs, tables.catalog(), tables.market(), strategy="broadcast", with_tags=False))
