@@ -174,15 +174,16 @@ class Found:
 
     def labelled(self, members: DataFrame) -> DataFrame:
         """members (key, node) with the label of each node's component."""
+        members = members.select("key", "node")
         if self.labels is None:
-            return members.select("key", "node", F.col("node").alias("label"))
+            return members.withColumn("label", F.col("node"))
         return members.join(self.labels, "node", "left").select(
             "key", "node", F.coalesce("label", "node").alias("label"))
 
     def still_open(self, members: DataFrame) -> DataFrame:
-        """The members of buckets that hold several components."""
-        several = self.labelled(members).groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-        return cut_lineage(members.join(several.filter("x < y").select("key"), "key"))
+        """The members (key, node, label) of buckets that hold several
+        components."""
+        return _open(self.labelled(members))
 
     def texts(self, used: DataFrame) -> DataFrame:
         """(node, text) of the nodes ``used``: the text of each class's first
@@ -247,28 +248,33 @@ class Found:
         return self.texts(used).mapInArrow(make, "node bigint, shingles array<bigint>")
 
 
-def _able_to_link(found: Found, members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The members (key, node, label, n, size) that may still be linked with
-    another component, n of their shingles being in another one, and the
-    shingles (node, shingles) of all members.
+def _open(at: DataFrame) -> DataFrame:
+    several = at.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"))
+    return cut_lineage(at.join(several.filter("x < y").select("key"), "key"))
+
+
+def _able_to_link(found: Found, at: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Those of ``at`` (key, node, label) that may still be linked with another
+    component, with n, the number of their shingles that are in another one, and
+    size; and the shingles (node, shingles) of all.
 
     A node linked with another component shares at least ``percent`` % of its
     own shingles with it. Shingles that no open node of another component has
     cannot be shared, so a node with too many of them has no link left to find
     and goes, with all its pairs uncompared. Repeated while nodes go, a few
     times: what was shared only with nodes that went counts no more."""
-    sets = cut_lineage(found.sets(members.select("node").distinct()))
+    sets = cut_lineage(found.sets(at.select("node").distinct()))
     for turn in range(COUNT_ROUNDS):
-        labels = found.labelled(members).select("node", "label").distinct()
+        labels = cut_lineage(at.select("node", "label").distinct())
         shared = _foreign(sets, labels).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
         able = cut_lineage(shared.join(sets.select("node", F.size("shingles").alias("size")), "node").filter(
             100 * F.col("n") >= found.percent * F.col("size")).select("node", "n", "size"))
         left = able.count()
         gone = labels.count() - left
-        members = found.still_open(members.join(able.select("node"), "node"))
+        at = _open(at.join(able.select("node"), "node"))
         if not left or not gone:
             break
-    return found.labelled(members).join(able, "node"), sets
+    return at.join(able, "node"), sets
 
 
 def _foreign(sets: DataFrame, labels: DataFrame) -> DataFrame:
@@ -310,8 +316,9 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     for turn in range(STAR_ROUNDS):
         found.add(_star(found.labelled(members), turn))
         members = found.still_open(members)
-    if not members.isEmpty():
-        at, sets = _able_to_link(found, members)
+    at = members if STAR_ROUNDS else found.labelled(members)
+    if not at.isEmpty():
+        at, sets = _able_to_link(found, at)
         at = cut_lineage(at)
         crowded = at.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > CROWD)
         crowded = cut_lineage(crowded.select("key"))
@@ -404,6 +411,7 @@ def _crowds(found: Found, at: DataFrame, shared: DataFrame) -> None:
     apart = F.concat(F.array_except("shared", "central"), F.array_except("central", "shared"))
     group = near.join(labels, ["c", "node"]).join(shared, "node").join(of_c, "c").select(
         "c", "node", "label", "inside", "least", "slack", apart.alias("d"), "shared")
+    group = cut_lineage(group)  # read four times below
     loose = group.groupBy("c").agg((2 * F.avg(F.size("d")) > F.avg(F.size("shared"))).alias("loose"))
     group = group.join(loose, "c").select(
         "c", "node", "label", (F.col("inside") & ~F.col("loose")).alias("inside"), "least", "slack",

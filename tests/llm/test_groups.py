@@ -103,6 +103,18 @@ def test_crowded_buckets_equal_brute_force(spark, monkeypatch, rounds, members):
     assert {r["doc_id"]: r["component_id"] for r in out} == want
 
 
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    from shortlist.llm import components as cc
+    rounds = []
+    monkeypatch.setattr(cc, "_large_star", lambda links, f=cc._large_star: rounds.append(1) or f(links))
+    stars = spark.createDataFrame([(5, 1), (1, 7), (9, 3), (9, 3)], "a bigint, b bigint")
+    assert sorted(map(tuple, cc.connected_components(stars).collect())) == [(5, 1), (7, 1), (9, 3)]
+    assert not rounds
+    chain = spark.createDataFrame([(i, i + 1) for i in range(9)], "a bigint, b bigint")
+    assert sorted(map(tuple, cc.connected_components(chain).collect())) == [(i, 0) for i in range(1, 10)]
+    assert 0 < len(rounds) <= 6
+
+
 def test_all_rows_of_the_first_id_are_kept(spark):
     rows = [(6, "a b c d e f", "en", "s", 0), (6, "a b c d e f", "en", "s", 0), (7, "a b c d e f", "en", "s", 0)]
     out = minhash_dedup.near_groups(frame(spark, rows)).select("doc_id", "component_id", "kept").collect()
