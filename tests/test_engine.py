@@ -163,3 +163,33 @@ def test_large_inputs_go_by_blocks(spark, tables):
         spark.conf.unset("shortlist.blocks.minPairs")
     assert "_score" in some._jdf.queryExecution().analyzed().toString()
     assert _rows(some) == _rows(shortlist(reqs, tables.catalog(), tables.market(), strategy="broadcast", with_tags=False))
+
+
+@pytest.mark.parametrize("chunk", ["50000", "40"])
+def test_reach_gives_the_same_rows_as_all_pairs(spark, chunk):
+    """Random products and requests of the basic engine, with nulls, ties and
+    prices at the budget; few products are left."""
+    from shortlist.operators.reach import reachable
+    rng = random.Random(5)
+    maybe = lambda x: None if rng.random() < 0.1 else x
+    tags = ["daily", "easy", "tempo", "race", "long", "trail"]
+    products = [(i * 7 % 1501, maybe(rng.choice(["Nike", "HOKA", "Brooks"])), f"M{i // 2}", maybe([rng.choice(tags)]),
+                 maybe(rng.choice([round(rng.uniform(40, 300), 0), 100.0, float("nan")])),
+                 rng.choice(["carbon", "none"]), 8.0, maybe(rng.choice([0, 190, 210, 260]))) for i in range(1500)]
+    catalog = spark.createDataFrame(products, "catalog_pos bigint, brand string, model string, category array<string>, "
+                                    "price_usd double, plate string, drop_mm double, weight_g int")
+    asked = [(i % 55, rng.choice([None, [], ["Nike"], ["HOKA", "Brooks"]]),
+              (rng.random() < .5, rng.random() < .5, rng.random() < .5, rng.choice([[], ["5k"]]), rng.random() < .05),
+              (rng.random() < .7, rng.choice([45.0, 60.0, 100.0, 150.5, 220.0])), rng.choice([None, 1, 3, 20]), True, None)
+             for i in range(60)]
+    requests = spark.createDataFrame(asked, S.REQUEST)
+    cols = ["request_id", "rank", "catalog_pos", "price_usd", "score"]
+    spark.conf.set("shortlist.offersPerChunk", chunk)
+    try:
+        every, some = (sorted(map(str, shortlist_basic(requests, catalog, strategy=s).select(*cols).collect()))
+                       for s in ("broadcast", "reach"))
+        left = reachable(sc.product_features(catalog)).filter("_any").count()
+    finally:
+        spark.conf.unset("shortlist.offersPerChunk")
+    assert every == some and len(every) > 300
+    assert 0 < left < 1000
