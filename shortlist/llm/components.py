@@ -14,23 +14,29 @@ from shortlist.session import cut_lineage
 
 
 def _large_star(links: DataFrame) -> DataFrame:
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    """May repeat links; the small star that follows does not."""
+    here, there = F.col("a"), F.col("b")
+    both = links.select(F.inline(F.array(F.struct(here.alias("a"), there.alias("b")),
+                                         F.struct(there.alias("a"), here.alias("b")))))
     least = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     least = links.groupBy("a").agg(F.min("b").alias("m"))
-    moved = links.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    own = F.struct(F.col("a").alias("a"), F.col("m").alias("b"))
+    moved = F.struct(F.col("b").alias("a"), F.col("m").alias("b"))
+    to_least = F.when(F.col("b") > F.col("m"), F.array(own, moved)).otherwise(F.array(own))
+    return links.join(least, "a").select(F.inline(to_least)).distinct()
 
 
 def _are_stars(links: DataFrame) -> bool:
     """Whether every node has one link to a smaller one, and that one none: a
     round would change nothing."""
-    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
-        links.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-    inner = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter(
+    up = F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    down = F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    inner = links.select(F.inline(F.array(up, down))).groupBy("node").agg(
+        F.sum("up").alias("up"), F.max("down").alias("down")).filter(
         (F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))
     return inner.agg(F.count(F.lit(1))).first()[0] == 0
 

@@ -59,6 +59,9 @@ STAR_ROUNDS = 1
 CROWD = 32
 #: Passes of the count filter, which may stop at any time.
 COUNT_ROUNDS = 4
+#: A pass that takes less than this share of the nodes is the last one: the
+#: next one would cost more than the few comparisons that it saves.
+LEAST_GONE = 0.05
 #: Up to so many classes (about 100 MB of ids) the list of documents whose
 #: text is needed is broadcast to the scan; beyond, the scan is joined by id.
 BROADCAST_IDS = 4_000_000
@@ -153,12 +156,12 @@ def least_estimate(percent: int = PERCENT) -> float:
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The distinct pairs (a, b) that the set sizes and the estimate allow."""
+    """Those of the distinct ``pairs`` (a, b) that the set sizes and the
+    estimate allow."""
     left = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
     right = nodes.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"))
     fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     near = estimate(F.col("sa"), F.col("sb")) >= least_estimate(percent)
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return pairs.join(left, "a").join(right, "b").filter(fits & near).select("a", "b")
 
 
@@ -181,7 +184,7 @@ class Found:
             "key", "node", F.coalesce("label", "node").alias("label"))
 
     def still_open(self, members: DataFrame) -> DataFrame:
-        """The members (key, node, label) of buckets that hold several
+        """The rows (key, node, label, members) of buckets that hold several
         components."""
         return _open(self.labelled(members))
 
@@ -197,15 +200,17 @@ class Found:
         return rows.select("node", "text")
 
     def add(self, pairs: DataFrame) -> None:
-        """Compares candidate pairs (a < b) that have not been compared."""
+        """Compares candidate pairs (a < b, repeated or not) that have not been
+        compared."""
+        pairs = pairs.distinct()
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         pairs = cut_lineage(likely(pairs, self.nodes, self.percent))
-        if pairs.isEmpty():
+        if not pairs.take(1):
             return
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
         links = cut_lineage(self.confirm(pairs))
-        if links.isEmpty():
+        if not links.take(1):
             return
         if self.labels is not None:  # the components so far, as links to their smallest node
             links = links.unionByName(self.labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
@@ -249,40 +254,45 @@ class Found:
 
 
 def _open(at: DataFrame) -> DataFrame:
-    several = at.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-    return cut_lineage(at.join(several.filter("x < y").select("key"), "key"))
+    """Those of ``at`` (key, node, label, ...) in buckets that hold several
+    components, with the bucket's number of members."""
+    several = at.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"),
+                                    F.count(F.lit(1)).alias("members"))
+    return cut_lineage(at.join(several.filter("x < y").select("key", "members"), "key"))
 
 
 def _able_to_link(found: Found, at: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Those of ``at`` (key, node, label) that may still be linked with another
-    component, with n, the number of their shingles that are in another one, and
-    size; and the shingles (node, shingles) of all.
+    component, with n, the number of their shingles that are in another one,
+    size, and members, of their bucket; and the shingles (node, shingles) of all.
 
     A node linked with another component shares at least ``percent`` % of its
     own shingles with it. Shingles that no open node of another component has
     cannot be shared, so a node with too many of them has no link left to find
-    and goes, with all its pairs uncompared. Repeated while nodes go, a few
-    times: what was shared only with nodes that went counts no more."""
+    and goes, with all its pairs uncompared. Repeated while many nodes go, a few
+    times: what was shared only with nodes that went counts no more. Nodes that
+    another pass would take are compared instead."""
     sets = cut_lineage(found.sets(at.select("node").distinct()))
     for turn in range(COUNT_ROUNDS):
         labels = cut_lineage(at.select("node", "label").distinct())
-        shared = _foreign(sets, labels).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-        able = cut_lineage(shared.join(sets.select("node", F.size("shingles").alias("size")), "node").filter(
-            100 * F.col("n") >= found.percent * F.col("size")).select("node", "n", "size"))
+        shared = _foreign(sets, labels).groupBy("node", "size").agg(F.count(F.lit(1)).alias("n"))
+        able = cut_lineage(shared.filter(100 * F.col("n") >= found.percent * F.col("size")))
         left = able.count()
         gone = labels.count() - left
-        at = _open(at.join(able.select("node"), "node"))
-        if not left or not gone:
+        if gone:
+            at = _open(at.drop("members").join(able.select("node"), "node"))
+        if not left or gone < LEAST_GONE * (left + gone):
             break
-    return at.join(able, "node"), sets
+    return cut_lineage(at.join(able, "node")), sets
 
 
 def _foreign(sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """(node, s): the shingles of the nodes in ``labels`` (node, label) that
-    another label's nodes there have too."""
-    each = sets.join(labels, "node").select("node", "label", F.explode("shingles").alias("s"))
+    """(node, size, s): the shingles of the nodes in ``labels`` (node, label)
+    that another label's nodes there have too, and how many a node has in all."""
+    each = sets.join(labels, "node").select("node", "label", F.size("shingles").alias("size"),
+                                            F.explode("shingles").alias("s"))
     foreign = each.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y")
-    return each.join(foreign.select("s"), "s", "left_semi").select("node", "s")
+    return each.join(foreign.select("s"), "s", "left_semi").select("node", "size", "s")
 
 
 def _matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,15 +326,13 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     for turn in range(STAR_ROUNDS):
         found.add(_star(found.labelled(members), turn))
         members = found.still_open(members)
-    at = members if STAR_ROUNDS else found.labelled(members)
-    if not at.isEmpty():
+    at = members if STAR_ROUNDS else found.still_open(members)
+    if at.take(1):
         at, sets = _able_to_link(found, at)
-        at = cut_lineage(at)
-        crowded = at.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > CROWD)
-        crowded = cut_lineage(crowded.select("key"))
         shared = _foreign(sets, at.select("node", "label").distinct())
-        _crowds(found, at.join(crowded, "key", "left_semi"), shared)
-        found.add(_across(at.join(crowded, "key", "left_anti"), percent))
+        crowded = F.col("members") > CROWD
+        across = _across(at.filter(~crowded).drop("members"), percent)
+        _crowds(found, at.filter(crowded).drop("members"), shared, across)
     labels = found.labels
 
     label = F.col("node") if labels is None else F.coalesce("label", "node")
@@ -344,7 +352,7 @@ def _star(at: DataFrame, turn: int) -> DataFrame:
     pick = F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn)))
     centre = at.groupBy("key").agg(pick.alias("c"))
     return at.join(centre, "key").filter(F.col("label") != F.col("c.label")).select(
-        F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+        F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"))
 
 
 def _across(at: DataFrame, percent: int) -> DataFrame:
@@ -361,13 +369,15 @@ def _across(at: DataFrame, percent: int) -> DataFrame:
     met = (F.col("key") == F.col("xkey")) & (F.col("label") != F.col("lx")) & (
         100 * most >= percent * (F.col("size") + F.col("sx") - most))
     return at.join(right, met).select(
-        F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+        F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
 
 
-def _crowds(found: Found, at: DataFrame, shared: DataFrame) -> None:
+def _crowds(found: Found, at: DataFrame, shared: DataFrame, others: DataFrame) -> None:
     """Adds the links between members (key, node, label, size) of crowded
     buckets; ``shared`` (node, s) holds all shingles, n of a node, that it can
-    have in common with another component.
+    have in common with another component. ``others`` are the pairs (a, b) of
+    the other buckets, compared along with the centres: texts are brought
+    together and components are made once for both.
 
     With J = percent / 100, two nodes u and v are linked if and only if they
     have J / (1 + J) * (size_u + size_v) shingles in common. Let each bucket's
@@ -400,7 +410,8 @@ def _crowds(found: Found, at: DataFrame, shared: DataFrame) -> None:
         "to.c", "node", "slack", F.col("to.slack").alias("least"))
     itself = near.select("c", F.col("c").alias("node"), F.col("least").alias("slack"), "least")
     near = cut_lineage(near.unionByName(itself).distinct())
-    found.add(near.filter("c != node").select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b")))
+    central = near.filter("c != node").select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b"))
+    found.add(central.unionByName(others))
 
     labels = found.labelled(near.select(F.col("c").alias("key"), "node"))
     own = F.max(F.when(F.col("key") == F.col("node"), F.col("label")))
@@ -437,7 +448,7 @@ def _crowds(found: Found, at: DataFrame, shared: DataFrame) -> None:
     right = among.select("c", "place", F.col("node").alias("v"), F.col("label").alias("lv"))
     pairs = to_inside.join(inside.select("c", "place", F.col("node").alias("v")), ["c", "place"]).select("node", "v")
     pairs = pairs.unionByName(among.join(right, ["c", "place"]).filter("node < v AND label != lv").select("node", "v"))
-    found.add(pairs.select(F.least("node", "v").alias("a"), F.greatest("node", "v").alias("b")).distinct())
+    found.add(pairs.select(F.least("node", "v").alias("a"), F.greatest("node", "v").alias("b")))
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:

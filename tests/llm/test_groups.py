@@ -115,6 +115,25 @@ def test_components_of_stars_take_no_round(spark, monkeypatch):
     assert 0 < len(rounds) <= 6
 
 
+def test_a_round_of_components_reads_its_links_once_a_step(spark):
+    from shortlist.llm import components as cc
+    links = spark.createDataFrame([(i + 1, i) for i in range(9)], "a bigint, b bigint")
+    plan = cc._small_star(cc._large_star(links))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan
+    assert sum(line.strip(" :+-").startswith("Aggregate") for line in plan.splitlines()) == 4
+
+
+def test_crowded_and_other_buckets_are_compared_together(spark, monkeypatch):
+    compared, confirm = [], minhash_dedup.Found.confirm
+    monkeypatch.setattr(minhash_dedup.Found, "confirm", lambda self, pairs: compared.append(1) or confirm(self, pairs))
+    monkeypatch.setattr(minhash_dedup, "CROWD", 12)
+    texts = [t for s in range(2) for t in crowd(s + 20)] + [t for s in range(12) for t in crowd(s + 30, 9)]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    out = minhash_dedup.near_groups(frame(spark, rows).repartition(4)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == components([(r[0], r[1]) for r in rows])[0]
+    assert len(compared) == 3  # with the first centres, then the crowds' centres and other buckets, then departures
+
+
 def test_all_rows_of_the_first_id_are_kept(spark):
     rows = [(6, "a b c d e f", "en", "s", 0), (6, "a b c d e f", "en", "s", 0), (7, "a b c d e f", "en", "s", 0)]
     out = minhash_dedup.near_groups(frame(spark, rows)).select("doc_id", "component_id", "kept").collect()
