@@ -13,7 +13,7 @@ from shortlist.operators import response as resp
 from shortlist.operators.bounds import BLOCK, block_rows, likely_pairs, price_edges, upper_bound, with_blocks
 from shortlist.operators.candidates import candidate_pairs, market_flag, with_market
 from shortlist.operators.requests import prepare_requests
-from shortlist.plans.recommend import SCORING_COLS, shortlist, shortlist_basic
+from shortlist.plans.recommend import SCORING_COLS, scored_candidates, shortlist, shortlist_basic
 
 
 def requests(spark, rows):
@@ -154,6 +154,21 @@ def test_blocks_with_repeated_rows(spark, tables):
     assert every == some and len(every) > 100
 
 
+def test_products_that_score_alike_are_ranked_by_their_first_places(spark):
+    """Three shoes, each 200 times in the catalog: a request's ranking sees no
+    more rows than it wants, however many reach the same score."""
+    products = [(n, "Brooks", f"M{n % 3}", ["daily"], 90.0 + n % 3, "none", 8.0, 260) for n in range(600)]
+    catalog = spark.createDataFrame(products, "catalog_pos bigint, brand string, model string, category array<string>, "
+                                    "price_usd double, plate string, drop_mm double, weight_g int")
+    reqs = requests(spark, [(i, None, True, False, False, [], False, True, 150.0, n) for i, n in enumerate([1, 5, 20])])
+    prepared = prepare_requests(reqs)
+    scored = scored_candidates(reqs, catalog, None, "blocks", prepared=prepared)
+    seen = {r["request_id"]: r["count"] for r in scored.groupBy("request_id").count().collect()}
+    assert seen == {0: 1, 1: 5, 2: 20}
+    every, some = (_rows(shortlist(reqs, catalog, None, strategy=s, with_tags=False)) for s in ("broadcast", "blocks"))
+    assert every == some and len(every) == 26
+
+
 def test_large_inputs_go_by_blocks(spark, tables):
     reqs = tables.requests().filter("request_id < 10")
     spark.conf.set("shortlist.blocks.minPairs", "1")
