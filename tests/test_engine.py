@@ -169,6 +169,20 @@ def test_products_that_score_alike_are_ranked_by_their_first_places(spark):
     assert every == some and len(every) == 26
 
 
+def test_only_the_narrow_ranking_is_written(spark, tables, monkeypatch):
+    """Of a shortlist that is read several times ids and scores go to disk, no
+    product columns."""
+    from shortlist.plans import recommend as plans
+    cut, wrote = plans.cut_lineage, []
+    monkeypatch.setattr(plans, "cut_lineage", lambda df: (wrote.append(df.columns), cut(df))[1])
+    reqs = tables.requests().filter("request_id < 10")
+    some = shortlist(reqs, tables.catalog(), tables.market(), with_tags=False, written=True)
+    assert plans.recommend(reqs, tables.catalog(), tables.market()).count() == reqs.count()
+    narrow = {"request_id", "catalog_pos", "rank", "original_score", "adjustment_multiplier", "adjusted_score"}
+    assert [set(x) for x in wrote] == [narrow, narrow]
+    assert _rows(some) == _rows(shortlist(reqs, tables.catalog(), tables.market(), with_tags=False))
+
+
 def test_large_inputs_go_by_blocks(spark, tables):
     reqs = tables.requests().filter("request_id < 10")
     spark.conf.set("shortlist.blocks.minPairs", "1")
